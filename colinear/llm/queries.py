@@ -6,11 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from colinear.llm.decontaminate import op5_benchmark_decontamination
+from colinear.llm.langid import op8_language_id
+from colinear.llm.licenses import op4_license_scan
+from colinear.llm.quality_model import op6_quality_classifier
 from colinear.llm.simhash import op9_simhash_near_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op9_simhash_near_dedup,)}
+    return {
+        f.__name__: f
+        for f in (
+            op4_license_scan,
+            op5_benchmark_decontamination,
+            op6_quality_classifier,
+            op8_language_id,
+            op9_simhash_near_dedup,
+        )
+    }
 
 
 def oracle_sql() -> dict[str, str]:
