@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from colinear.llm.decontaminate import op5_benchmark_decontamination
 from colinear.llm.langid import op8_language_id
 from colinear.llm.licenses import op4_license_scan
+from colinear.llm.linededup import OP2_SQL, op2_line_dedup
 from colinear.llm.quality_model import op6_quality_classifier
+from colinear.llm.quality_rules import op3_quality_rules
 from colinear.llm.simhash import op9_simhash_near_dedup
 
 
@@ -17,6 +19,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
+            op2_line_dedup,
+            op3_quality_rules,
             op4_license_scan,
             op5_benchmark_decontamination,
             op6_quality_classifier,
@@ -27,4 +31,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_line_dedup": OP2_SQL}
