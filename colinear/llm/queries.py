@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from colinear.llm.decontaminate import op5_benchmark_decontamination
+from colinear.llm.html_text import op1_html_text
 from colinear.llm.langid import op8_language_id
 from colinear.llm.licenses import op4_license_scan
 from colinear.llm.linededup import OP2_SQL, op2_line_dedup
@@ -19,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
+            op1_html_text,
             op2_line_dedup,
             op3_quality_rules,
             op4_license_scan,
