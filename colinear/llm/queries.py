@@ -11,6 +11,7 @@ from colinear.llm.html_text import op1_html_text
 from colinear.llm.langid import op8_language_id
 from colinear.llm.licenses import op4_license_scan
 from colinear.llm.linededup import OP2_SQL, op2_line_dedup
+from colinear.llm.ngram_lm import op10_lm_score
 from colinear.llm.pieces import op7_sentencepiece
 from colinear.llm.quality_model import op6_quality_classifier
 from colinear.llm.quality_rules import op3_quality_rules
@@ -30,6 +31,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op7_sentencepiece,
             op8_language_id,
             op9_simhash_near_dedup,
+            op10_lm_score,
         )
     }
 
