@@ -39,22 +39,24 @@ def spread_lines(docs: DataFrame, sites: int = SITES) -> DataFrame:
 
 
 def without_boilerplate(docs: DataFrame, sites: int = SITES) -> DataFrame:
-    """The columns of docs with boilerplate lines taken out of text, and n_lines, n_removed.
+    """The columns of docs with boilerplate lines taken out of text, n_chars (if there) to match, and n_lines, n_removed.
 
     A document that would lose more than half of its characters is a copy rather than a page with boilerplate: it
     stays as it is, for near-duplicate removal. Null and empty texts stay, with no lines removed. Repeated rows each
     stay. Lines are equal if they are without the blanks around them; lines without a word are kept.
     """
-    hits = _lines(docs).join(spread_lines(docs, sites), "h", "left_semi").groupBy("row_key").agg(F.collect_set("pos").alias("_gone")).withColumnRenamed("row_key", "_row_key")
-    key = F.xxhash64(docs["doc_id"].cast("long"), docs["text"])
-    joined = docs.join(hits, key == hits["_row_key"], "left").withColumn("_lines", F.split("text", "\n"))
-    kept = F.array_join(F.filter("_lines", lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    joined = joined.withColumn("_kept", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept))
-    copy = 2 * F.length("_kept") < F.length("text")
-    removed = F.when(F.col("_gone").isNull() | copy, 0).otherwise(F.size("_gone"))
+    hits = _lines(docs).join(spread_lines(docs, sites), "h", "left_semi").groupBy("row_key").agg(F.collect_set("pos").alias("gone"))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("r"))  # so that no name clashes
+    joined = rows.join(hits, F.xxhash64(F.col("r.doc_id").cast("long"), F.col("r.text")) == hits["row_key"], "left").select("r", "gone", F.split("r.text", "\n").alias("lines"))
+    left = F.array_join(F.filter("lines", lambda x, i: ~F.array_contains("gone", i)), "\n")
+    joined = joined.select("r", "gone", "lines", F.when(F.col("gone").isNull(), F.col("r.text")).otherwise(left).alias("left"))
+    copy = 2 * F.length("left") < F.length("r.text")
+    removed = F.when(F.col("gone").isNull() | copy, 0).otherwise(F.size("gone"))
+    text = F.when(copy, F.col("r.text")).otherwise(F.col("left"))
+    own = {"text": text, "n_chars": F.length(text).cast("long")}
     return joined.select(
-        *[F.when(copy, F.col("text")).otherwise(F.col("_kept")).alias("text") if c == "text" else joined[c] for c in docs.columns],
-        F.coalesce(F.size("_lines"), F.lit(0)).cast("long").alias("n_lines"),
+        *[own.get(c, F.col("r").getField(c)).alias(c) for c in docs.columns if c not in ("n_lines", "n_removed")],
+        F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(removed, F.lit(0)).cast("long").alias("n_removed"),
     )
 

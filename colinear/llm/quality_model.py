@@ -162,6 +162,22 @@ def score(docs: DataFrame, model: Model, wanted: list[str]) -> DataFrame:
     return docs.select(*wanted, F.col("text").cast("binary").alias("_text")).mapInArrow(run, f"{ddl}, {out}")
 
 
+def kept_rows(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs with p_top of KEEP or more, all columns as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache: dict[bytes, int] = {}
+        w, theta = shared.value.weights, shared.value.thresholds
+        for batch in batches:
+            s = np.array([w[features(t, cache)].sum(dtype=np.float64) for t in batch.column(at).cast(pa.binary()).to_pylist()])
+            p = 1 / (1 + np.exp(-np.clip(s - theta[-1], -30, 30))) if len(theta) else np.ones(len(s))
+            yield batch.filter(pa.array(p >= KEEP))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = fit(sample_features(graded(docs, labels)), 3)
