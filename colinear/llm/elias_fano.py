@@ -54,6 +54,7 @@ class Sequence:
         self.low = np.ndarray((len(low) - 7,), np.uint64, buffer=low, strides=(1,))  # the 8 bytes from each byte on
         self.high, self.ones = arrays[f"{name}.high"], arrays[f"{name}.ones"]
         self.mask = np.uint64((1 << self.width) - 1)
+        self._zeros: np.ndarray | None = None
 
     def _lows(self, i: np.ndarray) -> np.ndarray:
         bit = i.astype(np.int64) * self.width
@@ -82,35 +83,37 @@ class Sequence:
 
     def _before(self, bucket: np.ndarray) -> np.ndarray:
         """How many values have high bits below bucket: ones before the bucket-th zero."""
-        zeros = np.arange(len(self.ones), dtype=np.int64) * 64 - self.ones.astype(np.int64) if not hasattr(self, "_zeros") else self._zeros
-        self._zeros = zeros
+        if self._zeros is None:
+            self._zeros = np.arange(len(self.ones), dtype=np.int64) * 64 - self.ones.astype(np.int64)
+        zeros = self._zeros
         k = np.maximum(bucket, 1)
         word = np.searchsorted(zeros, k, "left") - 1
         place = word * 64 + self._in_word(self.high[word] ^ _FULL, k - zeros[word])
         return np.where(bucket == 0, 0, place - (k - 1))
 
+    def _reach(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(index of the first value at x or above among those of the same high bits, or of the next bucket; that bucket's end)."""
+        bucket = np.minimum((x >> np.uint64(self.width)).astype(np.int64), self.last >> self.width)
+        lo, end = self._before(bucket), self._before(bucket + 1)
+        want, hi = x & self.mask, end.copy()
+        at = np.flatnonzero(lo < hi)
+        while len(at):  # binary search among the low bits of the bucket
+            mid = (lo[at] + hi[at]) >> 1
+            less = self._lows(mid) < want[at]
+            lo[at[less]] = mid[less] + 1
+            hi[at[~less]] = mid[~less]
+            at = at[lo[at] < hi[at]]
+        return lo, end
+
     def successor(self, x: np.ndarray) -> np.ndarray:
         """Index of the first value at x or above, n if there is none."""
         if not len(x) or not self.n:
             return np.zeros(len(x), np.int64)
-        bucket = (x >> np.uint64(self.width)).astype(np.int64)
-        last = self.last >> self.width
-        over = bucket > last
-        bucket = np.minimum(bucket, last)
-        lo, hi = self._before(bucket), self._before(bucket + 1)
-        want, end = x & self.mask, hi.copy()
-        while True:  # binary search among the low bits of the bucket
-            open_ = lo < hi
-            if not open_.any():
-                break
-            mid = (lo + hi) >> 1
-            less = open_ & (self._lows(np.minimum(mid, self.n - 1)) < want)
-            lo = np.where(less, mid + 1, lo)
-            hi = np.where(open_ & ~less, mid, hi)
-        return np.where(over, self.n, np.minimum(lo, np.maximum(end, lo)))
+        return np.where(x > np.uint64(self.last), self.n, self._reach(x)[0])
 
     def find(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(index, present) of values."""
-        i = self.successor(x)
-        inside = i < self.n
-        return i, inside & (self.at(np.minimum(i, max(0, self.n - 1))) == x) if self.n else inside
+        if not len(x) or not self.n:
+            return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
+        i, end = self._reach(x)
+        return i, (i < end) & (x <= np.uint64(self.last)) & (self._lows(np.minimum(i, self.n - 1)) == x & self.mask)

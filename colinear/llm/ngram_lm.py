@@ -10,6 +10,7 @@ import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,10 @@ LEAST_PAIR, DISCOUNT = 2, 0.75
 SHARD = 400_000
 END = b"\n"  # no word holds it
 _CHUNK = 400_000
+#: Below this many words a pair of ids fits a 64-bit number.
+_PACKED = 3_000_000_000
+#: Words that a task keeps at hand.
+_KNOWN = 1_000_000
 
 
 def _digest(word: bytes) -> int:
@@ -136,9 +141,12 @@ class Reader:
                 if arrays is None or not len(own):
                     continue
                 c = context[own] - self.first[s]
-                begin, end = self._sequence(pairs, s, b, "pointer").at(c).astype(np.int64), self._sequence(pairs, s, b, "pointer").at(c + 1).astype(np.int64)
-                some = begin < end
-                own, c, begin, end = own[some], c[some], begin[some], end[some]
+                starts = np.flatnonzero(np.diff(c, prepend=-1))  # queries come by context, so each one's pointers are read once
+                pointer, runs = self._sequence(pairs, s, b, "pointer"), np.diff(starts, append=len(c))
+                begin, end = (pointer.at(c[starts] + k).astype(np.int64) for k in (0, 1))
+                some = np.repeat(begin < end, runs)
+                begin, end = np.repeat(begin, runs)[some], np.repeat(end, runs)[some]
+                own, c = own[some], c[some]
                 i, there = self._sequence(pairs, s, b, "child").find((c * self.trie.v + word[own]).astype(np.uint64))
                 there &= (i >= begin) & (i < end)
                 out[own[there]] = arrays["book"][arrays["code"][i[there]]]
@@ -162,17 +170,32 @@ def _chunks(texts: list[bytes | None]) -> Iterator[tuple[int, list[list[bytes]]]
         yield first, part
 
 
-def _word_ids(reader: Reader, tokens: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(ids, counts, context ids) of the tokens one after another; a text's first token follows an end."""
-    place = {w: i for i, w in enumerate(dict.fromkeys(w for x in tokens for w in x))}
-    own = reader.ids(np.array([_digest(w) for w in place], np.uint64))
-    counts = reader.by_id(own)
-    flat = np.fromiter((place[w] for x in tokens for w in x), np.int64, sum(map(len, tokens)))
-    ids = own[flat]
-    context = np.empty_like(ids)
-    context[1:] = ids[:-1]
-    context[np.cumsum([0, *map(len, tokens[:-1])])] = own[place[END]]
-    return ids, counts[flat], context
+class Words(dict):
+    """Words of a task's texts as places 0, 1, ..., and by place their ids and counts in the trie."""
+
+    def __init__(self, reader: Reader):
+        super().__init__()
+        self.reader, self.ids, self.counts = reader, np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def __missing__(self, word: bytes) -> int:
+        place = self[word] = len(self)
+        return place
+
+    def look_up(self, tokens: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, counts, context ids) of the tokens one after another; a text's first token follows an end."""
+        if len(self) > _KNOWN:
+            self.clear()
+            self.ids, self.counts = self.ids[:0], self.counts[:0]
+        sizes = list(map(len, tokens))
+        flat = np.fromiter(map(self.__getitem__, chain.from_iterable(tokens)), np.int64, sum(sizes))
+        new = np.array([_digest(w) for w in islice(self, len(self.ids), None)], np.uint64)
+        own = self.reader.ids(new)
+        self.ids, self.counts = np.concatenate([self.ids, own]), np.concatenate([self.counts, self.reader.by_id(own)])
+        ids = self.ids[flat]
+        context = np.empty_like(ids)
+        context[1:] = ids[:-1]
+        context[np.cumsum([0, *sizes[:-1]])] = self.ids[self[END]]
+        return ids, self.counts[flat], context
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -235,29 +258,37 @@ def train(docs: DataFrame) -> Trie:
     forget(counts)
     words = Trie(Level(name, where, ()), None, bits, tuple(first), int(n), int(v))
 
+    packed = words.v < _PACKED
+
     def pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(words)
+        known = Words(Reader(words))
         for batch in batches:
+            contexts, followers = [], []
             for _, tokens in _chunks(column(batch, "text")):
-                ids, c, context = _word_ids(reader, tokens)
+                ids, c, context = known.look_up(tokens)
                 frequent = c >= LEAST_PAIR  # a pair is no more frequent than its words
                 before = np.concatenate([[True], frequent[:-1]])
                 before[np.cumsum([0, *map(len, tokens[:-1])])] = True
-                on = frequent & before
-                if words.v < 3_000_000_000:
-                    both, times = np.unique(context[on] * words.v + ids[on], return_counts=True)
-                    a, b = both // words.v, both % words.v
-                else:
-                    (a, b), times = np.unique(np.stack([context[on], ids[on]]), axis=1, return_counts=True)
+                contexts.append(context[on := np.flatnonzero(frequent & before)])
+                followers.append(ids[on])
+            a, b = np.concatenate(contexts or [np.zeros(0, np.int64)]), np.concatenate(followers or [np.zeros(0, np.int64)])
+            if packed:
+                pair, times = np.unique(a * words.v + b, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(times.astype(np.int64))], ["pair", "c"])
+            else:
+                (a, b), times = np.unique(np.stack([a, b]), axis=1, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(times.astype(np.int64))], ["context", "word", "c"])
 
-    pairs = _wanted(docs).mapInArrow(pairs_of, "context long, word long, c long").groupBy("context", "word").agg(F.sum("c").alias("c")).where(F.col("c") >= LEAST_PAIR)
+    keys = ["pair"] if packed else ["context", "word"]
+    pairs = _wanted(docs).mapInArrow(pairs_of, ", ".join(f"{k} long" for k in [*keys, "c"])).groupBy(*keys).agg(F.sum("c").alias("c")).where(F.col("c") >= LEAST_PAIR)
     starts = np.array(first, np.int64)
 
     def shard_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = np.searchsorted(starts, batch.column(0).to_numpy(), "right") - 1
-            yield pa.RecordBatch.from_arrays([pa.array(s.astype(np.int32)), *batch.columns], ["shard", "context", "word", "c"])
+            a, *b = (x.to_numpy() for x in batch.columns[:-1])
+            a, b = (a // words.v, a % words.v) if packed else (a, b[0])
+            s = np.searchsorted(starts, a, "right") - 1
+            yield pa.RecordBatch.from_arrays([pa.array(s.astype(np.int32)), pa.array(a), pa.array(b), batch.column(batch.num_columns - 1)], ["shard", "context", "word", "c"])
 
     pairs = stored(pairs.mapInArrow(shard_of, "shard int, context long, word long, c long"))
     held = {r.shard: r.n for r in pairs.groupBy("shard").agg(F.count("*").alias("n")).toLocalIterator()}
@@ -316,19 +347,20 @@ def scored(docs: DataFrame, trie: Trie) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(trie)
+        known = Words(reader)
         for batch in batches:
             doc_ids = batch.column(0)
             for start, tokens in _chunks(column(batch, "text")):
                 sizes = np.array([len(x) for x in tokens])
-                ids, counts, context = _word_ids(reader, tokens)
+                ids, counts, context = known.look_up(tokens)
                 doc = np.repeat(np.arange(len(tokens)), sizes)
                 base = reader.log_unigram(counts)
-                pair, back = np.unique(np.stack([context, ids]), axis=1, return_inverse=True) if trie.v >= 3_000_000_000 else (None, None)
-                if pair is None:
-                    key, one, back = np.unique((context + 1) * (trie.v + 1) + ids + 1, return_index=True, return_inverse=True)
-                    p = reader.log_pairs(context[one], ids[one], counts[one])[back]
-                else:
-                    p = reader.log_pairs(pair[0], pair[1], reader.by_id(pair[1]))[back]
+                order = np.argsort((context + 1) * (trie.v + 1) + ids + 1) if trie.v < _PACKED else np.lexsort((ids, context))
+                a, b = context[order], ids[order]
+                first = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+                p = np.empty(len(ids))
+                one = order[first]
+                p[order] = np.repeat(reader.log_pairs(context[one], ids[one], counts[one]), np.diff(np.flatnonzero(first), append=len(ids)))
                 total = lambda x: np.bincount(doc, x, len(tokens))
                 yield pa.RecordBatch.from_arrays([doc_ids.slice(start, len(tokens)), pa.array(sizes.astype(np.int64)), pa.array(total(counts > 0).astype(np.int64)), pa.array(np.full(len(tokens), trie.n, np.int64)), pa.array(total(base)), pa.array(total(p))], schema=schema)
 
