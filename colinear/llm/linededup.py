@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colinear.session import table
+from colinear.session import stored, table
 
 #: A line on this many distinct sites or more is boilerplate.
 SITES = 5
@@ -13,6 +13,8 @@ SITES = 5
 LG_K = 12
 #: Estimates this share of SITES off, or one site, get an exact count.
 NEAR = 0.1
+#: Line hashes are sent to every task up to this many.
+SENT = 1_000_000
 _BLANKS = " \t\r\x0b\x0c"
 
 
@@ -30,12 +32,17 @@ def spread_lines(docs: DataFrame, sites: int = SITES) -> DataFrame:
     rows leaves each task as one sketch. Estimates near `sites` are replaced by exact counts of distinct sites.
     """
     lines = _lines(docs).select("h", "site").where("site is not null")
-    estimate = lines.groupBy("h").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("n"))
     off = max(1.0, NEAR * sites)
-    sure = estimate.where(F.col("n") > sites + off).select("h")
-    near = estimate.where(F.abs(F.col("n") - sites) <= off).select("h")
+    estimate = lines.groupBy("h").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("n"))
+    estimate = stored(estimate.where(F.col("n") >= sites - off))
+    near = _small(estimate.where(F.col("n") <= sites + off).select("h"))
     exact = lines.join(near, "h", "left_semi").distinct().groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= sites).select("h")
-    return sure.union(exact)
+    return stored(estimate.where(F.col("n") > sites + off).select("h").union(exact))
+
+
+def _small(hashes: DataFrame) -> DataFrame:
+    """Marked for broadcast if it has SENT rows of 8 bytes at most; else adaptive execution splits what is skewed."""
+    return F.broadcast(hashes) if hashes.count() <= SENT else hashes
 
 
 def without_boilerplate(docs: DataFrame, sites: int = SITES) -> DataFrame:
@@ -45,7 +52,7 @@ def without_boilerplate(docs: DataFrame, sites: int = SITES) -> DataFrame:
     stays as it is, for near-duplicate removal. Null and empty texts stay, with no lines removed. Repeated rows each
     stay. Lines are equal if they are without the blanks around them; lines without a word are kept.
     """
-    hits = _lines(docs).join(spread_lines(docs, sites), "h", "left_semi").groupBy("row_key").agg(F.collect_set("pos").alias("gone"))
+    hits = _lines(docs).join(_small(spread_lines(docs, sites)), "h", "left_semi").groupBy("row_key").agg(F.collect_set("pos").alias("gone"))
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("r"))  # so that no name clashes
     joined = rows.join(hits, F.xxhash64(F.col("r.doc_id").cast("long"), F.col("r.text")) == hits["row_key"], "left").select("r", "gone", F.split("r.text", "\n").alias("lines"))
     left = F.array_join(F.filter("lines", lambda x, i: ~F.array_contains("gone", i)), "\n")
