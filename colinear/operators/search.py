@@ -101,8 +101,8 @@ def align_all(references: DataFrame, queries: DataFrame, blocks: int = 16) -> Da
 
     The queries are dealt into blocks, and each block meets all references once.
     """
-    q = queries.select(F.col("id").alias("query"), F.col("seq").alias("b_seq"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("_k"))
-    r = references.select(F.col("id").alias("ref"), F.col("seq").alias("a_seq"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long").alias("_k"))
+    q = queries.select(F.col("id").alias("query"), F.col("seq").alias("b_seq"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("long").alias("_k"))
+    r = references.select(F.col("id").alias("ref"), F.col("seq").alias("a_seq"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("_k"))
     return aligned_pairs(r.join(q, "_k").select("ref", "query", "a_seq", "b_seq")).select("ref", "query", "align_score")
 
 
