@@ -42,7 +42,8 @@ def gene_correlations(expression: DataFrame, pairs: DataFrame) -> DataFrame:
     clean = expression.where(F.col("tpm").isNotNull() & ~F.isnan(F.col("tpm").cast("double"))).select("gene", "experiment", "cond", F.col("tpm").cast("double").alias("tpm"))
     side = lambda k: clean.select(F.col("gene").alias(f"gene{k}"), "experiment", "cond", F.col("tpm").alias(f"x{k}"))
     met = pairs.select("gene1", "gene2").distinct().join(side(1), "gene1").join(side(2), ["gene2", "experiment", "cond"])
-    each = met.groupBy("gene1", "gene2", "experiment").agg(F.corr("x1", "x2").alias("r"), F.count("*").alias("n"), F.stddev_pop("x1").alias("s1"), F.stddev_pop("x2").alias("s2"))
+    each = met.groupBy("gene1", "gene2", "experiment").agg(F.covar_pop("x1", "x2").alias("cov"), F.count("*").alias("n"), F.stddev_pop("x1").alias("s1"), F.stddev_pop("x2").alias("s2"))
+    each = each.withColumn("r", F.col("cov") / F.nullif(F.col("s1") * F.col("s2"), F.lit(0.0)))  # corr() itself fails without spread
     return each.where("n > 1 and s1 > 0 and s2 > 0").groupBy("gene1", "gene2").agg(F.avg("r").alias("r"))
 
 
