@@ -14,7 +14,7 @@ from colinear.llm.linededup import OP2_SQL, op2_line_dedup
 from colinear.llm.ngram_lm import op10_lm_score
 from colinear.llm.pieces import op7_sentencepiece
 from colinear.llm.quality_model import op6_quality_classifier
-from colinear.llm.quality_rules import op3_quality_rules
+from colinear.llm.quality_rules import OP3_SQL, op3_quality_rules
 from colinear.llm.simhash import op9_simhash_near_dedup
 
 
@@ -37,4 +37,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2_SQL}
+    return {"op2_line_dedup": OP2_SQL, "op3_quality_rules": OP3_SQL}
