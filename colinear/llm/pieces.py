@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterator, Sequence
 from heapq import heapify, heappop, heappush
+from math import log
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -18,11 +21,13 @@ from colinear.session import table
 #: Chance that a candidate merge is skipped, and the seed of the keyed hash that decides.
 DROPOUT, SEED = 0.1, 7
 #: An occurrence of a unit is cut in one of this many ways, picked by the keyed hash of document and place.
-VARIANTS = 4
-CACHED = 600_000
+VARIANTS = 3
+CACHED = 800_000
 _LONG = 64
+_LEARNED = 300_000
 _NONE = 1 << 30
 _M64 = (1 << 64) - 1
+_UNIT_64 = 2.0**-64
 _UNITS = re.compile(r" *[^ \n]+| +|\n")
 _SPACE = "▁"
 
@@ -59,49 +64,76 @@ class Codec:
             self.rank[shown], self.ids[shown] = r, i
             if re.search(r"[^ ] |\n", shown):
                 raise ValueError("Codec: a piece crosses a blank, so units can't be cut on their own")
-        self.bar = int(dropout * (1 << 24))
-        self.seed, self.variants = seed, variants
-        self.cache: dict[tuple[str, int], bytes] = {}
-
-    def _skipped(self, key: int, start: int, rank: int) -> bool:
-        x = (key + start * 0x9E3779B97F4A7C15 + rank * 0xC2B2AE3D27D4EB4F) & _M64
-        x = ((x ^ x >> 31) * 0xBF58476D1CE4E5B9) & _M64
-        return (x >> 40) < self.bar
-
-    def _merge(self, unit: str, key: int) -> list[str]:
-        """Agenda processing: the candidate of the best rank, leftmost first, is merged, or skipped for good by its hash."""
+        if not 0 <= dropout <= 1:
+            raise ValueError("Codec: dropout must be from 0 to 1")
+        self.model, self.dropout, self.seed, self.variants = model, dropout, seed, variants
+        self.per_step = 1 / log(1 - dropout) if 0 < dropout < 1 else 0.0  # at 1 every step is a skip
+        self.single = frozenset(x for x in self.ids if len(x) == 1)
+        self.plain: dict[str, bytes] = {}
+        self.cache: list[dict[str, bytes]] = [{} for _ in range(variants)]
+
+    def _keys(self, units: Sequence[str], variants: Sequence[int]) -> np.ndarray:
+        """Where the hash sequence of each unit and variant starts."""
+        crc = np.fromiter((zlib.crc32(u.encode()) for u in units), np.uint64, len(units))
+        return crc * np.uint64(0x9E3779B1) + np.uint64(self.seed * 0x85EBCA6B & _M64) + np.array(variants, np.uint64) * np.uint64(0xC2B2AE35)
+
+    def _gaps(self, x: np.ndarray) -> np.ndarray:
+        """Steps of an agenda up to the next skipped one, drawn from a hash: each step is a skip with chance `dropout`."""
+        y = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        y = (y ^ y >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+        u = ((y ^ y >> np.uint64(31)).astype(float) + 1) * _UNIT_64
+        return np.minimum(np.log(u) * self.per_step, _NONE).astype(np.int64) if self.dropout else np.full(len(x), _NONE)
+
+    def _later(self, key: int, first: int) -> Iterator[int]:
+        """Skipped steps after the first one: the same draws, one at a time."""
+        while first < _NONE:
+            key = (key + 0x9E3779B97F4A7C15) & _M64
+            y = ((key ^ key >> 30) * 0xBF58476D1CE4E5B9) & _M64
+            y = ((y ^ y >> 27) * 0x94D049BB133111EB) & _M64
+            first += 1 + int(log(((y ^ y >> 31) + 1) * _UNIT_64) * self.per_step)
+            yield first
+
+    def _merge(self, unit: str, skip: int, skips: Iterator[int]) -> list[str]:
+        """Agenda processing: at each step the candidate of the best rank, leftmost first, is merged, or skipped for good."""
         rank, symbols = self.rank.get, list(unit)
         if len(symbols) > _LONG:
-            return self._merge_long(symbols, key)
-        starts = list(range(len(symbols)))
-        agenda = [rank(a + b, _NONE) for a, b in zip(symbols, symbols[1:])]
+            return self._merge_long(symbols, skip, skips)
+        none = _NONE
+        agenda = [rank(x, none) for x in map(add, symbols, symbols[1:])]
+        step = 0
         while agenda:
             best = min(agenda)
-            if best == _NONE:
+            if best == none:
                 break
             i = agenda.index(best)
-            if self.bar and self._skipped(key, starts[i], best):
-                agenda[i] = _NONE
-                continue
-            symbols[i] += symbols.pop(i + 1)
-            del starts[i + 1], agenda[i]
-            if i:
-                agenda[i - 1] = rank(symbols[i - 1] + symbols[i], _NONE)
-            if i < len(agenda):
-                agenda[i] = rank(symbols[i] + symbols[i + 1], _NONE)
+            if step == skip:
+                agenda[i] = none
+                skip = next(skips)
+            else:
+                joined = symbols[i] + symbols.pop(i + 1)
+                symbols[i] = joined
+                del agenda[i]
+                if i:
+                    agenda[i - 1] = rank(symbols[i - 1] + joined, none)
+                if i < len(agenda):
+                    agenda[i] = rank(joined + symbols[i + 1], none)
+            step += 1
         return symbols
 
-    def _merge_long(self, symbols: list[str], key: int) -> list[str]:
+    def _merge_long(self, symbols: list[str], skip: int, skips: Iterator[int]) -> list[str]:
         rank, n = self.rank.get, len(symbols)
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))
         heap = [(r, i, symbols[i], symbols[i + 1]) for i in range(n - 1) if (r := rank(symbols[i] + symbols[i + 1], _NONE)) != _NONE]
         heapify(heap)
+        step = 0
         while heap:
             best, i, a, b = heappop(heap)
             j = right[i]
             if symbols[i] != a or j >= n or symbols[j] != b or not a:
                 continue
-            if self.bar and self._skipped(key, i, best):
+            step += 1
+            if step - 1 == skip:
+                skip = next(skips)
                 continue
             symbols[i], symbols[j] = a + b, ""
             right[i] = right[j]
@@ -113,38 +145,80 @@ class Codec:
                 heappush(heap, (r, left[i], symbols[left[i]], symbols[i]))
         return [s for s in symbols if s]
 
-    def _unit(self, unit: str, variant: int) -> bytes:
-        """Ids of a unit as 16-bit numbers. Characters without a piece, and the blank's own sign, become bytes."""
-        key = (zlib.crc32(unit.encode()) * 0x9E3779B1 + self.seed * 0x85EBCA6B + variant * 0xC2B2AE35) & _M64
+    def _coded(self, symbols: list[str]) -> bytes:
+        """Ids as 16-bit numbers. Characters without a piece, and the blank's own sign, become bytes."""
         ids: list[int] = []
-        for s in self._merge(unit, key):
+        for s in symbols:
             i = self.ids.get(s)
             if i is None:
                 ids += [self.byte_id[b] for b in s.encode()]
             else:
                 ids.append(i)
-        return np.array(ids, np.uint16).tobytes()
+        return array("H", ids).tobytes()
+
+    def _units(self, pairs: list[tuple[str, int]]) -> list[bytes]:
+        """Ids of each unit and variant. If no step of its agenda is a skip, these are the library's own, which is asked
+        unless a skip comes early."""
+        plains, single, out = self.plain, self.single, []
+        units, variants = zip(*pairs)
+        keys = self._keys(units, variants)
+        firsts = self._gaps(keys).tolist()
+        self._learn({u for u, first in zip(units, firsts) if 3 * first >= len(u)})
+        for unit, key, first in zip(units, keys.tolist(), firsts):
+            n = len(unit)
+            if 3 * first >= n and _SPACE not in unit:
+                plain = plains[unit]
+                if first >= n - 1 or first >= n - len(plain) // 2 and single.issuperset(unit):
+                    out.append(plain)
+                    continue
+            out.append(self._coded(self._merge(unit, first, self._later(key, first))))
+        return out
+
+    def _learn(self, units: set[str]) -> None:
+        """Has the library cut new units as they are without dropout. A newline before a unit keeps the dummy prefix off it."""
+        new = [u for u in units if u not in self.plain]
+        for u, ids in zip(new, self.model.encode(["\n" + u for u in new], num_threads=1)):
+            self.plain[u] = array("H", ids[2:]).tobytes()
+
+    def encode_all(self, texts: list[str | None], keys: list[int]) -> list[np.ndarray]:
+        """Ids of whole texts; keys: what tells documents apart. Null and empty texts have none."""
+        out, at = [], 0
+        while at < len(texts):  # new units are learned for some texts at once
+            start, size = at, 0
+            while at < len(texts) and size < _LEARNED:
+                size, at = size + len(texts[at] or ""), at + 1
+            out += self._encode_some(texts[start:at], keys[start:at])
+        return out
+
+    def _encode_some(self, texts: list[str | None], keys: list[int]) -> list[np.ndarray]:
+        if len(self.plain) > CACHED:
+            self.plain.clear()
+            for c in self.cache:
+                c.clear()
+        caches, cases, lacking = self.cache, [], set()
+        for text, key in zip(texts, keys):
+            units = _UNITS.findall(" " + text) if text else []
+            if self.dropout and self.variants > 1:
+                place = np.arange(len(units), dtype=np.uint64) + np.uint64((key * 0x9E3779B97F4A7C15 + self.seed) & _M64)
+                place = (place ^ place >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+                variant = ((place >> np.uint64(40)) % np.uint64(self.variants)).tolist()
+            else:
+                variant = [0] * len(units)
+            parts = [caches[v].get(u) for u, v in zip(units, variant)]
+            gaps = [(i, u, v) for i, (u, v, x) in enumerate(zip(units, variant, parts)) if x is None] if None in parts else ()
+            lacking.update([g[1:] for g in gaps])
+            cases.append((parts, gaps))
+        if lacking:
+            pairs = list(lacking)
+            for (unit, v), ids in zip(pairs, self._units(pairs)):
+                caches[v][unit] = ids
+        for parts, gaps in cases:
+            for i, unit, v in gaps:
+                parts[i] = caches[v][unit]
+        return [np.frombuffer(b"".join(parts), np.uint16) for parts, _ in cases]
 
     def encode(self, text: str | None, key: int = 0) -> np.ndarray:
-        """Ids of the whole text; key: what tells documents apart. Null and empty texts have none."""
-        if not text:
-            return np.zeros(0, np.uint16)
-        if len(self.cache) > CACHED:
-            self.cache.clear()
-        units = _UNITS.findall(" " + text)
-        if self.bar and self.variants > 1:
-            place = np.arange(len(units), dtype=np.uint64) + np.uint64((key * 0x9E3779B97F4A7C15 + self.seed) & _M64)
-            place = (place ^ place >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
-            variant = ((place >> np.uint64(40)) % np.uint64(self.variants)).tolist()
-        else:
-            variant = [0] * len(units)
-        cache, parts = self.cache, []
-        for pair in zip(units, variant):
-            ids = cache.get(pair)
-            if ids is None:
-                ids = cache[pair] = self._unit(*pair)
-            parts.append(ids)
-        return np.frombuffer(b"".join(parts), np.uint16)
+        return self.encode_all([text], [key])[0]
 
     def decode(self, ids: list[int]) -> bytes:
         """The text of ids; the dummy prefix goes."""
@@ -185,13 +259,13 @@ def encoded(docs: DataFrame, model: str | None = None, dropout: float = DROPOUT,
             doc_ids, texts = column(batch, "doc_id"), column(batch, "text")
             at = 0
             while at < len(texts):  # blocks of whole texts bound the memory
-                own, rows, size = [], [], 0
+                start, size = at, 0
                 while at < len(texts) and size < 4_000_000:
-                    ids = codec.encode(texts[at], doc_ids[at] or 0)
-                    own.append(ids)
+                    size, at = size + len(texts[at] or ""), at + 1
+                own, rows = codec.encode_all(texts[start:at], [x or 0 for x in doc_ids[start:at]]), []
+                for doc_id, text, ids in zip(doc_ids[start:at], texts[start:at], own):
                     back = codec.decode(ids.tolist()) if len(ids) else b""
-                    rows.append((doc_ids[at], len(ids), int(is_byte[ids].sum()), back == (texts[at] or "").encode()))
-                    size, at = size + len(ids), at + 1
+                    rows.append((doc_id, len(ids), int(is_byte[ids].sum()), back == (text or "").encode()))
                 flat = np.concatenate(own).astype(np.int32)
                 offsets = np.cumsum([0, *map(len, own)]).astype(np.int32)
                 doc, n, fallback, same = zip(*rows)
