@@ -51,6 +51,12 @@ def encoded_motifs(occ: DataFrame, motif: str = "motif") -> DataFrame:
     return occ.select(motif).distinct().withColumn("code", (F.dense_rank().over(Window.orderBy(motif)) - 1).cast("int"))
 
 
+def coded(occ: DataFrame, codes: DataFrame, motif: str = "motif") -> DataFrame:
+    """Adds code by motif (motif, code); -1 for motifs without one."""
+    known = codes.select(F.col("motif").alias("_m"), F.col("code").alias("_c"))
+    return occ.join(known, F.col(motif) == F.col("_m"), "left").withColumn("code", F.coalesce("_c", F.lit(-1))).drop("_m", "_c")
+
+
 def within_regions(hits: DataFrame, regions: DataFrame, bucket: int = 1 << 20) -> DataFrame:
     """Containment as-of join: the region of the greatest start at or before a hit's start, if its stop reaches the hit's stop.
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colinear.functions import regions as rg
-from colinear.functions.scores import evalue_similarity, replicate_mean, sub_sequence
+from colinear.functions.scores import adjusted, evalue_similarity, replicate_mean, sub_sequence
 from colinear.operators import chains, clustering, genes, intervals, occurrences, sampling, search, weights
 from colinear.operators import statistics as st
 from colinear.views import sql, view
@@ -156,6 +156,12 @@ def q_motif_codes(spark, d):
     return occurrences.encoded_motifs(view(spark, d, "fimo"))
 
 
+@query("WITH c AS (SELECT motif, dense_rank() OVER (ORDER BY motif) - 1 AS code FROM (SELECT DISTINCT motif FROM fimo WHERE chrom = 'Chr1' AND start_pos % 2 = 0)) SELECT chrom, start_pos, cast(coalesce(code, -1) AS int) AS code FROM fimo LEFT JOIN c USING (motif)")
+def q_coded_motifs(spark, d):
+    occ = view(spark, d, "fimo")
+    return occurrences.coded(occ, occurrences.encoded_motifs(occ.where("chrom = 'Chr1' and start_pos % 2 = 0"))).select("chrom", "start_pos", "code")
+
+
 @query("SELECT 'C' || cast(l AS varchar) AS motif, chrom, count(*) AS n FROM (SELECT chrom, length(motif) AS l FROM fimo) GROUP BY 1, 2")
 def q_relabelled(spark, d):
     occ = view(spark, d, "fimo")
@@ -492,6 +498,21 @@ def q_blend(spark, d):
     return st.align_chain_blend(view(spark, d, "align_scores"), view(spark, d, "pair_lengths").withColumnRenamed("score", "chain"), 0.25).select("r1", "r2", *_r("value"))
 
 
+@query("SELECT least(0.0, min(align_score)) AS low FROM hits")
+def q_lowest_score(spark, d):
+    return st.lowest_score(view(spark, d, "hits"), "align_score")
+
+
+@query(f'WITH {RANKED}, v AS (SELECT "group", region, score FROM ranked WHERE k = 3) SELECT "group", region, round((score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()), 6) AS value FROM v')
+def q_normalised(spark, d):
+    return st.normalised(st.nth_highest(_roles(spark, d), 3)).select("group", "region", *_r("value"))
+
+
+@query("SELECT r1, r2, round(score + 2.5, 6) AS score FROM pair_lengths")
+def q_adjusted(spark, d):
+    return view(spark, d, "pair_lengths").select("r1", "r2", F.round(adjusted(F.col("score"), 2.5), 6).alias("score"))
+
+
 @query("SELECT min(score) AS low, max(score) AS high FROM pair_lengths")
 def q_score_range(spark, d):
     return st.score_range(view(spark, d, "pair_lengths"))
