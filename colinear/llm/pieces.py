@@ -22,7 +22,7 @@ from colinear.session import table
 DROPOUT, SEED = 0.1, 7
 #: An occurrence of a unit is cut in one of this many ways, picked by the keyed hash of document and place.
 VARIANTS = 3
-CACHED = 800_000
+CACHED = 250_000
 _LONG = 64
 _LEARNED = 300_000
 _NONE = 1 << 30
@@ -225,18 +225,6 @@ class Codec:
         return b"".join(map(self.surface.__getitem__, ids))[1:]
 
 
-_CODECS: dict[tuple, Codec] = {}
-
-
-def _codec(proto: bytes, *settings) -> Codec:
-    """One codec per worker process, so that its cache outlives a task."""
-    key = (zlib.crc32(proto), len(proto), *settings)
-    if key not in _CODECS:
-        _CODECS.clear()
-        _CODECS[key] = Codec(proto, *settings)
-    return _CODECS[key]
-
-
 def _proto(df: DataFrame, model: str | None):
     with open(model or default_model(), "rb") as f:
         return df.sparkSession.sparkContext.broadcast(f.read())  # the model file, whatever the corpus
@@ -252,7 +240,7 @@ def encoded(docs: DataFrame, model: str | None = None, dropout: float = DROPOUT,
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("n_tokens", pa.int64()), ("n_fallback", pa.int64()), ("lossless", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(shared.value, dropout, seed, variants)
+        codec = Codec(shared.value, dropout, seed, variants)  # one a task: what it learned goes with it
         is_byte = np.zeros(1 << 16, bool)
         is_byte[codec.byte_id] = True
         for batch in batches:
@@ -279,7 +267,7 @@ def decoded(df: DataFrame, model: str | None = None) -> DataFrame:
     shared = _proto(df, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(shared.value, 0.0, 0, 1)
+        codec = Codec(shared.value, 0.0, 0, 1)
         for batch in batches:
             texts = [codec.decode(x or []).decode() for x in column(batch, "ids")]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
