@@ -19,9 +19,10 @@ SAMPLE = 20_000
 BUCKETS = 1 << 18
 #: A document is kept if the probability of the top grade reaches this.
 KEEP = 0.5
-ROUNDS, RATE, DECAY = 200, 0.1, 1e-3
-#: Buckets enter the fit if they are in LEAST_DOCS rated documents and some grade's share among those is SCREEN standard errors off.
-LEAST_DOCS, SCREEN = 3, 4.0
+ROUNDS, RATE, DECAY = 500, 0.1, 1e-3
+#: Buckets enter the fit if they are in LEAST_DOCS rated documents and some grade's share among those is off by SCREEN
+#: standard errors of a full sample, that is, by an effect of the same size in a smaller one, CHANCE standard errors at least.
+LEAST_DOCS, SCREEN, CHANCE = 3, 15.0, 4.0
 _UPPER, _DIGITS = bytes(range(65, 91)), bytes(range(48, 58))
 _MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in ".,;:'\"()-?")
 _CACHE = 500_000
@@ -85,7 +86,7 @@ def fit(rows: list[tuple[int, np.ndarray]], grades: int) -> Model:
         p = min(max((y == k).mean(), 1e-6), 1 - 1e-6)
         seen = np.bincount(col, (y == k)[row].astype(float), BUCKETS)
         off = np.maximum(off, np.abs(seen - n_docs * p) / np.sqrt(np.maximum(1e-9, n_docs * p * (1 - p))))
-    told = ((n_docs >= min(LEAST_DOCS, len(rows))) & (off >= SCREEN))[col]
+    told = ((n_docs >= min(LEAST_DOCS, len(rows))) & (off >= max(CHANCE, SCREEN * (len(rows) / SAMPLE) ** 0.5)))[col]
     col, row = col[told], row[told]
     used, at = np.unique(col, return_inverse=True)
     w = np.zeros(len(used))
@@ -132,9 +133,9 @@ def sample_features(labelled: DataFrame, limit: int = SAMPLE) -> list[tuple[int,
 
 
 def graded(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> DataFrame:
-    """Ratings from 0: low quality, 1: good but toxic, 2: good. Rows without a doc_id, quality or text are left out;
+    """Ratings from 0: toxic, 1: poor, 2: good. (Toxic is the lowest grade, so that many toxic words can't pass for a middle one.) Rows without a doc_id, quality or text are left out;
     of labels that disagree the lowest counts. Up to about `limit` documents: those in a cut of the hash range."""
-    grade = F.when(F.col("quality") <= 0, 0).when(F.coalesce("toxic", F.lit(0)) > 0, 1).otherwise(2)
+    grade = F.when(F.coalesce("toxic", F.lit(0)) > 0, 0).when(F.col("quality") <= 0, 1).otherwise(2)
     rated = labels.where("quality is not null and doc_id is not null").select(F.col("doc_id").alias("_rated"), grade.alias("grade")).groupBy("_rated").agg(F.min("grade").alias("grade"))
     n = rated.count()
     cut = -(2.0**63) + 2.0**64 * min(1.0, limit / max(1, n))
