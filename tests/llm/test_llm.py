@@ -373,8 +373,10 @@ def test_elias_fano(values, universe):
     assert there.tolist() == [int(x) in set(values) for x in q.tolist()]
 
 
-def test_lm(spark, edge, monkeypatch):
+@pytest.mark.parametrize("packed", [3_000_000_000, 0])
+def test_lm(spark, edge, monkeypatch, packed):
     monkeypatch.setattr(ngram_lm, "SHARD", 40)
+    monkeypatch.setattr(ngram_lm, "_PACKED", packed)
     r = random.Random(12)
     rows = [(i, text(r, r.randrange(0, 60))) for i in range(120)] + [(200, None), (5, "x"), (None, "the fox")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
