@@ -91,10 +91,28 @@ class Sequence:
         place = word * 64 + self._in_word(self.high[word] ^ _FULL, k - zeros[word])
         return np.where(bucket == 0, 0, place - (k - 1))
 
+    def _bucket(self, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first index, end) of the values with these high bits: between the bucket-th zero and the next one."""
+        if self._zeros is None:
+            self._zeros = np.arange(len(self.ones), dtype=np.int64) * 64 - self.ones.astype(np.int64)
+        k = np.maximum(bucket, 1)
+        word = np.searchsorted(self._zeros, k, "left") - 1
+        off = self._in_word(self.high[word] ^ _FULL, k - self._zeros[word]) + 1
+        some = bucket > 0
+        word, off = np.where(some, word, 0), np.where(some, off, 0)
+        lo = word * 64 + off - bucket
+        # the next zero is in the same word more often than not
+        rest = np.where(off < 64, (self.high[word] ^ _FULL) >> np.minimum(off, 63).astype(np.uint64), 0).astype(np.uint64)
+        run = np.bitwise_count((rest & (~rest + _ONE)) - _ONE).astype(np.int64)
+        end = lo + run
+        far = np.flatnonzero(rest == 0)
+        if len(far):
+            end[far] = self._before(bucket[far] + 1)
+        return lo, end
+
     def _reach(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(index of the first value at x or above among those of the same high bits, or of the next bucket; that bucket's end)."""
-        bucket = np.minimum((x >> np.uint64(self.width)).astype(np.int64), self.last >> self.width)
-        lo, end = self._before(bucket), self._before(bucket + 1)
+        lo, end = self._bucket(np.minimum((x >> np.uint64(self.width)).astype(np.int64), self.last >> self.width))
         want, hi = x & self.mask, end.copy()
         at = np.flatnonzero(lo < hi)
         while len(at):  # binary search among the low bits of the bucket

@@ -32,8 +32,8 @@ END = b"\n"  # no word holds it
 _CHUNK = 400_000
 #: Below this many words a pair of ids fits a 64-bit number.
 _PACKED = 3_000_000_000
-#: Words that a task keeps at hand.
-_KNOWN = 1_000_000
+#: Words that a task keeps at hand, and pairs that it sums up at once.
+_KNOWN, _SUMMED = 600_000, 1_500_000
 
 
 def _digest(word: bytes) -> int:
@@ -198,6 +198,16 @@ class Words(dict):
         return ids, self.counts[flat], context
 
 
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys (numbers, or rows of two) in order and the sums of their counts."""
+    if not len(keys):
+        return keys, counts
+    order = np.argsort(keys) if keys.ndim == 1 else np.lexsort((keys[:, 1], keys[:, 0]))
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1] if keys.ndim == 1 else (keys[1:] != keys[:-1]).any(1)]))
+    return keys[first], np.add.reduceat(counts[order], first)
+
+
 def count_words(docs: DataFrame) -> DataFrame:
     """(h, c): tokens by hash; each task counts what it has read before the shuffle."""
 
@@ -258,12 +268,23 @@ def train(docs: DataFrame) -> Trie:
     forget(counts)
     words = Trie(Level(name, where, ()), None, bits, tuple(first), int(n), int(v))
 
-    packed = words.v < _PACKED
+    packed, parts = words.v < _PACKED, int(n // SHARD) + 1
+
+    def dealt(contexts: list[np.ndarray], followers: list[np.ndarray]) -> pa.RecordBatch:
+        """The pairs' counts as a block of numbers for each part that has some."""
+        a, b = np.concatenate(contexts), np.concatenate(followers)
+        keys, times = _summed(a * words.v + b if packed else np.stack([a, b], 1), np.ones(len(a), np.int64))
+        mixed = (keys if packed else keys[:, 0] * 31 + keys[:, 1]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        part = ((mixed >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.uint16 if parts < 1 << 16 else np.uint32)
+        order = np.argsort(part, kind="stable")
+        blocks = [x for x in np.split(order, np.flatnonzero(np.diff(part[order])) + 1) if len(x)]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([int(part[x[0]]) for x in blocks], pa.int32()), pa.array([keys[x].tobytes() for x in blocks], pa.binary()), pa.array([times[x].tobytes() for x in blocks], pa.binary())], ["part", "keys", "times"]
+        )
 
     def pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Words(Reader(words))
+        known, contexts, followers, size = Words(Reader(words)), [], [], 0
         for batch in batches:
-            contexts, followers = [], []
             for _, tokens in _chunks(column(batch, "text")):
                 ids, c, context = known.look_up(tokens)
                 frequent = c >= LEAST_PAIR  # a pair is no more frequent than its words
@@ -271,26 +292,28 @@ def train(docs: DataFrame) -> Trie:
                 before[np.cumsum([0, *map(len, tokens[:-1])])] = True
                 contexts.append(context[on := np.flatnonzero(frequent & before)])
                 followers.append(ids[on])
-            a, b = np.concatenate(contexts or [np.zeros(0, np.int64)]), np.concatenate(followers or [np.zeros(0, np.int64)])
-            if packed:
-                pair, times = np.unique(a * words.v + b, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(times.astype(np.int64))], ["pair", "c"])
-            else:
-                (a, b), times = np.unique(np.stack([a, b]), axis=1, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(times.astype(np.int64))], ["context", "word", "c"])
-
-    keys = ["pair"] if packed else ["context", "word"]
-    pairs = _wanted(docs).mapInArrow(pairs_of, ", ".join(f"{k} long" for k in [*keys, "c"])).groupBy(*keys).agg(F.sum("c").alias("c")).where(F.col("c") >= LEAST_PAIR)
-    starts = np.array(first, np.int64)
+                size += len(on)
+                if size >= _SUMMED:
+                    yield dealt(contexts, followers)
+                    contexts, followers, size = [], [], 0
+        if size:
+            yield dealt(contexts, followers)
 
-    def shard_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, *b = (x.to_numpy() for x in batch.columns[:-1])
-            a, b = (a // words.v, a % words.v) if packed else (a, b[0])
-            s = np.searchsorted(starts, a, "right") - 1
-            yield pa.RecordBatch.from_arrays([pa.array(s.astype(np.int32)), pa.array(a), pa.array(b), batch.column(batch.num_columns - 1)], ["shard", "context", "word", "c"])
+    starts = np.array(first, np.int64)
 
-    pairs = stored(pairs.mapInArrow(shard_of, "shard int, context long, word long, c long"))
+    def merged(group: pa.Table) -> pa.Table:
+        """Pairs of one part of all tasks, summed up."""
+        joined = [np.frombuffer(b"".join(group.column(x).to_pylist()), np.int64) for x in ("keys", "times")]
+        keys, c = _summed(joined[0] if packed else joined[0].reshape(-1, 2), joined[1])
+        keys, c = keys[c >= LEAST_PAIR], c[c >= LEAST_PAIR]
+        a, b = (keys // words.v, keys % words.v) if packed else (keys[:, 0], keys[:, 1])
+        shard = (np.searchsorted(starts, a, "right") - 1).astype(np.int32)
+        return pa.table({"shard": shard, "context": a, "word": b, "c": c})
+
+    # A task's pairs leave it as a block of numbers for each part, of which there are as many as the corpus needs for parts of
+    # SHARD tokens: a part is a bounded piece, whatever the corpus.
+    found = _wanted(docs).mapInArrow(pairs_of, "part int, keys binary, times binary")
+    pairs = stored(found.groupBy("part").applyInArrow(merged, "shard int, context long, word long, c long"))
     held = {r.shard: r.n for r in pairs.groupBy("shard").agg(F.count("*").alias("n")).toLocalIterator()}
     # a shard's pairs are cut by the word's id, so that a very frequent context is in all of its blocks
     blocks = tuple(max(1, -(-held.get(s, 0) // SHARD)) for s in range(1 << bits))
