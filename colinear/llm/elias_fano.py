@@ -8,6 +8,7 @@ import numpy as np
 
 _ONE = np.uint64(1)
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
+_PACKED = 1 << 14  # values whose bits are laid out at once
 
 
 def pack(arrays: dict[str, np.ndarray]) -> bytes:
@@ -36,8 +37,9 @@ def encode(values: np.ndarray, universe: int, name: str) -> dict[str, np.ndarray
     n = len(values)
     low = max(0, min(57, (max(1, universe) // max(1, n)).bit_length() - 1))
     v = values.astype(np.uint64)
-    bits = ((v[:, None] >> np.arange(low, dtype=np.uint64)) & _ONE).astype(np.uint8) if low else np.zeros((n, 0), np.uint8)
-    lows = np.concatenate([np.packbits(bits.ravel(), bitorder="little"), np.zeros(16, np.uint8)])
+    place = np.arange(low, dtype=np.uint64)
+    packed = [np.packbits(((v[a : a + _PACKED, None] >> place) & _ONE).astype(np.uint8).ravel(), bitorder="little") for a in range(0, n if low else 0, _PACKED)]
+    lows = np.concatenate([*packed, np.zeros(16, np.uint8)])
     high = (v >> np.uint64(low)).astype(np.int64)
     size = n + (max(0, universe - 1) >> low) + 1
     unary = np.zeros(size + -size % 64, np.uint8)

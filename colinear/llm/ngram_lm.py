@@ -333,10 +333,10 @@ def train(docs: DataFrame) -> Trie:
         context, word, c = (group.column(x).to_numpy() for x in ("context", "word", "c"))
         order = np.lexsort((word, context))
         context, word, c = context[order], word[order], c[order]
-        distinct, back = np.unique(context, return_inverse=True)
-        share = (c - DISCOUNT) / reader.by_id(distinct)[back]
-        mass = {r: m for r, m in zip(group.column("context").to_pylist(), group.column("mass").to_pylist())}
-        weight = 1 - np.array([mass[x] for x in distinct.tolist()])[back] / reader.by_id(distinct)[back]
+        distinct, at_first, back = np.unique(context, return_index=True, return_inverse=True)
+        times = reader.by_id(distinct)
+        share = (c - DISCOUNT) / times[back]
+        weight = (1 - group.column("mass").to_numpy()[order][at_first] / times)[back]
         known, at = np.unique(word, return_inverse=True)
         p = share + np.maximum(weight, 1e-9) * 10 ** reader.log_unigram(reader.by_id(known))[at]
         local = context - first[s]
