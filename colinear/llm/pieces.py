@@ -22,7 +22,7 @@ from colinear.session import table
 DROPOUT, SEED = 0.1, 7
 #: An occurrence of a unit is cut in one of this many ways, picked by the keyed hash of document and place.
 VARIANTS = 3
-CACHED = 250_000
+CACHED = 600_000
 _LONG = 64
 _LEARNED = 300_000
 _NONE = 1 << 30
