@@ -1,4 +1,4 @@
-"""Main text of web pages: marked-up chrome goes, and open lines shared with the page of the nearest URL."""
+"""Main text of web pages: marked-up chrome goes, and lines shared with the page of the nearest URL."""
 
 from __future__ import annotations
 
@@ -34,6 +34,9 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 LINKS = 0.6
 #: Pages whose lines differ in less than this share of their characters are copies: differencing leaves them alone.
 COPY = 0.1
+#: Pages that mark an article are versions of each other from this shared share of its characters on, as the article's
+#: own lines are more likely text than an open page's.
+VERSION = 0.5
 #: Up to this many pages with lines to delete are sent to every task; beyond, they are joined.
 SENT = 200_000
 
@@ -169,71 +172,104 @@ def common_lines(a: list[int], b: list[int]) -> list[int]:
     return [*range(lo), *reversed(middle), *range(n - tail, n)]
 
 
-def shared_lines(own: tuple[list[int], list[int]], other: tuple[list[int], list[int]]) -> list[int]:
-    """Indices of own lines (hashes, lengths) to delete; none if the pages are copies of each other."""
-    gone = common_lines(own[0], other[0])
-    rest = sum(own[1]) - sum(own[1][i] for i in gone)
-    return [] if rest < COPY * max(1, sum(own[1])) else gone
+def shared_lines(own: tuple[list[int], list[int], list[int]], other: tuple[list[int], list[int], list[int]]) -> tuple[bool, list[int]]:
+    """(copy, indices of own lines of main text that the other page shares); a page is its lines' hashes, lengths and kinds.
+
+    All lines are aligned, those in chrome too, which are never main text themselves. Of a copy nothing is shared.
+    """
+    main = 2 if 2 in own[2] else 1
+    gone = [i for i in common_lines(own[0], other[0]) if own[2][i] == main]
+    total = sum(n for n, kind in zip(own[1], own[2]) if kind == main)
+    rest = total - sum(own[1][i] for i in gone)
+    if rest < COPY * max(1, total) or main == 2 and rest <= (1 - VERSION) * total:
+        return True, []
+    return False, gone
 
 
 def _keyed(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html", F.xxhash64(F.col("page_id").cast("long"), F.col("url"), F.col("html")).alias("row_key"))
 
 
-def differences(pages: DataFrame) -> DataFrame:
-    """(row_key, gone): indices of a page's open lines shared with the page of the nearest URL path on its host.
+def compared_pages(pages: DataFrame) -> DataFrame:
+    """(row_key, near, turn, gone): a page against the nearest pages before and after it on its host that aren't its copies.
 
-    The pages are sorted by host and path over all partitions, so a host with a third of all pages is no one task's;
-    a page's neighbours are the rows before and after it, found by position. Of these two the one with the longer
-    common start of the path is the nearest. Pages without a url, or alone on their host, have no neighbour.
+    The pages are sorted by host and path over all partitions, so a host with a third of all pages is no one task's. Rows
+    that are copies of the row before them form a run; a page meets the row before its run and the row after it. gone: the
+    lines of main text shared with that page, near: how long the common start of the paths is, turn: 1 for the page after.
+    Pages without a url, or alone on their host but for copies, have no row.
     """
-    outline = pa.schema([("row_key", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("hashes", pa.binary()), ("sizes", pa.binary())])
+    outline = pa.schema([("row_key", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("hashes", pa.binary()), ("sizes", pa.binary()), ("kinds", pa.binary())])
 
     def lines_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for key, url, html in zip(column(batch, "row_key"), column(batch, "url"), column(batch, "html")):
                 m = re.match(r"[a-zA-Z][\w+.-]*://(?:[^/?#]*@)?([^/?#]*)([^#]*)", url or "")
-                lines, differ = candidates(html)
-                if m and differ and lines:
-                    rows.append({"row_key": key, "host": m[1].lower(), "path": m[2] or "/", "hashes": np.array([xxhash.xxh64_intdigest(x) for x in lines], np.uint64).tobytes(), "sizes": np.array([len(x) for x in lines], np.int32).tobytes()})
+                found = blocks(html or "") if m else []
+                if any(kind for _, kind in found):
+                    rows.append({"row_key": key, "host": m[1].lower(), "path": m[2] or "/", "hashes": np.array([xxhash.xxh64_intdigest(x) for x, _ in found], np.uint64).tobytes(), "sizes": np.array([len(x) for x, _ in found], np.int32).tobytes(), "kinds": bytes(kind for _, kind in found)})
             yield pa.RecordBatch.from_pylist(rows, schema=outline)
 
-    ddl = "row_key long, host string, path string, hashes binary, sizes binary"
+    ddl = "row_key long, host string, path string, hashes binary, sizes binary, kinds binary"
     found = stored(_keyed(pages).select("row_key", "url", "html").mapInArrow(lines_of, ddl).dropDuplicates(["row_key"]))
     placed = stored(found.repartitionByRange("host", "path", "row_key").sortWithinPartitions("host", "path", "row_key").withColumn("at", F.monotonically_increasing_id()))
-    ends = placed.groupBy(F.shiftright("at", 33).alias("part")).agg(F.min("at").alias("lo"), F.max("at").alias("hi"))  # a row a partition
+    part = F.shiftrightunsigned("at", 33).alias("part")
+    ends = placed.groupBy(part).agg(F.min("at").alias("lo"), F.max("at").alias("hi"))  # a row a partition
     steps = ends.select("hi", F.lead("lo").over(Window.orderBy("part")).alias("next"))
-    after = placed.join(steps, placed["at"] == steps["hi"], "left").select("row_key", "host", "path", "hashes", "sizes", "at", F.coalesce("next", F.col("at") + 1).alias("next"))
-    side = lambda p: after.select(*[F.col(c).alias(f"{p}_{c}") for c in after.columns])
-    own = ("path", "hashes", "sizes")
-    pairs = side("a").join(side("b"), F.expr("a_next = b_at AND a_host = b_host"))
-    both = pairs.select(F.col("a_row_key").alias("row_key"), *[F.col(f"a_{c}").alias(c) for c in own], *[F.col(f"b_{c}").alias(f"o_{c}") for c in own], F.lit(1).alias("turn")).union(
-        pairs.select(F.col("b_row_key").alias("row_key"), *[F.col(f"b_{c}").alias(c) for c in own], *[F.col(f"a_{c}").alias(f"o_{c}") for c in own], F.lit(0).alias("turn"))
-    )
+    after = placed.join(steps, placed["at"] == steps["hi"], "left").select("row_key", "host", "path", "hashes", "sizes", "kinds", "at", F.coalesce("next", F.col("at") + 1).alias("next"))
+    own = ("path", "hashes", "sizes", "kinds")
+    side = lambda p: after.select(*[F.col(c).alias(f"{p}{c}") for c in after.columns])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read = lambda h, s: (np.frombuffer(h, np.uint64).tolist(), np.frombuffer(s, np.int32).tolist())
+        read = lambda r, p: (np.frombuffer(r[p + "hashes"], np.uint64).tolist(), np.frombuffer(r[p + "sizes"], np.int32).tolist(), list(r[p + "kinds"]))
         for batch in batches:
-            rows = [{"row_key": r["row_key"], "near": len(commonprefix([r["path"], r["o_path"]])), "turn": r["turn"], "gone": shared_lines(read(r["hashes"], r["sizes"]), read(r["o_hashes"], r["o_sizes"]))} for r in batch.to_pylist()]
-            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("row_key", pa.int64()), ("near", pa.int32()), ("turn", pa.int32()), ("gone", pa.list_(pa.int32()))]))
+            rows = []
+            for r in batch.to_pylist():
+                copy, gone = shared_lines(read(r, ""), read(r, "o_"))
+                rows.append({"row_key": r["row_key"], "at": r["at"], "near": len(commonprefix([r["path"], r["o_path"]])), "turn": r["turn"], "copy": copy, "gone": gone})
+            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("row_key", pa.int64()), ("at", pa.int64()), ("near", pa.int32()), ("turn", pa.int32()), ("copy", pa.bool_()), ("gone", pa.list_(pa.int32()))]))
+
+    def met(pairs: DataFrame, turn: int) -> DataFrame:
+        wanted = pairs.select("row_key", "at", *own, *[F.col(f"o_{c}") for c in own], F.lit(turn).alias("turn"))
+        return wanted.mapInArrow(compare, "row_key long, at long, near int, turn int, copy boolean, gone array<int>")
+
+    before = met(side("").join(side("o_"), F.expr("at = o_next AND host = o_host")), 0).where("copy").select(F.col("at").alias("in_run"))
+    flagged = placed.select("at", part).join(before, F.col("at") == F.col("in_run"), "left").select("at", "part", F.when(F.col("in_run").isNull(), F.col("at")).alias("start"))
+    flagged = stored(flagged)
+    up, down = Window.unboundedPreceding, lambda x: F.col(x).desc()  # frames that follow a row take its square in time, so order is turned
+    outer = flagged.groupBy("part").agg(F.min("start").alias("first"), F.max("start").alias("last"))  # a row a partition
+    outer = outer.select("part", F.max("last").over(Window.orderBy("part").rowsBetween(up, -1)).alias("last"), F.min("first").over(Window.orderBy(down("part")).rowsBetween(up, -1)).alias("first"))
+    inner = Window.partitionBy("part")
+    runs = flagged.select("at", "part", F.max("start").over(inner.orderBy("at").rowsBetween(up, 0)).alias("start"), F.min("start").over(inner.orderBy(down("at")).rowsBetween(up, -1)).alias("stop"))
+    runs = runs.join(F.broadcast(outer), "part").select(F.col("at").alias("r_at"), F.coalesce("start", "last").alias("start"), F.coalesce("stop", "first").alias("stop"))
+    placed_runs = side("").join(runs, F.col("at") == F.col("r_at"))
+    found = met(placed_runs.join(side("o_"), F.expr("stop = o_at AND host = o_host")), 1).union(met(placed_runs.join(side("o_"), F.expr("start = o_next AND host = o_host")), 0))
+    return found.where("not copy").select("row_key", "near", "turn", "gone")
 
-    compared = both.mapInArrow(compare, "row_key long, near int, turn int, gone array<int>")
-    nearest = compared.groupBy("row_key").agg(F.max_by("gone", F.struct(F.col("near"), -F.col("turn"))).alias("gone"))
-    return nearest.where(F.size("gone") > 0)
+
+def differences(pages: DataFrame) -> DataFrame:
+    """(row_key, gone): indices of a page's blocks that leave its main text.
+
+    Open lines go if the page of the nearest URL path (compared_pages) shares them. Lines of a marked article are main text
+    by their mark: they go only if the pages before and after both share them, so that a passage two pages have stays.
+    """
+    compared = compared_pages(pages)
+    nearest = compared.groupBy("row_key").agg(F.max_by("gone", F.struct(F.col("near"), -F.col("turn"))).alias("gone"), F.collect_list("gone").alias("all"))
+    both = F.when(F.size("all") == 2, F.array_intersect(F.get("all", F.lit(0)), F.get("all", F.lit(1)))).otherwise(F.array().cast("array<int>"))
+    return nearest.select("row_key", "gone", both.alias("both")).where(F.size("gone") > 0)
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """pages -> (page_id, url, text, n_chars), a row for each row.
 
-    Lines inside <article> or <main> are the main text; where a page marks neither, its open lines are, without those that
-    the page of the nearest URL shares. Null and empty html give an empty text; a null url has no neighbour.
+    Lines inside <article> or <main> are the main text, where a page marks neither, its open lines; without those that
+    differencing takes away (differences). Null and empty html give an empty text; a null url has no neighbour.
     """
     gone = stored(differences(pages))
     n = gone.count()
     keyed = _keyed(pages)
     if n == 0:
-        keyed = keyed.withColumn("gone", F.lit(None).cast("array<int>"))
+        keyed = keyed.withColumns({c: F.lit(None).cast("array<int>") for c in ("gone", "both")})
     else:
         keyed = keyed.join(F.broadcast(gone) if n <= SENT else gone, "row_key", "left")
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
@@ -241,13 +277,14 @@ def main_text(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for html, drop in zip(column(batch, "html"), column(batch, "gone")):
-                lines, _ = candidates(html)
-                dropped = set(drop or ())
-                texts.append("\n\n".join(x for i, x in enumerate(lines) if i not in dropped))
+            for html, gone, both in zip(column(batch, "html"), column(batch, "gone"), column(batch, "both")):
+                found = blocks(html or "")
+                main = 2 if any(kind == 2 for _, kind in found) else 1
+                dropped = set((both if main == 2 else gone) or ())
+                texts.append("\n\n".join(x for i, (x, kind) in enumerate(found) if kind == main and i not in dropped))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], schema=schema)
 
-    out = keyed.select("page_id", "url", "html", "gone").mapInArrow(run, "page_id long, url string, text string")
+    out = keyed.select("page_id", "url", "html", "gone", "both").mapInArrow(run, "page_id long, url string, text string")
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 

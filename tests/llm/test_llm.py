@@ -80,6 +80,21 @@ def test_html_differencing(spark):
     assert html_text.main_text(df.where("1 = 0")).count() == 0
 
 
+def test_html_differencing_of_articles_and_past_copies(spark):
+    page = lambda i, body: f"<nav>Home</nav>{body.format(i=i)}<footer>Imprint</footer>"
+    marked = "<article><p>Read more of our stories</p><p>Text {i} of its own, which is long enough</p></article>"
+    rows = [(i, f"http://m.com/a/{i:02}", page(i, marked)) for i in range(12)]
+    rows += [(20 + i, f"http://two.com/{i}", page(i, "<main><p>A passage that two have</p><p>Text {i} of its own, which is long</p></main>")) for i in range(2)]
+    opened = "<div>Site name</div><p>Text {i} of its own</p><div>Contact us</div>"
+    rows += [(30 + i, f"http://c.com/a/{i // 3}?print={i % 3}", page(i // 3, opened)) for i in range(12)]  # three copies each
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    by = {r.page_id: r.text for r in html_text.main_text(df).collect()}
+    assert all(by[i] == f"Text {i} of its own, which is long enough" for i in range(1, 11))
+    assert all(by[20 + i] == f"A passage that two have\n\nText {i} of its own, which is long" for i in range(2))
+    assert all(by[30 + i] == f"Text {i // 3} of its own" for i in range(12))
+    assert html_text.compared_pages(df).select("row_key").distinct().count() == len(rows)
+
+
 # 2
 
 
