@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,9 +14,12 @@ from pyspark.sql import functions as F
 from colinear.llm.words import alnum, column
 from colinear.session import stored, table
 
-#: Word offsets that a seed looks at; the positions between are ignored.
-MASKS = ((0, 1, 2, 3, 4, 5, 6, 7), (0, 1, 2, 4, 5, 7, 8, 10), (0, 1, 3, 5, 6, 7, 10, 11), (0, 2, 3, 6, 7, 8, 9, 12))
-#: Items of fewer words than a contiguous seed have one seed, all their words; items below LEAST_WORDS have none.
+#: Word offsets that a seed looks at; the positions between are ignored. Wherever the unequal words of an overlap of SPAN and
+#: SHARE lie, one of the first two masks hits (at most 3 of 15 words leave no four in a row, and then two and two around
+#: one); an item of LEAST_WORDS words, of which four are equal, needs all four.
+MASKS = ((0, 1, 2, 3), (0, 1, 3, 4), (0, 2, 3, 4), (0, 1, 2, 4))
+_ALWAYS = 2
+#: Items below LEAST_WORDS words have no seed.
 LEAST_WORDS = 5
 #: An overlap counts from SPAN words (or all of a shorter item) with at least SHARE of them equal.
 SPAN, SHARE = 12, 0.8
@@ -39,10 +43,6 @@ def _seed(values: np.ndarray, starts: np.ndarray, mask: tuple[int, ...]) -> np.n
     return out.view(np.int64)
 
 
-def all_masks() -> list[tuple[int, ...]]:
-    return [*MASKS, *[tuple(range(n)) for n in range(LEAST_WORDS, len(MASKS[0]))]]
-
-
 def test_seeds(benchmark: DataFrame) -> DataFrame:
     """(item_id, text) -> (item_id, item_key, words, mask, at, h)."""
     schema = pa.schema([("item_id", pa.int64()), ("item_key", pa.int64()), ("words", pa.string()), ("mask", pa.int32()), ("at", pa.int32()), ("h", pa.int64())])
@@ -54,8 +54,8 @@ def test_seeds(benchmark: DataFrame) -> DataFrame:
                 words = alnum(text)
                 values = np.array([_word_hash(w) for w in words], np.uint64)
                 joined = b" ".join(words).decode()
-                for m, mask in enumerate(all_masks()):
-                    if m >= len(MASKS) and len(mask) != len(words):
+                for m, mask in enumerate(MASKS):
+                    if len(words) < LEAST_WORDS or m >= _ALWAYS and len(words) != LEAST_WORDS:
                         continue
                     starts = np.arange(max(0, len(words) - mask[-1]))
                     rows += [{"item_id": item_id, "item_key": key, "words": joined, "mask": m, "at": i, "h": h} for i, h in enumerate(_seed(values, starts, mask).tolist())]
@@ -71,7 +71,7 @@ def training_runs(docs: DataFrame, known: dict[bytes, int] | None, tests: np.nda
     known: word hashes of the test vocabulary, tests: the sorted test hashes; None: every seed is kept.
     A run's words reach MARGIN words to both sides, or the text's ends.
     """
-    masks, width = all_masks(), max(m[-1] for m in MASKS) + 1
+    masks, width = MASKS, max(SPAN, *[m[-1] + 1 for m in MASKS])
     schema = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("start", pa.int32()), ("words", pa.string()), ("seeds", pa.list_(pa.struct([("mask", pa.int32()), ("pos", pa.int32()), ("h", pa.int64())])))])
 
     def chunk(part: list[tuple]) -> Iterator[dict]:
@@ -139,29 +139,31 @@ def training_runs(docs: DataFrame, known: dict[bytes, int] | None, tests: np.nda
 def aligned(doc: list[str], item: list[str], diagonal: int) -> tuple[int, int, int, int] | None:
     """Best stretch of item laid on doc at doc[diagonal + i] = item[i]: (first, last, equal, length) or None.
 
-    A word counts 1 - SHARE if equal, else -SHARE; the stretch of the greatest sum has at least SHARE of its words equal.
+    Of the stretches from one equal word to another, with at least SHARE of their words equal and SHARE of SPAN (or of a
+    shorter item) equal words, that with the most equal words, the first of them.
     """
     lo, hi = max(0, -diagonal), min(len(item), len(doc) - diagonal)
-    best, total, start = None, 0.0, lo
-    equal = same = 0
-    for i in range(lo, hi):
-        hit = doc[diagonal + i] == item[i]
-        if total <= 1e-9 and not hit:
-            total, start, equal = 0.0, i + 1, 0
-            continue
-        total += (1 - SHARE) if hit else -SHARE
-        equal += hit
-        if total < 0:
-            total, start, equal = 0.0, i + 1, 0
-        elif hit and (best is None or total > best[0] + 1e-9):
-            best = (total, start, i, equal)
-    if best is None:
+    hits = [i for i in range(lo, hi) if doc[diagonal + i] == item[i]]
+    least = SHARE * min(SPAN, len(item)) - 1e-9
+    if len(hits) < least:
         return None
-    _, first, last, same = best
-    length = last - first + 1
-    if length < min(SPAN, len(item)) * SHARE or same < SHARE * min(SPAN, len(item)) or same < SHARE * length - 1e-9:
+    # a stretch from hit a to hit b has b - a + 1 equal of hits[b] - hits[a] + 1 words: enough if over[b] <= under[a]
+    under = [SHARE * (h - 1) - k + 1e-9 for k, h in enumerate(hits)]
+    over = [SHARE * h - k - 1 for k, h in enumerate(hits)]
+    tops = [0]  # starts of a greater `under` than all before
+    for k in range(1, len(hits)):
+        if under[k] > under[tops[-1]]:
+            tops.append(k)
+    bounds = [under[k] for k in tops]
+    best = None
+    for b, x in enumerate(over):
+        j = bisect_left(bounds, x)
+        if j < len(tops) and tops[j] <= b and (best is None or b - tops[j] > best[1] - best[0]):
+            best = (tops[j], b)
+    if best is None or best[1] - best[0] + 1 < least:
         return None
-    return diagonal + first, diagonal + last, same, length
+    first, last = hits[best[0]], hits[best[1]]
+    return diagonal + first, diagonal + last, best[1] - best[0] + 1, last - first + 1
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@ import math
 import random
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -189,6 +190,42 @@ def test_decontamination(spark, edge, monkeypatch):
     assert dc.decontaminated(edge, b).count() == len(EDGE) and dc.overlaps(d, b.where("1 = 0")).count() == 0 and dc.overlaps(edge.where("1 = 0"), b).count() == 0
 
 
+def test_decontamination_hits_every_overlap(spark):
+    def hit(n, changed):  # some seed of an item of n words looks at equal words only
+        masks = dc.MASKS if n == dc.LEAST_WORDS else dc.MASKS[: dc._ALWAYS]
+        return any(changed.isdisjoint(s + o for o in mask) for mask in masks for s in range(n - mask[-1]))
+
+    for n in range(dc.LEAST_WORDS, 21):
+        for changed in combinations(range(n), n - math.ceil(dc.SHARE * n - 1e-9)):
+            assert hit(n, set(changed)), (n, changed)
+    r, docs, items = random.Random(14), [], []
+    for n in (5, 6, 8, 10, 12, 14, 15, 20):
+        for _ in range(12):  # a fifth of the words changed, anywhere
+            item = [f"w{r.randrange(10**6)}" for _ in range(n)]
+            own = list(item)
+            for i in r.sample(range(n), n - math.ceil(dc.SHARE * n - 1e-9)):
+                own[i] = f"x{i}"
+            items.append((len(items), " ".join(item)))
+            docs.append((len(docs), " ".join([text(r, r.randrange(20)), *own, text(r, 9)])))
+    found = dc.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(x.doc_id, x.item_id) for x in found} == {(i, i) for i in range(len(items))}
+    assert all(x.n_equal >= dc.SHARE * x.n_length - 1e-9 for x in found)
+
+
+@settings(max_examples=200, deadline=None)
+@given(hs.lists(hs.booleans(), min_size=5, max_size=30))
+def test_aligned_takes_the_longest(same):
+    item = [str(i) for i in range(len(same))]
+    doc = [x if ok else "no" for x, ok in zip(item, same)]
+    fit = [(sum(same[a : b + 1]), -a, b) for a in range(len(same)) for b in range(a, len(same)) if same[a] and same[b] and sum(same[a : b + 1]) >= dc.SHARE * (b - a + 1) - 1e-9]
+    best = max(fit, default=None)
+    got = dc.aligned(doc, item, 0)
+    if best is None or best[0] < dc.SHARE * min(dc.SPAN, len(item)) - 1e-9:
+        assert got is None
+    else:
+        assert got[2] == best[0] and same[got[0]] and same[got[1]] and sum(same[got[0] : got[1] + 1]) == got[2] >= dc.SHARE * got[3] - 1e-9
+
+
 # 6
 
 
