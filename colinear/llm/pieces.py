@@ -20,13 +20,16 @@ from colinear.session import table
 
 #: Chance that a candidate merge is skipped, and the seed of the keyed hash that decides.
 DROPOUT, SEED = 0.1, 7
-#: An occurrence of a unit is cut in one of this many ways, picked by the keyed hash of document and place.
-VARIANTS = 3
+#: 0: each occurrence of a unit draws its own skips, from the keyed hash of document and place. Otherwise it takes one of
+#: this many draws of its unit.
+VARIANTS = 0
+#: Units and, twice as many, cuts with skips that a task keeps.
 CACHED = 600_000
 _LONG = 64
 _LEARNED = 300_000
 _NONE = 1 << 30
 _M64 = (1 << 64) - 1
+_STEP = 0x9E3779B97F4A7C15
 _UNIT_64 = 2.0**-64
 _UNITS = re.compile(r" *[^ \n]+| +|\n")
 _SPACE = "▁"
@@ -70,7 +73,8 @@ class Codec:
         self.per_step = 1 / log(1 - dropout) if 0 < dropout < 1 else 0.0  # at 1 every step is a skip
         self.single = frozenset(x for x in self.ids if len(x) == 1)
         self.plain: dict[str, bytes] = {}
-        self.cache: list[dict[str, bytes]] = [{} for _ in range(variants)]
+        self.odd: set[str] = set()  # units whose number of ids doesn't tell their steps
+        self.cuts: dict[tuple[str, int, int], bytes] = {}  # by unit and its first two skipped steps
 
     def _keys(self, units: Sequence[str], variants: Sequence[int]) -> np.ndarray:
         """Where the hash sequence of each unit and variant starts."""
@@ -87,7 +91,7 @@ class Codec:
     def _later(self, key: int, first: int) -> Iterator[int]:
         """Skipped steps after the first one: the same draws, one at a time."""
         while first < _NONE:
-            key = (key + 0x9E3779B97F4A7C15) & _M64
+            key = (key + _STEP) & _M64
             y = ((key ^ key >> 30) * 0xBF58476D1CE4E5B9) & _M64
             y = ((y ^ y >> 27) * 0x94D049BB133111EB) & _M64
             first += 1 + int(log(((y ^ y >> 31) + 1) * _UNIT_64) * self.per_step)
@@ -157,28 +161,51 @@ class Codec:
         return array("H", ids).tobytes()
 
     def _units(self, pairs: list[tuple[str, int]]) -> list[bytes]:
-        """Ids of each unit and variant. If no step of its agenda is a skip, these are the library's own, which is asked
-        unless a skip comes early."""
-        plains, single, out = self.plain, self.single, []
+        """Ids of each unit and variant."""
         units, variants = zip(*pairs)
-        keys = self._keys(units, variants)
-        firsts = self._gaps(keys).tolist()
-        self._learn({u for u, first in zip(units, firsts) if 3 * first >= len(u)})
-        for unit, key, first in zip(units, keys.tolist(), firsts):
-            n = len(unit)
-            if 3 * first >= n and _SPACE not in unit:
-                plain = plains[unit]
-                if first >= n - 1 or first >= n - len(plain) // 2 and single.issuperset(unit):
-                    out.append(plain)
-                    continue
-            out.append(self._coded(self._merge(unit, first, self._later(key, first))))
+        return self._cut(units, self._keys(units, variants))
+
+    def _cut(self, units: Sequence[str], keys: np.ndarray) -> list[bytes]:
+        """Ids of each unit, its skipped steps drawn from its key. If no step of its agenda is a skip, these are the plain ones.
+
+        An agenda without a skip has as many steps as it merges, one of k skips at most k more than the unit's characters
+        less one. So later draws don't matter, and cuts of the same skips are kept.
+        """
+        size = len(units)
+        out = list(map(self.plain.get, units))
+        if None in out:
+            self._learn(set(units))
+            out = list(map(self.plain.__getitem__, units))
+        n = np.fromiter(map(len, units), np.int64, size)
+        pieces = np.fromiter(map(len, out), np.int64, size) // 2
+        odd = np.fromiter(map(self.odd.__contains__, units), bool, size)
+        first = self._gaps(keys)
+        at = np.flatnonzero(first < np.where(odd, n - 1, n - pieces))
+        first, n, keys = first[at], n[at], keys[at]
+        second = first + 1 + self._gaps(keys + np.uint64(_STEP))
+        third = second + 1 + self._gaps(keys + np.uint64(2 * _STEP & _M64))
+        many = (second < n) & (third < n + 1)
+        second = np.where(second < n, second, _NONE)
+        places, cuts = at.tolist(), self.cuts
+        cases = list(zip(map(units.__getitem__, places), first.tolist(), second.tolist()))
+        found = list(map(cuts.get, cases))
+        for k in np.flatnonzero(many).tolist():  # three skips or more
+            unit, a, _ = cases[k]
+            found[k] = self._coded(self._merge(unit, a, self._later(int(keys[k]), a)))
+        for i, case, ids in zip(places, cases, found):
+            if ids is None and (ids := cuts.get(case)) is None:
+                unit, a, b = case
+                ids = cuts[case] = self._coded(self._merge(unit, a, iter((b, _NONE))))
+            out[i] = ids
         return out
 
     def _learn(self, units: set[str]) -> None:
         """Has the library cut new units as they are without dropout. A newline before a unit keeps the dummy prefix off it."""
         new = [u for u in units if u not in self.plain]
         for u, ids in zip(new, self.model.encode(["\n" + u for u in new], num_threads=1)):
-            self.plain[u] = array("H", ids[2:]).tobytes()
+            if not self.single.issuperset(u):
+                self.odd.add(u)
+            self.plain[u] = array("H", ids[2:]).tobytes() if _SPACE not in u else self._coded(self._merge(u, _NONE, iter(())))
 
     def encode_all(self, texts: list[str | None], keys: list[int]) -> list[np.ndarray]:
         """Ids of whole texts; keys: what tells documents apart. Null and empty texts have none."""
@@ -193,29 +220,19 @@ class Codec:
     def _encode_some(self, texts: list[str | None], keys: list[int]) -> list[np.ndarray]:
         if len(self.plain) > CACHED:
             self.plain.clear()
-            for c in self.cache:
-                c.clear()
-        caches, cases, lacking = self.cache, [], set()
+            self.odd.clear()
+        if len(self.cuts) > 2 * CACHED:
+            self.cuts.clear()
+        units, ends, places = [], [], [np.zeros(0, np.uint64)]
         for text, key in zip(texts, keys):
-            units = _UNITS.findall(" " + text) if text else []
-            if self.dropout and self.variants > 1:
-                place = np.arange(len(units), dtype=np.uint64) + np.uint64((key * 0x9E3779B97F4A7C15 + self.seed) & _M64)
-                place = (place ^ place >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
-                variant = ((place >> np.uint64(40)) % np.uint64(self.variants)).tolist()
-            else:
-                variant = [0] * len(units)
-            parts = [caches[v].get(u) for u, v in zip(units, variant)]
-            gaps = [(i, u, v) for i, (u, v, x) in enumerate(zip(units, variant, parts)) if x is None] if None in parts else ()
-            lacking.update([g[1:] for g in gaps])
-            cases.append((parts, gaps))
-        if lacking:
-            pairs = list(lacking)
-            for (unit, v), ids in zip(pairs, self._units(pairs)):
-                caches[v][unit] = ids
-        for parts, gaps in cases:
-            for i, unit, v in gaps:
-                parts[i] = caches[v][unit]
-        return [np.frombuffer(b"".join(parts), np.uint16) for parts, _ in cases]
+            own = _UNITS.findall(" " + text) if text else []
+            units += own
+            ends.append(len(units))
+            places.append(np.arange(len(own), dtype=np.uint64) + np.uint64((key * _STEP + self.seed) & _M64))
+        place = np.concatenate(places)
+        place = (place ^ place >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+        parts = self._cut(units, self._keys(units, (place >> np.uint64(40)) % np.uint64(self.variants)) if self.variants else place)
+        return [np.frombuffer(b"".join(parts[a:b]), np.uint16) for a, b in zip([0, *ends], ends)]
 
     def encode(self, text: str | None, key: int = 0) -> np.ndarray:
         return self.encode_all([text], [key])[0]

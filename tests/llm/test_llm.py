@@ -302,6 +302,22 @@ def test_pieces_vary_and_agree_on_both_paths(proto, monkeypatch):
         assert ids == codec._coded(codec._merge(u, first, codec._later(key, first))) == codec._coded(codec._merge_long(list(u), first, codec._later(key, first)))
 
 
+def test_pieces_draw_skips_for_each_occurrence(proto):
+    codec, n = pieces.Codec(proto), 4000
+    plain = pieces.Codec(proto, 0.0).encode("window").tobytes()
+    steps = len(" window") - len(plain) // 2
+    t = " ".join(["window"] * (n // 8))
+    ways = Counter()
+    for key in range(8):
+        ids = codec.encode(t, key)
+        starts = np.flatnonzero([codec.surface[i].startswith(b" ") for i in ids.tolist()])
+        ways.update(x.tobytes() for x in np.split(ids, starts[1:]))
+    assert sum(ways.values()) == n and len(ways) > 3  # a unit had three ways in the whole corpus
+    assert 0.9**steps - 0.04 < ways[plain] / n < 1  # some skips leave the cut as it is
+    for word in ("of", "letter", "paper"):  # few merges: some never varied
+        assert len({codec.encode(word, key).tobytes() for key in range(200)}) > 1
+
+
 def test_pieces_frames(spark, edge):
     out = pieces.encoded(edge)
     rows = out.collect()
