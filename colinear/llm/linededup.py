@@ -45,11 +45,12 @@ def _small(hashes: DataFrame) -> DataFrame:
     return F.broadcast(hashes) if hashes.count() <= SENT else hashes
 
 
-def without_boilerplate(docs: DataFrame, sites: int = SITES) -> DataFrame:
+def without_boilerplate(docs: DataFrame, sites: int = SITES, short: bool = False) -> DataFrame:
     """The columns of docs with boilerplate lines taken out of text, n_chars (if there) to match, and n_lines, n_removed.
 
     A document that would lose more than half of its characters is a copy rather than a page with boilerplate: it
-    stays as it is, for near-duplicate removal. Null and empty texts stay, with no lines removed. Repeated rows each
+    stays as it is, for near-duplicate removal. With short, only one that would be left without a word is a copy, so that
+    short pages lose their boilerplate too. Null and empty texts stay, with no lines removed. Repeated rows each
     stay. Lines are equal if they are without the blanks around them; lines without a word are kept.
     """
     hits = _lines(docs).join(_small(spread_lines(docs, sites)), "h", "left_semi").groupBy("row_key").agg(F.collect_set("pos").alias("gone"))
@@ -57,7 +58,7 @@ def without_boilerplate(docs: DataFrame, sites: int = SITES) -> DataFrame:
     joined = rows.join(hits, F.xxhash64(F.col("r.doc_id").cast("long"), F.col("r.text")) == hits["row_key"], "left").select("r", "gone", F.split("r.text", "\n").alias("lines"))
     left = F.array_join(F.filter("lines", lambda x, i: ~F.array_contains("gone", i)), "\n")
     joined = joined.select("r", "gone", "lines", F.when(F.col("gone").isNull(), F.col("r.text")).otherwise(left).alias("left"))
-    copy = 2 * F.length("left") < F.length("r.text")
+    copy = F.col("gone").isNotNull() & ~F.col("left").rlike("[^ \\t\\r\\n\\x0B\\x0C]") if short else 2 * F.length("left") < F.length("r.text")
     removed = F.when(F.col("gone").isNull() | copy, 0).otherwise(F.size("gone"))
     text = F.when(copy, F.col("r.text")).otherwise(F.col("left"))
     own = {"text": text, "n_chars": F.length(text).cast("long")}

@@ -21,8 +21,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without cross-site boilerplate lines."""
-    return without_boilerplate(docs).select(*docs.columns)
+    """All documents, without cross-site boilerplate lines, unless nothing else is in them."""
+    return without_boilerplate(docs, short=True).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -112,6 +112,16 @@ def test_line_dedup(spark, edge):
     assert linededup.without_boilerplate(edge.where("1 = 0")).count() == 0
 
 
+def test_line_dedup_of_short_pages(spark):
+    footer = "A long footer line that is on each and every site there is"
+    rows = [(i, f"own {i}\n{footer}", "en", f"s{i % 9}") for i in range(20)] + [(100 + i, f" {footer}\n\n", "en", f"s{i}") for i in range(7)]
+    df = spark.createDataFrame(rows + [(200, None, "en", "s1"), (201, "", "en", "s1")], DOCS)
+    got = {x.doc_id: x for x in linededup.without_boilerplate(df, short=True).collect()}
+    assert all(got[i].text == f"own {i}" and got[i].n_removed == 1 for i in range(20))
+    assert all(got[100 + i].text == rows[20][1] and got[100 + i].n_removed == 0 for i in range(7))
+    assert got[200].text is None and got[201].text == ""
+
+
 # 3
 
 
