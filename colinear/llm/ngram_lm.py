@@ -25,7 +25,7 @@ from colinear.llm.words import column, plain
 from colinear.session import forget, stored, table
 
 #: Word pairs enter the trie from this count on; DISCOUNT goes from each to the words that weren't seen.
-LEAST_PAIR, DISCOUNT = 2, 0.75
+LEAST_PAIR, DISCOUNT = 1, 0.75
 #: Keys that a shard of a level holds at about; the number of shards follows the corpus.
 SHARD = 400_000
 END = b"\n"  # no word holds it

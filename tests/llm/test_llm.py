@@ -485,6 +485,16 @@ def test_lm(spark, edge, monkeypatch, packed):
     assert {(x.n_known, x.base_score, x.score) for x in ngram_lm.scored(docs, nothing).collect()} == {(0, 0.0, 0.0)}
 
 
+def test_lm_keeps_pairs_seen_once(spark):
+    docs = spark.createDataFrame([(1, "the fox"), (2, "the stone"), (3, "a river")], "doc_id long, text string")
+    trie = ngram_lm.train(docs)
+    got = {x.doc_id: x.score for x in ngram_lm.scored(spark.createDataFrame([(1, "a river"), (2, "a stone")], "doc_id long, text string"), trie).collect()}
+    n, v = 9, 6
+    known = (1 - 0.75) / 1 + 0.75 * 2 / (n + v + 1)  # river after a, seen once
+    unknown = 0.75 * 2 / (n + v + 1)
+    assert got[1] - got[2] == pytest.approx(math.log10(known / unknown), abs=0.1)
+
+
 # the pipeline
 
 
