@@ -1,4 +1,4 @@
-"""Views that shape the harness tables like the domain's. One SQL text for Spark and DuckDB; all rows of each table are in."""
+"""Views that shape the harness tables like the domain's. One SQL text for Spark and DuckDB; `align_scores` and `reference` filter by a modulo."""
 
 from __future__ import annotations
 
