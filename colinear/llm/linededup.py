@@ -45,20 +45,19 @@ def _small(hashes: DataFrame) -> DataFrame:
     return F.broadcast(hashes) if hashes.count() <= SENT else hashes
 
 
-def without_boilerplate(docs: DataFrame, sites: int = SITES, short: bool = False) -> DataFrame:
+def without_boilerplate(docs: DataFrame, sites: int = SITES) -> DataFrame:
     """The columns of docs with boilerplate lines taken out of text, n_chars (if there) to match, and n_lines, n_removed.
 
-    A document that would lose more than half of its characters is a copy rather than a page with boilerplate: it
-    stays as it is, for near-duplicate removal. With short, only one that would be left without a word is a copy, so that
-    short pages lose their boilerplate too. Null and empty texts stay, with no lines removed. Repeated rows each
-    stay. Lines are equal if they are without the blanks around them; lines without a word are kept.
+    A document that would be left without a word is a copy rather than a page with boilerplate: it stays as it is, for
+    near-duplicate removal. Null and empty texts stay, with no lines removed. Repeated rows each stay. Lines are equal
+    if they are without the blanks around them; lines without a word are kept.
     """
     hits = _lines(docs).join(_small(spread_lines(docs, sites)), "h", "left_semi").groupBy("row_key").agg(F.collect_set("pos").alias("gone"))
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("r"))  # so that no name clashes
     joined = rows.join(hits, F.xxhash64(F.col("r.doc_id").cast("long"), F.col("r.text")) == hits["row_key"], "left").select("r", "gone", F.split("r.text", "\n").alias("lines"))
     left = F.array_join(F.filter("lines", lambda x, i: ~F.array_contains("gone", i)), "\n")
     joined = joined.select("r", "gone", "lines", F.when(F.col("gone").isNull(), F.col("r.text")).otherwise(left).alias("left"))
-    copy = F.col("gone").isNotNull() & ~F.col("left").rlike("[^ \\t\\r\\n\\x0B\\x0C]") if short else 2 * F.length("left") < F.length("r.text")
+    copy = F.col("gone").isNotNull() & ~F.col("left").rlike("[^ \\t\\r\\n\\x0B\\x0C]")
     removed = F.when(F.col("gone").isNull() | copy, 0).otherwise(F.size("gone"))
     text = F.when(copy, F.col("r.text")).otherwise(F.col("left"))
     own = {"text": text, "n_chars": F.length(text).cast("long")}
@@ -74,15 +73,15 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_sql(source: str, sites: int = SITES) -> str:
-    """CTEs that end in `deduped` (the columns of source and n_lines, n_removed), for DuckDB."""
-    return f"""
+    r"""CTEs that end in `deduped` (the columns of source and n_lines, n_removed), for DuckDB."""
+    return rf"""
 numbered AS (SELECT *, row_number() OVER () AS _row FROM {source}),
 split_lines AS (SELECT _row, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM numbered),
 trimmed AS (SELECT _row, source, pos, line, trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS t FROM split_lines),
 boiler AS (SELECT t FROM trimmed WHERE t <> '' GROUP BY t HAVING count(DISTINCT source) >= {sites}),
 rebuilt AS (SELECT _row, count(*) AS n_lines, count(*) FILTER (t IN (SELECT t FROM boiler)) AS n_gone, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (t NOT IN (SELECT t FROM boiler)), '') AS kept FROM trimmed GROUP BY _row),
-deduped AS (SELECT n.* EXCLUDE (_row, text), CASE WHEN r.n_gone = 0 OR 2 * length(kept) < length(text) THEN text ELSE kept END AS text,
-  coalesce(n_lines, 0)::BIGINT AS n_lines, (CASE WHEN 2 * length(kept) < length(text) THEN 0 ELSE coalesce(n_gone, 0) END)::BIGINT AS n_removed FROM numbered n LEFT JOIN rebuilt r USING (_row))"""
+deduped AS (SELECT n.* EXCLUDE (_row, text), CASE WHEN r.n_gone > 0 AND NOT copied THEN kept ELSE text END AS text,
+  coalesce(n_lines, 0)::BIGINT AS n_lines, (CASE WHEN copied THEN 0 ELSE coalesce(n_gone, 0) END)::BIGINT AS n_removed FROM numbered n LEFT JOIN (SELECT *, NOT regexp_matches(kept, '[^ \t\r\n\x0B\x0C]') AS copied FROM rebuilt) r USING (_row))"""
 
 
 OP2_SQL = f"WITH {line_sql('documents').strip()}\nSELECT doc_id, text, n_lines, n_removed FROM deduped"
