@@ -140,7 +140,8 @@ def graded(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> DataFrame
     n = rated.count()
     cut = -(2.0**63) + 2.0**64 * min(1.0, limit / max(1, n))
     rated = rated.where(F.xxhash64("_rated").cast("double") <= F.lit(cut))  # about `limit` rows: the documented bound
-    return docs.join(F.broadcast(rated), F.col("doc_id") == F.col("_rated")).where("text is not null").select("doc_id", "text", "grade")
+    own = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"))  # so that no name clashes
+    return own.join(F.broadcast(rated), F.col("_id") == F.col("_rated")).where("_text is not null").select(F.col("_id").alias("doc_id"), F.col("_text").alias("text"), "grade")
 
 
 def score(docs: DataFrame, model: Model, wanted: list[str]) -> DataFrame:
