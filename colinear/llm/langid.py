@@ -2,24 +2,24 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colinear.llm.words import column
 from colinear.session import table
 
-#: Training documents at most for each language, those of the lowest hash of doc_id.
+#: Training documents at most for each language, those of the lowest hash of doc_id and text.
 SAMPLE = 1500
 BUCKETS = 1 << 16
 #: A prediction is flagged ambiguous below this probability.
 SURE = 0.8
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")  # Unicode category L: no number forms, no superscripts
 _CHUNK = 2_000_000
 
 
@@ -101,7 +101,10 @@ def decode(model: Model, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sample_counts(labelled: DataFrame, per_language: int = SAMPLE) -> list[tuple[str, np.ndarray, np.ndarray]]:
-    """Trigram counts of up to per_language whole documents of each language, the lowest by hash of doc_id."""
+    """Trigram counts of about per_language whole documents of each language at most, the lowest by hash of doc_id and text.
+
+    Rows without a doc_id count as any other, of repeated rows one; so no key brings more rows to the driver than that.
+    """
     schema = pa.schema([("lang", pa.string()), ("ids", pa.binary()), ("n", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,16 +115,16 @@ def sample_counts(labelled: DataFrame, per_language: int = SAMPLE) -> list[tuple
                 rows.append({"lang": lang, "ids": ids.astype(np.int32).tobytes(), "n": n.astype(np.int32).tobytes()})
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    ranked = labelled.where("lang is not null and text is not null").select("lang", F.xxhash64("doc_id").alias("h"), "doc_id")
-    sizes = ranked.groupBy("lang").agg(F.count("*").alias("n"))
+    known = labelled.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n"))
     # a cut of the hash range that holds about per_language documents: no sort of the corpus
     cut = (F.lit(-(2**63)).cast("double") + F.lit(2.0**64) * F.least(F.lit(1.0), per_language / F.col("n"))).alias("cut")
     cuts = [(r.lang, r.cut) for r in sizes.select("lang", cut).toLocalIterator()]
     if not cuts:
         return []
     spark = labelled.sparkSession
-    chosen = labelled.where("lang is not null and text is not null").join(F.broadcast(spark.createDataFrame(cuts, "lang string, cut double")), "lang")  # a row a language
-    chosen = chosen.where(F.xxhash64("doc_id").cast("double") <= F.col("cut")).select("lang", "text")
+    chosen = known.join(F.broadcast(spark.createDataFrame(cuts, "lang string, cut double")), "lang")  # a row a language
+    chosen = chosen.where(F.col("h").cast("double") <= F.col("cut")).dropDuplicates(["lang", "h"]).select("lang", "text")
     rows = chosen.mapInArrow(run, "lang string, ids binary, n binary").toLocalIterator()
     return [(r.lang, np.frombuffer(r.ids, np.int32), np.frombuffer(r.n, np.int32)) for r in rows]
 
