@@ -3,12 +3,8 @@
 from __future__ import annotations
 
 import re
-import zlib
-from array import array
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
-from math import log
-from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -20,19 +16,26 @@ from colinear.session import table
 
 #: Chance that a candidate merge is skipped, and the seed of the keyed hash that decides.
 DROPOUT, SEED = 0.1, 7
-#: 0: each occurrence of a unit draws its own skips, from the keyed hash of document and place. Otherwise it takes one of
-#: this many draws of its unit.
-VARIANTS = 0
-#: Units and, twice as many, cuts with skips that a task keeps.
-CACHED = 600_000
-_LONG = 64
-_LEARNED = 300_000
-_NONE = 1 << 30
 _M64 = (1 << 64) - 1
-_STEP = 0x9E3779B97F4A7C15
-_UNIT_64 = 2.0**-64
-_UNITS = re.compile(r" *[^ \n]+| +|\n")
+_STEP, _M1, _M2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 _SPACE = "▁"
+#: Characters cut at once, units in a matrix, and the sizes of units that share a matrix; longer units go one by one.
+_CHARS, _COLUMNS = 400_000, 1 << 15
+_SIZES = (3, 5, 7, 9, 12, 16, 24, 40, 63)
+_NONE = np.int32(2**31 - 1)
+_CODE = 0x110000
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(30)) * np.uint64(_M1)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(_M2)
+    return x ^ x >> np.uint64(31)
+
+
+def _mixed_one(x: int) -> int:
+    x = (x ^ x >> 30) * _M1 & _M64
+    x = (x ^ x >> 27) * _M2 & _M64
+    return x ^ x >> 31
 
 
 def default_model() -> str:
@@ -42,18 +45,22 @@ def default_model() -> str:
 
 
 class Codec:
-    """BPE pieces of a SentencePiece model with byte fallback, identity normaliser, a dummy prefix and blanks kept."""
+    """BPE pieces of a SentencePiece model with byte fallback, identity normaliser, a dummy prefix and blanks kept.
+
+    A symbol is the id of a piece, or for a character without one the number of pieces plus its code point.
+    """
 
-    def __init__(self, proto: bytes, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS):
+    def __init__(self, proto: bytes, dropout: float = DROPOUT, seed: int = SEED):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_proto=proto)
-        n = model.get_piece_size()
+        n = self.n = model.get_piece_size()
         if n > 1 << 16:
             raise ValueError("Codec: at most 65536 pieces")
-        self.rank: dict[str, int] = {}
-        self.byte_id, self.ids, self.surface = [0] * 256, {}, [b""] * n
-        order = []
+        if not 0 <= dropout <= 1:
+            raise ValueError("Codec: dropout must be from 0 to 1")
+        self.byte_id, self.surface = np.zeros(256, np.int32), [b""] * n
+        order, ids = [], {}
         for i in range(n):
             piece = model.id_to_piece(i)
             if model.is_byte(i):
@@ -61,184 +68,204 @@ class Codec:
                 self.surface[i] = bytes([int(piece[3:5], 16)])
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 shown = piece.replace(_SPACE, " ")
+                if re.search(r"[^ ] |\n", shown):
+                    raise ValueError("Codec: a piece crosses a blank, so units can't be cut on their own")
                 order.append((-model.get_score(i), i, shown))
-                self.surface[i] = shown.encode()
+                ids[shown], self.surface[i] = i, shown.encode()
+        self.symbol = np.arange(n, n + _CODE, dtype=np.int32)  # by code point
+        for x, i in ids.items():
+            if len(x) == 1:
+                self.symbol[ord(x)] = i
+        self.ranked = np.zeros(len(order), np.int32)  # piece by rank
+        of = lambda x: ids.get(x, n + ord(x) if len(x) == 1 else -1)
+        pairs = {}
         for r, (_, i, shown) in enumerate(sorted(order)):
-            self.rank[shown], self.ids[shown] = r, i
-            if re.search(r"[^ ] |\n", shown):
-                raise ValueError("Codec: a piece crosses a blank, so units can't be cut on their own")
-        if not 0 <= dropout <= 1:
-            raise ValueError("Codec: dropout must be from 0 to 1")
-        self.model, self.dropout, self.seed, self.variants = model, dropout, seed, variants
-        self.per_step = 1 / log(1 - dropout) if 0 < dropout < 1 else 0.0  # at 1 every step is a skip
-        self.single = frozenset(x for x in self.ids if len(x) == 1)
-        self.plain: dict[str, bytes] = {}
-        self.odd: set[str] = set()  # units whose number of ids doesn't tell their steps
-        self.cuts: dict[tuple[str, int, int], bytes] = {}  # by unit and its first two skipped steps
-
-    def _keys(self, units: Sequence[str], variants: Sequence[int]) -> np.ndarray:
-        """Where the hash sequence of each unit and variant starts."""
-        crc = np.fromiter((zlib.crc32(u.encode()) for u in units), np.uint64, len(units))
-        return crc * np.uint64(0x9E3779B1) + np.uint64(self.seed * 0x85EBCA6B & _M64) + np.array(variants, np.uint64) * np.uint64(0xC2B2AE35)
-
-    def _gaps(self, x: np.ndarray) -> np.ndarray:
-        """Steps of an agenda up to the next skipped one, drawn from a hash: each step is a skip with chance `dropout`."""
-        y = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-        y = (y ^ y >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-        u = ((y ^ y >> np.uint64(31)).astype(float) + 1) * _UNIT_64
-        return np.minimum(np.log(u) * self.per_step, _NONE).astype(np.int64) if self.dropout else np.full(len(x), _NONE)
-
-    def _later(self, key: int, first: int) -> Iterator[int]:
-        """Skipped steps after the first one: the same draws, one at a time."""
-        while first < _NONE:
-            key = (key + _STEP) & _M64
-            y = ((key ^ key >> 30) * 0xBF58476D1CE4E5B9) & _M64
-            y = ((y ^ y >> 27) * 0x94D049BB133111EB) & _M64
-            first += 1 + int(log(((y ^ y >> 31) + 1) * _UNIT_64) * self.per_step)
-            yield first
-
-    def _merge(self, unit: str, skip: int, skips: Iterator[int]) -> list[str]:
-        """Agenda processing: at each step the candidate of the best rank, leftmost first, is merged, or skipped for good."""
-        rank, symbols = self.rank.get, list(unit)
-        if len(symbols) > _LONG:
-            return self._merge_long(symbols, skip, skips)
-        none = _NONE
-        agenda = [rank(x, none) for x in map(add, symbols, symbols[1:])]
-        step = 0
-        while agenda:
-            best = min(agenda)
-            if best == none:
+            self.ranked[r] = i
+            for k in range(1, len(shown)):
+                if (a := of(shown[:k])) >= 0 and (b := of(shown[k:])) >= 0:
+                    pairs[a << 21 | b] = r
+        self.pairs, self.dropout, self.seed = pairs, dropout, seed
+        self.limit = int(dropout * 2.0**64)
+        self._table(np.fromiter(pairs.keys(), np.int64, len(pairs)), np.fromiter(pairs.values(), np.int32, len(pairs)))
+
+    def _table(self, keys: np.ndarray, ranks: np.ndarray) -> None:
+        """An open hash table of the pairs that merge: slots of (pair, rank)."""
+        self.bits = max(4, (3 * len(keys)).bit_length())
+        self.slot_key, self.slot_rank = np.full((1 << self.bits) + 64, -1, np.int64), np.full((1 << self.bits) + 64, _NONE, np.int32)
+        at = self._slot(keys)
+        while len(keys):
+            free = self.slot_key[at] < 0
+            where, first = np.unique(at[free], return_index=True)
+            took = np.flatnonzero(free)[first]
+            self.slot_key[where], self.slot_rank[where] = keys[took], ranks[took]
+            rest = np.ones(len(keys), bool)
+            rest[took] = False
+            keys, ranks, at = keys[rest], ranks[rest], at[rest] + 1
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(_STEP)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rank of what each two symbols merge into, _NONE for those that don't."""
+        keys = a.astype(np.int64) << 21 | b
+        at = self._slot(keys)
+        found = self.slot_key[at]
+        out = np.where(found == keys, self.slot_rank[at], _NONE)
+        open_ = np.flatnonzero((found != keys) & (found >= 0))
+        while len(open_):
+            at[open_] += 1
+            found = self.slot_key[at[open_]]
+            hit = found == keys[open_]
+            out[open_[hit]] = self.slot_rank[at[open_[hit]]]
+            open_ = open_[~hit & (found >= 0)]
+        return out
+
+    def _agenda(self, symbols: np.ndarray, sizes: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Columns of symbols, a unit each -> (the merged symbols of one column after another, how many each has).
+
+        At each step a unit's candidate of the best rank, leftmost first, is merged, or skipped for good if the keyed hash of
+        document, place and candidate (its rank and where its two sides begin) says so. A symbol stays where it begins.
+        """
+        height, width = symbols.shape
+        rows = np.arange(height, dtype=np.int32)[:, None]
+        alive = rows < sizes
+        after = np.broadcast_to(rows + 1, symbols.shape).astype(np.int32).ravel()  # where the next symbol begins
+        before = np.broadcast_to(rows - 1, symbols.shape).astype(np.int32).ravel()
+        ranks = self._ranks(symbols[:-1].ravel(), symbols[1:].ravel()).reshape(height - 1, width)
+        agenda = np.full(symbols.shape, _NONE, np.int32)
+        agenda[:-1] = np.where((ranks != _NONE) & alive[1:], ranks << 6 | rows[:-1], _NONE)  # the rank, and ties by place
+        flat, todo, on = symbols.ravel(), agenda.ravel(), alive.ravel()
+
+        def enter(left: np.ndarray, right: np.ndarray, c: np.ndarray) -> None:
+            r = self._ranks(flat[left * width + c], flat[right * width + c])
+            todo[left * width + c] = np.where(r != _NONE, r << 6 | left.astype(np.int32), _NONE)
+
+        while True:
+            best = agenda.min(0)
+            c = np.flatnonzero(best != _NONE)
+            if not len(c):
                 break
-            i = agenda.index(best)
-            if step == skip:
-                agenda[i] = none
-                skip = next(skips)
-            else:
-                joined = symbols[i] + symbols.pop(i + 1)
-                symbols[i] = joined
-                del agenda[i]
-                if i:
-                    agenda[i - 1] = rank(symbols[i - 1] + joined, none)
-                if i < len(agenda):
-                    agenda[i] = rank(joined + symbols[i + 1], none)
-            step += 1
-        return symbols
-
-    def _merge_long(self, symbols: list[str], skip: int, skips: Iterator[int]) -> list[str]:
-        rank, n = self.rank.get, len(symbols)
+            value = best[c]
+            left, rank = (value & 63).astype(np.int64), value >> 6
+            at = left * width + c
+            right = after[at].astype(np.int64)
+            if self.dropout:
+                skip = self._skipped(keys[c], rank, left, right)
+                todo[at[skip]] = _NONE
+                c, left, right, at, rank = c[~skip], left[~skip], right[~skip], at[~skip], rank[~skip]
+            gone = right * width + c
+            flat[at] = self.ranked[rank]
+            on[gone], todo[gone], todo[at] = False, _NONE, _NONE
+            then = after[gone].astype(np.int64)
+            after[at] = then
+            more = then < sizes[c]
+            before[then[more] * width + c[more]] = left[more]
+            enter(left[more], then[more], c[more])
+            first = before[at].astype(np.int64)
+            some = first >= 0
+            enter(first[some], left[some], c[some])
+        return symbols.T[alive.T], alive.sum(0)
+
+    def _skipped(self, keys: np.ndarray, rank: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        if self.dropout >= 1:
+            return np.ones(len(keys), bool)
+        candidate = rank.astype(np.uint64) << np.uint64(42) | left.astype(np.uint64) << np.uint64(21) | right.astype(np.uint64)
+        return _mixed(keys + candidate * np.uint64(_STEP)) < np.uint64(self.limit)
+
+    def _agenda_long(self, symbols: list[int], key: int) -> list[int]:
+        """The same for one unit of any size, by a heap."""
+        rank, n = self.pairs.get, len(symbols)
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))
-        heap = [(r, i, symbols[i], symbols[i + 1]) for i in range(n - 1) if (r := rank(symbols[i] + symbols[i + 1], _NONE)) != _NONE]
+        heap = [(r, i, symbols[i], symbols[i + 1]) for i in range(n - 1) if (r := rank(symbols[i] << 21 | symbols[i + 1])) is not None]
         heapify(heap)
-        step = 0
+
+        def enter(i: int, j: int) -> None:
+            if (r := rank(symbols[i] << 21 | symbols[j])) is not None:
+                heappush(heap, (r, i, symbols[i], symbols[j]))
+
         while heap:
-            best, i, a, b = heappop(heap)
+            r, i, a, b = heappop(heap)
             j = right[i]
-            if symbols[i] != a or j >= n or symbols[j] != b or not a:
+            if symbols[i] != a or j >= n or symbols[j] != b:
                 continue
-            step += 1
-            if step - 1 == skip:
-                skip = next(skips)
+            if self.dropout and (self.dropout >= 1 or _mixed_one(key + (r << 42 | (i & 0x1FFFFF) << 21 | j & 0x1FFFFF) * _STEP & _M64) < self.limit):
                 continue
-            symbols[i], symbols[j] = a + b, ""
+            symbols[i], symbols[j] = int(self.ranked[r]), -1
             right[i] = right[j]
             if right[i] < n:
                 left[right[i]] = i
-                if (r := rank(symbols[i] + symbols[right[i]], _NONE)) != _NONE:
-                    heappush(heap, (r, i, symbols[i], symbols[right[i]]))
-            if left[i] >= 0 and (r := rank(symbols[left[i]] + symbols[i], _NONE)) != _NONE:
-                heappush(heap, (r, left[i], symbols[left[i]], symbols[i]))
-        return [s for s in symbols if s]
-
-    def _coded(self, symbols: list[str]) -> bytes:
-        """Ids as 16-bit numbers. Characters without a piece, and the blank's own sign, become bytes."""
-        ids: list[int] = []
-        for s in symbols:
-            i = self.ids.get(s)
-            if i is None:
-                ids += [self.byte_id[b] for b in s.encode()]
-            else:
-                ids.append(i)
-        return array("H", ids).tobytes()
-
-    def _units(self, pairs: list[tuple[str, int]]) -> list[bytes]:
-        """Ids of each unit and variant."""
-        units, variants = zip(*pairs)
-        return self._cut(units, self._keys(units, variants))
-
-    def _cut(self, units: Sequence[str], keys: np.ndarray) -> list[bytes]:
-        """Ids of each unit, its skipped steps drawn from its key. If no step of its agenda is a skip, these are the plain ones.
-
-        An agenda without a skip has as many steps as it merges, one of k skips at most k more than the unit's characters
-        less one. So later draws don't matter, and cuts of the same skips are kept.
-        """
-        size = len(units)
-        out = list(map(self.plain.get, units))
-        if None in out:
-            self._learn(set(units))
-            out = list(map(self.plain.__getitem__, units))
-        n = np.fromiter(map(len, units), np.int64, size)
-        pieces = np.fromiter(map(len, out), np.int64, size) // 2
-        odd = np.fromiter(map(self.odd.__contains__, units), bool, size)
-        first = self._gaps(keys)
-        at = np.flatnonzero(first < np.where(odd, n - 1, n - pieces))
-        first, n, keys = first[at], n[at], keys[at]
-        second = first + 1 + self._gaps(keys + np.uint64(_STEP))
-        third = second + 1 + self._gaps(keys + np.uint64(2 * _STEP & _M64))
-        many = (second < n) & (third < n + 1)
-        second = np.where(second < n, second, _NONE)
-        places, cuts = at.tolist(), self.cuts
-        cases = list(zip(map(units.__getitem__, places), first.tolist(), second.tolist()))
-        found = list(map(cuts.get, cases))
-        for k in np.flatnonzero(many).tolist():  # three skips or more
-            unit, a, _ = cases[k]
-            found[k] = self._coded(self._merge(unit, a, self._later(int(keys[k]), a)))
-        for i, case, ids in zip(places, cases, found):
-            if ids is None and (ids := cuts.get(case)) is None:
-                unit, a, b = case
-                ids = cuts[case] = self._coded(self._merge(unit, a, iter((b, _NONE))))
-            out[i] = ids
-        return out
-
-    def _learn(self, units: set[str]) -> None:
-        """Has the library cut new units as they are without dropout. A newline before a unit keeps the dummy prefix off it."""
-        new = [u for u in units if u not in self.plain]
-        for u, ids in zip(new, self.model.encode(["\n" + u for u in new], num_threads=1)):
-            if not self.single.issuperset(u):
-                self.odd.add(u)
-            self.plain[u] = array("H", ids[2:]).tobytes() if _SPACE not in u else self._coded(self._merge(u, _NONE, iter(())))
+                enter(i, right[i])
+            if left[i] >= 0:
+                enter(left[i], i)
+        return [x for x in symbols if x >= 0]
 
     def encode_all(self, texts: list[str | None], keys: list[int]) -> list[np.ndarray]:
         """Ids of whole texts; keys: what tells documents apart. Null and empty texts have none."""
         out, at = [], 0
-        while at < len(texts):  # new units are learned for some texts at once
+        while at < len(texts):
             start, size = at, 0
-            while at < len(texts) and size < _LEARNED:
+            while at < len(texts) and size < _CHARS:
                 size, at = size + len(texts[at] or ""), at + 1
             out += self._encode_some(texts[start:at], keys[start:at])
         return out
 
     def _encode_some(self, texts: list[str | None], keys: list[int]) -> list[np.ndarray]:
-        if len(self.plain) > CACHED:
-            self.plain.clear()
-            self.odd.clear()
-        if len(self.cuts) > 2 * CACHED:
-            self.cuts.clear()
-        units, ends, places = [], [], [np.zeros(0, np.uint64)]
-        for text, key in zip(texts, keys):
-            own = _UNITS.findall(" " + text) if text else []
-            units += own
-            ends.append(len(units))
-            places.append(np.arange(len(own), dtype=np.uint64) + np.uint64((key * _STEP + self.seed) & _M64))
-        place = np.concatenate(places)
-        place = (place ^ place >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
-        parts = self._cut(units, self._keys(units, (place >> np.uint64(40)) % np.uint64(self.variants)) if self.variants else place)
-        return [np.frombuffer(b"".join(parts[a:b]), np.uint16) for a, b in zip([0, *ends], ends)]
+        own = [" " + t if t else "" for t in texts]
+        code = np.frombuffer("".join(own).encode("utf-32-le"), np.uint32)
+        if not len(code):
+            return [np.zeros(0, np.uint16) for _ in texts]
+        ends = np.cumsum(np.fromiter(map(len, own), np.int64, len(own)))
+        blank, line = code == 32, code == 10
+        begins = line.copy()  # a unit: blanks and what follows them up to the next blank; a newline
+        begins[1:] |= line[:-1] | (blank[1:] & ~blank[:-1])
+        begins[0] = True
+        begins[ends[:-1][ends[:-1] < len(code)]] = True
+        at = np.flatnonzero(begins)
+        sizes = np.diff(at, append=len(code))
+        doc = np.searchsorted(ends, at, "right")
+        first = np.searchsorted(at, ends - [len(x) for x in own])  # of each text
+        place = (np.arange(len(at)) - first[doc]).astype(np.uint64)
+        texts_key = _mixed(np.array([(k * _STEP + self.seed) & _M64 for k in keys], np.uint64))
+        unit_key = _mixed(texts_key[doc] + place * np.uint64(_STEP))
+        symbol = self.symbol[code]
+        counts, parts = np.ones(len(at), np.int64), [(np.flatnonzero(sizes == 1), symbol[at[sizes == 1]])]
+        least = 1
+        for most in _SIZES:
+            wanted = np.flatnonzero((sizes > least) & (sizes <= most))
+            for k in range(0, len(wanted), _COLUMNS):
+                units = wanted[k : k + _COLUMNS]
+                where = at[units] + np.arange(most)[:, None]
+                flat, counts[units] = self._agenda(symbol[np.minimum(where, len(symbol) - 1)], sizes[units], unit_key[units])
+                parts.append((units, flat))
+            least = most
+        for u in np.flatnonzero(sizes > least).tolist():
+            cut = self._agenda_long(symbol[at[u] : at[u] + sizes[u]].tolist(), int(unit_key[u]))
+            counts[u] = len(cut)
+            parts.append((np.array([u]), np.array(cut, np.int32)))
+        starts = np.concatenate([[0], np.cumsum(counts)])
+        out = np.empty(starts[-1], np.int32)
+        for units, flat in parts:
+            n = counts[units]
+            out[np.repeat(starts[units] - np.cumsum(n) + n, n) + np.arange(len(flat))] = flat
+        bounds = starts[np.append(first, len(at))]
+        bare = out >= self.n
+        if bare.any():  # characters without a piece become bytes
+            points = (out[bare] - self.n).astype(np.uint32)
+            widths = np.ones(len(out), np.int64)
+            widths[bare] += (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
+            out, raw = np.repeat(out, widths), np.frombuffer(points.tobytes().decode("utf-32-le").encode(), np.uint8)
+            out[np.repeat(bare, widths)] = self.byte_id[raw]
+            bounds = np.concatenate([[0], np.cumsum(widths)])[bounds]
+        out = out.astype(np.uint16)
+        return [out[a:b] for a, b in zip(bounds, bounds[1:])]
 
     def encode(self, text: str | None, key: int = 0) -> np.ndarray:
         return self.encode_all([text], [key])[0]
 
     def decode(self, ids: list[int]) -> bytes:
-        """The text of ids; the dummy prefix goes."""
+        """The text of ids; the dummy prefix goes. An id that is no piece's is an error."""
+        if ids and not (0 <= min(ids) and max(ids) < self.n):
+            raise ValueError("decode: an id that is no piece's")
         return b"".join(map(self.surface.__getitem__, ids))[1:]
 
 
@@ -247,17 +274,17 @@ def _proto(df: DataFrame, model: str | None):
         return df.sparkSession.sparkContext.broadcast(f.read())  # the model file, whatever the corpus
 
 
-def encoded(docs: DataFrame, model: str | None = None, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS) -> DataFrame:
+def encoded(docs: DataFrame, model: str | None = None, dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:
     """(doc_id, text) -> (doc_id, ids array<int>, n_tokens, n_fallback, lossless), a row for each row.
 
     ids decode to the text, byte for byte; lossless is the result of doing so. Null and empty texts have no ids.
-    The cut depends on seed, doc_id, place and unit only, so repeated rows and retried tasks give the same ids.
+    The cut depends on seed, doc_id (null: 0), place and candidate only, so repeated rows and retried tasks give the same ids.
     """
     shared = _proto(docs, model)
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("n_tokens", pa.int64()), ("n_fallback", pa.int64()), ("lossless", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(shared.value, dropout, seed, variants)  # one a task: what it learned goes with it
+        codec = Codec(shared.value, dropout, seed)
         is_byte = np.zeros(1 << 16, bool)
         is_byte[codec.byte_id] = True
         for batch in batches:
@@ -280,13 +307,14 @@ def encoded(docs: DataFrame, model: str | None = None, dropout: float = DROPOUT,
 
 
 def decoded(df: DataFrame, model: str | None = None) -> DataFrame:
-    """(doc_id, ids) -> (doc_id, text); null ids give an empty text, ids that aren't pieces an error."""
+    """(doc_id, ids) -> (doc_id, text); null ids give an empty text, ids that aren't pieces an error. Ids that end inside a
+    character give U+FFFD for what is left of it."""
     shared = _proto(df, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(shared.value, 0.0, 0, 1)
+        codec = Codec(shared.value, 0.0)
         for batch in batches:
-            texts = [codec.decode(x or []).decode() for x in column(batch, "ids")]
+            texts = [codec.decode(x or []).decode(errors="replace") for x in column(batch, "ids")]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(run, "doc_id long, text string")
