@@ -28,8 +28,16 @@ ENDS_P = BLOCKS - frozenset("html body td th tr tbody thead tfoot caption li dd
 PARTS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup menu nav navbar navigation breadcrumb breadcrumbs sidebar sidebars aside widget widgets related recommended recommendations share sharing social footer header masthead comment comments disqus reply replies respond discussion login search searchform pagination pager toolbar topbar skip copyright legal disclaimer tracking".split()
 )
+#: Words that make any name that begins with them a part's, those after which a name says what a part has or hasn't, those of the
+#: article itself, whose header is its own, and those that end a name without changing what it names.
+LEADING = frozenset("ad ads advert advertisement adsense sponsor sponsored promo cookie cookies consent gdpr newsletter social share sharing related recommended nav navbar sidebar footer breadcrumb breadcrumbs".split())
+HAVING = frozenset("has have no not with without is are show hide can".split())
+OWN = frozenset("article post entry story news blog content".split())
+ENDING = frozenset("container wrapper wrap inner outer box area block section list lists item items row col column columns group holder slot panel unit link links button buttons bar zone icon icons left right top bottom main primary secondary".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 
+#: Added to the kind of a block whose surroundings have a name that mentions a part: differencing decides on it.
+HINTED = 4
 #: An open block with more than this share of its characters in links is a menu.
 LINKS = 0.6
 #: Pages whose lines differ in less than this share of their characters are copies: differencing leaves them alone.
@@ -47,21 +55,39 @@ _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$|/)|aria-hidden\s*=\s*[\"']?true|d
 _CUT = re.compile(r"[^a-z0-9]+")
 
 
-def _is_part(attributes: str) -> bool:
-    """The attributes name a page part outside the article, or hide the element."""
+def _named(name: str, in_article: bool) -> int:
+    """What one class or id says: 2 for a part outside the article, 1 if it only mentions one, 0 for neither."""
+    words = [w for w in _CUT.split(name.lower()) if w]
+    while len(words) > 1 and (words[-1] in ENDING or words[-1].isdigit()):
+        words.pop()
+    if not words or words[0] in HAVING:
+        return 0
+    if words[-1] == "header" and (in_article or words[0] in OWN):
+        return 0
+    if words[-1] in PARTS or words[0] in LEADING:
+        return 2
+    return int(not PARTS.isdisjoint(words))
+
+
+def _part(attributes: str, in_article: bool) -> int:
+    """2: the attributes name a page part outside the article, or hide the element; 1: a name mentions such a part; else 0."""
+    found = 0
     for m in _NAMES.finditer(attributes):
-        if not PARTS.isdisjoint(_CUT.split(m[1].lower())):
-            return True
-    return bool((m := _ROLE.search(attributes)) and m[1].lower() in ROLES) or bool(_HIDDEN.search(attributes))
+        for name in m[1].strip("\"'").split():
+            found = max(found, _named(name, in_article))
+    if (m := _ROLE.search(attributes)) and m[1].lower() in ROLES or _HIDDEN.search(attributes):
+        return 2
+    return found
 
 
 def blocks(html: str) -> list[tuple[str, int]]:
-    """Blocks of text in page order, white space folded: (text, kind); 0: in chrome, 1: open, 2: inside article or main."""
+    """Blocks of text in page order, white space folded: (text, kind); 0: in chrome, 1: open, 2: inside article or main; and with
+    HINTED added: an element around it has a name that mentions chrome."""
     out: list[tuple[str, int]] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # element; in chrome, in an article, in a link
+    stack: list[tuple[str, bool, bool, bool, bool]] = []  # element; in chrome, in an article, in a link, hinted
     text: list[str] = []
     linked = 0
-    chrome = article = link = False
+    chrome = article = link = hinted = False
 
     def flush() -> None:
         nonlocal linked
@@ -69,13 +95,13 @@ def blocks(html: str) -> list[tuple[str, int]]:
             line = " ".join(unescape("".join(text)).split())
             if line:
                 kind = 0 if chrome else 2 if article else 1
-                out.append((line, 0 if kind == 1 and linked > LINKS * len(line) else kind))
+                out.append((line, 0 if kind == 1 and linked > LINKS * len(line) else kind + HINTED * (kind > 0 and hinted)))
             text.clear()
         linked = 0
 
     def settle() -> None:
-        nonlocal chrome, article, link
-        chrome, article, link = stack[-1][1:] if stack else (False, False, False)
+        nonlocal chrome, article, link, hinted
+        chrome, article, link, hinted = stack[-1][1:] if stack else (False, False, False, False)
 
     at, size, scan = 0, len(html), _TOKEN.match
     while at < size:
@@ -97,7 +123,9 @@ def blocks(html: str) -> list[tuple[str, int]]:
                 if stack[i][0] == name:
                     if name not in BLOCKS and any(x[0] in BLOCKS for x in stack[i + 1 :]):
                         break  # an inline end tag doesn't close blocks
-                    flush() if name in CHROME or stack[i][1] and not (stack[i - 1][1] if i else False) else None
+                    outside = stack[i - 1] if i else ("", False, False, False, False)
+                    if name in CHROME or stack[i][1] != outside[1] or stack[i][4] != outside[4]:
+                        flush()
                     del stack[i:]
                     settle()
                     break
@@ -131,20 +159,20 @@ def blocks(html: str) -> list[tuple[str, int]]:
             at = end.end() if end else size
             continue
         inner = name in ("article", "main")
-        own = name in CHROME and not (name == "header" and article) or name not in ("html", "body") and bool(attributes) and _is_part(attributes)
-        if own and not chrome:
+        part = _part(attributes, article) if attributes and name not in ("html", "body") else 0
+        own = name in CHROME and not (name == "header" and article) or part == 2
+        if own and not chrome or part and not hinted:
             flush()
-        stack.append((name, chrome or own, article or inner and not chrome and not own, link or name == "a"))
+        stack.append((name, chrome or own, article or inner and not chrome and not own, link or name == "a", hinted or part > 0))
         settle()
     flush()
     return out
 
 
-def candidates(html: str | None) -> tuple[list[str], bool]:
-    """(lines, differ): the article's lines, or where no article is marked the open lines, which differencing is for."""
-    found = blocks(html or "")
-    inside = [t for t, kind in found if kind == 2]
-    return (inside, False) if inside else ([t for t, kind in found if kind == 1], True)
+def main_kind(sizes: list[int], kinds: list[int]) -> int:
+    """2 if most of the text outside chrome is inside an article or main element, else 1 (an article may be a teaser)."""
+    marked = sum(n for n, kind in zip(sizes, kinds) if kind % HINTED == 2)
+    return 2 if marked and marked >= sum(n for n, kind in zip(sizes, kinds) if kind % HINTED == 1) else 1
 
 
 def common_lines(a: list[int], b: list[int]) -> list[int]:
@@ -177,9 +205,9 @@ def shared_lines(own: tuple[list[int], list[int], list[int]], other: tuple[list[
 
     All lines are aligned, those in chrome too, which are never main text themselves. Of a copy nothing is shared.
     """
-    main = 2 if 2 in own[2] else 1
-    gone = [i for i in common_lines(own[0], other[0]) if own[2][i] == main]
-    total = sum(n for n, kind in zip(own[1], own[2]) if kind == main)
+    main = main_kind(own[1], own[2])
+    gone = [i for i in common_lines(own[0], other[0]) if own[2][i] % HINTED == main]
+    total = sum(n for n, kind in zip(own[1], own[2]) if kind % HINTED == main)
     rest = total - sum(own[1][i] for i in gone)
     if rest < COPY * max(1, total) or main == 2 and rest <= (1 - VERSION) * total:
         return True, []
@@ -250,8 +278,9 @@ def compared_pages(pages: DataFrame) -> DataFrame:
 def differences(pages: DataFrame) -> DataFrame:
     """(row_key, gone): indices of a page's blocks that leave its main text.
 
-    Open lines go if the page of the nearest URL path (compared_pages) shares them. Lines of a marked article are main text
-    by their mark: they go only if the pages before and after both share them, so that a passage two pages have stays.
+    Open lines, and lines in an element whose name mentions chrome, go if the page of the nearest URL path (compared_pages) shares
+    them. Other lines of a marked article are main text by their mark: they go only if the pages before and after both share
+    them, so that a passage two pages have stays.
     """
     compared = compared_pages(pages)
     nearest = compared.groupBy("row_key").agg(F.max_by("gone", F.struct(F.col("near"), -F.col("turn"))).alias("gone"), F.collect_list("gone").alias("all"))
@@ -262,8 +291,9 @@ def differences(pages: DataFrame) -> DataFrame:
 def main_text(pages: DataFrame) -> DataFrame:
     """pages -> (page_id, url, text, n_chars), a row for each row.
 
-    Lines inside <article> or <main> are the main text, where a page marks neither, its open lines; without those that
-    differencing takes away (differences). Null and empty html give an empty text; a null url has no neighbour.
+    Lines inside <article> or <main> are the main text, where these hold less than the open lines do, the open ones; without
+    those that differencing takes away (differences). Null and empty html give an empty text; a null url has no neighbour.
+    Repeated rows each give a row, very long pages are read whole, other columns are ignored.
     """
     gone = stored(differences(pages))
     n = gone.count()
@@ -279,9 +309,9 @@ def main_text(pages: DataFrame) -> DataFrame:
             texts = []
             for html, gone, both in zip(column(batch, "html"), column(batch, "gone"), column(batch, "both")):
                 found = blocks(html or "")
-                main = 2 if any(kind == 2 for _, kind in found) else 1
-                dropped = set((both if main == 2 else gone) or ())
-                texts.append("\n\n".join(x for i, (x, kind) in enumerate(found) if kind == main and i not in dropped))
+                main = main_kind([len(x) for x, _ in found], [kind for _, kind in found])
+                one, two = set(gone or ()), set(both or ())
+                texts.append("\n\n".join(x for i, (x, kind) in enumerate(found) if kind % HINTED == main and i not in (two if kind == 2 else one)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], schema=schema)
 
     out = keyed.select("page_id", "url", "html", "gone", "both").mapInArrow(run, "page_id long, url string, text string")
