@@ -25,7 +25,6 @@ LEAST_WORDS = 5
 SPAN, SHARE = 12, 0.8
 #: Up to this many test hashes go to every task as a filter before the join; beyond, all training hashes are joined.
 FILTERED = 4_000_000
-MARGIN = 512
 _CHUNK = 300_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -65,14 +64,13 @@ def test_seeds(benchmark: DataFrame) -> DataFrame:
     return wanted.mapInArrow(run, "item_id long, item_key long, words string, mask int, at int, h long")
 
 
-def training_runs(docs: DataFrame, known: dict[bytes, int] | None, tests: np.ndarray | None) -> DataFrame:
-    """(doc_id, text) -> runs of seeds that can join: (doc_id, row_key, start, words, seeds).
+def training_hits(docs: DataFrame, known: dict[bytes, int] | None, tests: np.ndarray | None) -> DataFrame:
+    """(doc_id, text) -> whole texts with seeds that can join: (doc_id, row_key, words, seeds).
 
     known: word hashes of the test vocabulary, tests: the sorted test hashes; None: every seed is kept.
-    A run's words reach MARGIN words to both sides, or the text's ends.
     """
-    masks, width = MASKS, max(SPAN, *[m[-1] + 1 for m in MASKS])
-    schema = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("start", pa.int32()), ("words", pa.string()), ("seeds", pa.list_(pa.struct([("mask", pa.int32()), ("pos", pa.int32()), ("h", pa.int64())])))])
+    masks = MASKS
+    schema = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("words", pa.string()), ("seeds", pa.list_(pa.struct([("mask", pa.int32()), ("pos", pa.int32()), ("h", pa.int64())])))])
 
     def chunk(part: list[tuple]) -> Iterator[dict]:
         flat = [w for *_, words in part for w in words]
@@ -107,14 +105,11 @@ def training_runs(docs: DataFrame, known: dict[bytes, int] | None, tests: np.nda
         if not len(at):
             return
         doc = np.searchsorted(ends, at, side="right")
-        cuts = np.flatnonzero((np.diff(at) > width) | (np.diff(doc) > 0) | (np.diff(at // 4096) > 0)) + 1
-        for run in np.split(np.arange(len(at)), cuts):
+        for run in np.split(np.arange(len(at)), np.flatnonzero(np.diff(doc)) + 1):
             d = int(doc[run[0]])
             doc_id, key, words = part[d]
             base = int(ends[d] - sizes[d])
-            first, last = int(at[run[0]]) - base, int(at[run[-1]]) - base + width
-            start = max(0, first - MARGIN)
-            yield {"doc_id": doc_id, "row_key": key, "start": start, "words": b" ".join(words[start : last + MARGIN]).decode(), "seeds": [{"mask": int(mask_of[i]), "pos": int(at[i]) - base, "h": int(h[i])} for i in run]}
+            yield {"doc_id": doc_id, "row_key": key, "words": b" ".join(words).decode(), "seeds": [{"mask": int(mask_of[i]), "pos": int(at[i]) - base, "h": int(h[i])} for i in run]}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,7 +128,7 @@ def training_runs(docs: DataFrame, known: dict[bytes, int] | None, tests: np.nda
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), F.col("text")).alias("row_key"), F.col("text").cast("binary").alias("text"))
-    return wanted.mapInArrow(run, "doc_id long, row_key long, start int, words string, seeds array<struct<mask:int,pos:int,h:long>>")
+    return wanted.mapInArrow(run, "doc_id long, row_key long, words string, seeds array<struct<mask:int,pos:int,h:long>>")
 
 
 def aligned(doc: list[str], item: list[str], diagonal: int) -> tuple[int, int, int, int] | None:
@@ -179,19 +174,21 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         tests = np.unique(np.array([r.h for r in seeds.select("h").distinct().toLocalIterator()], np.int64))
         words = seeds.select("item_key", "words").distinct().select(F.explode(F.split("words", " ")).alias("w")).distinct()
         known = {w: _word_hash(w) for w in (r.w.encode() for r in words.toLocalIterator())}
-    runs = stored(training_runs(docs, known, tests))
-    flat = runs.select("doc_id", "row_key", "start", F.inline("seeds"))
-    met = flat.join(seeds.select("item_key", "mask", "at", "h"), ["mask", "h"]).select("row_key", "start", "item_key", (F.col("pos") - F.col("at")).alias("diagonal")).distinct()
+    hits = stored(training_hits(docs, known, tests).dropDuplicates(["row_key"]))
+    flat = hits.select("row_key", F.inline("seeds"))
+    met = flat.join(seeds.select("item_key", "mask", "at", "h"), ["mask", "h"]).groupBy("row_key", "item_key").agg(F.collect_set(F.col("pos") - F.col("at")).alias("diagonals"))
     items = seeds.select("item_key", "item_id", F.col("words").alias("item")).distinct()
-    cases = met.join(runs.drop("seeds").dropDuplicates(["row_key", "start"]), ["row_key", "start"]).join(items, "item_key")
+    cases = met.join(hits.drop("seeds"), "row_key").join(items, "item_key")
     schema = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("item_id", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("n_equal", pa.int64()), ("n_length", pa.int64())])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
-                if x := aligned(r["words"].split(" "), r["item"].split(" "), r["diagonal"] - r["start"]):
-                    rows.append({"doc_id": r["doc_id"], "row_key": r["row_key"], "item_id": r["item_id"], "first_word": x[0] + r["start"], "last_word": x[1] + r["start"], "n_equal": x[2], "n_length": x[3]})
+                words, item = r["words"].split(" "), r["item"].split(" ")
+                for diagonal in r["diagonals"]:  # read to its ends: an item's whole copy is one overlap, however long
+                    if x := aligned(words, item, diagonal):
+                        rows.append({"doc_id": r["doc_id"], "row_key": r["row_key"], "item_id": r["item_id"], "first_word": x[0], "last_word": x[1], "n_equal": x[2], "n_length": x[3]})
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     found = cases.mapInArrow(verify, "doc_id long, row_key long, item_id long, first_word long, last_word long, n_equal long, n_length long")
