@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +35,17 @@ TEMPLATES = [
     ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
     ("cc-by-sa", "This work is licensed under a Creative Commons Attribution ShareAlike 4.0 International License"),
     ("cc-by-sa", "Licensed under CC BY-SA 4.0."),
+    ("apache-2", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("bsd", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("bsl-1", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software"),
+    ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely"),
+    ("agpl", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation"),
+    ("gpl", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
+    ("gpl", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("epl-2", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"),
+    ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
+    ("cc-by-nd", "This work is licensed under a Creative Commons Attribution NoDerivatives 4.0 International License"),
+    ("ofl-1", "This Font Software is licensed under the SIL Open Font License, Version 1.1"),
     ("all-rights-reserved", "all rights reserved no part of this publication may be reproduced"),
 ]
 
@@ -44,14 +56,22 @@ SLACK, REACH = 3, 12
 COVER_SHORT, COVER_LONG, SHORT = 0.8, 0.5, 24
 
 
-def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phrases: dict[str, str] = PHRASES) -> DataFrame:
-    """(doc_id, text) -> a row for each document with its phrase counts and its k-grams that can join.
+def _gram_hashes(values: np.ndarray) -> np.ndarray:
+    """Rolling hashes of GRAM words, from the words' hashes."""
+    n = max(0, len(values) - GRAM + 1)
+    out = np.full(n, GRAM, np.uint64)
+    for i in range(GRAM):
+        out = (out ^ values[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out.view(np.int64)
 
-    A rolling k-gram joins a template only if it is one of the templates' k-grams; the others are left out before
-    the join. The templates are constants, so that set is bounded.
-    """
-    grams = {b" ".join(w[i : i + GRAM]) for _, t in templates for w in [alnum(t.encode())] for i in range(len(w) - GRAM + 1)}
-    vocabulary = frozenset(x for g in grams for x in g.split())
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), F.col("text")).alias("row_key"), F.col("text").cast("binary").alias("text"))
+
+
+def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES) -> DataFrame:
+    """(doc_id, text) -> a row for each document with its phrase counts."""
     needles = [(b" " + p.encode() + b" ", label) for p, label in phrases.items()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,41 +79,63 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phrases:
             rows = []
             for doc_id, row_key, text in zip(column(batch, "doc_id"), column(batch, "row_key"), column(batch, "text")):
                 words = alnum(text)
-                n, joined = len(words), b" " + b" ".join(words) + b" "
+                joined = b" " + b" ".join(words) + b" "
                 places = []
                 for needle, label in needles:
-                    at = joined.find(needle)
+                    at, read, word = joined.find(needle), 0, 0
                     while at >= 0:
-                        places.append((joined.count(b" ", 0, at), label))
+                        word += joined.count(b" ", read, at)
+                        read = at
+                        places.append((word, label))
                         at = joined.find(needle, at + 1)
-                known = np.fromiter(map(vocabulary.__contains__, words), bool, n)
-                whole = known[: n - GRAM + 1].copy() if n >= GRAM else known[:0]
-                for i in range(1, GRAM if n >= GRAM else 0):
-                    whole &= known[i : n - GRAM + 1 + i]
-                hits = [{"pos": i, "gram": g.decode()} for i in np.flatnonzero(whole).tolist() if (g := b" ".join(words[i : i + GRAM])) in grams]
                 starts = [p for p, _ in places]
-                rows.append({"doc_id": doc_id, "row_key": row_key, "n_words": n, "n_base": len(places), "first_word": min(starts, default=None), "last_word": max(starts, default=None), "base": sorted({x for _, x in places}), "hits": hits})
+                rows.append({"doc_id": doc_id, "row_key": row_key, "n_words": len(words), "n_base": len(places), "first_word": min(starts, default=None), "last_word": max(starts, default=None), "base": sorted({x for _, x in places})})
             yield pa.RecordBatch.from_pylist(rows, schema=_SCANNED)
 
-    wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), F.col("text")).alias("row_key"), F.col("text").cast("binary").alias("text"))
-    return wanted.mapInArrow(run, "doc_id long, row_key long, n_words long, n_base long, first_word long, last_word long, base array<string>, hits array<struct<pos:int,gram:string>>")
+    return _keyed(docs).mapInArrow(run, "doc_id long, row_key long, n_words long, n_base long, first_word long, last_word long, base array<string>")
 
 
-_SCANNED = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base", pa.list_(pa.string())), ("hits", pa.list_(pa.struct([("pos", pa.int32()), ("gram", pa.string())])))])
+_SCANNED = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base", pa.list_(pa.string()))])
+_CACHED = 500_000
 
 
-def template_positions(spark: SparkSession, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
-    """(template, label, size, at, gram): every k-gram of every template with its word position."""
-    rows = [(k, label, len(w), i, " ".join(w[i : i + GRAM])) for k, (label, t) in enumerate(templates) for w in [[x.decode() for x in alnum(t.encode())]] for i in range(len(w) - GRAM + 1)]
-    return spark.createDataFrame(rows, "template int, label string, size int, at int, gram string")
+def rolling_grams(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) -> (row_key, grams): the hash of every run of GRAM words of the whole text, in order."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, int] = {}
+        for batch in batches:
+            keys, grams = column(batch, "row_key"), []
+            for text in column(batch, "text"):
+                words = alnum(text)
+                if len(known) > _CACHED:
+                    known.clear()
+                for w in words:
+                    if w not in known:
+                        known[w] = xxhash.xxh64_intdigest(w)
+                grams.append(_gram_hashes(np.fromiter(map(known.__getitem__, words), np.uint64, len(words))))
+            offsets = np.cumsum([0, *map(len, grams)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *grams])))], ["row_key", "grams"])
+
+    return _keyed(docs).select("row_key", "text").mapInArrow(run, "row_key long, grams array<long>")
 
-def spans(scanned: DataFrame, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
-    """Verified spans: (row_key, label, template, start, stop, cover)."""
-    positions = template_positions(scanned.sparkSession, templates).withColumn("h", F.xxhash64("gram"))
-    hits = scanned.where(F.size("hits") > 0).select("row_key", F.inline("hits")).withColumn("h", F.xxhash64("gram"))
+
+def template_positions(spark: SparkSession, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
+    """(template, label, size, at, h): every k-gram of every template with its word position."""
+    rows = []
+    for k, (label, t) in enumerate(templates):
+        words = alnum(t.encode())
+        hashes = _gram_hashes(np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64))
+        rows += [(k, label, len(words), i, h) for i, h in enumerate(hashes.tolist())]
+    return spark.createDataFrame(rows, "template int, label string, size int, at int, h long")
+
+
+def spans(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
+    """Verified spans: (row_key, label, template, start, stop, cover). All rolling k-grams join the templates' positions."""
+    positions = template_positions(docs.sparkSession, templates)
+    hits = stored(rolling_grams(docs).select("row_key", F.posexplode("grams").alias("pos", "h")).join(F.broadcast(positions), "h").drop("h"))  # constants: some hundred rows
     votes = (
-        hits.join(F.broadcast(positions), ["h", "gram"])  # constants: some hundred rows
+        hits
         .groupBy("row_key", "template", "label", "size", (F.col("pos") - F.col("at")).alias("diagonal"))
         .agg(F.collect_set("at").alias("ats"), F.min("pos").alias("lo"), F.max("pos").alias("hi"))
     )
@@ -113,8 +155,8 @@ def license_labels(docs: DataFrame) -> DataFrame:
     extra columns are ignored. score: 1 with a base phrase, else the best cover of a verified span, else 0.
     """
     scanned = stored(scan(docs))
-    found = spans(scanned).groupBy("row_key").agg(F.collect_set("label").alias("more"), F.max("cover").alias("cover"))
-    joined = scanned.drop("hits").join(found, "row_key", "left")
+    found = spans(docs).groupBy("row_key").agg(F.collect_set("label").alias("more"), F.max("cover").alias("cover"))
+    joined = scanned.join(found, "row_key", "left")
     labels = F.array_sort(F.array_union("base", F.coalesce("more", F.array().cast("array<string>"))))
     return joined.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base", ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"), F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce("cover", F.lit(0.0))).alias("score"))
 
