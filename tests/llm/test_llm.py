@@ -49,10 +49,77 @@ def test_words():
 
 def test_html_blocks():
     page = '<head><title>t</title><script>var a="</p><p>";</script></head><body><nav><ul><li>Menu</ul></nav><header>Site</header><div class="ad-box">Buy</div><article><header><h1>Head &amp; more</h1></header><p>One <b>two\n three<br>four<p>Five &lt;6&gt;<div class="cookie-notice"><p>Accept</div><aside>Side</aside><ul><li>a<li>b</ul><form><input><label>Name</label></form><section id="comments"><article>Nice!</article></section></article><footer>&copy; me</footer>'
-    lines, differ = html_text.candidates(page)
-    assert not differ and lines == ["Head & more", "One two three four", "Five <6>", "a", "b"]
-    assert html_text.candidates(None) == ([], True) and html_text.candidates("<p") == ([], True)
-    assert html_text.candidates("a < b <p class=x>c")[0] == ["a < b", "c"]
+    assert lines(page) == ["Head & more", "One two three four", "Five <6>", "a", "b"]
+    assert lines("") == [] and lines("<p") == []
+    assert lines("a < b <p class=x>c") == ["a < b", "c"]
+
+
+def lines(page):
+    found = html_text.blocks(page)
+    main = html_text.main_kind([len(x) for x, _ in found], [kind for _, kind in found])
+    return [x for x, kind in found if kind % html_text.HINTED == main]
+
+
+def test_html_names_are_evidence():
+    assert lines('<div class="layout has-sidebar"><article><p>Body text</p></article><div class="sidebar">Side</div></div>') == ["Body text"]
+    assert lines('<div class="wrap no-ads"><p>Body text</p></div>') == ["Body text"]
+    assert lines('<article><div class="article-header"><h1>Title</h1></div><p>Body</p></article><div class="site-header">Site</div>') == ["Title", "Body"]
+    assert lines('<p>One</p><div class="comment-count-post"><p>Two</p></div>') == ["One", "Two"]
+    assert lines('<article class="card"><p>A teaser</p></article><div><p>The body of the page, which is longer</p></div>') == ["The body of the page, which is longer"]
+    assert lines('<article><p>Body</p><div class="related-posts"><p>Others</p></div><div id="comments-2">Nice</div><a class="share-link" href="#">Share</a><p>End</p><div class="ad-slot-1">Buy</div></article>') == ["Body", "End"]
+
+
+def main_text_brute(pages):
+    """Texts of (id, url, lines): the two nearest pages of a host that aren't copies, whole alignments by dynamic programming; open lines."""
+    import re
+    from os.path import commonprefix
+
+    def shared(a, b):
+        t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in reversed(range(len(a))):
+            for j in reversed(range(len(b))):
+                t[i][j] = max(t[i + 1][j], t[i][j + 1], t[i + 1][j + 1] + 1 if a[i] == b[j] else 0)
+        i = j = 0
+        gone = []
+        while i < len(a) and j < len(b):
+            if a[i] == b[j] and t[i][j] == t[i + 1][j + 1] + 1:
+                gone.append(i)
+                i, j = i + 1, j + 1
+            else:
+                i, j = (i + 1, j) if t[i + 1][j] >= t[i][j + 1] else (i, j + 1)
+        total = sum(map(len, a))
+        return None if total - sum(len(a[i]) for i in gone) < html_text.COPY * total else gone
+
+    parts = {k: re.match(r"https?://([^/]*)(.*)", url).groups() for k, url, _ in pages}
+    out = {}
+    for k, _, own in pages:
+        host = sorted((parts[x][1], x, ls) for x, _, ls in pages if parts[x][0] == parts[k][0])
+        at = next(i for i, x in enumerate(host) if x[1] == k)
+        first = at
+        while first > 0 and shared(host[first][2], host[first - 1][2]) is None:
+            first -= 1
+        last = at + 1
+        while last < len(host) and shared(host[last][2], host[last - 1][2]) is None:
+            last += 1
+        met = [(len(commonprefix([host[at][0], host[i][0]])), turn, shared(own, host[i][2])) for turn, i in ((0, first - 1), (-1, last)) if 0 <= i < len(host)]
+        met = [x for x in met if x[2] is not None]
+        gone = max(met, key=lambda x: x[:2])[2] if met else []
+        out[k] = "\n\n".join(x for i, x in enumerate(own) if i not in gone)
+    return out
+
+
+def test_html_pages_against_brute_force(spark):
+    r, pages = random.Random(21), []
+    for h in range(6):
+        frame = [f"Site {h} name", "Menu", f"Footer of {h}"]
+        for i in range(r.randrange(1, 14)):
+            own = [f"Line {h} {i} {k} " + text(r, 6) for k in range(r.randrange(1, 5))]
+            path = f"/{r.choice('abc')}/{r.randrange(40):02}/{i}"
+            shown = [x for x in frame if r.random() < 0.8]
+            for copy in range(r.choice((1, 1, 3))):
+                pages.append((len(pages), f"http://h{h}.com{path}?v={copy}", [*shown[:2], *own, *shown[2:]]))
+    df = spark.createDataFrame([(k, url, "".join(f"<div>{x}</div>" for x in ls)) for k, url, ls in pages], "page_id long, url string, html string").repartition(6)
+    assert {x.page_id: x.text for x in html_text.main_text(df).collect()} == main_text_brute(pages)
 
 
 @settings(max_examples=100, deadline=None)
@@ -233,6 +300,14 @@ def test_decontamination_hits_every_overlap(spark):
     assert all(x.n_equal >= dc.SHARE * x.n_length - 1e-9 for x in found)
 
 
+def test_decontamination_of_long_items(spark):
+    r = random.Random(15)
+    items = [(n, " ".join(f"w{r.randrange(10**6)}" for _ in range(n))) for n in (1200, 6000)]
+    docs = [(n, text(r, 700) + " " + t + " " + text(r, 9000)) for n, t in items]
+    found = dc.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(x.doc_id, x.item_id, x.first_word, x.last_word, x.n_equal, x.n_length) for x in found} == {(n, n, 700, 699 + n, n, n) for n, _ in items}
+
+
 @settings(max_examples=200, deadline=None)
 @given(hs.lists(hs.booleans(), min_size=5, max_size=30))
 def test_aligned_takes_the_longest(same):
@@ -483,6 +558,52 @@ def test_near_dedup(spark, edge, monkeypatch):
     assert near_dedup.deduplicated(edge.where("1 = 0")).count() == 0
 
 
+def jaccard_links(texts, words=5):
+    """Pairs of different texts at 0.8 or more, by sets of word runs."""
+    sets = [{tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if (w := t.lower().split()) else set() for t in texts]
+    at = defaultdict(list)
+    for k, x in enumerate(sets):
+        for g in x:
+            at[g].append(k)
+    met = {(a, b) for ks in at.values() for a, b in combinations(ks, 2)}
+    return {(a, b) for a, b in met if len(sets[a] & sets[b]) * 5 >= 4 * len(sets[a] | sets[b])}
+
+
+def roots_brute(n, links):
+    root = list(range(n))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    return [find(x) for x in range(n)]
+
+
+@pytest.mark.parametrize("share", [0.0, 0.55, 0.72])
+def test_near_dedup_loses_no_link(spark, share):
+    """Pairs of texts at similarities around 0.8, all texts with a passage in common."""
+    r = random.Random(int(100 * share))
+    passage, texts = text(r, int(100 * share)).split(), []
+    for _ in range(150):
+        own = text(r, 100 - len(passage)).split()
+        other = list(own)
+        for i in r.sample(range(len(own)), min(len(own), r.choice((0, 1, 2, 2, 3)))):
+            other[i] = f"changed{r.randrange(10**6)}"
+        texts += [" ".join(passage + own), " ".join(passage + other)]
+    links = jaccard_links(texts)
+    assert share > 0.6 or 60 < len(links) < 150
+    placed = near_dedup.groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)).collect()
+    got, own = {x.doc_id: x.root for x in placed}, roots_brute(len(texts), links)
+    of = defaultdict(set)
+    for k, x in enumerate(own):
+        of[x].add(got[k])
+    assert all(len(x) == 1 for x in of.values()) and len({min(x) for x in of.values()}) == len(of)
+
+
 # 10
 
 
