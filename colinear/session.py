@@ -40,11 +40,22 @@ def shared_folder(spark: SparkSession) -> str:
     return _FALLBACK[app]
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """The same rows as a Parquet table in the shared folder: lineage is cut, and lost executors lose nothing."""
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stored(df: DataFrame, compression: str | None = None) -> DataFrame:
+    """The same rows as a Parquet table in the shared folder: lineage is cut, and lost executors lose nothing.
+
+    The shuffle files behind it go once it is written.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        (df.write.option("compression", compression) if compression else df.write).parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._colinear_path = path
     return out
