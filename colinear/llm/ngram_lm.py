@@ -1,396 +1,425 @@
-"""Language-model scoring with an Elias-Fano n-gram trie in memory-mapped levels."""
+"""Language-model scoring with an Elias-Fano n-gram trie, whose levels lie in shards that are served where their counts meet."""
 
 from __future__ import annotations
 
-import atexit
-import os
-import shutil
-import tempfile
-import uuid
-from collections import Counter
+import mmap
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark import SparkFiles
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colinear.llm import elias_fano as ef
 from colinear.llm.langid import held_out
-from colinear.llm.words import column, plain
+from colinear.llm.words import column, hashed_words, mixed
 from colinear.session import forget, stored, table
 
-#: Word pairs enter the trie from this count on; DISCOUNT goes from each to the words that weren't seen.
-LEAST_PAIR, DISCOUNT = 1, 0.75
-#: Keys that a shard of a level holds at about; the number of shards follows the corpus.
-SHARD = 400_000
-END = b"\n"  # no word holds it
-_CHUNK = 400_000
-#: Below this many words a pair of ids fits a 64-bit number.
-_PACKED = 3_000_000_000
-#: Words that a task keeps at hand, and pairs that it sums up at once.
-_KNOWN, _SUMMED = 600_000, 1_500_000
+#: Weight of the lower order, in tokens: p(w | context) = (count + WEIGHT * p(w | shorter context)) / (context's count + WEIGHT).
+WEIGHT = {2: 20.0, 3: 5.0}
+#: Tokens of a block of texts, and about as many entries as a shard of a level has.
+BLOCK, SHARD = 800_000, 1_000_000
+#: Contexts of SHARD / 4 tokens or more, and of a millionth of all at least, are split by their successors: a million at most.
+FREQUENT = 1_000_000
+_END = np.uint64(0x9E3779B97F4A7C15)  # the end of a text, a token
+_A, _B = np.uint64(0xD1342543DE82EF95), np.uint64(0xAF251AF3B0F025B5)
+#: Probabilities and weights are kept as logarithms in steps of a 4000th of a decade; 0: none.
+_STEPS = 4000
+_VALUE = np.concatenate([[0.0], 10.0 ** (-np.arange(65535) / _STEPS)])
 
 
-def _digest(word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word)
+def _coded(x: np.ndarray) -> np.ndarray:
+    return (1 + np.minimum(65534, np.rint(-np.log10(x) * _STEPS))).astype(np.uint16)
+
+
+def packed(x: np.ndarray) -> bytes:
+    """Numbers from 0 in as few bytes each as the largest needs."""
+    x = np.ascontiguousarray(x.astype(np.uint64))
+    width = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
+    return bytes([width]) + x.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    width = raw[0]
+    body = np.frombuffer(raw, np.uint8, offset=1).reshape(-1, width)
+    out = np.zeros((len(body), 8), np.uint8)
+    out[:, :width] = body
+    return out.view(np.uint64).ravel()
+
+
+def packed_rising(x: np.ndarray) -> bytes:
+    """Ascending numbers: the first, and the steps between them."""
+    return x[:1].tobytes() + packed(np.diff(x))
+
+
+def unpacked_rising(raw: bytes) -> np.ndarray:
+    if not len(raw[:8]) == 8:
+        return np.zeros(0, np.uint64)
+    first = np.frombuffer(raw, np.uint64, 1)
+    return np.concatenate([first, first + np.cumsum(unpacked(raw[8:]), dtype=np.uint64)])
+
+
+def _part(keys: np.ndarray, parts: int) -> np.ndarray:
+    return ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+
+def _starts(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal numbers begin."""
+    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+
+
+# ---- blocks of texts -------------------------------------------------------------------------------------------------
+
+_BLOCK = pa.schema([("block", pa.int64()), ("n", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.binary()), ("words", pa.binary()), ("tokens", pa.binary())])
+_BLOCK_DDL = "block long, n long, doc_ids array<long>, held array<boolean>, sizes binary, words binary, tokens binary"
+
+
+def blocks_of(docs: DataFrame, held: Column) -> DataFrame:
+    """Whole texts in blocks of about BLOCK tokens: the hashes of a block's words, and each token as its word's place among them."""
+
+    def made(number: int, doc_ids: list, held: list, hashes: list[np.ndarray], counts: list[np.ndarray]) -> pa.RecordBatch:
+        flat, sizes = np.concatenate(hashes), np.concatenate(counts) + 1
+        tokens = np.empty(int(sizes.sum()), np.uint64)
+        last = np.cumsum(sizes) - 1
+        inner = np.ones(len(tokens), bool)
+        inner[last] = False
+        tokens[last], tokens[inner] = _END, flat
+        words, places = np.unique(tokens, return_inverse=True)
+        block = (TaskContext.get().partitionId() << 33) + number
+        return pa.RecordBatch.from_pylist([{"block": block, "n": len(tokens), "doc_ids": doc_ids, "held": held, "sizes": packed(sizes), "words": packed_rising(words), "tokens": packed(places)}], schema=_BLOCK)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, doc_ids, flags, hashes, counts, size = 0, [], [], [], [], 0
+        for batch in batches:
+            ids, own, texts, at = column(batch, "doc_id"), column(batch, "held"), column(batch, "text"), 0
+            while at < len(texts):
+                start, read = at, 0
+                while at < len(texts) and read < 2_000_000:
+                    read, at = read + len(texts[at] or b""), at + 1
+                h, c = hashed_words(texts[start:at])
+                doc_ids += ids[start:at]
+                flags += own[start:at]
+                hashes.append(h)
+                counts.append(c)
+                size += len(h) + len(c)
+                if size >= BLOCK:
+                    yield made(number, doc_ids, flags, hashes, counts)
+                    number, doc_ids, flags, hashes, counts, size = number + 1, [], [], [], [], 0
+        if doc_ids:
+            yield made(number, doc_ids, flags, hashes, counts)
+
+    wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held, F.lit(False)).alias("held"), F.col("text").cast("binary").alias("text"))
+    return wanted.mapInArrow(run, _BLOCK_DDL)
+
+
+class Block:
+    """A block's tokens and their n-grams."""
+
+    def __init__(self, row: dict):
+        self.sizes, self.words = unpacked(row["sizes"]).astype(np.int64), unpacked_rising(row["words"])
+        self.tokens, self.held = unpacked(row["tokens"]).astype(np.int64), np.array(row["held"], bool)
+
+    def entries(self, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes of the contexts in order, a number of context and word for each token that orders by the contexts' hash, then the word's)."""
+        n, t = len(self.words), self.tokens
+        if level == 1:
+            return self.words, t
+        end, starts = int(np.searchsorted(self.words, _END)), np.cumsum(self.sizes) - self.sizes
+        before = np.empty_like(t)
+        before[1:] = t[:-1]
+        before[starts] = end
+        if level == 2:
+            return self.words, before * n + t
+        second = np.empty_like(t)
+        second[2:] = t[:-2]
+        second[starts] = end
+        second[starts[self.sizes > 1] + 1] = end
+        pairs, at = np.unique(second * n + before, return_inverse=True)
+        hashes = pair_hash(self.words[pairs // n], self.words[pairs % n] >> np.uint64(16))
+        order = np.argsort(hashes)
+        rank = np.empty_like(order)
+        rank[order] = np.arange(len(order))
+        return hashes[order], rank[at] * n + t
+
+    def split(self, level: int, contexts: np.ndarray, entries: np.ndarray, frequent: np.ndarray, parts: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+        """Distinct entries -> (part, 1 if of frequent contexts, places among the entries, context hashes, word hashes of 48 bits).
+
+        A context's entries are of one part, those of a frequent context are dealt by their words.
+        """
+        if level == 1:
+            cuts = np.searchsorted(_part(self.words[entries], parts), np.arange(parts + 1))
+            for p in np.flatnonzero(np.diff(cuts)).tolist():
+                own = np.arange(cuts[p], cuts[p + 1])
+                yield p, 0, own, self.words[entries[own]], own[:0]
+            return
+        n = len(self.words)
+        context, word = contexts[entries // n], self.words[entries % n] >> np.uint64(16)
+        split = np.isin(context, frequent) if len(frequent) else np.zeros(len(context), bool)
+        for flag, own in ((0, np.flatnonzero(~split)), (1, np.flatnonzero(split))):
+            part = _part(mixed(context[own] + word[own] * _A) if flag else context[own], parts)
+            if flag:
+                order = np.argsort(part, kind="stable")
+                own, part = own[order], part[order]
+            cuts = np.searchsorted(part, np.arange(parts + 1))
+            for p in np.flatnonzero(np.diff(cuts)).tolist():
+                at = own[cuts[p] : cuts[p + 1]]
+                yield p, flag, at, context[at], word[at]
+
+
+def pair_hash(first: np.ndarray, second48: np.ndarray) -> np.ndarray:
+    """Hash of the context of two words, from the first's hash and 48 bits of the second's."""
+    return mixed((first >> np.uint64(16)) * _A + second48 * _B)
+
+
+# ---- levels ----------------------------------------------------------------------------------------------------------
+
+
+def build_level(level: int, context: np.ndarray, word: np.ndarray, count: np.ndarray, total: np.ndarray) -> bytes:
+    """A shard of a level as one blob, from n-grams in order of context and word, their counts and their contexts' counts.
+
+    Contexts are an Elias-Fano sequence, pointers to their successors another one; a successor is kept relative to its
+    context, as its word's place in the shard's vocabulary. A probability (its count's part) belongs to each, and a weight of
+    the lower order to each context, both quantised. Words (level 1) have running counts instead.
+    """
+    if level == 1:
+        return ef.pack(ef.encode(context, 1 << 64, "word") | ef.encode(np.concatenate([[0], np.cumsum(count)]), int(count.sum()) + 1, "total"))
+    first = _starts(context)
+    vocabulary, place = np.unique(word, return_inverse=True)
+    of = np.repeat(np.arange(len(first)), np.diff(first, append=len(context)))
+    m = len(vocabulary)
+    sequences = ef.encode(context[first], 1 << 64, "context") | ef.encode(vocabulary, 1 << 48, "word") | ef.encode(np.append(first, len(context)), len(context) + 1, "pointer") | ef.encode(of * m + place, max(1, len(first) * m), "child")
+    return ef.pack(sequences | {"part": _coded(count / (total + WEIGHT[level])), "rest": _coded(WEIGHT[level] / (total[first] + WEIGHT[level]))})
 
 
-@dataclass(frozen=True)
 class Level:
-    """A file of blobs: name among the session's files, and (offset, size) by shard and block."""
+    """A shard of a level in a memory map."""
 
-    file: str
-    where: dict[tuple[int, int], tuple[int, int]]
-    blocks: tuple[int, ...]
+    def __init__(self, blob: bytes):
+        self.map = mmap.mmap(-1, len(blob))
+        self.map.write(blob)
+        self.arrays = ef.unpack(np.frombuffer(self.map, np.uint8))
+        self.sequences = {k.split(".")[0]: ef.Sequence(self.arrays, k.split(".")[0]) for k in self.arrays if k.endswith(".meta")}
 
+    def counts(self, words: np.ndarray) -> np.ndarray:
+        i, there = self.sequences["word"].find(words)
+        i = np.where(there, i, 0)
+        total = self.sequences["total"]
+        return np.where(there, total.at(i + 1) - total.at(i), 0).astype(np.int64) if total.n > 1 else np.zeros(len(words), np.int64)
 
-@dataclass(frozen=True)
-class Trie:
-    words: Level
-    pairs: Level | None
-    bits: int  # shards of the words: 2 ** bits, by the top bits of the hash
-    first: tuple[int, ...]  # id of each shard's first word
-    n: int  # tokens
-    v: int  # distinct tokens
-
-
-_OPEN: dict[str, np.ndarray] = {}
-
-
-def _blob(level: Level, shard: int, block: int = 0) -> dict[str, np.ndarray] | None:
-    """Arrays of a blob, in a memory map that the worker process keeps."""
-    if (shard, block) not in level.where:
-        return None
-    if level.file not in _OPEN:
-        if len(_OPEN) > 8:
-            _OPEN.clear()
-        _OPEN[level.file] = np.memmap(SparkFiles.get(level.file), np.uint8, "r")
-    offset, size = level.where[shard, block]
-    return ef.unpack(np.asarray(_OPEN[level.file])[offset : offset + size])
-
-
-class Reader:
-    """Vectorised queries of a trie; open in one worker process."""
-
-    def __init__(self, trie: Trie):
-        self.trie, self.first = trie, np.array(trie.first, np.int64)
-        self.floor = np.log10(trie.n + trie.v + 1.0)
-        self.sequences: dict[tuple, ef.Sequence] = {}
-
-    def _sequence(self, level: Level, shard: int, block: int, name: str) -> ef.Sequence | None:
-        key = (level.file, shard, block, name)
-        if key not in self.sequences:
-            arrays = _blob(level, shard, block)
-            self.sequences[key] = ef.Sequence(arrays, name) if arrays is not None else None
-        return self.sequences[key]
-
-    def ids(self, hashes: np.ndarray) -> np.ndarray:
-        """Word ids by hash, -1 for words that training hasn't."""
-        out = np.full(len(hashes), -1, np.int64)
-        bits = self.trie.bits
-        shard = (hashes >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
-        rest = hashes & np.uint64((1 << (64 - bits)) - 1)
-        for s in np.unique(shard).tolist():
-            if (seq := self._sequence(self.trie.words, s, 0, "hash")) is not None:
-                at = np.flatnonzero(shard == s)
-                i, there = seq.find(rest[at])
-                out[at] = np.where(there, i + self.first[s], -1)
-        return out
-
-    def by_id(self, ids: np.ndarray) -> np.ndarray:
-        """Counts of words by id, 0 for -1."""
-        out = np.zeros(len(ids), np.int64)
-        shard = np.searchsorted(self.first, ids, "right") - 1
-        for s in np.unique(shard[ids >= 0]).tolist():
-            at = np.flatnonzero((shard == s) & (ids >= 0))
-            seq, i = self._sequence(self.trie.words, s, 0, "total"), ids[at] - self.first[s]
-            out[at] = (seq.at(i + 1) - seq.at(i)).astype(np.int64)
-        return out
-
-    def log_unigram(self, counts: np.ndarray) -> np.ndarray:
-        return np.log10(counts + 1.0) - self.floor
-
-    def log_pairs(self, context: np.ndarray, word: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """log10 p(word | context) for ids (-1: unknown) and the words' counts.
-
-        The context's pointers bound its successors; among these the successor search finds the word by its
-        value relative to the context. Words not found take the context's backoff weight and the unigram.
+    def probabilities(self, context: np.ndarray, runs: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(codes of the n-grams' parts, codes of the contexts' weights), 0 where training has none; runs: how many words each context has.
+
+        A context's pointers bound its successors, among which the search is for the word relative to the context.
         """
-        out, pairs = self.log_unigram(counts), self.trie.pairs
-        if pairs is None:
-            return out
-        shard = np.searchsorted(self.first, context, "right") - 1
-        shard = np.where(context < 0, -1, shard)
-        blocks = np.array(pairs.blocks, np.int64)
-        block = np.where((shard >= 0) & (word >= 0), word * blocks[np.maximum(shard, 0)] // self.trie.v, 0)
-        for s in np.unique(shard[shard >= 0]).tolist():
-            at = np.flatnonzero(shard == s)
-            backoff = _blob(pairs, s, -1)
-            if backoff is None:
-                continue
-            local = context[at] - self.first[s]
-            out[at] += backoff["book"][backoff["code"][local]]
-            for b in np.unique(block[at]).tolist():
-                arrays = _blob(pairs, s, b)
-                own = at[(block[at] == b) & (word[at] >= 0)]
-                if arrays is None or not len(own):
-                    continue
-                c = context[own] - self.first[s]
-                starts = np.flatnonzero(np.diff(c, prepend=-1))  # queries come by context, so each one's pointers are read once
-                pointer, runs = self._sequence(pairs, s, b, "pointer"), np.diff(starts, append=len(c))
-                begin, end = (pointer.at(c[starts] + k).astype(np.int64) for k in (0, 1))
-                some = np.repeat(begin < end, runs)
-                begin, end = np.repeat(begin, runs)[some], np.repeat(end, runs)[some]
-                own, c = own[some], c[some]
-                i, there = self._sequence(pairs, s, b, "child").find((c * self.trie.v + word[own]).astype(np.uint64))
-                there &= (i >= begin) & (i < end)
-                out[own[there]] = arrays["book"][arrays["code"][i[there]]]
-        return out
-
-
-def _wanted(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-
-
-def _chunks(texts: list[bytes | None]) -> Iterator[tuple[int, list[list[bytes]]]]:
-    """Whole texts' tokens in blocks that bound the memory: (index of the first, tokens of each)."""
-    first, part, size = 0, [], 0
-    for i, text in enumerate(texts):
-        part.append([*plain(text), END])
-        size += len(part[-1])
-        if size >= _CHUNK:
-            yield first, part
-            first, part, size = i + 1, [], 0
-    if part:
-        yield first, part
-
-
-class Words(dict):
-    """Words of a task's texts as places 0, 1, ..., and by place their ids and counts in the trie."""
-
-    def __init__(self, reader: Reader):
-        super().__init__()
-        self.reader, self.ids, self.counts = reader, np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def __missing__(self, word: bytes) -> int:
-        place = self[word] = len(self)
-        return place
-
-    def look_up(self, tokens: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(ids, counts, context ids) of the tokens one after another; a text's first token follows an end."""
-        if len(self) > _KNOWN:
-            self.clear()
-            self.ids, self.counts = self.ids[:0], self.counts[:0]
-        sizes = list(map(len, tokens))
-        flat = np.fromiter(map(self.__getitem__, chain.from_iterable(tokens)), np.int64, sum(sizes))
-        new = np.array([_digest(w) for w in islice(self, len(self.ids), None)], np.uint64)
-        own = self.reader.ids(new)
-        self.ids, self.counts = np.concatenate([self.ids, own]), np.concatenate([self.counts, self.reader.by_id(own)])
-        ids = self.ids[flat]
-        context = np.empty_like(ids)
-        context[1:] = ids[:-1]
-        context[np.cumsum([0, *sizes[:-1]])] = self.ids[self[END]]
-        return ids, self.counts[flat], context
-
-
-def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys (numbers, or rows of two) in order and the sums of their counts."""
-    if not len(keys):
-        return keys, counts
-    order = np.argsort(keys) if keys.ndim == 1 else np.lexsort((keys[:, 1], keys[:, 0]))
-    keys = keys[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1] if keys.ndim == 1 else (keys[1:] != keys[:-1]).any(1)]))
-    return keys[first], np.add.reduceat(counts[order], first)
-
-
-def count_words(docs: DataFrame) -> DataFrame:
-    """(h, c): tokens by hash; each task counts what it has read before the shuffle."""
+        s = self.sequences
+        i, there = s["context"].find(context)
+        rest = np.where(there, self.arrays["rest"][np.where(there, i, 0)], 0) if s["context"].n else np.zeros(len(context), np.uint16)
+        part = np.zeros(len(word), np.uint16)
+        known, back = np.unique(word, return_inverse=True)
+        place, held = s["word"].find(known)
+        at = np.flatnonzero(np.repeat(there, runs) & held[back])
+        if len(at):
+            begin, end = (np.repeat(x.astype(np.int64), runs)[at] for x in (s["pointer"].at(np.where(there, i, 0)), s["pointer"].at(np.where(there, i, 0) + 1)))
+            j, found = s["child"].find((np.repeat(i, runs)[at] * s["word"].n + place[back[at]]).astype(np.uint64))
+            hit = found & (j >= begin) & (j < end)
+            part[at[hit]] = self.arrays["part"][j[hit]]
+        return part, rest
+
+
+_SERVED = "kind int, level int, block long, part long, hot int, a binary, g binary, key long, n long, m long"
+
+
+@dataclass(frozen=True)
+class Frequent:
+    """Contexts that are split: their hashes in order, and their training counts, which no shard has whole."""
+
+    keys: np.ndarray
+    counts: np.ndarray
+
+
+def _requests(blocks: DataFrame, level: int, parts: int, shared) -> DataFrame:
+    """A row for each block and part: the block's distinct n-grams there, and how often they occur, in training too."""
+    schema = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("hot", pa.int32()), *[(x, pa.binary()) for x in ("context", "runs", "word", "every", "train")]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent = shared.value.keys
         for batch in batches:
-            found: Counter = Counter()
-            for text in column(batch, "text"):
-                found.update(plain(text))
-            found[END] += batch.num_rows
-            h = np.array([_digest(w) for w in found], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.fromiter(found.values(), np.int64, len(found)))], ["h", "c"])
-
-    return _wanted(docs).mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
-
-
-def _saved(blobs: DataFrame) -> tuple[str, dict[tuple[int, int], tuple[int, int]]]:
-    """(shard, block, blob) rows one after another into a file that Spark brings to every node."""
-    spark, name, where, at = blobs.sparkSession, f"level-{uuid.uuid4().hex}.ef", {}, 0
-    kept = stored(blobs)
-    folder = tempfile.mkdtemp(prefix="colinear-")
-    with open(os.path.join(folder, name), "wb") as f:
-        for r in kept.toLocalIterator():
-            where[r.shard, r.block] = (at, len(r.blob))
-            at += f.write(r.blob)
-        if not at:
-            f.write(b"\0" * 8)
-    spark.sparkContext.addFile(os.path.join(folder, name))  # executors fetch it from here, so it stays for the session
-    atexit.register(shutil.rmtree, folder, True)
-    forget(kept)
-    return name, where
-
-
-def train(docs: DataFrame) -> Trie:
-    """The trie over all given documents: exact word counts, pairs of LEAST_PAIR or more with quantised probabilities."""
-    counts = stored(count_words(docs))
-    v, n = counts.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
-    if not v:
-        return Trie(Level("", {}, ()), None, 0, (0,), 0, 0)
-    bits = max(0, (v // SHARD).bit_length())
-    shard = (F.shiftrightunsigned(F.col("h"), 64 - bits) if bits else F.lit(0)).cast("int").alias("shard")
-    sharded = counts.select(shard, "h", "c")
-    sizes = {r.shard: r.n for r in sharded.groupBy("shard").agg(F.count("*").alias("n")).toLocalIterator()}
-    first, at = [], 0
-    for s in range(1 << bits):
-        first.append(at)
-        at += sizes.get(s, 0)
-
-    def word_level(group: pa.Table) -> pa.Table:
-        h = group.column("h").to_numpy().view(np.uint64)
-        order = np.argsort(h)
-        total = np.concatenate([[0], np.cumsum(group.column("c").to_numpy()[order])])
-        rest = h[order] & np.uint64((1 << (64 - bits)) - 1)
-        blob = ef.pack(ef.encode(rest, 1 << (64 - bits), "hash") | ef.encode(total, int(total[-1]) + 1, "total"))
-        return pa.table({"shard": pa.array([group.column("shard")[0].as_py()], pa.int32()), "block": pa.array([0], pa.int32()), "blob": pa.array([blob], pa.binary())})
-
-    blob_ddl = "shard int, block int, blob binary"
-    name, where = _saved(sharded.groupBy("shard").applyInArrow(word_level, blob_ddl))
-    forget(counts)
-    words = Trie(Level(name, where, ()), None, bits, tuple(first), int(n), int(v))
-
-    packed, parts = words.v < _PACKED, int(n // SHARD) + 1
-
-    def dealt(contexts: list[np.ndarray], followers: list[np.ndarray]) -> pa.RecordBatch:
-        """The pairs' counts as a block of numbers for each part that has some."""
-        a, b = np.concatenate(contexts), np.concatenate(followers)
-        keys, times = _summed(a * words.v + b if packed else np.stack([a, b], 1), np.ones(len(a), np.int64))
-        mixed = (keys if packed else keys[:, 0] * 31 + keys[:, 1]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        part = ((mixed >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.uint16 if parts < 1 << 16 else np.uint32)
-        order = np.argsort(part, kind="stable")
-        blocks = [x for x in np.split(order, np.flatnonzero(np.diff(part[order])) + 1) if len(x)]
-        return pa.RecordBatch.from_arrays(
-            [pa.array([int(part[x[0]]) for x in blocks], pa.int32()), pa.array([keys[x].tobytes() for x in blocks], pa.binary()), pa.array([times[x].tobytes() for x in blocks], pa.binary())], ["part", "keys", "times"]
-        )
+            for row in batch.to_pylist():
+                block = Block(row)
+                contexts, codes = block.entries(level)
+                codes = np.sort(codes * 2 + np.repeat(block.held, block.sizes))
+                first = _starts(codes >> 1)
+                every = np.diff(first, append=len(codes))
+                train = every - np.add.reduceat(codes & 1, first)
+                rows = []
+                for part, hot, own, context, word in block.split(level, contexts, codes[first] >> 1, frequent, parts):
+                    begins = _starts(context)
+                    rows.append({"part": part, "block": row["block"], "hot": hot, "context": _order(context[begins], hot), "runs": packed(np.diff(begins, append=len(context))), "word": packed(word), "every": packed(every[own]), "train": packed(train[own])})
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    def pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, contexts, followers, size = Words(Reader(words)), [], [], 0
-        for batch in batches:
-            for _, tokens in _chunks(column(batch, "text")):
-                ids, c, context = known.look_up(tokens)
-                frequent = c >= LEAST_PAIR  # a pair is no more frequent than its words
-                before = np.concatenate([[True], frequent[:-1]])
-                before[np.cumsum([0, *map(len, tokens[:-1])])] = True
-                contexts.append(context[on := np.flatnonzero(frequent & before)])
-                followers.append(ids[on])
-                size += len(on)
-                if size >= _SUMMED:
-                    yield dealt(contexts, followers)
-                    contexts, followers, size = [], [], 0
-        if size:
-            yield dealt(contexts, followers)
-
-    starts = np.array(first, np.int64)
-
-    def merged(group: pa.Table) -> pa.Table:
-        """Pairs of one part of all tasks, summed up."""
-        joined = [np.frombuffer(b"".join(group.column(x).to_pylist()), np.int64) for x in ("keys", "times")]
-        keys, c = _summed(joined[0] if packed else joined[0].reshape(-1, 2), joined[1])
-        keys, c = keys[c >= LEAST_PAIR], c[c >= LEAST_PAIR]
-        a, b = (keys // words.v, keys % words.v) if packed else (keys[:, 0], keys[:, 1])
-        shard = (np.searchsorted(starts, a, "right") - 1).astype(np.int32)
-        return pa.table({"shard": shard, "context": a, "word": b, "c": c})
-
-    # A task's pairs leave it as a block of numbers for each part, of which there are as many as the corpus needs for parts of
-    # SHARD tokens: a part is a bounded piece, whatever the corpus.
-    found = _wanted(docs).mapInArrow(pairs_of, "part int, keys binary, times binary")
-    pairs = stored(found.groupBy("part").applyInArrow(merged, "shard int, context long, word long, c long"))
-    held = {r.shard: r.n for r in pairs.groupBy("shard").agg(F.count("*").alias("n")).toLocalIterator()}
-    # a shard's pairs are cut by the word's id, so that a very frequent context is in all of its blocks
-    blocks = tuple(max(1, -(-held.get(s, 0) // SHARD)) for s in range(1 << bits))
-    by_shard = F.create_map(*[x for s, b in enumerate(blocks) for x in (F.lit(s), F.lit(b))])
-    blocked = pairs.withColumn("block", F.floor(F.col("word") * by_shard[F.col("shard")] / F.lit(words.v)).cast("int"))
-
-    def coded(values: np.ndarray) -> dict[str, np.ndarray]:
-        """256 centres at equal shares of the values, and each value's nearest."""
-        book = np.unique(np.quantile(values, (np.arange(256) + 0.5) / 256)) if len(values) else np.zeros(1)
-        return {"book": book, "code": np.searchsorted((book[1:] + book[:-1]) / 2, values).astype(np.uint8)}
-
-    width = [sizes.get(s, 0) for s in range(1 << bits)]
-
-    def pair_level(group: pa.Table) -> pa.Table:
-        s, b = group.column("shard")[0].as_py(), group.column("block")[0].as_py()
-        reader = Reader(words)
-        context, word, c = (group.column(x).to_numpy() for x in ("context", "word", "c"))
-        order = np.lexsort((word, context))
-        context, word, c = context[order], word[order], c[order]
-        distinct, at_first, back = np.unique(context, return_index=True, return_inverse=True)
-        times = reader.by_id(distinct)
-        share = (c - DISCOUNT) / times[back]
-        weight = (1 - group.column("mass").to_numpy()[order][at_first] / times)[back]
-        known, at = np.unique(word, return_inverse=True)
-        p = share + np.maximum(weight, 1e-9) * 10 ** reader.log_unigram(reader.by_id(known))[at]
-        local = context - first[s]
-        pointer = np.searchsorted(local, np.arange(width[s] + 1))
-        blob = ef.pack(ef.encode(local * words.v + word, width[s] * words.v, "child") | ef.encode(pointer, len(c) + 1, "pointer") | coded(np.log10(p)))
-        return pa.table({"shard": pa.array([s], pa.int32()), "block": pa.array([b], pa.int32()), "blob": pa.array([blob], pa.binary())})
-
-    def backoff_level(group: pa.Table) -> pa.Table:
-        s = group.column("shard")[0].as_py()
-        reader = Reader(words)
-        context = group.column("context").to_numpy()
-        left = np.zeros(width[s])
-        weight = 1 - group.column("mass").to_numpy() / reader.by_id(context)
-        left[context - first[s]] = np.log10(np.maximum(weight, 1e-9))
-        return pa.table({"shard": pa.array([s], pa.int32()), "block": pa.array([-1], pa.int32()), "blob": pa.array([ef.pack(coded(left))], pa.binary())})
-
-    mass = stored(pairs.groupBy("shard", "context").agg(F.sum(F.col("c") - DISCOUNT).alias("mass")))
-    levels = blocked.join(mass.drop("shard"), "context").groupBy("shard", "block").applyInArrow(pair_level, blob_ddl).union(mass.groupBy("shard").applyInArrow(backoff_level, blob_ddl))
-    name, where = _saved(levels)
-    forget(pairs)
-    forget(mass)
-    return Trie(words.words, Level(name, where, blocks), bits, tuple(first), int(n), int(v))
-
-
-def scored(docs: DataFrame, trie: Trie) -> DataFrame:
-    """(doc_id, text) -> (doc_id, n_tokens, n_known, train_tokens, base_score, score), a row for each row.
-
-    A null or empty text is one end. Without training tokens every probability is 1.
+    return blocks.mapInArrow(run, "part long, block long, hot int, context binary, runs binary, word binary, every binary, train binary")
+
+
+def _order(x: np.ndarray, hot: int) -> bytes:
+    return packed(x) if hot else packed_rising(x)
+
+
+def _served(requests: DataFrame, level: int, least: int, shared, keep: bool) -> DataFrame:
+    """A level: each part merges its counts into a shard, and answers its blocks from it.
+
+    Rows by kind. 0: a block's codes (level 1: training counts) in the order of its request; 1: an n-gram of `least` tokens or more as a
+    context of the next level (its hash, all and training tokens); 2: a part's tokens and words; 3, with keep: the shard.
     """
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(trie)
-        known = Words(reader)
-        for batch in batches:
-            doc_ids = batch.column(0)
-            for start, tokens in _chunks(column(batch, "text")):
-                sizes = np.array([len(x) for x in tokens])
-                ids, counts, context = known.look_up(tokens)
-                doc = np.repeat(np.arange(len(tokens)), sizes)
-                base = reader.log_unigram(counts)
-                order = np.argsort((context + 1) * (trie.v + 1) + ids + 1) if trie.v < _PACKED else np.lexsort((ids, context))
-                a, b = context[order], ids[order]
-                first = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-                p = np.empty(len(ids))
-                one = order[first]
-                p[order] = np.repeat(reader.log_pairs(context[one], ids[one], counts[one]), np.diff(np.flatnonzero(first), append=len(ids)))
-                total = lambda x: np.bincount(doc, x, len(tokens))
-                yield pa.RecordBatch.from_arrays([doc_ids.slice(start, len(tokens)), pa.array(sizes.astype(np.int64)), pa.array(total(counts > 0).astype(np.int64)), pa.array(np.full(len(tokens), trie.n, np.int64)), pa.array(total(base)), pa.array(total(p))], schema=schema)
-
-    return _wanted(docs).mapInArrow(run, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    def serve(group: pa.Table) -> pa.Table:
+        rows = group.to_pylist()
+        contexts = [(unpacked if r["hot"] else unpacked_rising)(r["context"]) for r in rows]
+        runs = [unpacked(r["runs"]).astype(np.int64) for r in rows]
+        words = [unpacked(r["word"]) for r in rows]
+        context = np.concatenate([np.repeat(c, n) for c, n in zip(contexts, runs)])
+        word = np.concatenate(words) if level > 1 else np.zeros(len(context), np.uint64)
+        every, train = (np.concatenate([unpacked(r[x]) for r in rows]).astype(np.int64) for x in ("every", "train"))
+        order = np.lexsort((word, context)) if level > 1 else np.argsort(context)
+        context, word = context[order], word[order]
+        first = np.flatnonzero(np.concatenate([[True], (context[1:] != context[:-1]) | (word[1:] != word[:-1])]))
+        every, train = np.add.reduceat(every[order], first), np.add.reduceat(train[order], first)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.repeat(np.arange(len(first)), np.diff(first, append=len(order)))
+        context, word = context[first], word[first]
+        seen = np.flatnonzero(train)
+        begins = _starts(context[seen])
+        total = np.repeat(np.add.reduceat(train[seen], begins), np.diff(begins, append=len(seen))) if len(seen) else train[:0]
+        split = shared.value
+        if len(split.keys) and len(seen):
+            i = np.minimum(np.searchsorted(split.keys, context[seen]), len(split.keys) - 1)
+            total = np.where(split.keys[i] == context[seen], split.counts[i], total)
+        blob = build_level(level, context[seen], word[seen], train[seen], total)
+        shard, part = Level(blob), rows[0]["part"]
+        blank = {"level": level, "part": part, "block": 0, "hot": 0, "a": None, "g": None, "key": 0, "n": 0, "m": 0}
+        out, at = [blank | {"kind": 2, "n": int(train.sum()), "m": len(seen)}], 0
+        if level == 1:
+            answers = shard.counts(context)
+        else:
+            starts = _starts(context)
+            answers, rest = shard.probabilities(context[starts], np.diff(starts, append=len(context)), word)
+            if len(split.keys):  # a split context's successors here may all be unseen ones
+                i = np.minimum(np.searchsorted(split.keys, context[starts]), len(split.keys) - 1)
+                whole = np.where(split.keys[i] == context[starts], split.counts[i], 0)
+                rest = np.where(whole > 0, _coded(WEIGHT[level] / (whole + WEIGHT[level])), rest)
+            of = np.repeat(np.arange(len(starts)), np.diff(starts, append=len(context)))
+        for r, n in zip(rows, runs):
+            size = int(n.sum())
+            own = place[at : at + size]
+            at += size
+            weights = packed(rest[of[own[np.cumsum(n) - n]]]) if level > 1 else None
+            out.append(blank | {"kind": 0, "block": r["block"], "hot": r["hot"], "a": packed(answers[own]), "g": weights})
+        if level < 3:
+            many = np.flatnonzero(every >= least)
+            keys = context[many] if level == 1 else pair_hash(context[many], word[many])
+            out += [blank | {"kind": 1, "key": int(k), "n": int(e), "m": int(t)} for k, e, t in zip(keys.view(np.int64), every[many], train[many])]
+        if keep:
+            out.append(blank | {"kind": 3, "a": blob})
+        return pa.Table.from_pylist(out, schema=_SERVED_SCHEMA)
+
+    return requests.groupBy("part").applyInArrow(serve, _SERVED)
+
+
+_SERVED_SCHEMA = pa.schema([("kind", pa.int32()), ("level", pa.int32()), ("block", pa.int64()), ("part", pa.int64()), ("hot", pa.int32()), ("a", pa.binary()), ("g", pa.binary()), ("key", pa.int64()), ("n", pa.int64()), ("m", pa.int64())])
+
+
+@dataclass(frozen=True)
+class Trained:
+    """What the levels' tables are, and the numbers that scoring needs: parts of a level, tokens and words of training, split contexts."""
+
+    tables: list[DataFrame]
+    parts: int
+    n: int
+    v: int
+    frequent: list
+
+
+def trained(blocks: DataFrame, keep: bool = False) -> Trained:
+    """The levels of orders 1 to 3 over all training texts of the blocks, each answering all blocks."""
+    sc = blocks.sparkSession.sparkContext
+    every, docs = blocks.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.size(F.filter("held", lambda x: ~x))), F.lit(0))).first()
+    parts, least = max(16, every // SHARD + 1), max(SHARD // 4, every // FREQUENT)
+    shared, tables, frequent, n, v = sc.broadcast(Frequent(np.zeros(0, np.uint64), np.zeros(0, np.int64))), [], [], 0, 0
+    for level in (1, 2, 3):
+        served = stored(_served(_requests(blocks, level, parts, shared), level, least, shared, keep))
+        tables.append(served)
+        frequent.append(shared)
+        if level == 1:
+            n, v = served.where("kind = 2").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("m"), F.lit(0))).first()
+        if level < 3:  # FREQUENT rows at most, as each has a millionth of all tokens
+            rows = [(r.key, r.m) for r in served.where("kind = 1").select("key", "m").toLocalIterator()]
+            start = pair_hash(np.array([_END]), np.array([_END >> np.uint64(16)])).view(np.int64)
+            if level == 2 and docs >= least:  # no pair, but the context of every first token
+                rows = [x for x in rows if x[0] != int(start[0])] + [(int(start[0]), docs)]
+            keys, counts = np.array([x for x, _ in rows], np.int64).view(np.uint64), np.array([x for _, x in rows], np.int64)
+            order = np.argsort(keys)
+            shared = sc.broadcast(Frequent(keys[order], counts[order]))
+    return Trained(tables, int(parts), int(n), int(v), frequent)
+
+
+def levels(docs: DataFrame) -> DataFrame:
+    """(level, part, blob): the shards of the trie over all docs, a table in the shared folder. Level opens a blob."""
+    blocks = stored(blocks_of(docs, F.lit(False)))
+    model = trained(blocks, True)
+    kept = [t.where("kind = 3").select("level", "part", F.col("a").alias("blob")) for t in model.tables]
+    return kept[0].union(kept[1]).union(kept[2])
+
+
+_SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+
+
+def scored(docs: DataFrame, held: Column) -> DataFrame:
+    """(doc_id, text) -> (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), a row for each row.
+
+    The model learns from the rows that held (null: false) doesn't hold out. A null or empty text is one end. Rows without a doc_id and
+    repeated rows count and score like any other. Without training tokens every probability is 1. No text or model goes to
+    the driver or to every task: blocks of texts send their n-grams to the shards and get codes back.
+    """
+    blocks = stored(blocks_of(docs, held), "zstd")
+    model = trained(blocks)
+    n, v, parts, frequent = model.n, model.v, model.parts, model.frequent
+
+    def score(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        if not len(left):
+            return _SCORED.empty_table()
+        row = left.to_pylist()[0]
+        block = Block(row)
+        answers = {(r["level"], r["part"], r["hot"]): (r["a"], r["g"]) for r in right.to_pylist()}
+        p, counts = None, None
+        for level in (1, 2, 3):
+            contexts, codes = block.entries(level)
+            distinct, at = np.unique(codes, return_inverse=True)
+            found, weight = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
+            for part, hot, own, context, _ in block.split(level, contexts, distinct, frequent[level - 1].value.keys, parts):
+                a, g = answers[level, part, hot]
+                found[own] = unpacked(a)
+                if g is not None:
+                    weight[own] = np.repeat(unpacked(g), np.diff(_starts(context), append=len(context)))
+            if level == 1:
+                counts = found[at]
+                p = (counts + 1.0) / (n + v + 1.0)
+            else:
+                p = _VALUE[found][at] + np.where(weight == 0, 1.0, _VALUE[weight])[at] * p
+        doc = np.repeat(np.arange(len(block.sizes)), block.sizes)
+        total = lambda x: np.bincount(doc, x, len(block.sizes))
+        base = np.log10(counts + 1.0) - np.log10(n + v + 1.0)
+        return pa.Table.from_arrays(
+            [pa.array(row["doc_ids"], pa.int64()), pa.array(row["held"]), pa.array(block.sizes), pa.array(total(counts > 0).astype(np.int64)), pa.array(np.full(len(block.sizes), n, np.int64)), pa.array(total(base)), pa.array(total(np.log10(p)))], schema=_SCORED
+        )
+
+    answers = [t.where("kind = 0").select("block", "level", "part", "hot", "a", "g") for t in model.tables]
+    both = blocks.groupBy("block").cogroup(answers[0].union(answers[1]).union(answers[2]).groupBy("block"))
+    out = stored(both.applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"))
+    for t in [blocks, *model.tables]:
+        forget(t)
+    return out
 
 
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    trie = train(docs.where(~held_out(7)))
-    return scored(docs, trie).select("doc_id", held_out(7).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return scored(table(spark, sf_dir, "documents").select("doc_id", "text"), held_out(7))
