@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from colinear.llm import decontaminate as dc
 from colinear.llm import elias_fano as ef
 from colinear.llm import html_text, langid, licenses, linededup, near_dedup, ngram_lm, pieces, quality_model, quality_rules, simhash
-from colinear.llm.words import alnum, plain, shingle_hashes
+from colinear.llm.words import alnum, hashed_words, plain, shingle_hashes
 
 WORDS = "the of and a in to is on by at it fox river stone cloud paper garden winter music lamp road bridge forest table window letter".split()
 #: Every operator is run on these: nulls, empty, no words, one word, ties, repeated rows, very long, odd characters.
@@ -619,48 +619,80 @@ def test_elias_fano(values, universe):
     assert there.tolist() == [int(x) in set(values) for x in q.tolist()]
 
 
-@pytest.mark.parametrize("packed", [3_000_000_000, 0])
-def test_lm(spark, edge, monkeypatch, packed):
-    monkeypatch.setattr(ngram_lm, "SHARD", 40)
-    monkeypatch.setattr(ngram_lm, "_PACKED", packed)
+def lm_brute(rows, held):
+    """(n_known, train tokens, base, score) of each text: counts of orders 1 to 3, probabilities without quantisation."""
+    tokens = [[*plain((t or "").encode()), b"\n"] for t in rows]
+    one, two, three = Counter(), Counter(), Counter()
+    for t, out in zip(tokens, held):
+        if not out:
+            full = [b"\n", b"\n", *t]
+            one.update(t)
+            two.update(zip(full[1:], t))
+            three.update(zip(full, full[1:], t))
+    after = {2: Counter(), 3: Counter()}
+    for g, c in [*two.items(), *three.items()]:
+        after[len(g)][g[:-1]] += c
+    n, v, scores = sum(one.values()), len(one), []
+    for t in tokens:
+        full, score = [b"\n", b"\n", *t], 0.0
+        for a, b, w in zip(full, full[1:], t):
+            p = (one[w] + 1) / (n + v + 1)
+            for g, counts in (((b, w), two), ((a, b, w), three)):
+                weight = ngram_lm.WEIGHT[len(g)]
+                p = (counts[g] + weight * p) / (after[len(g)][g[:-1]] + weight)
+            score += math.log10(p)
+        scores.append((sum(w in one for w in t), n, sum(math.log10((one[w] + 1) / (n + v + 1)) for w in t), score))
+    return scores
+
+
+@pytest.mark.parametrize("frequent", [False, True])
+def test_lm_against_brute_force(spark, monkeypatch, frequent):
+    monkeypatch.setattr(ngram_lm, "BLOCK", 300)
+    if frequent:  # many contexts are split by their successors
+        monkeypatch.setattr(ngram_lm, "SHARD", 40)
     r = random.Random(12)
-    rows = [(i, text(r, r.randrange(0, 60))) for i in range(120)] + [(200, None), (5, "x"), (None, "the fox")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    tokens = [[*plain((t or "").encode()), b"\n"] for _, t in rows]
-    out = [d is not None and zlib.crc32(str(d).encode()) % 7 == 2 for d, _ in rows]
-    c, c2 = Counter(), Counter()
-    for t, held in zip(tokens, out):
-        if not held:
-            c.update(t)
-            c2.update(zip([b"\n", *t[:-1]], t))
-    n, v, mass = sum(c.values()), len(c), defaultdict(float)
-    kept = {k: x for k, x in c2.items() if x >= ngram_lm.LEAST_PAIR}
-    for (a, _), x in kept.items():
-        mass[a] += x - ngram_lm.DISCOUNT
-    trie = ngram_lm.train(docs.where(~langid.held_out(7)))
-    got = {(x.doc_id, x.n_tokens): x for x in ngram_lm.scored(docs, trie).collect()}
-    for (d, _), t in zip(rows, tokens):
-        g = got[d, len(t)]
-        base = sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t)
-        score = 0.0
-        for a, b in zip([b"\n", *t[:-1]], t):
-            p = (1 - mass[a] / c[a] if c[a] else 1) * (c[b] + 1) / (n + v + 1)
-            score += math.log10(p + (kept[a, b] - ngram_lm.DISCOUNT) / c[a] if (a, b) in kept else p)
-        assert (g.n_known, g.train_tokens) == (sum(w in c for w in t), n) and g.base_score == pytest.approx(base)
-        assert g.score == pytest.approx(score, abs=0.05 * len(t))  # quantised
-    assert ngram_lm.scored(edge, trie).count() == len(EDGE)
-    nothing = ngram_lm.train(docs.where("1 = 0"))
-    assert {(x.n_known, x.base_score, x.score) for x in ngram_lm.scored(docs, nothing).collect()} == {(0, 0.0, 0.0)}
-
-
-def test_lm_keeps_pairs_seen_once(spark):
-    docs = spark.createDataFrame([(1, "the fox"), (2, "the stone"), (3, "a river")], "doc_id long, text string")
-    trie = ngram_lm.train(docs)
-    got = {x.doc_id: x.score for x in ngram_lm.scored(spark.createDataFrame([(1, "a river"), (2, "a stone")], "doc_id long, text string"), trie).collect()}
-    n, v = 9, 6
-    known = (1 - 0.75) / 1 + 0.75 * 2 / (n + v + 1)  # river after a, seen once
-    unknown = 0.75 * 2 / (n + v + 1)
-    assert got[1] - got[2] == pytest.approx(math.log10(known / unknown), abs=0.1)
+    rows = [(i, " ".join(r.choice(WORDS[:9]) for _ in range(r.randrange(0, 60)))) for i in range(160)] + [(200, None), (5, "x"), (5, "x"), (None, "the fox"), (201, "Ünï " * 40 + "w" * 700)]
+    held = [d is not None and zlib.crc32(str(d).encode()) % 7 == 2 for d, _ in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("block", F.lit("z")).repartition(5)
+    got = sorted((x.doc_id or -1, x.held_out, x.n_tokens, x.n_known, x.train_tokens, round(x.base_score, 4), x.score) for x in ngram_lm.scored(docs, langid.held_out(7)).collect())
+    want = sorted((d or -1, out, len(plain((t or "").encode())) + 1, x[0], x[1], round(x[2], 4), x[3]) for (d, t), out, x in zip(rows, held, lm_brute([t for _, t in rows], held)))
+    assert [x[:6] for x in got] == [x[:6] for x in want]
+    assert all(abs(a[6] - b[6]) < 1e-3 * a[2] for a, b in zip(got, want))
+
+
+def test_lm_edges(spark, edge):
+    assert ngram_lm.scored(edge, langid.held_out(7)).count() == len(EDGE)
+    assert ngram_lm.scored(edge.where("1 = 0"), langid.held_out(7)).count() == 0
+    assert {(x.n_known, x.base_score, x.score) for x in ngram_lm.scored(edge, F.lit(True)).collect()} == {(0, 0.0, 0.0)}
+
+
+def test_lm_levels(spark):
+    shards = ngram_lm.levels(spark.createDataFrame([(1, "the fox"), (2, "the stone")], "doc_id long, text string")).collect()
+    words, counts = hashed_words([b"the fox stone river"])
+    found = sum(ngram_lm.Level(x.blob).counts(words) for x in shards if x.level == 1)
+    assert found.tolist() == [2, 1, 1, 0] and {x.level for x in shards} == {1, 2, 3}
+    met = [ngram_lm.Level(x.blob).probabilities(words[:1], np.array([2]), words[1:4:2] >> np.uint64(16)) for x in shards if x.level == 2]
+    part, rest = sum(x[0].astype(int) for x in met), sum(x[1].astype(int) for x in met)
+    w = ngram_lm.WEIGHT[2]
+    assert ngram_lm._VALUE[part].tolist() == pytest.approx([1 / (2 + w), 0], rel=1e-3) and ngram_lm._VALUE[rest].tolist() == pytest.approx([w / (2 + w)], rel=1e-3)
+
+
+@settings(max_examples=50, deadline=None)
+@given(hs.lists(hs.integers(0, 2**64 - 1), max_size=30))
+def test_packed_numbers(values):
+    x = np.array(values, np.uint64)
+    assert ngram_lm.unpacked(ngram_lm.packed(x)).tolist() == values
+    assert ngram_lm.unpacked_rising(ngram_lm.packed_rising(np.sort(x))).tolist() == sorted(values)
+
+
+def test_hashed_words():
+    texts = [None, b"", b" A b\tC\n", b"x" * 300, b"x" * 299 + b"y", b"y" + b"x" * 299, b"a b c a"]
+    hashes, counts = ngram_lm.hashed_words(texts)
+    assert counts.tolist() == [len(plain(t)) for t in texts]
+    by = defaultdict(set)
+    for w, h in zip([w for t in texts for w in plain(t)], hashes.tolist()):
+        by[w].add(h)
+    assert all(len(x) == 1 for x in by.values()) and len({min(x) for x in by.values()}) == len(by)
 
 
 # the pipeline
