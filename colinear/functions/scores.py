@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def centred(score: Column, center: float) -> Column:
-    """Scores scaled so that their mean over all rows is `center`."""
-    return score * (F.lit(float(center)) / F.avg(score).over(Window.partitionBy()))
+def centred(score: Column, mean: Column, center: float) -> Column:
+    """Scores scaled so that their mean is `center`."""
+    return score * (F.lit(float(center)) / mean)
 
 
 def two_proportion_z(x1: Column, n1: Column, x2: Column, n2: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -69,10 +70,24 @@ def _pairs(left: DataFrame, right: DataFrame | None, weights: DataFrame | None,
 
 
 def _each(batch: pa.RecordBatch) -> Iterator[tuple[list[int], list[int], list[float]]]:
-    """Anchors of each pair, in one order whatever the order of its motifs."""
-    for motifs in batch.column(batch.schema.get_field_index("m")).to_pylist():
-        found = sorted((a, c, m["weight"]) for m in motifs for a in m["as"] for c in m["cs"])
-        yield [x[0] for x in found], [x[1] for x in found], [x[2] for x in found]
+    """Anchors of each pair, in one order whatever the order of its motifs; all products of a batch's position lists at once."""
+    listed = batch.column(batch.schema.get_field_index("m"))
+    motifs = listed.flatten()
+    a, c, w = motifs.field("as"), motifs.field("cs"), motifs.field("weight").to_numpy(zero_copy_only=False)
+    sizes = lambda x: x.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    na, nc, n = sizes(a), sizes(c), sizes(listed)
+    each = na * nc
+    of = np.repeat(np.arange(len(each)), each)
+    k = np.arange(len(of)) - np.repeat(np.cumsum(each) - each, each)
+    x = a.flatten().to_numpy()[(np.cumsum(na) - na)[of] + k // nc[of]].astype(np.int64)
+    y = c.flatten().to_numpy()[(np.cumsum(nc) - nc)[of] + k % nc[of]].astype(np.int64)
+    pair = np.repeat(np.arange(len(n)), n)[of]
+    v = w[of].astype(float)
+    order = np.lexsort((v, y, x, pair))
+    ends = np.cumsum(np.bincount(pair, minlength=len(n)))
+    x, y, v = x[order].tolist(), y[order].tolist(), v[order].tolist()
+    for begin, end in zip([0, *ends[:-1].tolist()], ends.tolist()):
+        yield x[begin:end], y[begin:end], v[begin:end]
 
 
 def global_chains(left: DataFrame, right: DataFrame | None = None, weights: DataFrame | None = None, missing: float | None = None) -> DataFrame:

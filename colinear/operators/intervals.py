@@ -5,17 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from colinear.operators.stretches import carried, dealt, within
+
 #: Bases in a bin of the range joins.
 BIN = 4096
 
 
 def union(intervals: DataFrame, touching: bool = False) -> DataFrame:
     """Islands (chrom, start_pos, stop_pos) of the covered bases; touching: adjacent ones join too."""
-    reach = F.max("stop_pos").over(Window.partitionBy("chrom").orderBy("start_pos", "stop_pos").rowsBetween(Window.unboundedPreceding, -1))
+    rows = carried(dealt(intervals.select("chrom", "start_pos", "stop_pos")), "chrom", {"stop": F.max("stop_pos")}, {"_stop": F.max("_t_stop")})
+    ordered = within("chrom").orderBy("start_pos", "stop_pos")
+    reach = F.greatest("_stop", F.max("stop_pos").over(ordered.rowsBetween(Window.unboundedPreceding, -1)))
     apart = F.col("start_pos") > reach + (1 if touching else 0)
-    ordered = Window.partitionBy("chrom").orderBy("start_pos", "stop_pos")
-    islands = intervals.select("chrom", "start_pos", "stop_pos", F.coalesce(apart.cast("int"), F.lit(1)).alias("new")).withColumn("island", F.sum("new").over(ordered))
-    return islands.groupBy("chrom", "island").agg(F.min("start_pos").alias("start_pos"), F.max("stop_pos").alias("stop_pos")).drop("island")
+    opened = rows.select("chrom", "start_pos", "stop_pos", "_b", F.coalesce(apart.cast("int"), F.lit(1)).alias("new"))
+    islands = carried(opened, "chrom", {"new": F.sum("new")}, {"_new": F.sum("_t_new")})
+    island = F.sum("new").over(ordered.rowsBetween(Window.unboundedPreceding, 0)) + F.coalesce("_new", F.lit(0))
+    return islands.withColumn("island", island).groupBy("chrom", "island").agg(F.min("start_pos").alias("start_pos"), F.max("stop_pos").alias("stop_pos")).drop("island")
 
 
 def difference(first: DataFrame, second: DataFrame) -> DataFrame:
@@ -26,8 +31,11 @@ def difference(first: DataFrame, second: DataFrame) -> DataFrame:
         rows = side.select("chrom", F.col("start_pos").alias("at"), *d(1)).union(side.select("chrom", F.col("stop_pos") + 1, *d(-1)))
         ends = rows if ends is None else ends.union(rows)
     steps = ends.groupBy("chrom", "at").agg(F.sum("d0").alias("d0"), F.sum("d1").alias("d1"))
-    w = Window.partitionBy("chrom").orderBy("at")
-    swept = steps.select("chrom", "at", F.sum("d0").over(w).alias("on0"), F.sum("d1").over(w).alias("on1"), F.lead("at").over(w).alias("next"))
+    w = within("chrom").orderBy("at")
+    steps = carried(dealt(steps, "at"), "chrom", {"d0": F.sum("d0"), "d1": F.sum("d1")}, {"_d0": F.sum("_t_d0"), "_d1": F.sum("_t_d1")})
+    steps = carried(steps, "chrom", {"at": F.min("at")}, {"_next": F.min("_t_at")}, backwards=True)
+    on = lambda k: (F.sum(f"d{k}").over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.coalesce(f"_d{k}", F.lit(0))).alias(f"on{k}")
+    swept = steps.select("chrom", "at", on(0), on(1), F.coalesce(F.lead("at").over(w), "_next").alias("next"))
     left = swept.where("on0 > 0 and on1 = 0 and next > at").select("chrom", F.col("at").alias("start_pos"), (F.col("next") - 1).alias("stop_pos"))
     return union(left, touching=True)
 
@@ -77,7 +85,24 @@ def best_overlap(regions: DataFrame, genes: DataFrame) -> DataFrame:
     return top.select("acr", "m.gene", (-F.col("m.minus")).alias("overlap"))
 
 
-def sliced(regions: DataFrame, genome: DataFrame) -> DataFrame:
-    """Adds seq, the region's bases, by chromosome (id, seq)."""
-    g = genome.select(F.col("id").alias("chrom"), F.col("seq").alias("_whole"))
-    return regions.join(g, "chrom").withColumn("seq", F.substring("_whole", F.col("start_pos"), F.col("stop_pos") - F.col("start_pos") + 1)).drop("_whole")
+#: Bases of a genome block.
+BLOCK = 1 << 16
+
+
+def genome_blocks(genome: DataFrame, size: int = BLOCK) -> DataFrame:
+    """(chrom, block, bases) of chromosomes (id, seq): what regions join is a block, not a chromosome."""
+    n = F.floor((F.greatest(F.length("seq"), F.lit(1)) - 1) / size)
+    blocks = genome.select(F.col("id").alias("chrom"), "seq", F.explode(F.sequence(F.lit(0).cast("long"), n)).alias("block"))
+    return blocks.select("chrom", "block", F.substring(F.col("seq"), (F.col("block") * size + 1).cast("int"), F.lit(size)).alias("bases"))
+
+
+def sliced(regions: DataFrame, genome: DataFrame, name: str = "seq", size: int = BLOCK) -> DataFrame:
+    """Adds the region's bases (chrom, start_pos, stop_pos; 1-based, inclusive), from chromosomes (id, seq); those off a
+    chromosome's end are left out, and so are regions of other chromosomes."""
+    wanted = regions.select("chrom", "start_pos", "stop_pos").distinct()
+    first, last = F.floor((F.greatest("start_pos", F.lit(1)) - 1) / size), F.floor((F.greatest("stop_pos", "start_pos", F.lit(1)) - 1) / size)
+    met = wanted.withColumn("block", F.explode(F.sequence(first, last))).join(genome_blocks(genome, size), ["chrom", "block"])
+    begin, end = F.greatest(F.col("start_pos") - F.col("block") * size, F.lit(1)), F.least(F.col("stop_pos") - F.col("block") * size, F.lit(size))
+    piece = F.when(end >= begin, F.substring(F.col("bases"), begin.cast("int"), (end - begin + 1).cast("int"))).otherwise("")
+    pieces = met.groupBy("chrom", "start_pos", "stop_pos").agg(F.array_sort(F.collect_list(F.struct("block", piece.alias("p")))).alias("p"))
+    return regions.join(pieces.select("chrom", "start_pos", "stop_pos", F.array_join(F.transform("p", lambda x: x["p"]), "").alias(name)), ["chrom", "start_pos", "stop_pos"]).select(*regions.columns, name)

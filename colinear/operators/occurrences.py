@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from colinear.operators.stretches import carried, dealt, within
+
 
 def without_self_overlaps(occ: DataFrame, keys: list[str], span: F.Column, start: str = "start_pos") -> DataFrame:
     """Drops an occurrence if the next one of its keys starts within `span` bases of it."""
@@ -31,19 +33,24 @@ def with_breaks(occ: DataFrame, distance: int = 3000, compat: bool = False, star
 
     compat: a chromosome's first start counts as following position 10,000,000, as published; else it has no break.
     """
-    before = F.lag(start).over(Window.partitionBy("chrom").orderBy(start, "motif"))
+    rows = carried(dealt(occ, start), "chrom", {"last": F.max(start)}, {"_last": F.max("_t_last")})
+    before = F.coalesce(F.lag(start).over(within("chrom").orderBy(start, "motif")), "_last")
     gap = F.col(start) - (F.coalesce(before, F.lit(10_000_000)) if compat else before)
-    return occ.withColumn("break_before", F.coalesce(gap >= distance, F.lit(False)))
+    return rows.withColumn("break_before", F.coalesce(gap >= distance, F.lit(False))).drop("_b", "_last")
 
 
 def numbered(occ: DataFrame, group: str = "acr", start: str = "start_pos") -> DataFrame:
     """Adds pos: the 0-based rank of the start among the group's distinct starts."""
-    return occ.withColumn("pos", (F.dense_rank().over(Window.partitionBy(group).orderBy(start)) - 1).cast("int"))
+    rows = carried(dealt(occ, start), group, {"n": F.count_distinct(start)}, {"_n": F.sum("_t_n")})
+    rank = F.dense_rank().over(within(group).orderBy(start)) - 1
+    return rows.withColumn("pos", (rank + F.coalesce("_n", F.lit(0))).cast("int")).drop("_b", "_n")
 
 
 def indexed(occ: DataFrame, group: str = "chrom", start: str = "start_pos") -> DataFrame:
     """Adds idx: the 0-based row number in order of start, then motif."""
-    return occ.withColumn("idx", (F.row_number().over(Window.partitionBy(group).orderBy(start, "motif")) - 1).cast("int"))
+    rows = carried(dealt(occ, start), group, {"n": F.count("*")}, {"_n": F.sum("_t_n")})
+    place = F.row_number().over(within(group).orderBy(start, "motif")) - 1
+    return rows.withColumn("idx", (place + F.coalesce("_n", F.lit(0))).cast("int")).drop("_b", "_n")
 
 
 def encoded_motifs(occ: DataFrame, motif: str = "motif") -> DataFrame:

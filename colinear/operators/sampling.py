@@ -56,9 +56,10 @@ def random_regions(spark, lengths: DataFrame, n: int, low: int, high: int, seed:
 
 
 def matched_regions(sizes: DataFrame, lengths: DataFrame, seed: int) -> DataFrame:
-    """A random region for each (id, size); the same chromosome and start for the same id and seed."""
+    """A random region for each (id, size), by the keyed hash of the id; the same chromosome and start for the same id and seed."""
     k = lengths.count()
-    pick = lambda what, upto: F.pmod(F.xxhash64("id", F.lit(f"{what}{seed}")), upto)
+    number = lambda what: F.conv(F.substring(F.md5(F.concat(F.col("id").cast("string"), F.lit(f"/{what}{seed}"))), 1, 12), 16, 10).cast("long")
+    pick = lambda what, upto: F.pmod(number(what), upto)
     placed = sizes.withColumn("rank", pick("chrom", F.lit(k)).cast("int")).join(lengths, "rank").where(F.col("length") >= F.col("size"))
     start = (pick("start", F.col("length") - F.col("size") + 1) + 1).cast("int")
     stop = (start + F.col("size") - 1).cast("int")

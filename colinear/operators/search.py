@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from colinear.functions import kernels
 from colinear.functions.scores import extension_window, per_base
+from colinear.operators.intervals import sliced
 
 K, MULTIPLIER, MISMATCH, GAP, THRESHOLD = 4, 1.2, -1.0, -1.0, 20.0
 
@@ -111,7 +112,6 @@ def aligned_hits(hits: DataFrame, regions: DataFrame, genome: DataFrame, least:
 
     hits: acr, score, chrom, start_pos, stop_pos; regions: acr, a_seq (already turned for `_rev`); most: keep up to this.
     """
-    g = genome.select(F.col("id").alias("chrom"), F.col("seq").alias("_whole"))
-    cases = distinct_hits(hits, least).join(g, "chrom").withColumn("b_seq", F.substring("_whole", F.col("start_pos"), F.col("stop_pos") - F.col("start_pos") + 1)).drop("_whole").join(regions, "acr")
+    cases = sliced(distinct_hits(hits, least), genome, "b_seq").join(regions, "acr")
     out = aligned_pairs(cases, "b_seq", "a_seq", True).withColumn("align_score", per_base(F.col("align_score"), F.col("start_pos"), F.col("stop_pos"))).drop("a_seq", "b_seq")
     return out if most is None else out.where(F.col("align_score") <= most)

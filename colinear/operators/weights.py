@@ -38,4 +38,6 @@ def motif_scores(relevant: DataFrame, rarity: float = 0.0) -> DataFrame:
 
 def centred_scores(scores: DataFrame, center: float = 5.0) -> DataFrame:
     """(motif, score) with a mean of `center` over the distinct motifs."""
-    return scores.select("motif", "score").dropDuplicates(["motif"]).select("motif", centred(F.col("score"), center).alias("score"))
+    each = scores.select("motif", "score").dropDuplicates(["motif"])
+    mean = each.agg(F.avg("score").alias("_mean"))
+    return each.crossJoin(F.broadcast(mean)).select("motif", centred(F.col("score"), F.col("_mean"), center).alias("score"))  # one row

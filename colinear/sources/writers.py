@@ -2,10 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def _headed(lines: DataFrame, head: str) -> DataFrame:
+    """(value) with a head before the rows of each part file that has any."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = True
+        for batch in batches:
+            if batch.num_rows:
+                if first:
+                    yield pa.RecordBatch.from_pydict({"value": [head]}, schema=batch.schema)
+                first = False
+                yield batch
+
+    return lines.mapInArrow(run, "value string")
+
+
 def tsv(df: DataFrame, path: str, header: bool = False, mode: str = "errorifexists") -> None:
     df.write.mode(mode).option("sep", "\t").option("header", header).option("quote", "").option("emptyValue", "").csv(path)
 
@@ -27,8 +45,14 @@ def consensus_blocks(consensus: DataFrame, path: str, mode: str = "errorifexists
     motif_blocks(consensus.select(F.concat(F.lit("cluster_"), F.col("cluster").cast("string")).alias("acr"), F.col("tokens").alias("motifs")), path, mode)
 
 
-def search_hits(hits: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    tsv(hits, path, True, mode)
+def search_hits(hits: DataFrame, path: str, parameters: dict[str, object] | None = None, mode: str = "errorifexists") -> None:
+    """acr, score, chrom, start_pos, stop_pos[, align_score] as lines; each part file begins with a line of the search's parameters
+    and one of the columns' names, with `Alignment Score` for hits that are aligned."""
+    columns = ["acr", "score", "chrom", "start_pos", "stop_pos", *(["align_score"] if "align_score" in hits.columns else [])]
+    names = ["ACR", "Score", "Chromosome", "Start", "Stop", "Alignment Score"][: len(columns)]
+    value = F.concat_ws("\t", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
+    head = "\t".join(f"{k}={v}" for k, v in (parameters or {}).items()) + "\n" + "\t".join(names)
+    _headed(hits.select(value.alias("value")), head).write.mode(mode).text(path)
 
 
 def motif_scores(scores: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -71,9 +95,7 @@ def meme(motifs: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """(motif, pssm) as MEME text, six decimals; each part file has the head."""
     numbers = F.array_join(F.transform("pssm", lambda r: F.array_join(F.transform(r, lambda v: F.format_string("%.6f", v)), " ")), "\n")
     value = F.concat(F.lit("MOTIF "), F.col("motif").cast("string"), F.lit("\nletter-probability matrix: alength= 4 w= "), F.size("pssm").cast("string"), F.lit("\n"), numbers, F.lit("\n"))
-    rows = motifs.select(F.spark_partition_id().alias("p"), value.alias("value"))
-    heads = F.when(F.row_number().over(Window.partitionBy("p").orderBy("value")) == 1, F.concat(F.lit(MEME_HEAD + "\n"), F.col("value"))).otherwise(F.col("value"))
-    rows.select(heads.alias("value")).write.mode(mode).text(path)
+    _headed(motifs.select(value.alias("value")), MEME_HEAD).write.mode(mode).text(path)
 
 
 def fasta(sequences: DataFrame, path: str, mode: str = "errorifexists", files: int | None = None) -> None:
