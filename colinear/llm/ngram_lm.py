@@ -5,6 +5,7 @@ from __future__ import annotations
 import mmap
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,8 @@ from colinear.session import forget, stored, table
 WEIGHT = {2: 20.0, 3: 5.0}
 #: Tokens of a block of texts, and about as many entries as a shard of a level has.
 BLOCK, SHARD = 800_000, 1_000_000
+#: A level's parts are served in as many rounds, so that its n-grams aren't all on their way at once.
+ROUNDS = {1: 1, 2: 1, 3: 2}
 #: Contexts of SHARD / 4 tokens or more, and of a millionth of all at least, are split by their successors: a million at most.
 FREQUENT = 1_000_000
 _END = np.uint64(0x9E3779B97F4A7C15)  # the end of a text, a token
@@ -65,6 +68,17 @@ def _part(keys: np.ndarray, parts: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
+def _ordered(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Order by context, then word; contexts that occur once need no second key."""
+    order = np.argsort(context)
+    sorted_ = context[order]
+    again = np.concatenate([[False], sorted_[1:] == sorted_[:-1]])
+    again[:-1] |= again[1:]
+    many = order[again]
+    order[again] = many[np.lexsort((word[many], context[many]))]
+    return order
+
+
 def _starts(x: np.ndarray) -> np.ndarray:
     """Where runs of equal numbers begin."""
     return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
@@ -239,8 +253,8 @@ class Frequent:
     counts: np.ndarray
 
 
-def _requests(blocks: DataFrame, level: int, parts: int, shared) -> DataFrame:
-    """A row for each block and part: the block's distinct n-grams there, and how often they occur, in training too."""
+def _requests(blocks: DataFrame, level: int, parts: int, shared, turn: int) -> DataFrame:
+    """A row for each block and part of this turn: the block's distinct n-grams there, and how often they occur, in training too."""
     schema = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("hot", pa.int32()), *[(x, pa.binary()) for x in ("context", "runs", "word", "every", "train")]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,6 +269,8 @@ def _requests(blocks: DataFrame, level: int, parts: int, shared) -> DataFrame:
                 train = every - np.add.reduceat(codes & 1, first)
                 rows = []
                 for part, hot, own, context, word in block.split(level, contexts, codes[first] >> 1, frequent, parts):
+                    if part % ROUNDS[level] != turn:
+                        continue
                     begins = _starts(context)
                     rows.append({"part": part, "block": row["block"], "hot": hot, "context": _order(context[begins], hot), "runs": packed(np.diff(begins, append=len(context))), "word": packed(word), "every": packed(every[own]), "train": packed(train[own])})
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
@@ -281,7 +297,7 @@ def _served(requests: DataFrame, level: int, least: int, shared, keep: bool) ->
         context = np.concatenate([np.repeat(c, n) for c, n in zip(contexts, runs)])
         word = np.concatenate(words) if level > 1 else np.zeros(len(context), np.uint64)
         every, train = (np.concatenate([unpacked(r[x]) for r in rows]).astype(np.int64) for x in ("every", "train"))
-        order = np.lexsort((word, context)) if level > 1 else np.argsort(context)
+        order = _ordered(context, word)
         context, word = context[order], word[order]
         first = np.flatnonzero(np.concatenate([[True], (context[1:] != context[:-1]) | (word[1:] != word[:-1])]))
         every, train = np.add.reduceat(every[order], first), np.add.reduceat(train[order], first)
@@ -300,15 +316,26 @@ def _served(requests: DataFrame, level: int, least: int, shared, keep: bool) ->
         blank = {"level": level, "part": part, "block": 0, "hot": 0, "a": None, "g": None, "key": 0, "n": 0, "m": 0}
         out, at = [blank | {"kind": 2, "n": int(train.sum()), "m": len(seen)}], 0
         if level == 1:
-            answers = shard.counts(context)
+            answers = train.copy()
+            asked = np.flatnonzero(every > train)
+            answers[asked] = shard.counts(context[asked])
         else:
             starts = _starts(context)
-            answers, rest = shard.probabilities(context[starts], np.diff(starts, append=len(context)), word)
+            runs_ = np.diff(starts, append=len(context))
+            # training's own n-grams stand where they were put; what held-out texts ask for is searched
+            answers = np.zeros(len(context), np.uint16)
+            answers[seen] = shard.arrays["part"]
+            asked = np.flatnonzero(every > train)
+            first_asked = _starts(context[asked])
+            answers[asked], _ = shard.probabilities(context[asked][first_asked], np.diff(first_asked, append=len(asked)), word[asked])
+            known = np.add.reduceat(train, starts) > 0
+            rest = np.zeros(len(starts), np.uint16)
+            rest[known] = shard.arrays["rest"]
             if len(split.keys):  # a split context's successors here may all be unseen ones
                 i = np.minimum(np.searchsorted(split.keys, context[starts]), len(split.keys) - 1)
                 whole = np.where(split.keys[i] == context[starts], split.counts[i], 0)
                 rest = np.where(whole > 0, _coded(WEIGHT[level] / (whole + WEIGHT[level])), rest)
-            of = np.repeat(np.arange(len(starts)), np.diff(starts, append=len(context)))
+            of = np.repeat(np.arange(len(starts)), runs_)
         for r, n in zip(rows, runs):
             size = int(n.sum())
             own = place[at : at + size]
@@ -347,8 +374,9 @@ def trained(blocks: DataFrame, keep: bool = False) -> Trained:
     parts, least = max(16, every // SHARD + 1), max(SHARD // 4, every // FREQUENT)
     shared, tables, frequent, n, v = sc.broadcast(Frequent(np.zeros(0, np.uint64), np.zeros(0, np.int64))), [], [], 0, 0
     for level in (1, 2, 3):
-        served = stored(_served(_requests(blocks, level, parts, shared), level, least, shared, keep))
-        tables.append(served)
+        turns = [stored(_served(_requests(blocks, level, parts, shared, turn), level, least, shared, keep)) for turn in range(ROUNDS[level])]
+        served = reduce(DataFrame.union, turns)
+        tables += turns
         frequent.append(shared)
         if level == 1:
             n, v = served.where("kind = 2").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("m"), F.lit(0))).first()
@@ -367,8 +395,7 @@ def levels(docs: DataFrame) -> DataFrame:
     """(level, part, blob): the shards of the trie over all docs, a table in the shared folder. Level opens a blob."""
     blocks = stored(blocks_of(docs, F.lit(False)))
     model = trained(blocks, True)
-    kept = [t.where("kind = 3").select("level", "part", F.col("a").alias("blob")) for t in model.tables]
-    return kept[0].union(kept[1]).union(kept[2])
+    return reduce(DataFrame.union, [t.where("kind = 3").select("level", "part", F.col("a").alias("blob")) for t in model.tables])
 
 
 _SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
@@ -414,7 +441,7 @@ def scored(docs: DataFrame, held: Column) -> DataFrame:
         )
 
     answers = [t.where("kind = 0").select("block", "level", "part", "hot", "a", "g") for t in model.tables]
-    both = blocks.groupBy("block").cogroup(answers[0].union(answers[1]).union(answers[2]).groupBy("block"))
+    both = blocks.groupBy("block").cogroup(reduce(DataFrame.union, answers).groupBy("block"))
     out = stored(both.applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"))
     for t in [blocks, *model.tables]:
         forget(t)
