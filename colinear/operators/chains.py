@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colinear.functions import kernels
+from colinear.operators.sampling import ranked
 
 MATCH, MISMATCH, GAP = 5.0, -1.0, -1.0
 
@@ -44,15 +45,8 @@ def anchor_offsets(counts: DataFrame) -> DataFrame:
 
     Running sums within ranges of pairs, then over the ranges: no one task sees all pairs.
     """
-    from pyspark.sql import Window
-
-    placed = counts.withColumn("_b", F.pmod(F.xxhash64("acr1"), F.lit(64)))
-    inner = Window.partitionBy("_b").orderBy("acr1", "acr2").rowsBetween(Window.unboundedPreceding, 0)
-    running = placed.withColumn("_run", F.sum("n_anchors").over(inner))
-    totals = placed.groupBy("_b").agg(F.sum("n_anchors").alias("_t"))
-    before = totals.withColumn("_before", F.coalesce(F.sum("_t").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_t")
-    stop = F.col("_run") + F.col("_before")
-    return running.join(F.broadcast(before), "_b").select("acr1", "acr2", "n_anchors", (stop - F.col("n_anchors")).alias("first"), stop.alias("stop"))  # 64 rows
+    placed = ranked(counts, [F.col("acr1"), F.col("acr2")], "_rank", F.col("n_anchors"))
+    return placed.select("acr1", "acr2", "n_anchors", (F.col("_rank") - F.col("n_anchors")).alias("first"), F.col("_rank").alias("stop"))
 
 
 def weighted(occ: DataFrame, weights: DataFrame, missing: float | None = None) -> DataFrame:

@@ -97,7 +97,7 @@ def vector_distances(vectors: DataFrame, below: float, block: int = 512) -> Data
                 a, b = np.array([r["id"] for r in one["r1"]])[i], np.array([r["id"] for r in one["r2"]])[j]
                 keep = a < b if one["b1"] == one["b2"] else a != b
                 a, b, x = a[keep], b[keep], d[i, j][keep]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.maximum(x, 0.0))], ["id1", "id2", "distance"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.where(a < b, a, b).tolist()), pa.array(np.where(a < b, b, a).tolist()), pa.array(np.maximum(x, 0.0))], ["id1", "id2", "distance"])
 
     kind = dict(vectors.dtypes)["id"]
     return pairs.mapInArrow(run, f"id1 {kind}, id2 {kind}, distance double")

@@ -13,16 +13,17 @@ def keyed_order(key: Column, seed: int) -> Column:
     return F.md5(F.concat(key.cast("string"), F.lit(f"/{seed}")))
 
 
-def ranked(df: DataFrame, order: list[Column], name: str = "rank", parts: int = 256) -> DataFrame:
-    """Adds the 1-based place in order, by ranks within ranges of the first key and the counts before each range."""
+def ranked(df: DataFrame, order: list[Column], name: str = "rank", amount: Column | None = None, parts: int = 256) -> DataFrame:
+    """Adds the 1-based place in order, or the running sum of amount: within ranges of the order, and what lies before each range."""
+    amount = F.lit(1) if amount is None else amount
     keyed = df.withColumn("_o", F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)]))
     placed = keyed.repartitionByRange(parts, "_o").withColumn("_p", F.spark_partition_id())
-    local = placed.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy("_o")))
+    local = placed.withColumn("_a", amount).withColumn("_r", F.sum("_a").over(Window.partitionBy("_p").orderBy("_o").rowsBetween(Window.unboundedPreceding, 0)))
     from colinear.session import stored
 
     local = stored(local)
-    before = local.groupBy("_p").agg(F.count("*").alias("_n")).withColumn("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    return local.join(F.broadcast(before), "_p").withColumn(name, F.col("_r") + F.col("_b")).drop("_p", "_r", "_b", "_o")  # a row a part
+    before = local.groupBy("_p").agg(F.sum("_a").alias("_n")).withColumn("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    return local.join(F.broadcast(before), "_p").withColumn(name, F.col("_r") + F.col("_b")).drop("_p", "_r", "_b", "_o", "_a")  # a row a part
 
 
 def split_fraction(df: DataFrame, key: str, fraction: float, seed: int | None = None) -> DataFrame:

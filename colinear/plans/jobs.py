@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colinear.functions.regions import endpoints, length
-from colinear.operators import chains, clustering, genes, intervals, occurrences, search, weights
+from colinear.operators import chains, clustering, genes, intervals, occurrences, sampling, search, weights
 from colinear.operators import statistics as st
 from colinear.plans.options import ChainOptions, ClusterOptions, RankOptions, SearchOptions
 
@@ -140,15 +142,59 @@ def summary_frequencies(pairs: DataFrame, reference: DataFrame, reference_count:
     return out
 
 
-def banded_frequencies(pairs: DataFrame, reference: DataFrame, reference_count: int, options: RankOptions = RankOptions()) -> DataFrame:
-    """(low, high, group, value, freq): largest scores of regions in each band of lengths."""
+def banded_frequencies(pairs: DataFrame, reference: DataFrame, options: RankOptions = RankOptions()) -> DataFrame:
+    """(kind, low, high, group, value, freq): of all scores, the largest and the mean of each region, in each band of lengths.
+
+    A region's scores are padded with zeros up to the number of references in the band.
+    """
     bands = F.array(*[F.struct(F.lit(a).alias("low"), F.lit(b).alias("high")) for a, b in options.bands])
-    dealt = pairs.withColumn("band", F.explode(bands))
-    for c in ("r1", "r2"):
-        dealt = dealt.where(length(*endpoints(F.col(c))).between(F.col("band.low"), F.col("band.high")))
-    scores = st.reference_scores(dealt.select("r1", "r2", "score", "band"), reference)
-    top = scores.groupBy("band", "group", "region").agg(F.greatest(F.max("score"), F.lit(0.0)).alias("value"))
-    return top.groupBy("band.low", "band.high", "group", "value").agg(F.count("*").alias("freq"))
+    inside = lambda df, c: df.where(length(*endpoints(F.col(c))).between(F.col("band.low"), F.col("band.high")))
+    dealt = inside(inside(pairs.withColumn("band", F.explode(bands)), "r1"), "r2")
+    known = inside(reference.withColumn("band", F.explode(bands)), "region").groupBy("band").agg(F.count("*").alias("refs"))  # a row a band
+    scores = st.reference_scores(dealt.select("r1", "r2", "score", "band"), reference).join(F.broadcast(known), "band")
+    each = scores.groupBy("band", "group", "region").agg(F.greatest(F.max("score"), F.lit(0.0)).alias("max"), (F.sum("score") / F.first("refs")).alias("avg"), F.count("*").alias("n"), F.first("refs").alias("refs"))
+    zeros = each.groupBy("band", "group").agg((F.sum("refs") - F.sum("n")).alias("freq")).where("freq > 0")
+    every = scores.groupBy("band", "group", F.col("score").alias("value")).agg(F.count("*").alias("freq"))
+    every = every.union(zeros.select("band", "group", F.lit(0.0).alias("value"), "freq")).groupBy("band", "group", "value").agg(F.sum("freq").alias("freq"))
+    out = every.select(F.lit("all").alias("kind"), "band.low", "band.high", "group", "value", "freq")
+    for kind in ("max", "avg"):
+        out = out.union(each.groupBy(F.lit(kind).alias("kind"), "band.low", "band.high", "group", F.col(kind).alias("value")).agg(F.count("*").alias("freq")))
+    return out
+
+
+def blended_scores(aligned: DataFrame, chained: DataFrame, fractions: tuple[float, ...]) -> DataFrame:
+    """(fraction, r1, r2, value): alignment and chain scores blended at each fraction."""
+    return reduce(DataFrame.union, [st.align_chain_blend(aligned, chained, f).select(F.lit(f).alias("fraction"), "r1", "r2", "value") for f in fractions])
+
+
+def random_gene_sets(clustered: DataFrame, regions: DataFrame, of_region: DataFrame, seed: int) -> DataFrame:
+    """(cluster, genes) of as many random regions as each cluster (id, cluster) has members: the baseline for its gene set.
+
+    regions: (acr) to draw from, without replacement; of_region: (acr, gene), all overlaps or the best ones.
+    """
+    sizes = clustered.groupBy("cluster").agg(F.count("*").cast("int").alias("k"))
+    drawn = sampling.sample_per_group(regions.select("acr"), sizes, "cluster", "acr", seed)
+    return genes.gene_sets(drawn.withColumnRenamed("acr", "id"), of_region)
+
+
+def motif_distances(similar: DataFrame, below: float) -> DataFrame:
+    """(id1, id2, distance): correlation distances below a bound between the rows of the symmetric similarity matrix
+    (motif1, motif2, similarity). A pair that the comparison didn't list has the similarity of an E-value of 100."""
+    from colinear.session import stored
+
+    codes = occurrences.encoded_motifs(similar, "motif1").withColumnRenamed("motif1", "motif2")  # motifs are few
+    cells = stored(similar.join(codes, "motif2").groupBy(F.col("motif1").alias("id")).agg(F.map_from_entries(F.collect_list(F.struct("code", "similarity"))).alias("row")))
+    n = cells.count()
+    filled = F.transform(F.sequence(F.lit(0), F.lit(max(0, n - 1))), lambda i: F.coalesce(F.try_element_at("row", i), F.lit(-2.0)))
+    return clustering.vector_distances(cells.select("id", filled.alias("x")), below)
+
+
+def motif_similarity_clusters(similar: DataFrame, threshold: float = 0.4) -> DataFrame:
+    """(id, cluster): complete-linkage clusters of motifs by the correlation of their similarities to all motifs."""
+    from colinear.session import stored
+
+    near = stored(motif_distances(similar, threshold + 1e-9))
+    return clustering.clusters(near, threshold, similar.select(F.col("motif1").alias("id")).distinct(), average=False, missing=2.0)
 
 
 def feature_frequencies(pairs: DataFrame, reference: DataFrame, options: RankOptions = RankOptions(), n: int = 5) -> DataFrame:

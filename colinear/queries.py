@@ -67,10 +67,9 @@ def q_anchor_count(spark, d):
     return chains.anchor_counts(view(spark, d, "acr_motif"))
 
 
-@query(f"WITH {PAIRS}, k AS (SELECT acr1, acr2, count(*) AS n_anchors FROM anchors GROUP BY 1, 2) SELECT cast(min(n_anchors) AS bigint) AS least, cast(sum(n_anchors) AS bigint) AS stop, true AS whole FROM k")
+@query(f"WITH {PAIRS}, k AS (SELECT acr1, acr2, count(*) AS n_anchors FROM anchors GROUP BY 1, 2) SELECT acr1, acr2, n_anchors, cast(stop - n_anchors AS bigint) AS first, cast(stop AS bigint) AS stop FROM (SELECT *, sum(n_anchors) OVER (ORDER BY acr1, acr2) AS stop FROM k)")
 def q_anchor_offsets(spark, d):
-    slices = chains.anchor_offsets(chains.anchor_counts(view(spark, d, "acr_motif")))
-    return slices.agg(F.min(F.col("stop") - F.col("first")).alias("least"), F.max("stop").alias("stop"), (F.sum(F.col("stop") - F.col("first")) == F.max("stop")).alias("whole"))
+    return chains.anchor_offsets(chains.anchor_counts(view(spark, d, "acr_motif")))
 
 
 @query(f"WITH RECURSIVE {PAIRS}, {TURNED}, {LAYERS} {CHAIN}")
@@ -327,7 +326,7 @@ def q_sequence_lengths(spark, d):
     return occurrences.sequence_lengths(view(spark, d, "acr_motif"))
 
 
-DIST = f"{LENGTHS}, dist AS (SELECT p.r1 AS id1, p.r2 AS id2, greatest(0, 0.3 * (greatest(x.n, y.n) - p.score * 0.5) / greatest(x.n, y.n) + 0.7 * (least(x.n, y.n) - p.score * 0.5) / least(x.n, y.n)) AS distance FROM pair_lengths p JOIN len x ON x.acr = p.r1 JOIN len y ON y.acr = p.r2)"
+DIST = f"{LENGTHS}, dist AS (SELECT p.r1 AS id1, p.r2 AS id2, greatest(0, 0.3 * ((greatest(x.n, y.n) - p.score * 0.5) / greatest(x.n, y.n)) + 0.7 * ((least(x.n, y.n) - p.score * 0.5) / least(x.n, y.n))) AS distance FROM pair_lengths p JOIN len x ON x.acr = p.r1 JOIN len y ON y.acr = p.r2)"
 
 
 def _distances(spark, d):
@@ -390,10 +389,10 @@ def q_set_corr(spark, d):
     return genes.set_correlations(_gene_set(spark, d), view(spark, d, "expression")).select("cluster", *_r("r"), "n_pairs")
 
 
-@query("SELECT gene, round(avg(tpm), 2) AS mean FROM expression GROUP BY 1")
+@query("SELECT gene, round(avg(tpm), 6) AS mean FROM expression GROUP BY 1")
 def q_replicate_mean(spark, d):
     e = view(spark, d, "expression").groupBy("gene").agg(F.array_join(F.collect_list(F.col("tpm").cast("string")), ",").alias("v"))
-    return e.select("gene", F.round(replicate_mean(F.col("v")), 2).alias("mean"))
+    return e.select("gene", F.round(replicate_mean(F.col("v")), 6).alias("mean"))
 
 
 @query("WITH x AS (SELECT split_part(acr, '_', 1) AS cluster, pos, motif, count(*) AS k FROM (SELECT acr, pos, concat('d', cast(length(split_part(motif, '-', 2)) AS varchar)) AS motif FROM acr_motif) GROUP BY 1, 2, 3), n AS (SELECT split_part(acr, '_', 1) AS cluster, count(DISTINCT acr) AS n FROM acr_motif GROUP BY 1) SELECT cluster, pos, motif AS token FROM x JOIN n USING (cluster) WHERE 2 * k > n AND motif <> '-'")
@@ -563,9 +562,12 @@ def q_sample(spark, d):
     return sampling.sample_per_group(view(spark, d, "acrs").select("acr"), sizes, "chrom", "acr", 3)
 
 
-@query()
+DRAWN = "n AS (SELECT stop_pos - start_pos + 1 AS size, ('0x' || substr(md5(concat(acr, '/chrom5')), 1, 12))::bigint % 5 AS k, ('0x' || substr(md5(concat(acr, '/start5')), 1, 12))::bigint AS h FROM regions), p AS (SELECT size, k, h % (1000000 + 1000 * k - size + 1) + 1 AS s FROM n)"
+
+
+@query(f"WITH {DRAWN} SELECT concat('Chr', cast(k + 1 AS varchar), '_', cast(s AS varchar), 'to', cast(s + size - 1 AS varchar), '_rand') AS acr, concat('Chr', cast(k + 1 AS varchar)) AS chrom, cast(s AS int) AS start_pos, cast(s + size - 1 AS int) AS stop_pos FROM p")
 def q_random_regions(spark, d):
-    sizes = view(spark, d, "regions").select(F.xxhash64("acr").alias("id"), (F.col("stop_pos") - F.col("start_pos") + 1).alias("size"))
+    sizes = view(spark, d, "regions").select(F.col("acr").alias("id"), (F.col("stop_pos") - F.col("start_pos") + 1).alias("size"))
     lengths = spark.createDataFrame([(f"Chr{k + 1}", 1_000_000 + 1000 * k, k) for k in range(5)], "chrom string, length int, rank int")
     return sampling.matched_regions(sizes, lengths, 5)
 
@@ -589,8 +591,11 @@ def q_evalue_similarity(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from colinear import format_queries  # noqa: F401  registers its own
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(SQL)

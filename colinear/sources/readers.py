@@ -174,6 +174,11 @@ def gene_set_file(spark: SparkSession, path: str) -> DataFrame:
 
 def expression_zip(spark: SparkSession, path: str, pattern: str = "*/*tpms.tsv") -> DataFrame:
     """(gene, experiment, cond, tpm) of the matching tables in zip files; a condition is the mean of its comma-joined replicates."""
+    return expression_rows(spark.read.format("binaryFile").load(path), pattern)
+
+
+def expression_rows(files: DataFrame, pattern: str = "*/*tpms.tsv") -> DataFrame:
+    """The same of zip files as rows (content)."""
     schema = pa.schema([("gene", pa.string()), ("experiment", pa.string()), ("cond", pa.int32()), ("tpm", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +195,7 @@ def expression_zip(spark: SparkSession, path: str, pattern: str = "*/*tpms.tsv")
                                     rows.append({"gene": gene, "experiment": name.rsplit("/", 1)[0], "cond": k, "tpm": sum(v) / len(v) if v else None})
                             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "gene string, experiment string, cond int, tpm double")
+    return files.select("content").mapInArrow(run, "gene string, experiment string, cond int, tpm double")
 
 
 def frequency_file(spark: SparkSession, path: str) -> DataFrame:

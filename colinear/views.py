@@ -43,7 +43,7 @@ SELECT concat('AT', cast(c_custkey AS string)) AS gene, concat('Chr', cast(c_cus
 FROM customer""",
     "expression": """
 SELECT concat('AT', cast(l_partkey % 30 AS string)) AS gene, l_returnflag AS experiment, cast(l_linenumber AS int) AS cond,
-       round(avg(l_extendedprice), 4) AS tpm
+       sum(cast(round(l_extendedprice * 100) AS bigint)) / count(*) / 100 AS tpm
 FROM lineitem GROUP BY 1, 2, 3""",
     "acrs": """
 SELECT DISTINCT user_id, concat('Chr', cast(user_id % 5 + 1 AS string), '_', cast(user_id * 1000 + 1 AS string), 'to',

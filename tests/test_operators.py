@@ -189,7 +189,7 @@ def test_statistics(spark):
     assert jobs.rank_frequencies(df, known, 6, RankOptions(ranks=(1, 2))).groupBy("rank", "group").agg(F.sum("freq")).count() == 4
     assert jobs.feature_frequencies(df, known, RankOptions(lengths=(2, 3)), 2).count() > 0
     assert jobs.summary_frequencies(df, known, 6, 6).where("kind = 'max'").count() > 0
-    assert jobs.banded_frequencies(df, known, 6, RankOptions(bands=((400, 600), (600, 700)))).select("low").distinct().count() == 1
+    assert jobs.banded_frequencies(df, known, RankOptions(bands=((400, 600), (600, 700)))).select("low").distinct().count() == 1
     assert jobs.normalised_rank_frequencies(df, known, 6, RankOptions(ranks=(1,))).where("value < 0 or value > 1").count() == 0
     four = spark.createDataFrame([(float(x),) for x in (4, 1, 3, 2)], "v double")
     assert st.nearest_rank(four, 50, "v").first().value == 3
