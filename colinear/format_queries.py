@@ -16,9 +16,10 @@ from colinear.functions import regions as rg
 from colinear.functions.scores import consensus_letters, per_base
 from colinear.operators import clustering, genes, intervals, occurrences, search, weights
 from colinear.operators import statistics as st
+from colinear.operators.components import components
 from colinear.plans import jobs
 from colinear.plans.options import RankOptions
-from colinear.queries import ASOF, DIST, OCC, REL, ROLES, _by_chrom, _clean, _distances, _freq, _promoters, _r, _relevance, _roles, query
+from colinear.queries import ASOF, DIST, FEATURES, OCC, RANKED, REL, ROLES, _by_chrom, _clean, _distances, _freq, _promoters, _r, _relevance, _roles, query
 from colinear.session import shared_folder
 from colinear.sources import readers, writers
 from colinear.views import view
@@ -366,3 +367,20 @@ def q_motif_distances(spark, d):
 @query()
 def q_tomtom_clusters(spark, d):
     return jobs.motif_similarity_clusters(_similar(spark, d), 0.4)
+
+
+@query(f"""WITH {RANKED}, v AS (SELECT cast(k AS int) AS rank, "group", score FROM ranked WHERE k <= 3 AND score <> 0), b AS (SELECT rank, "group", count(*) AS n, quantile_cont(score, 0.25) AS q1, quantile_cont(score, 0.5) AS median, quantile_cont(score, 0.75) AS q3 FROM v GROUP BY 1, 2)
+SELECT b.rank, b."group", cast(b.n AS bigint) AS n, min(score) AS low, b.q1, b.median, b.q3, max(score) AS high FROM b JOIN v ON v.rank = b.rank AND v."group" = b."group" AND v.score BETWEEN b.q1 - 1.5 * (b.q3 - b.q1) AND b.q3 + 1.5 * (b.q3 - b.q1) GROUP BY ALL""")
+def q_rank_boxes(spark, d):
+    return jobs.rank_boxes(jobs.rank_frequencies(view(spark, d, "pair_lengths"), view(spark, d, "reference"), 1000, RankOptions(ranks=(1, 2, 3))))
+
+
+@query(f'WITH {FEATURES} SELECT "group", cast(count(*) AS bigint) AS n, quantile_cont(chain_num, 0.25) AS q1, quantile_cont(chain_num, 0.5) AS median, quantile_cont(chain_num, 0.75) AS q3 FROM features GROUP BY 1')
+def q_count_boxes(spark, d):
+    freq = jobs.feature_frequencies(view(spark, d, "pair_lengths"), view(spark, d, "reference"), RankOptions(lengths=(), fractions=()))
+    return jobs.feature_boxes(freq, "count").select("group", "n", "q1", "median", "q3")
+
+
+@query(f"WITH RECURSIVE {DIST}, e AS (SELECT id1 AS a, id2 AS b FROM dist WHERE distance < 0.9 UNION SELECT id2, id1 FROM dist WHERE distance < 0.9), reach AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON e.a = r.b) SELECT a AS node, least(a, min(b)) AS root FROM reach GROUP BY a")
+def q_components(spark, d):
+    return components(_distances(spark, d).where("distance < 0.9").select(F.col("id1").alias("a"), F.col("id2").alias("b")))

@@ -226,3 +226,13 @@ def histograms(freq: DataFrame, by: list[str], most: int, least: int = 0, equal:
         if len(totals) > 1:
             raise ValueError("histograms: the groups' totals differ")
     return bins
+
+
+def rank_boxes(freq: DataFrame, most: float | None = None, ignore_zeros: bool = True) -> DataFrame:
+    """(rank, group, n, low, q1, median, q3, high) of rank_frequencies: a box for each rank and group, without zeros."""
+    return st.box_data(freq, ["rank", "group"], ignore_zeros, most)
+
+
+def feature_boxes(freq: DataFrame, kind: str, most: float | None = None, ignore_zeros: bool = True) -> DataFrame:
+    """(at, group, n, low, q1, median, q3, high) of one kind of feature_frequencies: count, anchors, ref_len or combined."""
+    return st.box_data(freq.where(F.col("kind") == kind), ["at", "group"], ignore_zeros, most)

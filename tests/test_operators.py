@@ -272,3 +272,10 @@ def test_jobs_and_stream(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out")).drop("batch")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, jobs.pairwise_chains(new, known).collect()))
     assert jobs.pairwise_chains(occ, options=ChainOptions(local=True)).count() == chained.count()
+
+
+def test_alignment_timer():
+    from colinear.plans.timing import alignment_seconds
+
+    seconds, score = alignment_seconds(60, seed=3)
+    assert seconds > 0 and score == alignment_seconds(60, seed=3)[1] and alignment_seconds(60, True)[1] >= alignment_seconds(60)[1]
