@@ -20,9 +20,10 @@ BUCKETS = 1 << 18
 #: A document is kept if the probability of the top grade reaches this.
 KEEP = 0.5
 ROUNDS, RATE, DECAY = 500, 0.1, 1e-3
-#: Buckets enter the fit if they are in LEAST_DOCS rated documents and some grade's share among those is off by SCREEN
-#: standard errors of a full sample, that is, by an effect of the same size in a smaller one, CHANCE standard errors at least.
-LEAST_DOCS, SCREEN, CHANCE = 3, 15.0, 4.0
+#: Buckets enter the fit if they are in LEAST_DOCS rated documents and some grade's share among those is off by so many
+#: standard errors of a full sample, that is, by an effect of the same size in a smaller one, CHANCE standard errors at least. Which
+#: of SCREENS it is, a part of the sample that the others are not fit on decides: every PARTS-th rating.
+LEAST_DOCS, SCREENS, CHANCE, PARTS = 3, (4.0, 8.0, 15.0, 25.0), 4.0, 5
 _UPPER, _DIGITS = bytes(range(65, 91)), bytes(range(48, 58))
 _MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in ".,;:'\"()-?")
 _CACHE = 500_000
@@ -70,8 +71,28 @@ class Model:
     thresholds: np.ndarray  # ascending; P(grade >= k) = sigmoid(score - thresholds[k - 1])
 
 
+def loss(model: Model, rows: list[tuple[int, np.ndarray]], grades: int) -> float:
+    """Mean negative log-likelihood of rated rows, each grade with the same weight."""
+    s = np.array([model.weights[f].sum(dtype=np.float64) for _, f in rows])
+    tail = 1 / (1 + np.exp(-np.clip(s[:, None] - model.thresholds[None, :], -30, 30)))
+    tail = np.hstack([np.ones((len(s), 1)), tail, np.zeros((len(s), 1))])
+    y = np.array([g for g, _ in rows])
+    own = -np.log(np.maximum(1e-9, tail[np.arange(len(y)), y] - tail[np.arange(len(y)), y + 1]))
+    return float(np.mean([own[y == g].mean() for g in range(grades) if (y == g).any()]))
+
+
 def fit(rows: list[tuple[int, np.ndarray]], grades: int) -> Model:
-    """Proportional odds by Adam on the whole sample; grades: how many, from 0."""
+    """The model of the whole sample, its screen chosen on a part of it that the candidates aren't fit on."""
+    rows = sorted(rows, key=lambda r: (r[0], r[1].tobytes()))  # whatever order the tasks came in
+    held, rest = rows[::PARTS], [r for i, r in enumerate(rows) if i % PARTS]
+    if len(rest) < PARTS or grades < 2:
+        return fit_screened(rows, grades, SCREENS[0])
+    losses = [loss(fit_screened(rest, grades, s), held, grades) for s in SCREENS]
+    return fit_screened(rows, grades, SCREENS[int(np.argmin(losses))])
+
+
+def fit_screened(rows: list[tuple[int, np.ndarray]], grades: int, screen: float) -> Model:
+    """Proportional odds by Adam; grades: how many, from 0."""
     weights, raw = np.zeros(BUCKETS), np.linspace(-1, 1, grades - 1) if grades > 1 else np.zeros(0)
     if not rows or grades < 2:
         return Model(weights.astype(np.float32), np.sort(raw))
@@ -86,7 +107,7 @@ def fit(rows: list[tuple[int, np.ndarray]], grades: int) -> Model:
         p = min(max((y == k).mean(), 1e-6), 1 - 1e-6)
         seen = np.bincount(col, (y == k)[row].astype(float), BUCKETS)
         off = np.maximum(off, np.abs(seen - n_docs * p) / np.sqrt(np.maximum(1e-9, n_docs * p * (1 - p))))
-    told = ((n_docs >= min(LEAST_DOCS, len(rows))) & (off >= max(CHANCE, SCREEN * (len(rows) / SAMPLE) ** 0.5)))[col]
+    told = ((n_docs >= min(LEAST_DOCS, len(rows))) & (off >= max(CHANCE, screen * (len(rows) / SAMPLE) ** 0.5)))[col]
     col, row = col[told], row[told]
     used, at = np.unique(col, return_inverse=True)
     w = np.zeros(len(used))
