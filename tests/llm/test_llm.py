@@ -725,3 +725,16 @@ def test_pipeline(spark, tmp_path):
     back = {x.doc_id: x.text for x in pieces.decoded(spark.createDataFrame([(x.doc_id, x.ids) for x in got.values()], "doc_id long, ids array<int>")).collect()}
     assert all(back[d] == rows[d][1].split("\n")[0] for d in got)
     assert [n for n, _ in cp.STAGES] == ["quality", "line_dedup", "near_dedup", "decontaminate", "encode"]
+
+
+def test_pipeline_on_edges(spark, edge, tmp_path):
+    import corpus_pipeline as cp
+
+    labels, items = spark.createDataFrame([(4, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int"), spark.createDataFrame([(1, "no such words anywhere in it"), (2, None)], "item_id long, text string")
+    for name, docs, lab, bench in (("edge", edge, labels, items), ("none", edge.where("1 = 0"), labels.where("1 = 0"), items.where("1 = 0"))):
+        for t, df in (("documents", docs), ("labels", lab), ("benchmark", bench)):
+            df.write.parquet(f"{tmp_path}/{name}/{t}.parquet")
+        got = cp.run(spark, f"{tmp_path}/{name}").collect()
+        assert all(x.lossless for x in got) and (name == "edge" or not got)
+        if name == "edge":  # without two grades nothing is rejected; null and wordless texts are one group, repeated rows one
+            assert sorted((x.doc_id or 0, x.n_tokens > 0) for x in got) == sorted([(0, True), (1, False), (4, True), (6, True), (7, True), (8, True), (9, True), (10, True)])
