@@ -104,10 +104,10 @@ def candidate_pairs(postings: DataFrame, unique: DataFrame) -> DataFrame:
     positional bytes.
 
     A posting of two texts is a pair, of up to PAIRED texts every pair. In a larger one, which a group of many near
-    copies makes, each text meets two hubs: the text nearest to the posting's majority fingerprint, where copies of one
-    original have it, and the first. So pairs grow with postings, and groups link up through their hubs.
+    copies makes, each text meets two hubs that it isn't linked to: the text nearest to the posting's majority fingerprint, where
+    copies of one original have it, and the first. So pairs grow with postings, and groups link up through their hubs.
     """
-    sizes = postings.groupBy("key").agg(F.count("*").alias("n"), F.min("tid").alias("lo"), F.max("tid").alias("hi"), F.min("label").alias("l1"), F.max("label").alias("l2")).where("l1 <> l2").drop("l1", "l2")
+    sizes = postings.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("tid", "label")).alias("lo"), F.max("tid").alias("hi"), F.min("label").alias("l1"), F.max("label").alias("l2")).where("l1 <> l2").drop("l1", "l2")
     sizes = stored(sizes)
     members = stored(postings.join(sizes.where("n > 2").select("key", "n", "lo"), "key"))
     small = members.where(F.col("n") <= PAIRED)
@@ -118,10 +118,10 @@ def candidate_pairs(postings: DataFrame, unique: DataFrame) -> DataFrame:
     for i in range(64):
         major = major.bitwiseOR(F.shiftleft((2 * F.col(f"v{i}") > F.col("of")).cast("long"), i))
     votes = votes.select("key", major.alias("major"))
-    hub = large.join(votes, "key").groupBy("key").agg(F.min(F.struct(F.bit_count(F.col("s").bitwiseXOR(F.col("major"))).alias("d"), "tid")).getField("tid").alias("hub"))
-    starred = large.select("key", "tid", "lo").join(hub, "key").select("tid", F.explode(F.array("lo", "hub")).alias("other"))
-    pairs = sizes.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b")).union(x.join(y, "key").where("a < b and al <> bl").select("a", "b"))
-    pairs = pairs.union(starred.where("tid <> other").select(F.least("tid", "other").alias("a"), F.greatest("tid", "other").alias("b"))).distinct()
+    hub = large.join(votes, "key").groupBy("key").agg(F.min(F.struct(F.bit_count(F.col("s").bitwiseXOR(F.col("major"))).alias("d"), "tid", "label")).alias("h")).select("key", F.struct("h.tid", "h.label").alias("hub"))
+    starred = large.select("key", "tid", "label", "lo").join(hub, "key").select("tid", "label", F.explode(F.array("lo", "hub")).alias("h")).where("label <> h.label").select("tid", F.col("h.tid").alias("other"))
+    pairs = sizes.where("n = 2").select(F.col("lo.tid").alias("a"), F.col("hi").alias("b")).union(x.join(y, "key").where("a < b and al <> bl").select("a", "b"))
+    pairs = pairs.union(starred.select(F.least("tid", "other").alias("a"), F.greatest("tid", "other").alias("b"))).distinct()
     side = lambda p: unique.select(F.col("tid").alias(p), F.col("tally").alias(f"{p}_tally"))
     return pairs.join(side("a"), "a").join(side("b"), "b").where(_equal_bytes("a_tally", "b_tally") >= LEAST_EQUAL).select("a", "b")
 
