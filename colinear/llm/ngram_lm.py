@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import mmap
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -52,6 +53,19 @@ def unpacked(raw: bytes) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
+def squeezed(x: np.ndarray) -> bytes:
+    """Numbers from 0 whose values repeat: their bytes by place, compressed."""
+    raw = packed(x)
+    return raw[:1] + zlib.compress(np.frombuffer(raw, np.uint8, offset=1).reshape(-1, raw[0]).T.tobytes(), 1)
+
+
+def unsqueezed(raw: bytes) -> np.ndarray:
+    body = np.frombuffer(zlib.decompress(raw[1:]), np.uint8).reshape(raw[0], -1)
+    out = np.zeros((body.shape[1], 8), np.uint8)
+    out[:, : raw[0]] = body.T
+    return out.view(np.uint64).ravel()
+
+
 def packed_rising(x: np.ndarray) -> bytes:
     """Ascending numbers: the first, and the steps between them."""
     return x[:1].tobytes() + packed(np.diff(x))
@@ -102,7 +116,7 @@ def blocks_of(docs: DataFrame, held: Column) -> DataFrame:
         tokens[last], tokens[inner] = _END, flat
         words, places = np.unique(tokens, return_inverse=True)
         block = (TaskContext.get().partitionId() << 33) + number
-        return pa.RecordBatch.from_pylist([{"block": block, "n": len(tokens), "doc_ids": doc_ids, "held": held, "sizes": packed(sizes), "words": packed_rising(words), "tokens": packed(places)}], schema=_BLOCK)
+        return pa.RecordBatch.from_pylist([{"block": block, "n": len(tokens), "doc_ids": doc_ids, "held": held, "sizes": packed(sizes), "words": packed_rising(words), "tokens": squeezed(places)}], schema=_BLOCK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, doc_ids, flags, hashes, counts, size = 0, [], [], [], [], 0
@@ -133,7 +147,7 @@ class Block:
 
     def __init__(self, row: dict):
         self.sizes, self.words = unpacked(row["sizes"]).astype(np.int64), unpacked_rising(row["words"])
-        self.tokens, self.held = unpacked(row["tokens"]).astype(np.int64), np.array(row["held"], bool)
+        self.tokens, self.held = unsqueezed(row["tokens"]).astype(np.int64), np.array(row["held"], bool)
 
     def entries(self, level: int) -> tuple[np.ndarray, np.ndarray]:
         """(hashes of the contexts in order, a number of context and word for each token that orders by the contexts' hash, then the word's)."""
@@ -340,8 +354,8 @@ def _served(requests: DataFrame, level: int, least: int, shared, keep: bool) ->
             size = int(n.sum())
             own = place[at : at + size]
             at += size
-            weights = packed(rest[of[own[np.cumsum(n) - n]]]) if level > 1 else None
-            out.append(blank | {"kind": 0, "block": r["block"], "hot": r["hot"], "a": packed(answers[own]), "g": weights})
+            weights = squeezed(rest[of[own[np.cumsum(n) - n]]]) if level > 1 else None
+            out.append(blank | {"kind": 0, "block": r["block"], "hot": r["hot"], "a": squeezed(answers[own]), "g": weights})
         if level < 3:
             many = np.flatnonzero(every >= least)
             keys = context[many] if level == 1 else pair_hash(context[many], word[many])
@@ -425,9 +439,9 @@ def scored(docs: DataFrame, held: Column) -> DataFrame:
             found, weight = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
             for part, hot, own, context, _ in block.split(level, contexts, distinct, frequent[level - 1].value.keys, parts):
                 a, g = answers[level, part, hot]
-                found[own] = unpacked(a)
+                found[own] = unsqueezed(a)
                 if g is not None:
-                    weight[own] = np.repeat(unpacked(g), np.diff(_starts(context), append=len(context)))
+                    weight[own] = np.repeat(unsqueezed(g), np.diff(_starts(context), append=len(context)))
             if level == 1:
                 counts = found[at]
                 p = (counts + 1.0) / (n + v + 1.0)
