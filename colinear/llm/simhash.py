@@ -48,8 +48,8 @@ def _byte(name: str, i: int) -> F.Column:
     return F.shiftrightunsigned(F.col(name), 8 * i).bitwiseAND(F.lit(255))
 
 
-def links(fps: DataFrame, bits: int = 2) -> DataFrame:
-    """Distinct fingerprints (fp) -> links (a, b) at `bits` or fewer differing bits (2 at most).
+def links(fps: DataFrame, bits: int = 2, tables: list[DataFrame] | None = None) -> DataFrame:
+    """Distinct fingerprints (fp) -> links (a, b) at `bits` or fewer differing bits (2 at most); tables takes what it stored.
 
     Two fingerprints at 2 bits or less share 6 of their 8 positional bytes at least. The inverted index posts a
     fingerprint under groups of four positional bytes: the eight positions are taken in four pairs, and
@@ -68,6 +68,8 @@ def links(fps: DataFrame, bits: int = 2) -> DataFrame:
     postings = fps.select("fp", F.inline(keys).alias("g", "k"))
     sizes = postings.groupBy("g", "k").agg(F.count("*").alias("n")).where("n > 1")
     posted = stored(postings.join(sizes, ["g", "k"]))
+    if tables is not None:
+        tables.append(posted)
     small = posted.where(F.col("n") <= PAIRED)
     x, y = small.select("g", "k", F.col("fp").alias("a")), small.select("g", "k", F.col("fp").alias("b"))
     same = sum(((_byte("a", i) == _byte("b", i)).cast("int") for i in range(8)), F.lit(0))
@@ -90,9 +92,12 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 3, bits: int = 2) -> D
     """
     marked = stored(with_fingerprints(docs, shingle_words))
     least = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(least.select("fp"), bits))
+    tables: list[DataFrame] = []
+    roots = components(links(least.select("fp"), bits, tables))
     placed = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     placed = stored(placed)
+    for t in tables:
+        forget(t)
     named = placed.join(placed.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
