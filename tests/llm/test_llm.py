@@ -681,7 +681,7 @@ def test_lm_levels(spark):
 @given(hs.lists(hs.integers(0, 2**64 - 1), max_size=30))
 def test_packed_numbers(values):
     x = np.array(values, np.uint64)
-    assert ngram_lm.unpacked(ngram_lm.packed(x)).tolist() == values
+    assert ngram_lm.unpacked(ngram_lm.packed(x)).tolist() == ngram_lm.unsqueezed(ngram_lm.squeezed(x)).tolist() == values
     assert ngram_lm.unpacked_rising(ngram_lm.packed_rising(np.sort(x))).tolist() == sorted(values)
 
 
