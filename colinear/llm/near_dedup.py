@@ -22,6 +22,8 @@ PLANES, KEYS, KEY_BYTES, TALLIED = 4096, 24, 3, 64
 #: Equal bytes, of TALLIED, that a pair needs to be verified in the first rounds. At similarity 0.8 a byte is equal with chance 0.27,
 #: so 17 are on average; of unrelated texts a quarter of one byte is.
 LEAST_EQUAL = 6
+#: Bits of a text's sketch, by which most pairs that can't be links are seen before their texts are compared.
+SKETCH = 1024
 #: In the first rounds postings of up to this many texts are paired off; in larger ones all meet two hubs.
 PAIRED = 8
 #: Up to this many texts to verify are sent to every task as a filter; beyond, all texts' shingles are joined.
@@ -55,13 +57,25 @@ def fingerprints(shingles: list[np.ndarray]) -> np.ndarray:
     return np.packbits(_rotate(v) >= 0, axis=1)
 
 
+def sketches(shingles: list[np.ndarray]) -> np.ndarray:
+    """SKETCH bits a text (rows of longs): for each hash value, whether an odd number of its distinct shingles has it.
+
+    A shingle of only one of two texts turns one bit, so the bits in which they differ are never more than such shingles.
+    """
+    odd = np.zeros((len(shingles), SKETCH), np.uint8)
+    shift = np.uint64(65 - SKETCH.bit_length())
+    for row, h in zip(odd, shingles):
+        row += (np.bincount((h >> shift).astype(np.int64), minlength=SKETCH) & 1).astype(np.uint8)
+    return np.packbits(odd, axis=1).view(np.int64)
+
+
 def _row_key(docs: DataFrame) -> Column:
     return F.xxhash64(docs["doc_id"].cast("long"), docs["text"])
 
 
 def marked_texts(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, row_key, tid, size, keys, tally): tid is the same for texts of the same words; size: distinct shingles."""
-    schema = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("tid", pa.int64()), ("size", pa.int64()), ("keys", pa.list_(pa.int32())), ("tally", pa.list_(pa.int64()))])
+    """(doc_id, row_key, tid, size, keys, tally, sketch): tid is the same for texts of the same words; size: distinct shingles."""
+    schema = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("tid", pa.int64()), ("size", pa.int64()), ("keys", pa.list_(pa.int32())), ("tally", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
     scale = np.array([65536, 256, 1], np.int64)
     place = np.arange(KEYS, dtype=np.int64) << 24
 
@@ -74,10 +88,10 @@ def marked_texts(docs: DataFrame, words: int = WORDS) -> DataFrame:
                 keys = (fps[:, : KEYS * KEY_BYTES].reshape(len(sets), KEYS, KEY_BYTES).astype(np.int64) @ scale + place).astype(np.int32)
                 tally = np.ascontiguousarray(fps[:, -TALLIED:]).view(np.int64)
                 lists = lambda x: pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.from_numpy_dtype(x.dtype)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(sets)), batch.column(1).slice(a, len(sets)), pa.array(tids), pa.array([len(x) for x in sets], pa.int64()), lists(keys), lists(tally)], schema=schema)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(sets)), batch.column(1).slice(a, len(sets)), pa.array(tids), pa.array([len(x) for x in sets], pa.int64()), lists(keys), lists(tally), lists(sketches(sets))], schema=schema)
 
     wanted = docs.select(docs["doc_id"].cast("long").alias("doc_id"), _row_key(docs).alias("row_key"), docs["text"].cast("binary").alias("text"))
-    return wanted.mapInArrow(run, "doc_id long, row_key long, tid long, size long, keys array<int>, tally array<long>")
+    return wanted.mapInArrow(run, "doc_id long, row_key long, tid long, size long, keys array<int>, tally array<long>, sketch array<long>")
 
 
 def _shingled(texts: list[bytes | None], words: int) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -99,9 +113,19 @@ def _equal_bytes(a: str, b: str) -> Column:
     return total
 
 
-def candidate_pairs(postings: DataFrame, unique: DataFrame) -> DataFrame:
-    """(key, tid, label), (tid, tally) -> pairs (a, b), a < b, of texts that share a posting with more than one label, and enough
-    positional bytes.
+def _can_link(a: str, b: str, similarity: float) -> Column:
+    """False only where the sizes and sketches of two texts show that they aren't of the similarity.
+
+    Of two sets at similarity s, at most (1 - s) / (1 + s) of their elements, counted in both, are in one only.
+    """
+    x, y = F.col(f"{a}_size"), F.col(f"{b}_size")
+    differing = reduce(Column.__add__, [F.bit_count(F.get(F.col(f"{a}_sketch"), F.lit(i)).bitwiseXOR(F.get(F.col(f"{b}_sketch"), F.lit(i)))) for i in range(SKETCH // 64)])
+    return (F.least(x, y) >= similarity * F.greatest(x, y) - 1e-9) & (differing <= (1 - similarity) / (1 + similarity) * (x + y) + 1e-6)
+
+
+def candidate_pairs(postings: DataFrame, unique: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(key, tid, label), (tid, size, tally, sketch) -> pairs (a, b), a < b, of texts that share a posting with more than one
+    label, and enough positional bytes, and whose sketches don't rule them out.
 
     A posting of two texts is a pair, of up to PAIRED texts every pair. In a larger one, which a group of many near
     copies makes, each text meets two hubs that it isn't linked to: the text nearest to the posting's majority fingerprint, where
@@ -122,12 +146,13 @@ def candidate_pairs(postings: DataFrame, unique: DataFrame) -> DataFrame:
     starred = large.select("key", "tid", "label", "lo").join(hub, "key").select("tid", "label", F.explode(F.array("lo", "hub")).alias("h")).where("label <> h.label").select("tid", F.col("h.tid").alias("other"))
     pairs = sizes.where("n = 2").select(F.col("lo.tid").alias("a"), F.col("hi").alias("b")).union(x.join(y, "key").where("a < b and al <> bl").select("a", "b"))
     pairs = pairs.union(starred.select(F.least("tid", "other").alias("a"), F.greatest("tid", "other").alias("b"))).distinct()
-    side = lambda p: unique.select(F.col("tid").alias(p), F.col("tally").alias(f"{p}_tally"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(_equal_bytes("a_tally", "b_tally") >= LEAST_EQUAL).select("a", "b")
+    side = lambda p: unique.select(F.col("tid").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in ("tally", "size", "sketch")])
+    met = pairs.join(side("a"), "a").join(side("b"), "b").where(_equal_bytes("a_tally", "b_tally") >= LEAST_EQUAL)
+    return met.where(_can_link("a", "b", similarity)).select("a", "b")
 
 
 def prefix_postings(docs: DataFrame, n_shingles: int, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """(key, tid, size, first): the shingles of each distinct text's prefix that some other text has too.
+    """(key, tid, place, first): the shingles of each distinct text's prefix that some other text has too, and their places.
 
     A text's shingles are ordered by how many distinct texts have them, then by hash. Two texts of the similarity have
     a common shingle that is among the first size - ceil(similarity * size) + 1 of the larger text and, marked by `first`,
@@ -191,16 +216,27 @@ def prefix_postings(docs: DataFrame, n_shingles: int, words: int = WORDS, simila
     place = F.col("size") - F.count("*").over(own) + F.row_number().over(own.orderBy("n", "key")) - 1
     least = lambda share: F.col("size") - F.ceil(share * F.col("size") - 1e-9) + 1
     found = found.withColumn("place", place).where(F.col("place") < least(similarity))
-    return found.select("key", "tid", "size", (F.col("place") < least(2 * similarity / (1 + similarity))).alias("first"))
+    return found.select("key", "tid", "place", (F.col("place") < least(2 * similarity / (1 + similarity))).alias("first"))
+
 
+def crossing_pairs(postings: DataFrame, unique: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(key, tid, place, first, label), (tid, size, sketch) -> all pairs (a, b), a < b, of texts of different labels that
+    prefix_postings lets meet and that may be of the similarity.
 
-def crossing_pairs(postings: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(key, tid, size, first, label) -> all pairs (a, b), a < b, of texts of different labels that prefix_postings lets meet."""
-    x = postings.where("first").select("key", F.col("tid").alias("x"), F.col("size").alias("xs"), F.col("label").alias("xl"))
-    y = postings.select("key", F.col("tid").alias("y"), F.col("size").alias("ys"), F.col("label").alias("yl"))
-    fit = (F.col("xs") < F.col("ys")) | (F.col("xs") == F.col("ys")) & (F.col("x") < F.col("y"))
-    met = x.join(y, "key").where(F.col("xl") != F.col("yl")).where(fit).where(F.col("xs") >= similarity * F.col("ys") - 1e-9)
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    At the first shingle that two texts share, no more than what stands behind it in either can be shared besides. That
+    and their sketches are tested where they meet, so that pairs ruled out aren't rows; both tests are exact.
+    """
+    crossed = postings.groupBy("key").agg(F.min("label").alias("l1"), F.max("label").alias("l2"), F.max("first").alias("any")).where("l1 <> l2 and any").select("key")
+    met = stored(postings.join(crossed, "key").join(unique.select("tid", "size", "sketch"), "tid"))
+    side = lambda df, p: df.select("key", F.col("tid").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in ("place", "label", "size", "sketch")])
+    x, y = side(met.where("first"), "x"), side(met, "y")
+    smaller = (F.col("x_size") < F.col("y_size")) | (F.col("x_size") == F.col("y_size")) & (F.col("x") < F.col("y"))
+    behind = F.least(F.col("x_size") - F.col("x_place"), F.col("y_size") - F.col("y_place"))
+    enough = behind >= similarity / (1 + similarity) * (F.col("x_size") + F.col("y_size")) - 1e-6
+    pairs = x.join(y, "key").where(F.col("x_label") != F.col("y_label")).where(smaller & enough).where(_can_link("x", "y", similarity))
+    out = stored(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    forget(met)
+    return out
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, words: int = WORDS) -> DataFrame:
@@ -248,7 +284,7 @@ def groups(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY)
     that a large group isn't paired off, and after the third no link between two groups is left.
     """
     marked = stored(marked_texts(docs, words))
-    unique = marked.groupBy("tid").agg(F.min_by(F.struct("keys", "tally"), "row_key").alias("m"), F.min("row_key").alias("row_key")).select("tid", "row_key", "m.keys", "m.tally")
+    unique = marked.groupBy("tid").agg(F.min_by(F.struct("size", "keys", "tally", "sketch"), "row_key").alias("m"), F.min("row_key").alias("row_key")).select("tid", "row_key", "m.*")
     unique = stored(unique)
     tables = [marked, unique]
     links, roots, tested = [], None, []
@@ -275,11 +311,13 @@ def groups(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY)
         roots = stored(components(reduce(DataFrame.union, known)))
         tables.extend([found, roots])
 
-    link(candidate_pairs(unique.select("tid", F.explode("keys").alias("key"), F.col("tid").alias("label")), unique))
+    link(candidate_pairs(unique.select("tid", F.explode("keys").alias("key"), F.col("tid").alias("label")), unique, similarity))
     total = marked.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     postings = stored(prefix_postings(docs, total, words, similarity))
-    link(candidate_pairs(labelled(postings).select("key", "tid", "label"), unique))
-    link(crossing_pairs(labelled(postings), similarity))
+    link(candidate_pairs(labelled(postings).select("key", "tid", "label"), unique, similarity))
+    crossing = crossing_pairs(labelled(postings), unique, similarity)
+    tables.append(crossing)
+    link(crossing)
     placed = marked.select("doc_id", "row_key", "tid")
     placed = placed.withColumn("root", F.col("tid")) if roots is None else placed.join(roots.withColumnRenamed("node", "tid"), "tid", "left").withColumn("root", F.coalesce("root", "tid"))
     out = stored(placed.select("doc_id", "row_key", "root"))

@@ -583,6 +583,24 @@ def roots_brute(n, links):
     return [find(x) for x in range(n)]
 
 
+def test_sketches_never_rule_out_a_link(spark):
+    """Bits that differ are at most the elements of one set only, whatever the sizes; sets at exactly 0.8 stay."""
+    r = np.random.default_rng(5)
+    rows, sets = [], []
+    for n in (0, 1, 9, 90, 900, 9000):
+        for gone in {0, n // 10, n // 9, n // 9 + 1, n // 5, n}:
+            x = np.unique(r.integers(0, 2**64, n, np.uint64))
+            y = np.unique(np.concatenate([x[gone:], r.integers(0, 2**64, gone, np.uint64)]))
+            u, v = near_dedup.sketches([x, y])
+            assert sum(bin(int(d)).count("1") for d in (u ^ v).view(np.uint64)) <= len(np.setxor1d(x, y))
+            sets.append((x, y))
+            rows.append((len(rows), len(x), len(y), u.tolist(), v.tolist()))
+    df = spark.createDataFrame(rows, "n long, a_size long, b_size long, a_sketch array<long>, b_sketch array<long>")
+    can = {x.n for x in df.where(near_dedup._can_link("a", "b", 0.8)).collect()}
+    links = {k for k, (x, y) in enumerate(sets) if len(np.intersect1d(x, y)) >= 0.8 * len(np.union1d(x, y)) - 1e-9}
+    assert links <= can and len(can) < len(sets)
+
+
 @pytest.mark.parametrize("share", [0.0, 0.55, 0.72])
 def test_near_dedup_loses_no_link(spark, share):
     """Pairs of texts at similarities around 0.8, all texts with a passage in common."""
