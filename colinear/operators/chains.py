@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colinear.functions import kernels
+from colinear.functions import batches
 from colinear.operators.sampling import ranked
 
 MATCH, MISMATCH, GAP = 5.0, -1.0, -1.0
@@ -63,8 +63,8 @@ def _pairs(left: DataFrame, right: DataFrame | None, weights: DataFrame | None,
     return shared.groupBy("acr1", "acr2").agg(F.sum(F.size("as").cast("long") * F.size("cs")).alias("n_anchors"), F.collect_list(F.struct("as", "cs", "weight")).alias("m"))
 
 
-def _each(batch: pa.RecordBatch) -> Iterator[tuple[list[int], list[int], list[float]]]:
-    """Anchors of each pair, in one order whatever the order of its motifs; all products of a batch's position lists at once."""
+def _anchored(batch: pa.RecordBatch) -> batches.Pairs:
+    """Anchors of a batch's pairs: all products of its position lists at once."""
     listed = batch.column(batch.schema.get_field_index("m"))
     motifs = listed.flatten()
     a, c, w = motifs.field("as"), motifs.field("cs"), motifs.field("weight").to_numpy(zero_copy_only=False)
@@ -73,27 +73,20 @@ def _each(batch: pa.RecordBatch) -> Iterator[tuple[list[int], list[int], list[fl
     each = na * nc
     of = np.repeat(np.arange(len(each)), each)
     k = np.arange(len(of)) - np.repeat(np.cumsum(each) - each, each)
-    x = a.flatten().to_numpy()[(np.cumsum(na) - na)[of] + k // nc[of]].astype(np.int64)
-    y = c.flatten().to_numpy()[(np.cumsum(nc) - nc)[of] + k % nc[of]].astype(np.int64)
-    pair = np.repeat(np.arange(len(n)), n)[of]
-    v = w[of].astype(float)
-    order = np.lexsort((v, y, x, pair))
-    ends = np.cumsum(np.bincount(pair, minlength=len(n)))
-    x, y, v = x[order].tolist(), y[order].tolist(), v[order].tolist()
-    for begin, end in zip([0, *ends[:-1].tolist()], ends.tolist()):
-        yield x[begin:end], y[begin:end], v[begin:end]
+    x = a.flatten().to_numpy()[(np.cumsum(na) - na)[of] + k // nc[of]]
+    y = c.flatten().to_numpy()[(np.cumsum(nc) - nc)[of] + k % nc[of]]
+    total = np.bincount(np.repeat(np.arange(len(n)), n), each, len(n)).astype(np.int64)
+    return batches.Pairs(total, x, y, w[of])
 
 
 def global_chains(left: DataFrame, right: DataFrame | None = None, weights: DataFrame | None = None, missing: float | None = None) -> DataFrame:
     """(acr1, acr2, chain, n_anchors): the longest (with weights: heaviest) chain, forward or with right's order reversed."""
     use = weights is not None
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for a, c, w in _each(batch):
-                back = [-x for x in c]
-                out.append(float(max(kernels.chain_weight(a, c, w), kernels.chain_weight(a, back, w)) if use else max(kernels.chain_length(a, c), kernels.chain_length(a, back))))
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            pairs = _anchored(batch)
+            out = batches.chain_weights(pairs) if use else batches.chain_lengths(pairs)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64()), batch.column(2)], ["acr1", "acr2", "chain", "n_anchors"])
 
     return _pairs(left, right, weights, missing).mapInArrow(run, "acr1 string, acr2 string, chain double, n_anchors long")
@@ -119,14 +112,11 @@ def local_chains(left: DataFrame, right: DataFrame | None = None, weights: DataF
     """
     use = weights is not None
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            scores, lengths = [], []
-            for a, c, w in _each(batch):
-                own = [x * match for x in w] if use and compat else w if use else match
-                score, n = max(kernels.local_chain(a, c, own, mismatch, gap), kernels.local_chain(a, [-x for x in c], own, mismatch, gap))
-                scores.append(score)
-                lengths.append(n)
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            pairs = _anchored(batch)
+            own = pairs.v[: len(pairs.v) // 2]
+            scores, lengths = batches.local_chains(pairs, own * match if use and compat else own if use else np.full(len(own), float(match)), mismatch, gap)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array(lengths, pa.int32()), batch.column(2)], ["acr1", "acr2", "score", "chain_len", "n_anchors"])
 
     return _pairs(left, right, weights, missing).mapInArrow(run, "acr1 string, acr2 string, score double, chain_len int, n_anchors long")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from colinear.functions import kernels
 from colinear.functions.scores import global_distance, local_distance
-from colinear.operators.components import components
+from colinear.session import forget, stored
 
 
 def chain_distances(chains: DataFrame, lengths: DataFrame, alpha: float = 0.5, scale: float = 1.0) -> DataFrame:
@@ -27,34 +27,81 @@ def local_distances(chains: DataFrame, beta: float = 1.0) -> DataFrame:
     return chains.select(F.col("acr1").alias("id1"), F.col("acr2").alias("id2"), local_distance(F.col("score"), beta).alias("distance")).where("distance is not null")
 
 
-def clusters(distances: DataFrame, threshold: float, ids: DataFrame | None = None, average: bool = True, missing: float = 1.0) -> DataFrame:
+#: Edges between clusters that one task finishes; more are merged in rounds.
+FINISH = 50_000
+#: Distances are compared to so many digits; sums are exact decimals, so the order of rows never decides.
+DIGITS = 9
+
+
+def _linked(edges: DataFrame, average: bool, missing: float) -> DataFrame:
+    """Adds d, the distance of two clusters: from s, the sum, n, the number, and m, the largest, of the distances between their members."""
+    pairs = F.col("na") * F.col("nb")
+    d = (F.col("s").cast("double") + missing * (pairs - F.col("n"))) / pairs if average else F.greatest("m", F.when(F.col("n") < pairs, F.lit(float(missing))))
+    return edges.withColumn("d", F.round(d, DIGITS))
+
+
+def _reciprocal(near: DataFrame) -> DataFrame:
+    """(c, into, size) of the pairs of clusters (a, b, na, nb, d) that are each other's nearest one: the smaller label takes both."""
+    edge = F.struct("d", "a", "b", (F.col("na") + F.col("nb")).alias("size")).alias("e")
+    best = near.select(F.explode(F.array("a", "b")).alias("x"), edge).groupBy("x").agg(F.min("e").alias("e"))
+    mutual = best.groupBy("e").agg(F.count("*").alias("k")).where("k = 2")
+    return mutual.select(F.explode(F.array("e.a", "e.b")).alias("c"), F.col("e.a").alias("into"), F.col("e.size").alias("size"))
+
+
+def _merged(edges: DataFrame, moves: DataFrame) -> DataFrame:
+    """Edges after the moves: sums and numbers add up, so nothing but edges is looked at."""
+    side = lambda k: moves.select(F.col("c").alias(k), F.col("into").alias(f"{k}_into"), F.col("size").alias(f"{k}_size"))
+    moved = edges.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    a, b = F.coalesce("a_into", "a"), F.coalesce("b_into", "b")
+    na, nb = F.coalesce("a_size", "na"), F.coalesce("b_size", "nb")
+    moved = moved.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), F.when(a <= b, na).otherwise(nb).alias("na"), F.when(a <= b, nb).otherwise(na).alias("nb"), "s", "n", "m").where("a <> b")
+    return moved.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("s").cast("decimal(38,12)").alias("s"), F.sum("n").alias("n"), F.max("m").alias("m"))
+
+
+def clusters(distances: DataFrame, threshold: float, ids: DataFrame | None = None, average: bool = True, missing: float = 1.0, finish: int = FINISH) -> DataFrame:
     """(id, cluster): agglomerative clusters; cluster is the smallest id of its members.
 
-    Pairs without a distance have `missing`, negative distances count 0. Clusters merge only over some pair nearer than
-    threshold, so the components of those pairs are clustered each on its own, with the same result as all at once
-    (threshold at most `missing`). ids: all ids, also those without a pair.
+    The nearest two clusters merge while their distance (average: the mean over members, else the largest) is below threshold
+    (complete linkage: not above); ties by the labels. Pairs without a distance have `missing`, negative distances count 0, of several
+    for a pair the smallest. ids: all ids, also those without a pair. Both linkages are reducible: a merge brings no other
+    cluster nearer, so all pairs that are each other's nearest merge in one round, with the result of one merge after another.
+    A round is joins and sums over the edges; no component or cluster is gathered. Up to `finish` edges, counted first, go to
+    one task for the rest.
     """
     if threshold > missing:
         raise ValueError("clusters: threshold must not be above the distance of missing pairs")
-    d = distances.select("id1", "id2", F.greatest(F.col("distance"), F.lit(0.0)).alias("distance")).where("id1 <> id2")
-    near = d.where(F.col("distance") < threshold if average else F.col("distance") <= threshold)
-    roots = components(near.select(F.col("id1").alias("a"), F.col("id2").alias("b")))
-    inside = d.join(roots.select(F.col("node").alias("id1"), "root"), "id1").join(roots.select(F.col("node").alias("id2"), F.col("root").alias("root2")), "id2").where("root = root2")
-
-    def merged(group: pa.Table) -> pa.Table:
-        a, b, x = (group.column(c).to_pylist() for c in ("id1", "id2", "distance"))
-        names = sorted({*a, *b})
-        at = {n: i for i, n in enumerate(names)}
-        grid = np.full((len(names), len(names)), float(missing))
-        for i, j, v in zip(a, b, x):
-            grid[at[i], at[j]] = grid[at[j], at[i]] = v
-        label = kernels.linkage_clusters(grid, threshold, average)
-        return pa.table({"id": pa.array(names), "cluster": pa.array([names[k] for k in label])})
-
     kind = dict(distances.dtypes)["id1"]
-    found = inside.groupBy("root").applyInArrow(merged, f"id {kind}, cluster {kind}")
+    listed = distances.where("id1 <> id2").select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b"), F.greatest(F.col("distance"), F.lit(0.0)).alias("m"))
+    edges = listed.groupBy("a", "b").agg(F.min("m").alias("m"))
+    one = F.lit(1).cast("long")
+    edges = stored(edges.select("a", "b", one.alias("na"), one.alias("nb"), F.col("m").cast("decimal(28,12)").cast("decimal(38,12)").alias("s"), one.alias("n"), "m"))
+    labels = stored(edges.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("cluster", F.col("id")))
+    near = (F.col("d") < threshold) if average else (F.col("d") <= threshold)
+
+    def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [tuple(r.values()) for batch in batches for r in batch.to_pylist()]
+        into = kernels.linkage_edges(rows, threshold, average, missing, DIGITS)
+        if into:
+            yield pa.RecordBatch.from_arrays([pa.array(list(into)), pa.array(list(into.values()))], ["c", "into"])
+
+    while True:
+        last = edges.count() <= finish
+        moves = stored(edges.select("a", "b", "na", "nb", "s", "n", "m").coalesce(1).mapInArrow(finished, f"c {kind}, into {kind}") if last else _reciprocal(_linked(edges, average, missing).where(near)))
+        moved = stored(labels.join(moves, labels["cluster"] == moves["c"], "left").select("id", F.coalesce("into", "cluster").alias("cluster")))
+        forget(labels)
+        labels = moved
+        if last or moves.isEmpty():
+            break
+        after = _merged(edges, moves)
+        if not average:
+            after = _linked(after, average, missing).where(near).drop("d")  # a largest distance only grows
+        after = stored(after)
+        forget(edges)
+        forget(moves)
+        edges = after
     everyone = ids.select("id") if ids is not None else distances.select(F.col("id1").alias("id")).union(distances.select("id2")).distinct()
-    return everyone.join(found, "id", "left").select("id", F.coalesce("cluster", "id").alias("cluster"))
+    found = labels.select(F.col("id").alias("_id"), "cluster")
+    return everyone.join(found, everyone["id"] == found["_id"], "left").select("id", F.coalesce("cluster", "id").alias("cluster"))
 
 
 def medoids(clustered: DataFrame, distances: DataFrame, missing: float = 1.0, more_than: int = 0) -> DataFrame:

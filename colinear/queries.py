@@ -353,11 +353,40 @@ def q_medoid(spark, d):
     return clustering.medoids(_by_chrom(spark, d), _distances(spark, d))
 
 
-@query()
+def _linkage(setup: str, n_ids: str, distance: str, near: str) -> str:
+    """Agglomerative clusters by one merge a step over a list of labels. setup: CTEs that end in t (i, j, x), the listed distances of
+    numbered ids, and names (k, id); distance: of two clusters, from s, n, m and the number of pairs np."""
+    return f"""WITH RECURSIVE {setup}, start AS (SELECT 0 AS step, (SELECT list(k::int ORDER BY k) FROM {n_ids}) AS lab),
+r AS (SELECT step, lab FROM start UNION ALL SELECT step + 1, list_transform(lab, lambda v: CASE WHEN v = best.b THEN best.a ELSE v END) FROM
+  (SELECT step, any_value(lab) AS lab, min({{'d': d, 'a': a, 'b': b}}) AS best FROM
+    (SELECT step, lab, a, b, round({distance}, 9) AS d FROM
+      (SELECT step, any_value(lab) AS lab, a, b, sum(x::decimal(28, 12)) AS s, count(*) AS n, max(x) AS m, any_value(len(list_filter(lab, lambda v: v = a)) * len(list_filter(lab, lambda v: v = b))) AS np FROM
+        (SELECT step, lab, least(lab[i], lab[j]) AS a, greatest(lab[i], lab[j]) AS b, x FROM r, t WHERE lab[i] <> lab[j]) GROUP BY step, a, b)) GROUP BY step)
+  WHERE best.d {near}),
+last AS (SELECT lab FROM r ORDER BY step DESC LIMIT 1)
+SELECT x.id, y.id AS cluster FROM names x, last JOIN names y ON y.k = last.lab[x.k]"""
+
+
+LINKED = f"{DIST}, names AS MATERIALIZED (SELECT acr AS id, row_number() OVER (ORDER BY acr) AS k FROM acrs), t AS MATERIALIZED (SELECT least(x.k, y.k) AS i, greatest(x.k, y.k) AS j, distance AS x FROM dist JOIN names x ON x.id = id1 JOIN names y ON y.id = id2)"
+MEAN = "(s::double + 1.0 * (np - n)) / np"
+
+
+@query(_linkage(LINKED, "names", MEAN, "< 0.97"))
 def q_clusters(spark, d):
     return clustering.clusters(_distances(spark, d), 0.97, view(spark, d, "acrs").select(F.col("acr").alias("id")))
 
 
+@query(_linkage(LINKED, "names", MEAN, "< 0.9"))
+def q_clusters_by_rounds(spark, d):
+    """All merges in rounds, as beyond FINISH edges."""
+    return clustering.clusters(_distances(spark, d), 0.9, view(spark, d, "acrs").select(F.col("acr").alias("id")), finish=0)
+
+
+@query(_linkage(LINKED, "names", "CASE WHEN n < np THEN greatest(m, 1.0) ELSE m END", "<= 0.9"))
+def q_clusters_complete(spark, d):
+    return clustering.clusters(_distances(spark, d), 0.9, view(spark, d, "acrs").select(F.col("acr").alias("id")), average=False, finish=0)
+
+
 @query()
 def q_motif_clusters(spark, d):
     from colinear.session import stored, table

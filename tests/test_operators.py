@@ -81,6 +81,16 @@ def test_occurrences(spark):
     assert [r.break_before for r in breaks.orderBy("start_pos").collect()] == [False, False, True]
 
 
+def test_rows_without_group_or_start_stay(spark):
+    rows = [("m", "Chr1", 5, 9), ("m", "Chr1", None, 9), ("m", None, 7, 9), ("k", None, 3, 9), ("m", "Chr1", 3_000_000, 3_000_009)]
+    occ = spark.createDataFrame(rows, "motif string, chrom string, start_pos int, stop_pos int")
+    got = {(r.chrom, r.start_pos): r.idx for r in occurrences.indexed(occ).collect()}
+    assert got == {("Chr1", None): 0, ("Chr1", 5): 1, ("Chr1", 3_000_000): 2, (None, 3): 0, (None, 7): 1}
+    assert occurrences.numbered(occ, "chrom").count() == 5
+    assert {(r.chrom, r.start_pos): r.break_before for r in occurrences.with_breaks(occ, 100).collect()} == {("Chr1", None): False, ("Chr1", 5): False, ("Chr1", 3_000_000): True, (None, 3): False, (None, 7): False}
+    assert intervals.union(occ.where("start_pos is not null")).count() == 3
+
+
 def test_components(spark):
     r = random.Random(3)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 520)]
@@ -123,25 +133,29 @@ def test_search_extends_a_planted_copy(spark):
     assert jobs.genome_search(regions, genome).count() >= 1
 
 
-def test_clusters_equal_whole_linkage(spark):
+@pytest.mark.parametrize("average", [True, False])
+@pytest.mark.parametrize("tied", [True, False])
+def test_clusters_equal_whole_linkage(spark, average, tied):
     import numpy as np
 
-    r = random.Random(11)
-    n = 18
+    r = random.Random(11 + average)
+    n = 24
     grid, rows = np.full((n, n), 1.0), []
     for i in range(n):
         for j in range(i):
-            if r.random() < 0.25:
-                grid[i, j] = grid[j, i] = x = r.choice([0.1, 0.2, 0.35, 0.5, 0.62, 0.77]) + r.random() / 1000
-                rows.append((j, i, x))
-    want = kernels.linkage_clusters(grid, 0.8)
-    ids = spark.range(n)
-    got = {x.id: x.cluster for x in clustering.clusters(spark.createDataFrame(rows, "id1 long, id2 long, distance double"), 0.8, ids).collect()}
-    assert got == dict(enumerate(want))
-    members = spark.createDataFrame([(i, c) for i, c in got.items()], "id long, cluster long")
-    for m in clustering.medoids(members, spark.createDataFrame(rows, "id1 long, id2 long, distance double")).collect():
-        own = [i for i, c in got.items() if c == m.cluster]
-        assert m.representative == min(own, key=lambda i: (round(sum(grid[i, j] for j in own if j != i), 9), i)) and m.n == len(own)
+            if r.random() < 0.35:
+                grid[i, j] = grid[j, i] = x = r.choice([0.125, 0.25, 0.375, 0.5, 0.625, 0.75]) + (0 if tied else r.random() / 1000)
+                rows.append((j, i, x) if r.random() < 0.5 else (i, j, x))
+    want = kernels.linkage_clusters(grid, 0.8, average)
+    rows += [(3, 3, 0.0)]
+    distances, ids = spark.createDataFrame(rows, "id1 long, id2 long, distance double"), spark.range(n)
+    for finish in (0, 40, 10_000):  # all in rounds, some, none
+        got = {x.id: x.cluster for x in clustering.clusters(distances, 0.8, ids, average, finish=finish).collect()}
+        assert got == dict(enumerate(want))
+    named = distances.selectExpr("concat('n', lpad(id1, 2, '0')) AS id1", "concat('n', lpad(id2, 2, '0')) AS id2", "distance")
+    got = {x.id: x.cluster for x in clustering.clusters(named, 0.8, average=average, finish=0).collect()}
+    assert all(c == f"n{want[int(i[1:])]:02}" for i, c in got.items())
+    assert clustering.clusters(distances.where("false"), 0.8, ids).where("id <> cluster").count() == 0
 
 
 def test_consensus(spark):
