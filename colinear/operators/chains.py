@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from colinear.functions import batches
 from colinear.operators.sampling import ranked
+from colinear.session import stored
 
 MATCH, MISMATCH, GAP = 5.0, -1.0, -1.0
 
@@ -35,11 +36,6 @@ def anchors(left: DataFrame, right: DataFrame | None = None) -> DataFrame:
     return shared_motifs(left, right).select("acr1", "acr2", "motif", F.explode("as").alias("a"), "cs").select("acr1", "acr2", "motif", "a", F.explode("cs").alias("c"))
 
 
-def anchor_counts(left: DataFrame, right: DataFrame | None = None) -> DataFrame:
-    """(acr1, acr2, n_anchors) without making the anchors."""
-    return shared_motifs(left, right).groupBy("acr1", "acr2").agg(F.sum(F.size("as").cast("long") * F.size("cs")).alias("n_anchors"))
-
-
 def anchor_offsets(counts: DataFrame) -> DataFrame:
     """Adds first and stop, the slice of each pair if all anchors lay one after another in order of the pair.
 
@@ -49,47 +45,113 @@ def anchor_offsets(counts: DataFrame) -> DataFrame:
     return placed.select("acr1", "acr2", "n_anchors", (F.col("_rank") - F.col("n_anchors")).alias("first"), F.col("_rank").alias("stop"))
 
 
-def weighted(occ: DataFrame, weights: DataFrame, missing: float | None = None) -> DataFrame:
-    """Adds weight by motif (motif, score). missing: for motifs without one; None: such a motif is an error."""
-    found = occ.join(weights.select("motif", F.col("score").cast("double").alias("weight")), "motif", "left")
-    if missing is None:
-        return found.withColumn("weight", F.when(F.col("weight").isNull(), F.raise_error(F.concat(F.lit("no weight for motif "), F.col("motif")))).otherwise(F.col("weight")))
-    return found.withColumn("weight", F.coalesce("weight", F.lit(float(missing))))
+#: Regions of a block. Blocks that share a motif meet, and their regions' anchors are found there.
+BLOCK = 128
+#: Anchors that a task holds at once, but for a single region's.
+HELD = 2_000_000
 
 
-def _pairs(left: DataFrame, right: DataFrame | None, weights: DataFrame | None, missing: float | None) -> DataFrame:
-    shared = shared_motifs(left, right)
-    shared = weighted(shared, weights, missing) if weights is not None else shared.withColumn("weight", F.lit(1.0))
-    return shared.groupBy("acr1", "acr2").agg(F.sum(F.size("as").cast("long") * F.size("cs")).alias("n_anchors"), F.collect_list(F.struct("as", "cs", "weight")).alias("m"))
+def _regions(occ: DataFrame, weights: DataFrame | None) -> DataFrame:
+    """(acr, seq): each region's elements; a motif goes by its 64-bit hash. Rows without a region or motif are left out."""
+    occ = occ.where("acr is not null and motif is not null")
+    known = occ.select("acr", "pos", "motif", F.lit(1.0).alias("weight")) if weights is None else occ.select("acr", "pos", "motif").join(weights.select("motif", F.col("score").cast("double").alias("weight")), "motif", "left")
+    return stored(known.groupBy("acr").agg(F.collect_list(F.struct(F.xxhash64("motif").alias("k"), F.col("pos").cast("long").alias("pos"), "weight")).alias("seq")))
 
 
-def _anchored(batch: pa.RecordBatch) -> batches.Pairs:
-    """Anchors of a batch's pairs: all products of its position lists at once."""
-    listed = batch.column(batch.schema.get_field_index("m"))
-    motifs = listed.flatten()
-    a, c, w = motifs.field("as"), motifs.field("cs"), motifs.field("weight").to_numpy(zero_copy_only=False)
-    sizes = lambda x: x.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-    na, nc, n = sizes(a), sizes(c), sizes(listed)
-    each = na * nc
-    of = np.repeat(np.arange(len(each)), each)
-    k = np.arange(len(of)) - np.repeat(np.cumsum(each) - each, each)
-    x = a.flatten().to_numpy()[(np.cumsum(na) - na)[of] + k // nc[of]]
-    y = c.flatten().to_numpy()[(np.cumsum(nc) - nc)[of] + k % nc[of]]
-    total = np.bincount(np.repeat(np.arange(len(n)), n), each, len(n)).astype(np.int64)
-    return batches.Pairs(total, x, y, w[of])
+def _block_pairs(left: DataFrame, right: DataFrame | None, weights: DataFrame | None) -> DataFrame:
+    """(b1, b2, rows1, rows2): pairs of blocks of regions that share a motif, with each block's regions and their elements.
 
-
-def global_chains(left: DataFrame, right: DataFrame | None = None, weights: DataFrame | None = None, missing: float | None = None) -> DataFrame:
-    """(acr1, acr2, chain, n_anchors): the longest (with weights: heaviest) chain, forward or with right's order reversed."""
-    use = weights is not None
+    What is joined on motifs is blocks, so a motif that two thousand regions have makes some hundred rows, not millions; and
+    what moves is a block for each other one, not a row for each motif of each pair.
+    """
+    sides = [_regions(left, weights)]
+    sides.append(sides[0] if right is None else _regions(right, weights))
+    dealt = [r.withColumn("b", F.pmod(F.xxhash64("acr"), F.lit(max(1, -(-r.count() // BLOCK))))) for r in sides]
+    keys = [r.select(F.col("b").alias(f"b{i}"), F.explode(F.transform("seq", lambda x: x["k"])).alias("k")).distinct() for i, r in enumerate(dealt, 1)]
+    met = keys[0].join(keys[1], "k")
+    met = stored((met.where("b1 <= b2") if right is None else met).select("b1", "b2").distinct())
+    packed = [r.groupBy(F.col("b").alias(f"b{i}")).agg(F.collect_list(F.struct("acr", "seq")).alias(f"rows{i}")) for i, r in enumerate(dealt, 1)]  # about BLOCK rows each
+    n = met.count()
+    tasks = max(1, min(n, max(4 * left.sparkSession.sparkContext.defaultParallelism, n // 16)))
+    return met.join(packed[0], "b1").join(packed[1], "b2").select("b1", "b2", "rows1", "rows2").repartition(tasks, "b1", "b2")
+
+
+def _elements(rows: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(names, region of each element, motif, position, weight) of a block."""
+    names, seq = rows.field("acr").to_pylist(), rows.field("seq")
+    sizes = seq.value_lengths().to_numpy(zero_copy_only=False)
+    flat = seq.flatten()
+    return names, np.repeat(np.arange(len(names)), sizes), *(flat.field(c).to_numpy(zero_copy_only=False) for c in ("k", "pos", "weight"))
+
+
+def _anchored(record: pa.StructArray, one_set: bool, missing: float | None, use: bool, held: int) -> Iterator[tuple[list[str], list[str], batches.Pairs]]:
+    """Names and anchors of the pairs of two blocks (one_set: each unordered pair once, the smaller name first)."""
+    b1, b2 = (record.field(c)[0].as_py() for c in ("b1", "b2"))
+    (names1, of1, k1, x1, w1), (names2, of2, k2, x2, _) = (_elements(record.field(c).flatten()) for c in ("rows1", "rows2"))
+    order = np.argsort(k2, kind="stable")
+    of2, k2, x2 = of2[order], k2[order], x2[order]
+    lo, hi = np.searchsorted(k2, k1, "left"), np.searchsorted(k2, k1, "right")
+    per = np.bincount(of1, hi - lo, len(names1)).astype(np.int64)  # anchors of each region of the first block
+    cut = np.searchsorted(np.cumsum(per), np.arange(held, int(per.sum()) + held, held), "left")
+    text1, text2 = np.array(names1, object), np.array(names2, object)
+    begin = 0
+    for end in sorted({*(int(c) + 1 for c in cut if c + 1 < len(names1)), len(names1)}):
+        own = np.flatnonzero((of1 >= begin) & (of1 < end))
+        begin = end
+        n = (hi - lo)[own]
+        i = np.repeat(own, n)
+        j = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + lo[i]
+        a, c = of1[i], of2[j]
+        turned = np.zeros(len(i), bool)
+        if one_set:
+            keep = a < c if b1 == b2 else np.ones(len(i), bool)
+            i, j, a, c = i[keep], j[keep], a[keep], c[keep]
+        pair = a * len(names2) + c
+        order = np.argsort(pair, kind="stable")
+        i, j = i[order], j[order]
+        known, sizes = np.unique(pair, return_counts=True)
+        first, second = text1[known // len(names2)], text2[known % len(names2)]
+        x, y, w = x1[i], x2[j], w1[i]
+        if one_set:
+            turned = np.array([p > q for p, q in zip(first, second)], bool)
+            first, second = np.where(turned, second, first), np.where(turned, first, second)
+            swap = np.repeat(turned, sizes)
+            x, y = np.where(swap, y, x), np.where(swap, x, y)
+        if use and np.isnan(w).any():
+            if missing is None:
+                raise ValueError(f"no weight for a motif of {text1[of1[i[np.flatnonzero(np.isnan(w))[0]]]]}")
+            w = np.where(np.isnan(w), missing, w)
+        if len(known):
+            yield first.tolist(), second.tolist(), batches.Pairs(sizes, x, y, w)
+
+
+def _chained(left: DataFrame, right: DataFrame | None, weights: DataFrame | None, missing: float | None, found: Callable[[batches.Pairs], dict[str, np.ndarray]], columns: str) -> DataFrame:
+    """(acr1, acr2, columns, n_anchors) by what found makes of the pairs' anchors."""
+    use, one_set, held = weights is not None, right is None, HELD
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            pairs = _anchored(batch)
-            out = batches.chain_weights(pairs) if use else batches.chain_lengths(pairs)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64()), batch.column(2)], ["acr1", "acr2", "chain", "n_anchors"])
+            records = batch.to_struct_array()
+            for k in range(batch.num_rows):
+                for first, second, pairs in _anchored(records.slice(k, 1), one_set, missing, use, held):
+                    out = {"acr1": pa.array(first, pa.string()), "acr2": pa.array(second, pa.string())} | {c: pa.array(v) for c, v in found(pairs).items()}
+                    yield pa.RecordBatch.from_pydict(out | {"n_anchors": pa.array(pairs.sizes[: pairs.n], pa.int64())})
 
-    return _pairs(left, right, weights, missing).mapInArrow(run, "acr1 string, acr2 string, chain double, n_anchors long")
+    return _block_pairs(left, right, weights).mapInArrow(run, f"acr1 string, acr2 string, {columns}n_anchors long")
+
+
+def anchor_counts(left: DataFrame, right: DataFrame | None = None) -> DataFrame:
+    """(acr1, acr2, n_anchors) of all pairs that share a motif."""
+    return _chained(left, right, None, None, lambda pairs: {}, "")
+
+
+def global_chains(left: DataFrame, right: DataFrame | None = None, weights: DataFrame | None = None, missing: float | None = None) -> DataFrame:
+    """(acr1, acr2, chain, n_anchors): the longest (with weights: heaviest) chain, forward or with right's order reversed.
+
+    weights: (motif, score); missing: that of motifs without one, None: such a motif shared by two regions is an error.
+    """
+    best = batches.chain_lengths if weights is None else batches.chain_weights
+    return _chained(left, right, weights, missing, lambda pairs: {"chain": best(pairs).astype(float)}, "chain double, ")
 
 
 def native_global_chains(left: DataFrame, right: DataFrame | None = None) -> DataFrame:
@@ -112,11 +174,9 @@ def local_chains(left: DataFrame, right: DataFrame | None = None, weights: DataF
     """
     use = weights is not None
 
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
-            pairs = _anchored(batch)
-            own = pairs.v[: len(pairs.v) // 2]
-            scores, lengths = batches.local_chains(pairs, own * match if use and compat else own if use else np.full(len(own), float(match)), mismatch, gap)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array(lengths, pa.int32()), batch.column(2)], ["acr1", "acr2", "score", "chain_len", "n_anchors"])
+    def found(pairs: batches.Pairs) -> dict[str, np.ndarray]:
+        own = pairs.v[: len(pairs.v) // 2]
+        scores, lengths = batches.local_chains(pairs, own * match if use and compat else own if use else np.full(len(own), float(match)), mismatch, gap)
+        return {"score": scores, "chain_len": lengths.astype(np.int32)}
 
-    return _pairs(left, right, weights, missing).mapInArrow(run, "acr1 string, acr2 string, score double, chain_len int, n_anchors long")
+    return _chained(left, right, weights, missing, found, "score double, chain_len int, ")

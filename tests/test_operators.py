@@ -41,7 +41,10 @@ def test_formulas(spark):
     assert {r.motif: r.score for r in weights.centred_scores(rows, 5).collect()} == {"a": 2.5, "b": 7.5}
 
 
-def test_chains_against_brute_force(spark):
+@pytest.mark.parametrize(("block", "held"), [(128, 2_000_000), (3, 20)])
+def test_chains_against_brute_force(spark, monkeypatch, block, held):
+    monkeypatch.setattr(chains, "BLOCK", block)
+    monkeypatch.setattr(chains, "HELD", held)
     rows = occ_rows()
     occ = spark.createDataFrame(rows, "acr string, pos int, motif string")
     w = {f"m{i}": i - 1.0 for i in range(5)}
@@ -67,6 +70,11 @@ def test_chains_against_brute_force(spark):
     ends = sorted((r["first"], r["stop"]) for r in offsets)
     assert ends[0][0] == 0 and all(x[1] == y[0] for x, y in zip(ends, ends[1:]))
     assert chains.global_chains(occ.where("1 = 0")).count() == 0
+    other = occ.selectExpr("concat('x', acr) AS acr", "pos", "motif")
+    two = {(r.acr1, r.acr2[1:]): r.chain for r in chains.global_chains(occ, other).collect()}
+    assert len(two) > len(got) and all(two[p] == two[p[1], p[0]] == r.chain for p, r in got.items())
+    nulls = occ.union(spark.createDataFrame([(None, 1, "m1"), (acrs[0], 1, None), (acrs[1], 1, None)], occ.schema))
+    assert sorted(map(tuple, chains.global_chains(nulls).collect())) == sorted(map(tuple, got.values()))
 
 
 def test_occurrences(spark):
