@@ -34,6 +34,11 @@ LEADING = frozenset("ad ads advert advertisement adsense sponsor sponsored promo
 HAVING = frozenset("has have no not with without is are show hide can".split())
 OWN = frozenset("article post entry story news blog content".split())
 ENDING = frozenset("container wrapper wrap inner outer box area block section list lists item items row col column columns group holder slot panel unit link links button buttons bar zone icon icons left right top bottom main primary secondary".split())
+#: What a leading word speaks of in a name such as related-posts; with another word (related-work) the name only mentions a part.
+ITEMS = frozenset("articles content contents feed media more news pages posts products reads stories topics videos".split())
+# Elements within a sentence, whose names don't make them a part of the page, and those that stand in a head.
+PHRASE = frozenset("abbr acronym b bdi bdo big cite code del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var".split())
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 
 #: Added to the kind of a block whose surroundings have a name that mentions a part: differencing decides on it.
@@ -49,45 +54,52 @@ VERSION = 0.5
 SENT = 200_000
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)|[^<]++|<", re.S)
-_NAMES = re.compile(r"(?:^|\s)(?:class|id)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
-_ROLE = re.compile(r"(?:^|\s)role\s*=\s*[\"']?([a-z]+)", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$|/)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+_UNSHOWN = re.compile(r"display\s*:\s*none", re.I)
 _CUT = re.compile(r"[^a-z0-9]+")
+_CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 
 
 def _named(name: str, in_article: bool) -> int:
     """What one class or id says: 2 for a part outside the article, 1 if it only mentions one, 0 for neither."""
-    words = [w for w in _CUT.split(name.lower()) if w]
+    words = [w for w in _CUT.split(_CAMEL.sub("-", name).lower()) if w]
     while len(words) > 1 and (words[-1] in ENDING or words[-1].isdigit()):
         words.pop()
     if not words or words[0] in HAVING:
         return 0
     if words[-1] == "header" and (in_article or words[0] in OWN):
         return 0
-    if words[-1] in PARTS or words[0] in LEADING:
+    if words[-1] in PARTS or words[0] in LEADING and (not in_article or all(w in ITEMS or w in PARTS for w in words[1:])):
         return 2
     return int(not PARTS.isdisjoint(words))
 
 
-def _part(attributes: str, in_article: bool) -> int:
-    """2: the attributes name a page part outside the article, or hide the element; 1: a name mentions such a part; else 0."""
-    found = 0
-    for m in _NAMES.finditer(attributes):
-        for name in m[1].strip("\"'").split():
-            found = max(found, _named(name, in_article))
-    if (m := _ROLE.search(attributes)) and m[1].lower() in ROLES or _HIDDEN.search(attributes):
+def _part(attributes: str, in_article: bool, phrase: bool = False) -> int:
+    """3: the element is hidden; 2: the attributes name a page part outside the article; 1: a name mentions such a part; else 0.
+
+    The names of a phrase in a sentence say nothing about the page.
+    """
+    found: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(attributes):
+        found.setdefault(m[1].lower(), unescape((m[2] or "").strip("\"'")))
+    if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or _UNSHOWN.search(found.get("style", "")):
+        return 3
+    if phrase:
+        return 0
+    if found.get("role", "").lower() in ROLES:
         return 2
-    return found
+    return max((_named(name, in_article) for key in ("class", "id") for name in found.get(key, "").split()), default=0)
 
 
 def blocks(html: str) -> list[tuple[str, int]]:
     """Blocks of text in page order, white space folded: (text, kind); 0: in chrome, 1: open, 2: inside article or main; and with
-    HINTED added: an element around it has a name that mentions chrome."""
+    HINTED added: an element around it has a name that mentions chrome. A head whose end tag is left out ends at the first element or
+    text that can't stand in it; hidden phrases go without parting their sentence."""
     out: list[tuple[str, int]] = []
-    stack: list[tuple[str, bool, bool, bool, bool]] = []  # element; in chrome, in an article, in a link, hinted
+    stack: list[tuple[str, bool, bool, bool, bool, bool]] = []  # element; in chrome, in an article, in a link, hinted, in a hidden phrase
     text: list[str] = []
     linked = 0
-    chrome = article = link = hinted = False
+    chrome = article = link = hinted = mute = False
 
     def flush() -> None:
         nonlocal linked
@@ -100,8 +112,8 @@ def blocks(html: str) -> list[tuple[str, int]]:
         linked = 0
 
     def settle() -> None:
-        nonlocal chrome, article, link, hinted
-        chrome, article, link, hinted = stack[-1][1:] if stack else (False, False, False, False)
+        nonlocal chrome, article, link, hinted, mute
+        chrome, article, link, hinted, mute = stack[-1][1:] if stack else (False,) * 5
 
     at, size, scan = 0, len(html), _TOKEN.match
     while at < size:
@@ -110,7 +122,12 @@ def blocks(html: str) -> list[tuple[str, int]]:
         name = m[2] or m[5]
         if name is None:
             piece = m[0]
+            if mute:
+                continue
             if piece[0] != "<" or piece == "<":
+                if stack and stack[-1][0] == "head" and not piece.isspace():
+                    stack.pop()
+                    settle()
                 text.append(piece)
                 if link:
                     linked += len(piece.strip())
@@ -123,7 +140,7 @@ def blocks(html: str) -> list[tuple[str, int]]:
                 if stack[i][0] == name:
                     if name not in BLOCKS and any(x[0] in BLOCKS for x in stack[i + 1 :]):
                         break  # an inline end tag doesn't close blocks
-                    outside = stack[i - 1] if i else ("", False, False, False, False)
+                    outside = stack[i - 1] if i else ("", False, False, False, False, False)
                     if name in CHROME or stack[i][1] != outside[1] or stack[i][4] != outside[4]:
                         flush()
                     del stack[i:]
@@ -133,6 +150,13 @@ def blocks(html: str) -> list[tuple[str, int]]:
         if name == "br":
             text.append(" ")
             continue
+        if stack and (name == "body" or stack[-1][0] == "head" and name not in IN_HEAD):
+            for i, x in enumerate(stack):
+                if x[0] == "head":
+                    flush()
+                    del stack[i:]
+                    settle()
+                    break
         if name in BLOCKS:
             flush()
         if name in ENDS_P and stack:  # an open paragraph, and what is in it, ends here
@@ -159,11 +183,16 @@ def blocks(html: str) -> list[tuple[str, int]]:
             at = end.end() if end else size
             continue
         inner = name in ("article", "main")
-        part = _part(attributes, article) if attributes and name not in ("html", "body") else 0
-        own = name in CHROME and not (name == "header" and article) or part == 2
+        phrase = name in PHRASE
+        part = _part(attributes, article, phrase) if attributes and name not in ("html", "body") else 0
+        if phrase:
+            stack.append((name, chrome, article, link, hinted, mute or part == 3))
+            settle()
+            continue
+        own = name in CHROME and not (name == "header" and article) or part >= 2
         if own and not chrome or part and not hinted:
             flush()
-        stack.append((name, chrome or own, article or inner and not chrome and not own, link or name == "a", hinted or part > 0))
+        stack.append((name, chrome or own, article or inner and not chrome and not own, link or name == "a", hinted or part > 0, mute))
         settle()
     flush()
     return out
