@@ -55,7 +55,8 @@ def without_boilerplate(docs: DataFrame, sites: int = SITES) -> DataFrame:
     hits = _lines(docs).join(_small(spread_lines(docs, sites)), "h", "left_semi").groupBy("row_key").agg(F.collect_set("pos").alias("gone"))
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("r"))  # so that no name clashes
     joined = rows.join(hits, F.xxhash64(F.col("r.doc_id").cast("long"), F.col("r.text")) == hits["row_key"], "left").select("r", "gone", F.split("r.text", "\n").alias("lines"))
-    left = F.array_join(F.filter("lines", lambda x, i: ~F.array_contains("gone", i)), "\n")
+    stays = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")  # by a hash set: linear in a document's lines
+    left = F.array_join(F.transform(stays, lambda i: F.get("lines", i)), "\n")
     joined = joined.select("r", "gone", "lines", F.when(F.col("gone").isNull(), F.col("r.text")).otherwise(left).alias("left"))
     copy = F.col("gone").isNotNull() & ~F.col("left").rlike("[^ \\t\\r\\n\\x0B\\x0C]")
     removed = F.when(F.col("gone").isNull() | copy, 0).otherwise(F.size("gone"))
