@@ -155,14 +155,15 @@ def sample_features(labelled: DataFrame, limit: int = SAMPLE) -> list[tuple[int,
 
 def graded(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> DataFrame:
     """Ratings from 0: toxic, 1: poor, 2: good. (Toxic is the lowest grade, so that many toxic words can't pass for a middle one.) Rows without a doc_id, quality or text are left out;
-    of labels that disagree the lowest counts. Up to about `limit` documents: those in a cut of the hash range."""
+    of labels that disagree the lowest counts, of rows of one doc_id the text of the lowest hash, so no id brings more than one.
+    Up to about `limit` documents: those in a cut of the hash range."""
     grade = F.when(F.coalesce("toxic", F.lit(0)) > 0, 0).when(F.col("quality") <= 0, 1).otherwise(2)
     rated = labels.where("quality is not null and doc_id is not null").select(F.col("doc_id").alias("_rated"), grade.alias("grade")).groupBy("_rated").agg(F.min("grade").alias("grade"))
     n = rated.count()
     cut = -(2.0**63) + 2.0**64 * min(1.0, limit / max(1, n))
     rated = rated.where(F.xxhash64("_rated").cast("double") <= F.lit(cut))  # about `limit` rows: the documented bound
     own = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"))  # so that no name clashes
-    return own.join(F.broadcast(rated), F.col("_id") == F.col("_rated")).where("_text is not null").select(F.col("_id").alias("doc_id"), F.col("_text").alias("text"), "grade")
+    return own.join(F.broadcast(rated), F.col("_id") == F.col("_rated")).where("_text is not null").groupBy(F.col("_id").alias("doc_id")).agg(F.min_by("_text", F.xxhash64("_text")).alias("text"), F.first("grade").alias("grade"))
 
 
 def score(docs: DataFrame, model: Model, wanted: list[str]) -> DataFrame:
