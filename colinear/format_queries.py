@@ -17,6 +17,7 @@ from colinear.functions.scores import consensus_letters, per_base
 from colinear.operators import clustering, genes, intervals, occurrences, search, weights
 from colinear.operators import statistics as st
 from colinear.operators.components import components
+from colinear.operators.sampling import ranked
 from colinear.plans import jobs
 from colinear.plans.options import RankOptions
 from colinear.queries import ASOF, DIST, FEATURES, OCC, RANKED, REL, ROLES, _by_chrom, _clean, _distances, _freq, _promoters, _r, _relevance, _roles, query
@@ -168,6 +169,26 @@ def q_read_relevance(spark, d):
     return _through(_relevance(spark, d), writers.motif_relevance, readers.motif_relevance).select("motif", "total_acr", "total_full", *_r("z_score"))
 
 
+@query(f"WITH {REL} SELECT motif, row_number() OVER (ORDER BY round(CASE WHEN p * (1 - p) = 0 THEN 0 ELSE (p1 - p2) / sqrt(p * (1 - p) * (1 / na + 1 / nf)) END, 9) DESC, motif) AS line FROM z")
+def q_relevance_order(spark, d):
+    """Lines of the written relevance table, by part file and place: motifs in falling order of z."""
+    path = _folder(spark)
+    writers.motif_relevance(_relevance(spark, d).withColumn("z_score", F.round("z_score", 9)), path)
+    lines = readers.in_order(spark.read.option("sep", "\t").option("header", True).csv(path).select("motif", "_metadata"), "at")
+    return ranked(lines.select("motif", "at"), [F.col("at")], "line").select("motif", F.col("line").cast("long").alias("line"))
+
+
+LOW = "low AS (SELECT p.* FROM pair_lengths p JOIN align_scores a ON a.r1 = p.r1 AND a.r2 = p.r2 WHERE a.align_score <= (SELECT align_score FROM (SELECT align_score, row_number() OVER (ORDER BY align_score) - 1 AS k, count(*) OVER () AS n FROM align_scores) WHERE k = cast(floor(30.0 * n / 100) AS bigint)))"
+
+
+@query(f"""WITH {LOW}, {ROLES.replace("pair_lengths p", "low p")}, rk AS (SELECT "group", region, score, row_number() OVER (PARTITION BY "group", region ORDER BY score DESC) AS k FROM roles),
+reg AS (SELECT DISTINCT "group", region FROM roles), v AS (SELECT n.n AS rank, reg."group", coalesce(rk.score, 0.0) AS value FROM reg CROSS JOIN (VALUES (1), (2), (3)) n(n) LEFT JOIN rk ON rk."group" = reg."group" AND rk.region = reg.region AND rk.k = n.n)
+SELECT rank, "group", value, count(*) AS freq FROM v GROUP BY ALL""")
+def q_low_aligned_ranks(spark, d):
+    """Rank frequencies without the pairs whose alignment lies above the thirtieth percentile."""
+    return jobs.rank_frequencies(view(spark, d, "pair_lengths"), view(spark, d, "reference"), 1000, RankOptions(ranks=(1, 2, 3), align_percent=30.0), view(spark, d, "align_scores"))
+
+
 @query("SELECT 'C' || cast(length(motif) AS varchar) AS motif, count(*) AS n FROM fimo GROUP BY 1")
 def q_read_motif_clusters(spark, d):
     occ = view(spark, d, "fimo")
@@ -322,11 +343,11 @@ def q_trimmed(spark, d):
     return st.trimmed(st.histogram(_freq(spark, d).withColumn("value", F.col("value") / 4), ["group"], 30))
 
 
-@query(f"WITH {DIST}, c AS (SELECT acr AS id, split_part(acr, '_', 1) AS cluster FROM acrs), n AS (SELECT cluster, count(*) AS n FROM c GROUP BY 1) SELECT cluster, n FROM n WHERE n > (SELECT avg(n) FROM n)")
+@query(f"WITH {DIST}, c AS (SELECT acr AS id, split_part(acr, '_', 1) AS cluster FROM acrs), n AS (SELECT cluster, count(*) AS n FROM c GROUP BY 1) SELECT cluster, n FROM n WHERE n >= (SELECT floor(avg(n)) FROM n)")
 def q_large_clusters(spark, d):
     sizes = _by_chrom(spark, d).groupBy("cluster").agg(F.count("*").alias("n"))
     most = sizes.agg(F.floor(F.avg("n")).cast("int")).first()[0]
-    return clustering.medoids(_by_chrom(spark, d), _distances(spark, d), more_than=most).select("cluster", "n")
+    return clustering.medoids(_by_chrom(spark, d), _distances(spark, d), more_than=most - 1).select("cluster", "n")
 
 
 BANDS = "(VALUES (400, 600), (600, 800), (800, 1000)) AS band(low, high)"

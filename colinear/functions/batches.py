@@ -154,3 +154,41 @@ def local_chains(pairs: Pairs, match: np.ndarray, mismatch: float, gap: float) -
     same = scores[pairs.n :] == scores[: pairs.n]
     length = np.where(turned, lengths[pairs.n :], np.where(same, np.maximum(lengths[: pairs.n], lengths[pairs.n :]), lengths[: pairs.n]))
     return pairs.best(scores), length
+
+
+def local_alignments(of1: np.ndarray, tokens1: np.ndarray, weights: np.ndarray, of2: np.ndarray, tokens2: np.ndarray, n: int, mismatch: float, gap: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(score, first, last) of the Smith-Waterman alignments of n windows: tokens of the sequence with the score of a match, and of the other.
+
+    Tokens are numbers from 0, those of a window next to each other; of1 and of2 are their windows. A row of every window is a
+    step. Each cell carries the row that its path begins in, so no way back is stored: the path that local_alignment takes.
+    """
+    sizes1, sizes2 = np.bincount(of1, minlength=n), np.bincount(of2, minlength=n)
+    starts1, starts2 = np.cumsum(sizes1) - sizes1, np.cumsum(sizes2) - sizes2
+    score, first, last = np.zeros(n), np.zeros(n, np.int64), np.full(n, -1)
+    for rows in _blocks(sizes1 * (sizes2 > 0), CELLS // max(1, int(sizes2.max(initial=1)))):
+        width = int(sizes2[rows].max())
+        columns = np.arange(width)
+        inside = columns < sizes2[rows][:, None]
+        other = np.where(inside, tokens2[np.where(inside, starts2[rows][:, None] + columns, 0)], -1)
+        value, begun = np.zeros((len(rows), width + 1)), np.zeros((len(rows), width + 1), np.int64)
+        best, best_first, best_last = np.zeros(len(rows)), np.zeros(len(rows), np.int64), np.full(len(rows), -1)
+        steps = gap * np.arange(width)
+        for i in range(int(sizes1[rows[0]])):
+            k = int(np.searchsorted(-sizes1[rows], -i))
+            at = starts1[rows[:k]] + i
+            old, was = value[:k], begun[:k]
+            diagonal = old[:, :-1] + np.where(other[:k] == tokens1[at][:, None], weights[at][:, None], mismatch)
+            up = old[:, 1:] + gap
+            open_ = np.maximum(np.maximum(diagonal, up), 0.0)
+            left = np.full_like(open_, -np.inf)
+            left[:, 1:] = np.maximum.accumulate(open_ - steps, 1)[:, :-1] + steps[1:]
+            now = np.maximum(open_, left)
+            origin = np.where(now == diagonal, np.where(old[:, :-1] > 0, was[:, :-1], i), was[:, 1:])
+            source = np.maximum.accumulate(np.where((now == diagonal) | (now == up) | (now == 0), columns, 0), 1)
+            value[:k, 1:], begun[:k, 1:] = now, np.take_along_axis(origin, source, 1)
+            top = now.argmax(1)
+            high = now[np.arange(k), top]
+            better = np.flatnonzero(high > best[:k])
+            best[better], best_first[better], best_last[better] = high[better], begun[better, top[better] + 1], i
+        score[rows], first[rows], last[rows] = best, best_first, best_last
+    return score, first, last

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from colinear.operators.sampling import ranked
 from colinear.operators.stretches import carried, dealt, within
 
 
@@ -54,8 +55,8 @@ def indexed(occ: DataFrame, group: str = "chrom", start: str = "start_pos") -> D
 
 
 def encoded_motifs(occ: DataFrame, motif: str = "motif") -> DataFrame:
-    """(motif, code): dense 0-based codes in motif order; motifs are few, so one ordered pass over the distinct ones."""
-    return occ.select(motif).distinct().withColumn("code", (F.dense_rank().over(Window.orderBy(motif)) - 1).cast("int"))
+    """(motif, code): dense 0-based codes in motif order, by ranges of motifs."""
+    return ranked(occ.select(motif).distinct(), [F.col(motif)], "code").withColumn("code", (F.col("code") - 1).cast("int"))
 
 
 def coded(occ: DataFrame, codes: DataFrame, motif: str = "motif") -> DataFrame:

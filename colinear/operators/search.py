@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colinear.functions import kernels
+from colinear.functions import batches, kernels
 from colinear.functions.scores import extension_window, per_base
 from colinear.operators.intervals import sliced
 
@@ -60,15 +61,17 @@ def extended(found: DataFrame, regions: DataFrame, occ: DataFrame, weights: Data
     cut = met.groupBy("acr", "chrom", "win_start", "win_stop").agg(F.array_sort(F.collect_list(F.struct("idx", "motif", "start_pos", "stop_pos", "w"))).alias("seq"))
     cases = cut.join(regions, "acr")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for r in batch.select(["acr", "chrom", "seq", "motifs"]).to_pylist():
-                weight = {x["motif"]: x["w"] for x in r["seq"]}
-                score, a, b = kernels.local_alignment([x["motif"] for x in r["seq"]], r["motifs"], weight.__getitem__, mismatch, gap)
-                if score > threshold:
-                    out.append({"acr": r["acr"], "score": float(score), "chrom": r["chrom"], "start_pos": r["seq"][a]["start_pos"], "stop_pos": r["seq"][b]["stop_pos"]})
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("acr", pa.string()), ("score", pa.float64()), ("chrom", pa.string()), ("start_pos", pa.int32()), ("stop_pos", pa.int32())]))
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            acr, chrom, seq, motifs = (batch.column(batch.schema.get_field_index(c)) for c in ("acr", "chrom", "seq", "motifs"))
+            of = lambda x: np.repeat(np.arange(len(x)), x.value_lengths().to_numpy(zero_copy_only=False))
+            cells = seq.flatten()
+            codes = pa.concat_arrays([cells.field("motif"), motifs.flatten()]).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            weight, start, stop = (cells.field(c).to_numpy(zero_copy_only=False) for c in ("w", "start_pos", "stop_pos"))
+            score, first, last = batches.local_alignments(of(seq), codes[: len(cells)], weight.astype(float), of(motifs), codes[len(cells) :], batch.num_rows, mismatch, gap)
+            kept = np.flatnonzero(score > threshold)
+            begins = (np.cumsum(np.bincount(of(seq), minlength=batch.num_rows)) - np.bincount(of(seq), minlength=batch.num_rows))[kept]
+            yield pa.RecordBatch.from_arrays([acr.take(pa.array(kept)), pa.array(score[kept]), chrom.take(pa.array(kept)), pa.array(start[begins + first[kept]], pa.int32()), pa.array(stop[begins + last[kept]], pa.int32())], ["acr", "score", "chrom", "start_pos", "stop_pos"])
 
     return cases.mapInArrow(run, "acr string, score double, chrom string, start_pos int, stop_pos int")
 
@@ -87,8 +90,8 @@ def cut_hits(hits: DataFrame, least: float, most: float) -> DataFrame:
 def aligned_pairs(pairs: DataFrame, a: str = "a_seq", b: str = "b_seq", free_ends: bool = False) -> DataFrame:
     """Adds align_score, the affine alignment score of two sequence columns."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
             x, y = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in (a, b))
             scores = [None if s is None or t is None else kernels.affine_alignment(s, t, free_ends) for s, t in zip(x, y)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, "align_score"])

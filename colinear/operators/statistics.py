@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from colinear.functions.regions import canonical, endpoints, is_random, length
 from colinear.functions.scores import blended, feature_blend, min_max
+from colinear.operators.sampling import ranked
 
 
 def pair_scores(rows: DataFrame) -> DataFrame:
@@ -43,12 +44,11 @@ def low_aligned(pairs: DataFrame, aligned: DataFrame, most: float) -> DataFrame:
 def nearest_rank(values: DataFrame, percent: float, column: str) -> DataFrame:
     """One row (value): the value at 0-based place floor(percent * n / 100) in ascending order.
 
-    Counts by value are summed up, so that what is ordered is the distinct values.
+    Counts by value are summed up within ranges of values and over the ranges, so no one task sees all values.
     """
     counts = values.groupBy(column).agg(F.count("*").alias("k"))
-    upto = F.sum("k").over(Window.orderBy(column).rowsBetween(Window.unboundedPreceding, 0))
-    placed = counts.withColumn("upto", upto).crossJoin(F.broadcast(values.agg(F.count("*").alias("n"))))  # one row
-    return placed.where(F.col("upto") > F.floor(F.lit(float(percent)) * F.col("n") / 100)).agg(F.min(column).alias("value"))
+    n = values.count()
+    return ranked(counts, [F.col(column)], "upto", F.col("k")).where(F.col("upto") > int(float(percent) * n // 100)).agg(F.min(column).alias("value"))
 
 
 def share_at_most(values: DataFrame, fraction: float, column: str, compat: bool = False) -> DataFrame:

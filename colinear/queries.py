@@ -98,6 +98,21 @@ def q_chain_local(spark, d):
     return chains.local_chains(view(spark, d, "acr_motif")).select("acr1", "acr2", *_r("score"), "n_anchors")
 
 
+#: Predecessors in the order of the published walk, so that its length comes out: that of the longest one that ever led.
+WALKED = """list_reduce(list_transform(list_sort(list_transform(list_filter(st, lambda p: p.a < x.a AND p.c < x.c AND p.v <> 0), lambda p: {'c': p.c, 'na': -p.a, 'v': x.w + p.v - abs((x.a - p.a) - (x.c - p.c)) - (least(x.a - p.a, x.c - p.c) - 1), 'n': p.n})), lambda p: {'v': p.v, 'n': p.n}),
+  lambda led, p: CASE WHEN p.v >= led.v THEN {'v': p.v, 'n': greatest(led.n, p.n + 1)} ELSE led END, {'v': x.w, 'n': 1::bigint})"""
+WALK = f"""WITH {PAIRS}, o AS (SELECT acr1, acr2, 1 AS s, a, c, 5.0::double AS w FROM anchors UNION ALL SELECT acr1, acr2, -1, a, -c, 5.0::double FROM anchors),
+xs AS (SELECT acr1, acr2, s, {FOLD} AS l FROM o GROUP BY 1, 2, 3),
+f AS (SELECT acr1, acr2, s, list_reduce(l, lambda st, x: list_append(st, {{'a': x.a, 'c': x.c, 'w': x.w, 'v': {WALKED}.v, 'n': {WALKED}.n}}), []::struct(a int, c int, w double, v double, n bigint)[]) AS st FROM xs),
+best AS (SELECT acr1, acr2, max(list_max(list_transform(st, lambda p: {{'v': p.v, 'n': p.n}}))) AS b FROM f GROUP BY 1, 2),
+k AS (SELECT acr1, acr2, count(*) AS n_anchors FROM anchors GROUP BY 1, 2)"""
+
+
+@query(WALK + " SELECT acr1, acr2, round(b.v, 6) AS score, cast(b.n AS int) AS chain_len, n_anchors FROM best JOIN k USING (acr1, acr2)")
+def q_chain_local_length(spark, d):
+    return chains.local_chains(view(spark, d, "acr_motif")).select("acr1", "acr2", *_r("score"), "chain_len", "n_anchors")
+
+
 @query(_folded(LOCAL) + " SELECT acr1, acr2, round(v, 6) AS score, n_anchors FROM best JOIN k USING (acr1, acr2)")
 def q_chain_local_weighted(spark, d):
     return chains.local_chains(view(spark, d, "acr_motif"), weights=view(spark, d, "motif_scores")).select("acr1", "acr2", *_r("score"), "n_anchors")
@@ -244,12 +259,74 @@ def q_seed_windows(spark, d):
     return search.seeds(_listed(spark, d), _placed(spark, d))
 
 
-@query()
+def _found(seqs: str, least: float) -> str:
+    """CTEs that end in found (acr, score, chrom, start_pos, stop_pos). seqs: CTEs over the query regions' elements that end in q (acr, pos, motif).
+    Local alignments cell by cell: value, -row, -column and the row in which the path began."""
+    d, u, left = "(rows[-1][j].v + CASE WHEN s[i].m = t[j] THEN 5.0 ELSE -1.0 END)", "(rows[-1][j + 1].v - 1.0)", "(r[-1].v - 1.0)"
+    cell = lambda v, f: f"{{'v': {v}, 'ni': -i, 'nj': -j, 'f': {f}}}"
+    zero = "{'v': 0.0::double, 'ni': 0::bigint, 'nj': 0::bigint, 'f': 0::bigint}"
+    value = f"CASE WHEN greatest({d}, {u}, {left}) <= 0 THEN {cell('0.0::double', 'i')} WHEN {d} >= greatest({u}, {left}) THEN {cell(d, 'CASE WHEN rows[-1][j].v > 0 THEN rows[-1][j].f ELSE i END')} WHEN {u} >= {left} THEN {cell(u, 'rows[-1][j + 1].f')} ELSE {cell(left, 'r[-1].f')} END"
+    return f"""{OCC}, {ASOF}, {INDEXED}, {ACR_POS}, {seqs},
+ka AS (SELECT acr, pos, kmer, n FROM (SELECT acr, pos, {KMER} AS kmer, lead(motif, 3) OVER w AS last, count(*) OVER (PARTITION BY acr) AS n FROM q WINDOW w AS (PARTITION BY acr ORDER BY pos)) WHERE last IS NOT NULL),
+kb AS (SELECT chrom, idx, kmer, n FROM (SELECT chrom, idx, {KMER} AS kmer, lead(motif, 3) OVER w AS last, count(*) OVER (PARTITION BY chrom) AS n FROM placed WINDOW w AS (PARTITION BY chrom ORDER BY idx)) WHERE last IS NOT NULL),
+win AS MATERIALIZED (SELECT DISTINCT acr, chrom, cast(greatest(0, idx - floor(pos * 1.2)) AS int) AS lo, cast(least(kb.n, idx + 4 + floor((ka.n - (pos + 4)) * 1.2)) AS int) AS hi FROM ka JOIN kb USING (kmer)),
+cut AS MATERIALIZED (SELECT w.acr, w.chrom, lo, hi, list(struct_pack(m := motif, a := start_pos, b := stop_pos) ORDER BY idx) AS s FROM win w JOIN placed p ON p.chrom = w.chrom AND idx >= lo AND idx < hi GROUP BY ALL),
+lists AS (SELECT acr, list(motif ORDER BY pos) AS t FROM q GROUP BY acr),
+dp AS MATERIALIZED (SELECT acr, chrom, s, list_reduce(range(1, len(s) + 1), lambda rows, i: list_append(rows, list_reduce(range(1, len(t) + 1), lambda r, j: list_append(r, {value}), [{zero}])), [list_transform(range(0, len(t) + 1), lambda k: {zero})]) AS g FROM cut JOIN lists USING (acr)),
+found AS (SELECT acr, b.v AS score, chrom, s[b.f].a AS start_pos, s[-b.ni].b AS stop_pos FROM (SELECT acr, chrom, s, list_max(flatten(g)) AS b FROM dp) WHERE b.v > {least})"""
+
+
+@query(f"WITH {_found('q AS (SELECT * FROM listed)', 20)} SELECT acr, score, chrom, start_pos, stop_pos FROM found")
 def q_search_hits(spark, d):
     regions, placed = _listed(spark, d), _placed(spark, d)
     return search.extended(search.seeds(regions, placed), regions, placed)
 
 
+ONLY = "mine AS (SELECT *, count(*) OVER (PARTITION BY acr) AS n FROM listed WHERE acr LIKE 'Chr2%'), q AS (SELECT acr, motif, pos FROM mine UNION ALL SELECT acr || '_rev', motif, n - 1 - pos FROM mine)"
+
+
+def _search_only(spark, d):
+    """Regions of one chromosome, and their reversed copies, looked for in the whole genome."""
+    from colinear.plans.jobs import genome_search
+
+    only = view(spark, d, "regions").where("chrom = 'Chr2'").select("acr")
+    return genome_search(_listed(spark, d), _placed(spark, d), only=only)
+
+
+@query(f"WITH {_found(ONLY, 20)} SELECT acr, score, chrom, start_pos, stop_pos FROM found")
+def q_search_only(spark, d):
+    return _search_only(spark, d)
+
+
+def _genome(spark, d):
+    """(id, seq): five chromosomes whose bases come from the orders."""
+    from colinear.session import table
+
+    base = F.translate(F.md5(F.concat(F.col("k").cast("string"), F.lit("/"), F.col("o_orderkey").cast("string"))), "0123456789abcdef", "ACGTACGTACGTACGT")
+    parts = table(spark, d, "orders").select("o_orderkey", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("k")).groupBy("k").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", base.alias("s")))).alias("p"))
+    return parts.select(F.concat(F.lit("Chr"), F.col("k").cast("string")).alias("id"), F.array_join(F.transform("p", lambda x: x["s"]), "").alias("seq"))
+
+
+GENOME = "genome AS MATERIALIZED (SELECT 'Chr' || k AS id, string_agg(translate(md5(k || '/' || o_orderkey), '0123456789abcdef', 'ACGTACGTACGTACGT'), '' ORDER BY o_orderkey) AS seq FROM orders, (SELECT unnest(range(1, 6)) AS k) GROUP BY k)"
+#: Semi-global alignment with affine gaps, cell by cell: best (w), ending in a gap in the region (g), without the last gap along it (n), and in one (x).
+_D, _R = "greatest(rows[-1][j + 1].w - 7, rows[-1][j + 1].g - 2)", "greatest(r[-1].n - 7, r[-1].x - 2)"
+_N = f"greatest(rows[-1][j].w + CASE WHEN substr(hit, i, 1) = substr(own, j, 1) THEN 2 ELSE -3 END, {_D})"
+AFFINE = f"""list_max(list_transform((list_reduce(range(1, len(hit) + 1), lambda rows, i: list_append(rows, list_reduce(range(1, len(own) + 1), lambda r, j: list_append(r, {{'w': greatest({_N}, {_R}), 'g': {_D}, 'n': {_N}, 'x': {_R}}}), [{{'w': 0, 'g': 0, 'n': 0, 'x': -1000000}}])),
+  [list_transform(range(0, len(own) + 1), lambda j: {{'w': CASE WHEN j = 0 THEN 0 ELSE -7 - 2 * (j - 1) END::int, 'g': -1000000, 'n': 0, 'x': -1000000}})]))[2:], lambda row: row[-1].w))"""
+
+
+@query(f"""WITH {_found(ONLY, 20)}, {GENOME}, far AS MATERIALIZED (SELECT DISTINCT * FROM found WHERE score >= 40),
+cases AS MATERIALIZED (SELECT f.*, substr(h.seq, start_pos, stop_pos - start_pos + 1) AS hit, CASE WHEN acr LIKE '%_rev' THEN reverse(o) ELSE o END AS own FROM (SELECT f.*, substr(g.seq, lo, hi - lo + 1) AS o FROM (SELECT *, regexp_extract(acr, '_([0-9]+)to', 1)::int AS lo, regexp_extract(acr, 'to([0-9]+)', 1)::int AS hi FROM far) f JOIN genome g ON g.id = split_part(acr, '_', 1)) f JOIN genome h ON h.id = f.chrom),
+scored AS (SELECT acr, score, chrom, start_pos, stop_pos, {AFFINE} / (stop_pos + 1 - start_pos) AS align_score FROM cases)
+SELECT acr, score, chrom, start_pos, stop_pos, round(align_score, 6) AS align_score FROM scored WHERE align_score <= 0.9""")
+def q_aligned_hits(spark, d):
+    """Hits of a score of 40 or more whose bases, though their motifs match, align to the region's at 0.9 a base at most."""
+    from colinear.plans.jobs import aligned_search_hits
+    from colinear.plans.options import SearchOptions
+
+    return aligned_search_hits(_search_only(spark, d), _genome(spark, d), 40, SearchOptions(align_most=0.9)).select("acr", "score", "chrom", "start_pos", "stop_pos", *_r("align_score"))
+
+
 @query("SELECT DISTINCT * FROM hits WHERE score >= 40")
 def q_dedupe_hits(spark, d):
     return search.distinct_hits(view(spark, d, "hits"), 40)

@@ -24,7 +24,7 @@ def _tsv(spark: SparkSession, path: str | list[str], schema: str, header: bool =
     return (reader.option("comment", comment) if comment else reader).csv(path)
 
 
-def _in_order(rows: DataFrame, name: str = "line_no") -> DataFrame:
+def in_order(rows: DataFrame, name: str = "line_no") -> DataFrame:
     """Adds an orderable place: file name, offset of the split, row within it. (Spark packs splits of files by size.)"""
     return rows.withColumn(name, F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row")))
 
@@ -112,7 +112,7 @@ def region_list(spark: SparkSession, path: str | list[str], low: int | None = No
 
 def pair_table(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(r1, r2, score) with the smaller region first; of repeated pairs the last line of the file counts."""
-    rows = _in_order(_tsv(spark, path, "r1 string, r2 string, score double"))
+    rows = in_order(_tsv(spark, path, "r1 string, r2 string, score double"))
     return pair_scores(rows.where("score is not null"))
 
 
@@ -146,7 +146,7 @@ def tomtom(spark: SparkSession, path: str) -> DataFrame:
 def gff(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """GFF3 rows with line_no; comments and rows of fewer than nine fields go."""
     rows = _tsv(spark, path, "chrom string, source string, feature string, start_pos int, stop_pos int, score string, strand string, phase string, attrs string", comment="#")
-    return _in_order(rows).where("attrs is not null")
+    return in_order(rows).where("attrs is not null")
 
 
 def region_gene_overlaps(spark: SparkSession, path: str) -> DataFrame:

@@ -29,10 +29,13 @@ def tsv(df: DataFrame, path: str, header: bool = False, mode: str = "errorifexis
 
 
 def chromosome_motifs(occ: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """motif, start, stop a line and BREAK before gaps (break_before), a folder `chrom=` for each chromosome, in order of start."""
+    """motif, start, stop a line and BREAK before gaps (break_before), a folder `chrom=` for each chromosome, in order of start.
+
+    A chromosome is dealt into ranges of starts, and its part files' names are in their order, so no chromosome is one task's.
+    """
     line = F.concat_ws("\t", "motif", F.col("start_pos").cast("string"), F.col("stop_pos").cast("string"))
     value = F.when(F.col("break_before"), F.concat(F.lit("BREAK\n"), line)).otherwise(line)
-    occ.repartition("chrom").sortWithinPartitions("chrom", "start_pos", "motif").select("chrom", value.alias("value")).write.mode(mode).partitionBy("chrom").text(path)
+    occ.repartitionByRange("chrom", "start_pos", "motif").sortWithinPartitions("chrom", "start_pos", "motif").select("chrom", value.alias("value")).write.mode(mode).partitionBy("chrom").text(path)
 
 
 def motif_blocks(sequences: DataFrame, path: str, mode: str = "errorifexists") -> None:
