@@ -128,7 +128,12 @@ def q_read_chromosome_fasta(spark, d):
 
 @query(f"WITH {GENOME} SELECT id AS chrom, cast(length(seq) AS bigint) AS length FROM genome")
 def q_chromosome_lengths(spark, d):
-    return _through(_genome(spark, d), writers.fasta, readers.chromosome_lengths)
+    return _through(_genome(spark, d), lambda df, p: writers.fasta(df, p, width=60), readers.chromosome_lengths)
+
+
+@query(f"WITH {GENOME}, b AS (SELECT id, seq, unnest(range(0, (length(seq) + 99) // 100)) AS block FROM genome) SELECT id AS chrom, cast(block AS bigint) AS block, substr(seq, cast(block * 100 + 1 AS int), 100) AS bases FROM b")
+def q_read_fasta_blocks(spark, d):
+    return _through(_genome(spark, d), lambda df, p: writers.fasta(df, p, width=60), lambda s, p: readers.fasta_blocks(s, p, size=100)).select("chrom", F.col("block").cast("long").alias("block"), "bases")
 
 
 @query(f"WITH {GENOME} SELECT id AS region FROM genome")
@@ -324,7 +329,8 @@ def q_read_consensus(spark, d):
 
 @query(f"WITH {GENOME} SELECT r.acr, r.chrom, r.start_pos, r.stop_pos, substr(g.seq, r.start_pos, r.stop_pos - r.start_pos + 1) AS seq FROM regions r JOIN genome g ON g.id = r.chrom WHERE r.start_pos <= length(g.seq)")
 def q_sliced(spark, d):
-    found = intervals.sliced(view(spark, d, "regions"), _genome(spark, d), size=100)
+    blocks = _through(_genome(spark, d), lambda df, p: writers.fasta(df, p, width=60), lambda s, p: readers.fasta_blocks(s, p, size=100))
+    found = intervals.sliced(view(spark, d, "regions"), blocks, size=100)
     return found.where("seq <> ''")
 
 

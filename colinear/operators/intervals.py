@@ -97,11 +97,12 @@ def genome_blocks(genome: DataFrame, size: int = BLOCK) -> DataFrame:
 
 
 def sliced(regions: DataFrame, genome: DataFrame, name: str = "seq", size: int = BLOCK) -> DataFrame:
-    """Adds the region's bases (chrom, start_pos, stop_pos; 1-based, inclusive), from chromosomes (id, seq); those off a
-    chromosome's end are left out, and so are regions of other chromosomes."""
+    """Adds the region's bases (chrom, start_pos, stop_pos; 1-based, inclusive), from chromosomes (id, seq) or their blocks of `size`
+    (chrom, block, bases); those off a chromosome's end are left out, and so are regions of other chromosomes."""
+    blocks = genome if "block" in genome.columns else genome_blocks(genome, size)
     wanted = regions.select("chrom", "start_pos", "stop_pos").distinct()
     first, last = F.floor((F.greatest("start_pos", F.lit(1)) - 1) / size), F.floor((F.greatest("stop_pos", "start_pos", F.lit(1)) - 1) / size)
-    met = wanted.withColumn("block", F.explode(F.sequence(first, last))).join(genome_blocks(genome, size), ["chrom", "block"])
+    met = wanted.withColumn("block", F.explode(F.sequence(first, last))).join(blocks, ["chrom", "block"])
     begin, end = F.greatest(F.col("start_pos") - F.col("block") * size, F.lit(1)), F.least(F.col("stop_pos") - F.col("block") * size, F.lit(size))
     piece = F.when(end >= begin, F.substring(F.col("bases"), begin.cast("int"), (end - begin + 1).cast("int"))).otherwise("")
     pieces = met.groupBy("chrom", "start_pos", "stop_pos").agg(F.array_sort(F.collect_list(F.struct("block", piece.alias("p")))).alias("p"))

@@ -8,10 +8,11 @@ from collections.abc import Iterator
 from fnmatch import fnmatch
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from colinear.functions.regions import parse_regions
+from colinear.operators.intervals import BLOCK
 from colinear.operators.statistics import pair_scores
 
 
@@ -93,9 +94,44 @@ def fasta(spark: SparkSession, path: str | list[str], chroms: list[str] | None =
     return out if chroms is None else out.where(F.col("id").isin(chroms))
 
 
+def fasta_lines(spark: SparkSession, path: str | list[str], chroms: list[str] | None = None) -> DataFrame:
+    """(id, at, bases): every line of FASTA files with the 0-based place of its first base in its sequence; a header is a line without
+    bases. Lines before a file's first header are left out.
+
+    Splits of a file are read where they lie. What a split can't know, the sequence that it begins in and how far that has come,
+    is brought in from one row a split; so no task and no row holds a sequence, whatever its length.
+    """
+    value = F.col("value")
+    head = F.when(value.startswith(">"), F.split(F.trim(F.expr("substring(value, 2)")), r"\s+")[0])
+    rows = in_order(spark.read.text(path).select("value", "_metadata"), "line_no")
+    rows = rows.select("line_no.file", "line_no.split", "line_no.row", head.alias("head"), F.when(head.isNull(), F.regexp_replace(value, r"\s", "")).otherwise("").alias("bases"))
+    up = Window.unboundedPreceding
+    rows = rows.withColumn("seg", F.count("head").over(Window.partitionBy("file", "split").orderBy("row").rowsBetween(up, 0)))
+    inner = Window.partitionBy("file", "split", "seg").orderBy("row")
+    rows = rows.withColumns({"own": F.first("head").over(inner), "off": F.coalesce(F.sum(F.length("bases").cast("long")).over(inner.rowsBetween(up, -1)), F.lit(0).cast("long"))})
+    segments = rows.groupBy("file", "split", "seg").agg(F.first("own").alias("own"), F.sum(F.length("bases").cast("long")).alias("n"))
+    parts = segments.groupBy("file", "split").agg((F.max("seg") > 0).cast("int").alias("headed"), F.max_by("own", "seg").alias("last"), F.max_by("n", "seg").alias("tail"))
+    by = Window.partitionBy("file").orderBy("split")  # a row a split
+    parts = parts.withColumn("run", F.sum("headed").over(by.rowsBetween(up, 0)))
+    parts = parts.withColumn("come", F.sum("tail").over(Window.partitionBy("file", "run").orderBy("split").rowsBetween(up, 0)))
+    carried = parts.select("file", "split", F.lag("come").over(by).alias("come"), F.last("last", True).over(by.rowsBetween(up, -1)).alias("name"))
+    met = rows.join(carried, ["file", "split"])
+    out = met.select(F.coalesce("own", "name").alias("id"), (F.col("off") + F.when(F.col("seg") == 0, F.coalesce("come", F.lit(0))).otherwise(0)).cast("long").alias("at"), "bases").where("id is not null")
+    return out if chroms is None else out.where(F.col("id").isin(chroms))
+
+
+def fasta_blocks(spark: SparkSession, path: str | list[str], chroms: list[str] | None = None, size: int = BLOCK) -> DataFrame:
+    """(chrom, block, bases): sequences in blocks of `size` bases, as intervals.sliced takes them. Names are taken to be unique."""
+    lines = fasta_lines(spark, path, chroms).where("bases <> ''").withColumn("to", F.col("at") + F.length("bases"))
+    dealt = lines.withColumn("block", F.explode(F.sequence(F.floor(F.col("at") / size), F.floor((F.col("to") - 1) / size))))
+    lo, hi = F.greatest("at", F.col("block") * size), F.least("to", (F.col("block") + 1) * size)
+    pieces = dealt.select(F.col("id").alias("chrom"), "block", F.struct(lo.alias("lo"), F.substring(F.col("bases"), (lo - F.col("at") + 1).cast("int"), (hi - lo).cast("int")).alias("p")).alias("piece"))
+    return pieces.groupBy("chrom", "block").agg(F.array_join(F.transform(F.array_sort(F.collect_list("piece")), lambda x: x["p"]), "").alias("bases"))
+
+
 def chromosome_lengths(spark: SparkSession, path: str | list[str], chroms: list[str] | None = None) -> DataFrame:
     """(chrom, length)."""
-    return fasta(spark, path, chroms).groupBy(F.col("id").alias("chrom")).agg(F.sum(F.length("seq")).alias("length"))
+    return fasta_lines(spark, path, chroms).groupBy(F.col("id").alias("chrom")).agg(F.sum(F.length("bases")).alias("length"))
 
 
 def fasta_names(spark: SparkSession, path: str | list[str]) -> DataFrame:

@@ -101,7 +101,8 @@ def meme(motifs: DataFrame, path: str, mode: str = "errorifexists") -> None:
     _headed(motifs.select(value.alias("value")), MEME_HEAD).write.mode(mode).text(path)
 
 
-def fasta(sequences: DataFrame, path: str, mode: str = "errorifexists", files: int | None = None) -> None:
-    """(id, seq); files: into this many parts of consecutive ids."""
+def fasta(sequences: DataFrame, path: str, mode: str = "errorifexists", files: int | None = None, width: int | None = None) -> None:
+    """(id, seq); files: into this many parts of consecutive ids; width: bases a line."""
     rows = sequences if files is None else sequences.repartitionByRange(files, "id").sortWithinPartitions("id")
-    rows.select(F.concat(F.lit(">"), F.col("id").cast("string"), F.lit("\n"), F.col("seq")).alias("value")).write.mode(mode).text(path)
+    seq = F.col("seq") if width is None else F.rtrim(F.regexp_replace("seq", f"(.{{{width}}})", "$1\n"))
+    rows.select(F.concat(F.lit(">"), F.col("id").cast("string"), F.lit("\n"), seq).alias("value")).write.mode(mode).text(path)

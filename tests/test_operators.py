@@ -301,3 +301,32 @@ def test_alignment_timer():
 
     seconds, score = alignment_seconds(60, seed=3)
     assert seconds > 0 and score == alignment_seconds(60, seed=3)[1] and alignment_seconds(60, True)[1] >= alignment_seconds(60)[1]
+
+
+def test_fasta_in_blocks(spark, tmp_path):
+    r = random.Random(4)
+    known = {f"Chr{k}": "".join(r.choice("ACGT") for _ in range(r.choice((0, 1, 59, 60, 700)))) for k in range(9)}
+    (tmp_path / "fa").mkdir()
+    for part in range(2):
+        text = "stray line\r\n"
+        for name, seq in list(known.items())[part::2]:
+            text += f">{name} note\r\n" + "".join(seq[i : i + 60] + "\r\n" for i in range(0, len(seq), 60)) + "\n"
+        (tmp_path / "fa" / f"{part}.fa").write_text(text)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "150")  # splits begin within sequences and within lines
+    try:
+        lines = readers.fasta_lines(spark, str(tmp_path / "fa")).collect()
+        blocks = readers.fasta_blocks(spark, str(tmp_path / "fa"), size=128)
+        got = sorted(map(tuple, blocks.collect()))
+        lengths = {x.chrom: x.length for x in readers.chromosome_lengths(spark, str(tmp_path / "fa")).collect()}
+        some = {x.chrom for x in readers.fasta_blocks(spark, str(tmp_path / "fa"), ["Chr3"]).collect()}
+        regions = spark.createDataFrame([(name, 100, 300) for name in known], "chrom string, start_pos int, stop_pos int")
+        cut = {x.chrom: x.seq for x in intervals.sliced(regions, blocks, size=128).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert all(known[x.id][x["at"] : x["at"] + len(x.bases)] == x.bases for x in lines)
+    assert got == sorted((name, b, seq[b * 128 : (b + 1) * 128]) for name, seq in known.items() for b in range(-(-len(seq) // 128)))
+    assert lengths == {name: len(seq) for name, seq in known.items()} and some == {"Chr3"} - ({"Chr3"} if not known["Chr3"] else set())
+    assert all(cut.get(name, "") == seq[99:300] for name, seq in known.items())
+    writers.fasta(spark.createDataFrame(list(known.items()), "id string, seq string"), str(tmp_path / "out"), width=60)
+    assert {x.id: x.seq for x in readers.fasta(spark, str(tmp_path / "out")).collect()} == known
