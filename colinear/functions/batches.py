@@ -116,8 +116,8 @@ def chain_weights(pairs: Pairs) -> np.ndarray:
     return pairs.best(out)
 
 
-def local_chains(pairs: Pairs, match: np.ndarray, mismatch: float, gap: float) -> tuple[np.ndarray, np.ndarray]:
-    """(score, length) of the best local chain, by either orientation; match: the score of each anchor (once, not turned)."""
+def local_chains(pairs: Pairs, match: np.ndarray, mismatch: float, gap: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(score, length, turned) of the best local chain, by either orientation; match: the score of each anchor (once, not turned)."""
     match = np.concatenate([match, match]).astype(float)
     order = np.lexsort((match, -pairs.x, pairs.y, pairs.pair))
     place = np.arange(len(order)) - np.repeat(pairs.starts, pairs.sizes)
@@ -153,7 +153,7 @@ def local_chains(pairs: Pairs, match: np.ndarray, mismatch: float, gap: float) -
     turned = scores[pairs.n :] > scores[: pairs.n]
     same = scores[pairs.n :] == scores[: pairs.n]
     length = np.where(turned, lengths[pairs.n :], np.where(same, np.maximum(lengths[: pairs.n], lengths[pairs.n :]), lengths[: pairs.n]))
-    return pairs.best(scores), length
+    return pairs.best(scores), length, turned
 
 
 def local_alignments(of1: np.ndarray, tokens1: np.ndarray, weights: np.ndarray, of2: np.ndarray, tokens2: np.ndarray, n: int, mismatch: float, gap: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -192,3 +192,50 @@ def local_alignments(of1: np.ndarray, tokens1: np.ndarray, weights: np.ndarray,
             best[better], best_first[better], best_last[better] = high[better], begun[better, top[better] + 1], i
         score[rows], first[rows], last[rows] = best, best_first, best_last
     return score, first, last
+
+
+def global_alignments(of1: np.ndarray, tokens1: np.ndarray, weights: np.ndarray, of2: np.ndarray, tokens2: np.ndarray, n: int, mismatch: float, gap: float) -> tuple[np.ndarray, np.ndarray]:
+    """Needleman-Wunsch alignments of n cases: for each token of the second side (place, offset): the token of the first side that it
+    stands on with offset -1, or the one before which it is put in, and which of those put in there it is.
+
+    weights: the score of a match, by token of the first side. A row of every case is a step, and then a step of every way back; as
+    global_alignment, the way back prefers the diagonal, then a blank in the second side.
+    """
+    sizes1, sizes2 = np.bincount(of1, minlength=n), np.bincount(of2, minlength=n)
+    starts1, starts2 = np.cumsum(sizes1) - sizes1, np.cumsum(sizes2) - sizes2
+    place, offset = np.zeros(len(of2), np.int64), np.arange(len(of2)) - starts2[of2]  # an empty first side: all are put in before its end
+    for rows in _blocks(sizes1 * (sizes2 > 0), max(1, 8 * CELLS // max(1, int(sizes2.max(initial=1))))):
+        width, height = int(sizes2[rows].max()), int(sizes1[rows[0]])
+        columns = np.arange(width)
+        other = np.where(columns < sizes2[rows][:, None], tokens2[np.where(columns < sizes2[rows][:, None], starts2[rows][:, None] + columns, 0)], -1)
+        value = np.repeat(gap * np.arange(width + 1)[None], len(rows), 0).astype(float)
+        ways = np.full((height + 1, len(rows), width + 1), 2, np.uint8)  # 0: diagonal, 1: up, 2: left
+        ways[:, :, 0] = 1
+        steps = gap * np.arange(width + 1)
+        for i in range(height):
+            k = int(np.searchsorted(-sizes1[rows], -i))
+            at = starts1[rows[:k]] + i
+            old = value[:k]
+            diagonal = old[:, :-1] + np.where(other[:k] == tokens1[at][:, None], weights[at][:, None], mismatch)
+            up = old + gap
+            open_ = up.copy()
+            open_[:, 1:] = np.maximum(diagonal, up[:, 1:])
+            now = np.maximum.accumulate(open_ - steps, 1) + steps
+            np.maximum(now, open_, out=now)
+            ways[i + 1, :k, 1:] = np.where(now[:, 1:] == diagonal, 0, np.where(now[:, 1:] == up[:, 1:], 1, 2))
+            value[:k] = now
+        i, j, each = sizes1[rows].copy(), sizes2[rows].copy(), np.arange(len(rows))
+        while (j > 0).any():
+            way = np.where(i == 0, 2, np.where(j == 0, 1, ways[i, each, j]))
+            puts = np.flatnonzero((j > 0) & (way != 1))
+            token = starts2[rows[puts]] + j[puts] - 1
+            place[token], offset[token] = np.where(way[puts] == 0, i[puts] - 1, i[puts]), np.where(way[puts] == 0, -1, 0)
+            open_ = j > 0
+            i, j = np.where(open_ & (way != 2), i - 1, i), np.where(open_ & (way != 1), j - 1, j)
+    put = np.flatnonzero(offset >= 0)  # count those put in at one place, from the left
+    if len(put):
+        new = np.ones(len(put), bool)
+        new[1:] = (np.diff(put) != 1) | (np.diff(place[put]) != 0) | (np.diff(of2[put]) != 0)
+        begins = np.maximum.accumulate(np.where(new, np.arange(len(put)), 0))
+        offset[put] = np.arange(len(put)) - begins
+    return place, offset

@@ -176,7 +176,7 @@ def local_chains(left: DataFrame, right: DataFrame | None = None, weights: DataF
 
     def found(pairs: batches.Pairs) -> dict[str, np.ndarray]:
         own = pairs.v[: len(pairs.v) // 2]
-        scores, lengths = batches.local_chains(pairs, own * match if use and compat else own if use else np.full(len(own), float(match)), mismatch, gap)
+        scores, lengths, _ = batches.local_chains(pairs, own * match if use and compat else own if use else np.full(len(own), float(match)), mismatch, gap)
         return {"score": scores, "chain_len": lengths.astype(np.int32)}
 
     return _chained(left, right, weights, missing, found, "score double, chain_len int, ")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colinear.functions import kernels
+from colinear.functions import batches, kernels
 from colinear.functions.scores import global_distance, local_distance
 from colinear.session import forget, stored
 
@@ -167,31 +167,59 @@ def column_majority(aligned: DataFrame, blank: str = "-") -> DataFrame:
     return counts.join(rows, "cluster").where((2 * F.col("k") > F.col("n")) & (F.col("token") != blank)).select("cluster", "pos", "token")
 
 
-def star_consensus(members: DataFrame, least: int = 5, weights: dict[str, float] | None = None, match: float = 5.0, mismatch: float = -1.0, gap: float = -1.0) -> DataFrame:
-    """(cluster, id, motifs, is_center) -> (cluster, tokens): consensus of at least `least` motifs.
+def star_columns(members: DataFrame, weights: dict[str, float] | None = None, match: float = 5.0, mismatch: float = -1.0, gap: float = -1.0) -> DataFrame:
+    """(cluster, id, motifs, is_center) -> (cluster, id, place, offset, token): the star alignment to each cluster's centre, a row a token.
 
-    Each member is turned if its best local chain with the centre runs backwards, aligned to the centre, and columns go by
-    majority. A cluster's sequences come to one task; clusters are bounded by the distance threshold.
+    The centre is the first member by (flagged, id). Each member is turned if its best local chain with the centre runs backwards, and
+    aligned to the centre; offset -1 stands on the centre's token at place, from 0 on are tokens put in before it. Columns of a
+    cluster are its (place, offset), so members meet in sums only and no cluster is one task's.
     """
+    center = members.groupBy("cluster").agg(F.min_by("motifs", F.struct(~F.col("is_center"), F.col("id"))).alias("center"))
+    cases = members.select("cluster", "id", "motifs").join(center, "cluster")
+    known = weights or {}
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            n = batch.num_rows
+            cluster, name, own, middle = (batch.column(batch.schema.get_field_index(c)) for c in ("cluster", "id", "motifs", "center"))
+            sizes = [x.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for x in (middle, own)]
+            of1, of2 = (np.repeat(np.arange(n), x) for x in sizes)
+            both = pa.concat_arrays([middle.flatten(), own.flatten()]).dictionary_encode()
+            tokens = both.dictionary.to_pylist()
+            codes = both.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            first, second = codes[: len(of1)], codes[len(of1) :].copy()
+            worth = np.array([known.get(t, match) for t in tokens] or [match], float)
+            starts1, starts2 = (np.cumsum(x) - x for x in sizes)
+            # anchors of each member with its centre: equal tokens of one case
+            key1, key2 = of1 * len(tokens) + first, of2 * len(tokens) + second
+            order = np.argsort(key2, kind="stable")
+            lo, hi = np.searchsorted(key2[order], key1, "left"), np.searchsorted(key2[order], key1, "right")
+            i = np.repeat(np.arange(len(key1)), hi - lo)
+            j = order[np.arange(len(i)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + np.repeat(lo, hi - lo)]
+            case = of1[i]
+            pairs = batches.Pairs(np.bincount(case, minlength=n), i - starts1[case], j - starts2[case], worth[first[i]])
+            turned = batches.local_chains(pairs, worth[first[i]], mismatch, gap)[2]
+            at = np.arange(len(second))
+            at = np.where(turned[of2], starts2[of2] + sizes[1][of2] - 1 - (at - starts2[of2]), at)
+            second = second[at]
+            place, offset = batches.global_alignments(of1, first, worth[first], of2, second, n, mismatch, gap)
+            take = pa.array(of2)
+            yield pa.RecordBatch.from_arrays([cluster.take(take), name.take(take), pa.array(place, pa.int32()), pa.array(offset, pa.int32()), both.dictionary.take(pa.array(second))], ["cluster", "id", "place", "offset", "token"])
+
+    kinds = dict(members.dtypes)
+    return cases.mapInArrow(run, f"cluster {kinds['cluster']}, id {kinds['id']}, place int, offset int, token string")
 
-    def run(group: pa.Table) -> pa.Table:
-        rows = sorted(group.to_pylist(), key=lambda r: (not r["is_center"], r["id"]))
-        center = rows[0]["motifs"]
-        turned = []
-        for r in rows[1:]:
-            pair = [(i, j, weights.get(x, match) if weights else match) for i, x in enumerate(center) for j, y in enumerate(r["motifs"]) if x == y]
-            score = lambda s, pair=pair: kernels.local_chain([p[0] for p in pair], [s * p[1] for p in pair], [p[2] for p in pair], mismatch, gap)[0]
-            turned.append(r["motifs"][::-1] if score(-1) > score(1) else r["motifs"])
-        table = kernels.star_alignment(center, turned, match=match, mismatch=mismatch, gap=gap)
-        out = []
-        for column in zip(*table):
-            token = max(set(column), key=lambda t: (column.count(t), t))
-            if token != "-" and 2 * column.count(token) > len(column):
-                out.append(token)
-        return pa.table({"cluster": group.column("cluster").slice(0, 1), "tokens": pa.array([out], pa.list_(pa.string()))})
 
-    kind = dict(members.dtypes)["cluster"]
-    return members.groupBy("cluster").applyInArrow(run, f"cluster {kind}, tokens array<string>").where(F.size("tokens") >= least)
+def star_consensus(members: DataFrame, least: int = 5, weights: dict[str, float] | None = None, match: float = 5.0, mismatch: float = -1.0, gap: float = -1.0) -> DataFrame:
+    """(cluster, id, motifs, is_center) -> (cluster, tokens): consensus of at least `least` motifs: tokens of star_columns that more
+    than half of the members have, in order of the columns; what is put in before a centre's token comes before it."""
+    cells = star_columns(members, weights, match, mismatch, gap)
+    sizes = members.groupBy("cluster").agg(F.count("*").alias("n"))
+    counts = cells.groupBy("cluster", "place", "offset", "token").agg(F.count("*").alias("k")).join(sizes, "cluster").where(2 * F.col("k") > F.col("n"))
+    column = F.struct("place", F.when(F.col("offset") < 0, F.lit(2**31 - 1)).otherwise(F.col("offset")).alias("offset"), "token")
+    ordered = counts.groupBy("cluster").agg(F.array_sort(F.collect_list(column)).alias("c"))  # a row a consensus token
+    found = members.select("cluster").distinct().join(ordered, "cluster", "left").select("cluster", F.coalesce(F.transform("c", lambda x: x["token"]), F.array().cast("array<string>")).alias("tokens"))
+    return found.where(F.size("tokens") >= least)
 
 
 def consensus_matrices(members: DataFrame) -> DataFrame:

@@ -175,6 +175,51 @@ def test_consensus(spark):
     assert clustering.evalue_table(spark.createDataFrame([("a", "b", 1e-3), ("b", "a", float("nan")), ("a", "c", 0.0)], "query string, target string, evalue double")).where("motif1 = 'b'").first().similarity == pytest.approx(3)
 
 
+def star_brute(members, least, weight, mismatch=-1.0, gap=-1.0):
+    """Consensus by one member after another, in plain Python: (cluster, id, motifs, is_center) rows."""
+    from collections import Counter
+
+    out = {}
+    for cluster in {m[0] for m in members}:
+        own = sorted((m for m in members if m[0] == cluster), key=lambda m: (not m[3], m[1]))
+        center, cells = own[0][2], Counter()
+        for *_, motifs, _ in own:
+            pairs = [(i, j, weight(x)) for i, x in enumerate(center) for j, y in enumerate(motifs) if x == y]
+            score = [kernels.local_chain([p[0] for p in pairs], [s * p[1] for p in pairs], [p[2] for p in pairs], mismatch, gap)[0] for s in (1, -1)]
+            top, low = kernels.global_alignment(center, motifs[::-1] if score[1] > score[0] else motifs, mismatch=mismatch, gap=gap, weight=weight)
+            i = put = 0
+            for x, y in zip(top, low):
+                if x == "-":
+                    cells[i, put, y] += 1
+                    put += 1
+                else:
+                    if y != "-":
+                        cells[i, 10**9, y] += 1
+                    i, put = i + 1, 0
+        tokens = [c[2] for c in sorted(c for c, k in cells.items() if 2 * k > len(own))]
+        if len(tokens) >= least:
+            out[cluster] = tokens
+    return out
+
+
+def test_star_consensus_equals_brute_force(spark):
+    r = random.Random(12)
+    w = {"a": 5.0, "b": 2.0, "c": 7.5, "d": 1.0}
+    members = []
+    for cluster in range(12):
+        center = [r.choice("abcd") for _ in range(r.randrange(0, 14))]
+        for k in range(r.randrange(1, 9)):
+            own = [x for x in center if r.random() < 0.85]
+            for _ in range(r.randrange(3)):
+                own.insert(r.randrange(len(own) + 1), r.choice("abcd"))
+            members.append((cluster, f"m{k}", own[::-1] if r.random() < 0.4 else own, k == 1))
+    df = spark.createDataFrame(members, "cluster int, id string, motifs array<string>, is_center boolean")
+    for least, weights in ((0, None), (3, w)):
+        got = {x.cluster: x.tokens for x in clustering.star_consensus(df.repartition(3), least, weights).collect()}
+        assert got == star_brute(members, least, (lambda t: w[t]) if weights else lambda t: 5.0)
+    assert clustering.star_consensus(df.where("false")).count() == 0
+
+
 def test_genes(spark):
     gff = spark.createDataFrame([("c", "gene", 3000, 4000, "+", "ID=g1", 0), ("c", "five_prime_UTR", 3100, 3200, "+", "Parent=g1.1", 1), ("c", "gene", 10, 500, "-", "ID=g2", 2)], "chrom string, feature string, start_pos int, stop_pos int, strand string, attrs string, line_no long")
     assert sorted((r.gene, r.start_pos, r.stop_pos) for r in genes.promoters(gff, 100).collect()) == [("g1", 2999, 3099), ("g2", 500, 600)]
