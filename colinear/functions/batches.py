@@ -12,6 +12,8 @@ from colinear.functions import kernels
 CELLS, LOCAL_CELLS = 1 << 18, 1 << 16
 #: Blocks of fewer rows are left to the kernels for one pair; such pairs are long.
 FEW = 12
+#: Anchors from which a pair's local score is found by divide and conquer, where its length isn't asked for.
+LONG = 2048
 
 
 def _blocks(sizes: np.ndarray, cells: int) -> Iterator[np.ndarray]:
@@ -194,6 +196,80 @@ def local_alignments(of1: np.ndarray, tokens1: np.ndarray, weights: np.ndarray,
     return score, first, last
 
 
+def _dominated(y1: np.ndarray, d1: np.ndarray, f: np.ndarray, y2: np.ndarray, d2: np.ndarray) -> np.ndarray:
+    """For each point (y2, d2) the largest f of the points with a smaller y1 and no larger d1: in order of y, halves of halves, each sorted by d."""
+    n, asks = len(y1) + len(y2), np.concatenate([np.zeros(len(y1), np.int64), np.ones(len(y2), np.int64)])
+    order = np.lexsort((1 - asks, np.concatenate([y1, y2])))  # at one y those that ask come first
+    full = 1 << max(1, (n - 1).bit_length())
+    key = np.full(full, np.iinfo(np.int64).max)
+    key[:n] = (2 * np.concatenate([d1, d2]) + asks)[order]
+    values, found = np.full(full, -np.inf), np.full(full, -np.inf)
+    values[:n] = np.concatenate([f, np.full(len(y2), -np.inf)])[order]
+    width = 2
+    while width <= full:
+        at = key.reshape(-1, width).argsort(1, kind="stable")
+        give = np.where(at < width // 2, np.take_along_axis(values.reshape(-1, width), at, 1), -np.inf)
+        best = np.empty_like(give)
+        np.put_along_axis(best, at, np.maximum.accumulate(give, 1), 1)
+        later = found.reshape(-1, width)[:, width // 2 :]
+        np.maximum(later, best[:, width // 2 :], out=later)
+        width *= 2
+    out = np.empty(n)
+    out[order] = found[:n]
+    return out[len(y1) :]
+
+
+def local_score(x: np.ndarray, y: np.ndarray, m: np.ndarray, mismatch: float, gap: float, base: int = 96) -> float:
+    """The score of kernels.local_chain without its length, in n log^3 n steps: sparse dynamic programming by divide and conquer.
+
+    In order of x (of equal ones the larger y first) the first half of a stretch is finished before what it gives the second: over
+    the larger gap in x, the best of the anchors below with no larger x - y; over that in y, of those with a larger x - y.
+    """
+    if not len(x):
+        return 0.0
+    order = np.lexsort((-y, x))
+    x, y, m = x[order].astype(np.int64), y[order].astype(np.int64), m[order].astype(float)
+    d, before, score = x - y, np.full(len(x), -np.inf), np.zeros(len(x))
+
+    def solve(lo: int, hi: int) -> None:
+        if hi - lo <= base:
+            for i in range(lo, hi):
+                j = slice(lo, i)
+                da, dc = x[i] - x[j], y[i] - y[j]
+                far, near = np.maximum(da, dc), np.minimum(da, dc)
+                value = np.where((near > 0) & (score[j] != 0), score[j] + (gap * (far - near) + mismatch * (near - 1)), -np.inf)
+                score[i] = m[i] + max(0.0, before[i], value.max(initial=-np.inf))
+            return
+        mid = (lo + hi) // 2
+        solve(lo, mid)
+        j, i = lo + np.flatnonzero(score[lo:mid]), np.arange(mid, hi)
+        if len(j):
+            wide = _dominated(y[j], d[j], score[j] - gap * d[j] - mismatch * y[j], y[i], d[i]) + gap * d[i] + mismatch * (y[i] - 1)
+            back = np.argsort(-d[j], kind="stable")
+            most = np.maximum.accumulate((score[j] + gap * d[j] - mismatch * x[j])[back])
+            k = np.searchsorted(-d[j][back], -d[i], "left")  # those with a larger d
+            tall = np.where(k > 0, most[np.maximum(k - 1, 0)], -np.inf) - gap * d[i] + mismatch * (x[i] - 1)
+            before[i] = np.maximum(before[i], np.maximum(wide, tall))
+        solve(mid, hi)
+
+    solve(0, len(x))
+    return float(score.max())
+
+
+def local_scores(pairs: Pairs, match: np.ndarray, mismatch: float, gap: float) -> np.ndarray:
+    """Scores of local_chains without lengths: long pairs by divide and conquer, so that a pair's time is not the square of its anchors."""
+    long = pairs.sizes[: pairs.n] >= LONG
+    out = np.zeros(pairs.n)
+    if not long.all():
+        kept = np.repeat(~long, pairs.sizes[: pairs.n])
+        half = len(pairs.x) // 2
+        out[~long] = local_chains(Pairs(pairs.sizes[: pairs.n][~long], pairs.x[:half][kept], pairs.y[:half][kept], pairs.v[:half][kept]), match[kept], mismatch, gap)[0]
+    for k in np.flatnonzero(long):
+        own = slice(pairs.starts[k], pairs.starts[k] + pairs.sizes[k])
+        out[k] = max(local_score(pairs.x[own], s * pairs.y[own], match[own], mismatch, gap) for s in (1, -1))
+    return out
+
+
 def global_alignments(of1: np.ndarray, tokens1: np.ndarray, weights: np.ndarray, of2: np.ndarray, tokens2: np.ndarray, n: int, mismatch: float, gap: float) -> tuple[np.ndarray, np.ndarray]:
     """Needleman-Wunsch alignments of n cases: for each token of the second side (place, offset): the token of the first side that it
     stands on with offset -1, or the one before which it is put in, and which of those put in there it is.

@@ -167,16 +167,20 @@ def native_global_chains(left: DataFrame, right: DataFrame | None = None) -> Dat
     return pairs.select("acr1", "acr2", F.greatest(longest(1), longest(-1)).cast("double").alias("chain"), "n_anchors")
 
 
-def local_chains(left: DataFrame, right: DataFrame | None = None, weights: DataFrame | None = None, missing: float | None = None, match: float = MATCH, mismatch: float = MISMATCH, gap: float = GAP, compat: bool = False) -> DataFrame:
+def local_chains(left: DataFrame, right: DataFrame | None = None, weights: DataFrame | None = None, missing: float | None = None, match: float = MATCH, mismatch: float = MISMATCH, gap: float = GAP, compat: bool = False, lengths: bool = True) -> DataFrame:
     """(acr1, acr2, score, chain_len, n_anchors): the best local chain, forward or reversed, by (score, length).
 
-    With weights an anchor's match score is its weight; compat: times `match`. Positions should be ordinals.
+    With weights an anchor's match score is its weight; compat: times `match`. Positions should be ordinals. lengths: False leaves
+    chain_len out; then pairs of very many anchors take far less than the square of their number.
     """
     use = weights is not None
+    worth = lambda own: own * match if use and compat else own if use else np.full(len(own), float(match))
 
     def found(pairs: batches.Pairs) -> dict[str, np.ndarray]:
-        own = pairs.v[: len(pairs.v) // 2]
-        scores, lengths, _ = batches.local_chains(pairs, own * match if use and compat else own if use else np.full(len(own), float(match)), mismatch, gap)
-        return {"score": scores, "chain_len": lengths.astype(np.int32)}
+        scores, sizes, _ = batches.local_chains(pairs, worth(pairs.v[: len(pairs.v) // 2]), mismatch, gap)
+        return {"score": scores, "chain_len": sizes.astype(np.int32)}
 
-    return _chained(left, right, weights, missing, found, "score double, chain_len int, ")
+    def scored(pairs: batches.Pairs) -> dict[str, np.ndarray]:
+        return {"score": batches.local_scores(pairs, worth(pairs.v[: len(pairs.v) // 2]), mismatch, gap)}
+
+    return _chained(left, right, weights, missing, found, "score double, chain_len int, ") if lengths else _chained(left, right, weights, missing, scored, "score double, ")

@@ -223,13 +223,15 @@ def star_consensus(members: DataFrame, least: int = 5, weights: dict[str, float]
 
 
 def consensus_matrices(members: DataFrame) -> DataFrame:
-    """(cluster, motif, pssm) -> (cluster, pssm): mean matrix over the alignment of the members' consensus letters."""
+    """(cluster, motif, pssm) -> (cluster, pssm): mean matrix over the progressive profile alignment of the members, the longest first.
+
+    A task takes a cluster: motifs that are one cluster are few and short.
+    """
 
     def run(group: pa.Table) -> pa.Table:
-        rows = sorted(group.to_pylist(), key=lambda r: (-len(r["pssm"]), r["motif"]))
-        letters = ["".join("ACGT"[int(np.argmax(x))] for x in r["pssm"]) for r in rows]
-        table = kernels.star_alignment(letters[0], letters[1:], match=2, mismatch=-1, gap=-2)
-        return pa.table({"cluster": group.column("cluster").slice(0, 1), "pssm": pa.array([kernels.mean_profile(table, [r["pssm"] for r in rows])], pa.list_(pa.list_(pa.float64())))})
+        rows = sorted((r for r in group.to_pylist() if r["pssm"]), key=lambda r: (-len(r["pssm"]), r["motif"]))
+        mean = kernels.progressive_profile([r["pssm"] for r in rows]) if rows else []
+        return pa.table({"cluster": group.column("cluster").slice(0, 1), "pssm": pa.array([mean], pa.list_(pa.list_(pa.float64())))})
 
     kind = dict(members.dtypes)["cluster"]
     return members.groupBy("cluster").applyInArrow(run, f"cluster {kind}, pssm array<array<double>>")

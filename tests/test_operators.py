@@ -66,6 +66,7 @@ def test_chains_against_brute_force(spark, monkeypatch, block, held):
             assert local[p] == max(kernels.local_chain(a, y, [w[x[2]] for x in v], -1, -1) for y in both)
     with pytest.raises(Exception, match="no weight"):
         chains.global_chains(occ, weights=scores.where("motif <> 'm1'")).collect()
+    assert {(r.acr1, r.acr2): r.score for r in chains.local_chains(occ, weights=scores, lengths=False).collect()} == {p: v[0] for p, v in local.items()}
     offsets = chains.anchor_offsets(chains.anchor_counts(occ)).collect()
     ends = sorted((r["first"], r["stop"]) for r in offsets)
     assert ends[0][0] == 0 and all(x[1] == y[0] for x, y in zip(ends, ends[1:]))
