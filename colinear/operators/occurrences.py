@@ -6,13 +6,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from colinear.operators.sampling import ranked
-from colinear.operators.stretches import carried, dealt, within
+from colinear.operators.stretches import STRETCH, carried, dealt, within
+
+
+#: Bases beyond its stretch that a row is looked at with; longer occurrences are an error.
+HALO = 1 << 16
 
 
 def without_self_overlaps(occ: DataFrame, keys: list[str], span: F.Column, start: str = "start_pos") -> DataFrame:
-    """Drops an occurrence if the next one of its keys starts within `span` bases of it."""
-    following = F.lead(start).over(Window.partitionBy(*keys).orderBy(start))
-    return occ.withColumn("_gap", following - F.col(start)).where(F.col("_gap").isNull() | (F.col("_gap") > span)).drop("_gap")
+    """Drops an occurrence if the next one of its keys starts within `span` bases of it (HALO at most).
+
+    Rows are windowed by keys and stretch; those that start within HALO bases of a stretch's begin are seen by the stretch before, too.
+    So a motif that has most of a chromosome's rows is no one task's, at one shuffle. Rows without a start stay.
+    """
+    own = F.floor(F.col(start) / STRETCH).cast("long")
+    seen = F.when(F.col(start) - own * STRETCH < HALO, F.array(own, own - 1)).otherwise(F.array(own))
+    rows = occ.withColumn("_own", own).withColumn("_seen", F.explode(seen))
+    gap = F.lead(start).over(Window.partitionBy(*keys, "_seen").orderBy(start)) - F.col(start)
+    kept = rows.withColumn("_gap", gap).where(F.col("_own").eqNullSafe(F.col("_seen")))
+    fits = F.when(span > HALO, F.raise_error(F.lit(f"without_self_overlaps: an occurrence of over {HALO} bases"))).otherwise(F.col("_gap") > span)
+    return kept.where(F.col("_gap").isNull() | fits).drop("_gap", "_own", "_seen")
 
 
 def distinct_occurrences(occ: DataFrame, keys: list[str], stop: str = "stop_pos") -> DataFrame:

@@ -100,6 +100,22 @@ def test_rows_without_group_or_start_stay(spark):
     assert intervals.union(occ.where("start_pos is not null")).count() == 3
 
 
+def test_self_overlaps_over_stretches(spark):
+    r = random.Random(3)
+    size = occurrences.STRETCH
+    starts = sorted({k * size + d for k in range(4) for d in [*range(-60, 60, 7), *(r.randrange(size) for _ in range(40))] if k * size + d >= 0})
+    rows = [(m, "Chr1", x, x + r.randrange(3, 40)) for m in "ab" for x in starts] + [("a", "Chr1", None, 5)]
+    df = spark.createDataFrame(rows, "motif string, chrom string, start_pos int, stop_pos int")
+    want = {("a", None)}
+    for m in "ab":
+        own = sorted((x, e) for k, _, x, e in rows if k == m and x is not None)
+        want |= {(m, x) for i, (x, e) in enumerate(own) if i + 1 == len(own) or own[i + 1][0] - x > e - x}
+    got = {(x.motif, x.start_pos) for x in occurrences.without_self_overlaps(df, ["motif", "chrom"], F.col("stop_pos") - F.col("start_pos")).collect()}
+    assert got == want and len(got) < len(rows)
+    with pytest.raises(Exception, match="of over"):
+        occurrences.without_self_overlaps(df, ["motif", "chrom"], F.lit(10**6)).count()
+
+
 def test_components(spark):
     r = random.Random(3)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 520)]
