@@ -20,7 +20,7 @@ from colinear.operators.components import components
 from colinear.operators.sampling import ranked
 from colinear.plans import jobs
 from colinear.plans.options import RankOptions
-from colinear.queries import ASOF, DIST, FEATURES, OCC, RANKED, REL, ROLES, _by_chrom, _clean, _distances, _freq, _promoters, _r, _relevance, _roles, query
+from colinear.queries import ASOF, DIST, FEATURES, OCC, RANKED, REL, ROLES, _by_chrom, _clean, _distances, _freq, _linkage, _promoters, _r, _relevance, _roles, query
 from colinear.session import shared_folder
 from colinear.sources import readers, writers
 from colinear.views import view
@@ -391,7 +391,10 @@ def q_motif_distances(spark, d):
     return jobs.motif_distances(_similar(spark, d), 0.4).select("id1", "id2", *_r("distance"))
 
 
-@query()
+ALIKE = f"alike AS ({LIKE}), m AS (SELECT DISTINCT motif1 AS id FROM alike), names AS MATERIALIZED (SELECT id, row_number() OVER (ORDER BY id) AS k FROM m), cells AS (SELECT a.k, b.id AS col, coalesce(s.similarity, -2) AS v FROM names a CROSS JOIN m b LEFT JOIN alike s ON s.motif1 = a.id AND s.motif2 = b.id), t AS MATERIALIZED (SELECT x.k AS i, y.k AS j, greatest(0.0, 1 - corr(x.v, y.v)) AS x FROM cells x JOIN cells y ON x.col = y.col AND x.k < y.k GROUP BY x.k, y.k HAVING 1 - corr(x.v, y.v) <= 0.4)"
+
+
+@query(_linkage(ALIKE, "names", "CASE WHEN n < np THEN greatest(m, 2.0) ELSE m END", "<= 0.4"))
 def q_tomtom_clusters(spark, d):
     return jobs.motif_similarity_clusters(_similar(spark, d), 0.4)
 

@@ -337,7 +337,12 @@ def q_cut_hits(spark, d):
     return search.cut_hits(view(spark, d, "hits"), 40, 0.2)
 
 
-@query()
+@query("""WITH RECURSIVE pr AS MATERIALIZED (SELECT s.id AS ref, q.id AS query, s.seq AS a, q.seq AS b FROM sequences s, query_sequences q),
+r AS (SELECT ref, query, 0 AS i, j, CASE WHEN j = 0 THEN 0 ELSE -7 - 2 * (j - 1) END::int AS w, -1000000 AS g FROM (SELECT ref, query, unnest(range(0, length(b) + 1)) AS j FROM pr)
+  UNION ALL SELECT ref, query, i + 1, j, greatest(n, coalesce(max(n + 2 * j) OVER (PARTITION BY ref, query ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 5 - 2 * j, -1000000))::int, g FROM
+    (SELECT ref, query, i, j, g, greatest(g, coalesce(before + CASE WHEN substr(a, i + 1, 1) = substr(b, j::int, 1) THEN 2 ELSE -3 END, -1000000)) AS n FROM
+      (SELECT r.ref, r.query, i, j, a, b, greatest(w - 7, g - 2) AS g, lag(w) OVER (PARTITION BY r.ref, r.query ORDER BY j) AS before FROM r JOIN pr ON pr.ref = r.ref AND pr.query = r.query WHERE i < length(a))))
+SELECT r.ref, r.query, w::double AS align_score FROM r JOIN pr ON pr.ref = r.ref AND pr.query = r.query WHERE i = length(a) AND j = length(b)""")
 def q_align_all(spark, d):
     return search.align_all(view(spark, d, "sequences"), view(spark, d, "query_sequences"))
 
@@ -464,7 +469,11 @@ def q_clusters_complete(spark, d):
     return clustering.clusters(_distances(spark, d), 0.9, view(spark, d, "acrs").select(F.col("acr").alias("id")), average=False, finish=0)
 
 
-@query()
+NEAR = """names AS MATERIALIZED (SELECT vec_id AS id, row_number() OVER (ORDER BY vec_id) AS k, list_transform(embedding::double[], lambda v: v - list_avg(embedding::double[])) AS e FROM embeddings),
+t AS MATERIALIZED (SELECT * FROM (SELECT x.k AS i, y.k AS j, greatest(0.0, 1 - list_cosine_similarity(x.e, y.e)) AS x FROM names x JOIN names y ON x.k < y.k) WHERE x < 0.6)"""
+
+
+@query(_linkage(NEAR, "names", "CASE WHEN n < np THEN greatest(m, 2.0) ELSE m END", "<= 0.6"))
 def q_motif_clusters(spark, d):
     from colinear.session import stored, table
 

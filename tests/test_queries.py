@@ -41,6 +41,14 @@ def test_query_runs(spark, name):
     assert q.queries()[name](spark, SF).count() > 0
 
 
+def test_star_consensus_equals_brute_force(spark, duck):
+    from test_operators import star_brute
+
+    rows = duck.sql(q.sql("SELECT split_part(acr, '_', 1) AS cluster, acr, list(split_part(motif, '-', 1) ORDER BY pos) AS motifs, acr = min(acr) OVER (PARTITION BY split_part(acr, '_', 1)) AS is_center FROM acr_motif GROUP BY acr")).fetchall()
+    got = {r.cluster: r.tokens for r in q.queries()["q_star_consensus"](spark, SF).collect()}
+    assert got == star_brute(rows, 1, lambda t: 5.0) and got
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
