@@ -79,8 +79,8 @@ def chromosome_motifs(spark: SparkSession, path: str, chroms: list[str] | None =
     from colinear.operators.occurrences import indexed
 
     rows = _tsv(spark, path, "motif string, start_pos int, stop_pos int")
-    name = F.regexp_extract(F.input_file_name(), r"(?:chrom=([^/]+)/[^/]*|([^/]+?)(?:\.\w+)?)$", 1)
-    plain = F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.\w+)?$", 1)
+    name = F.regexp_extract(F.input_file_name(), r"chrom=([^/]+)/[^/]*$", 1)
+    plain = F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.\w+)?(?:\.(?:gz|bz2|zst|deflate))?$", 1)
     rows = rows.select(F.when(name != "", name).otherwise(plain).alias("chrom"), "motif", "start_pos", "stop_pos", (F.col("motif") == "BREAK").alias("is_break"))
     rows = rows if chroms is None else rows.where(F.col("chrom").isin(chroms))
     own = indexed(rows.where(~F.col("is_break") & F.col("start_pos").isNotNull()))
