@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import mmap
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,11 +56,11 @@ def unpacked(raw: bytes) -> np.ndarray:
 def squeezed(x: np.ndarray) -> bytes:
     """Numbers from 0 whose values repeat: their bytes by place, compressed."""
     raw = packed(x)
-    return raw[:1] + zlib.compress(np.frombuffer(raw, np.uint8, offset=1).reshape(-1, raw[0]).T.tobytes(), 1)
+    return raw[:1] + zstandard.ZstdCompressor(level=1).compress(np.frombuffer(raw, np.uint8, offset=1).reshape(-1, raw[0]).T.tobytes())
 
 
 def unsqueezed(raw: bytes) -> np.ndarray:
-    body = np.frombuffer(zlib.decompress(raw[1:]), np.uint8).reshape(raw[0], -1)
+    body = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[1:]), np.uint8).reshape(raw[0], -1)
     out = np.zeros((body.shape[1], 8), np.uint8)
     out[:, : raw[0]] = body.T
     return out.view(np.uint64).ravel()
