@@ -392,3 +392,41 @@ def test_fasta_in_blocks(spark, tmp_path):
     assert all(cut.get(name, "") == seq[99:300] for name, seq in known.items())
     writers.fasta(spark.createDataFrame(list(known.items()), "id string, seq string"), str(tmp_path / "out"), width=60)
     assert {x.id: x.seq for x in readers.fasta(spark, str(tmp_path / "out")).collect()} == known
+
+
+@pytest.mark.parametrize("block, held, counted", [(128, 2_000_000, 1 << 18), (3, 7, 5)])
+def test_counts_by_blocks_equal_brute_force(spark, monkeypatch, block, held, counted):
+    monkeypatch.setattr(chains, "BLOCK", block)
+    monkeypatch.setattr(chains, "HELD", held)
+    monkeypatch.setattr(chains, "COUNTED", counted)
+    rnd = random.Random(4)
+    for kinds in (3, 400):  # by a matrix product, and by the meetings
+        seqs = {f"r{k}{'_rand' if k % 3 == 0 else ''}": [f"m{rnd.randrange(kinds)}" for _ in range(rnd.randrange(9))] for k in range(23)}
+        occ = spark.createDataFrame([(a, p, m) for a, s in seqs.items() for p, m in enumerate(s)] + [(None, 0, "m1"), ("r1", 99, None)], "acr string, pos int, motif string")
+        times = lambda a, b: sum(seqs[a].count(m) * seqs[b].count(m) for m in set(seqs[a]))
+        shared = lambda a, b: len(set(seqs[a]) & set(seqs[b]))
+        one = [(a, b) for a in seqs for b in seqs if a < b and shared(a, b)]
+        two = [(a, b) for a in seqs for b in seqs if a.endswith("_rand") and not b.endswith("_rand") and shared(a, b)]
+        sides = occ.where("acr like '%_rand'"), occ.where("acr not like '%_rand'")
+        for found, f in ((chains.anchor_counts, times), (chains.motif_counts, shared)):
+            assert sorted(map(tuple, found(occ).collect())) == sorted((a, b, f(a, b)) for a, b in one)
+            assert sorted(map(tuple, found(*sides).collect())) == sorted((a, b, f(a, b)) for a, b in two)
+
+
+def test_pairs_stay_where_they_are(spark):
+    pairs = spark.createDataFrame([("a", "b", 1.0, 2, 3), ("a_rand", "b", 4.0, 1, 9)], "r1 string, r2 string, score double, n_anchors int, ref_len int")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        scores = st.reference_scores(pairs, spark.createDataFrame([("b",)], "region string"))
+        lengths = spark.createDataFrame([("a", 2), ("b", 3)], "acr string, n_motifs int")
+        distances = clustering.chain_distances(pairs.selectExpr("r1 as acr1", "r2 as acr2", "score as chain"), lengths)
+        medoids = clustering.medoids(spark.createDataFrame([("a", "x"), ("b", "x")], "id string, cluster string"), spark.createDataFrame([("a", "b", 0.5)], "id1 string, id2 string, distance double"))
+        plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+        for df in (scores, distances):
+            assert "Exchange hashpartitioning" not in plan(df) and "SortMergeJoin" not in plan(df)
+        assert plan(medoids).count("SortMergeJoin") <= 2  # over regions, not pairs
+        assert "WindowGroupLimit" not in plan(st.nth_highest(scores, 2))  # no sort of all pairs
+        assert plan(st.nth_features(scores, 1)).count("SortMergeJoin") == 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
