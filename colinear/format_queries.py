@@ -246,6 +246,11 @@ def q_read_tomtom(spark, d):
     return _similar(spark, d).select("motif1", "motif2", *_r("similarity"))
 
 
+def _in_turn(rows: DataFrame, path: str) -> None:
+    """(value, k) as lines in order of k: part files by ranges of k, and in order within a file, as one may hold several k."""
+    rows.repartitionByRange(3, "k").sortWithinPartitions("k").select("value").write.text(path)
+
+
 @query("SELECT gene, chrom, cast(CASE WHEN strand = '+' THEN greatest(0, s - 201) ELSE e END AS int) AS start_pos, cast(CASE WHEN strand = '+' THEN s - 1 ELSE e + 200 END AS int) AS stop_pos, strand FROM (SELECT gene, chrom, strand, start_pos + CASE WHEN strand = '+' AND start_pos % 3 = 0 THEN 4 ELSE 0 END AS s, stop_pos - CASE WHEN strand <> '+' AND start_pos % 3 = 0 THEN 4 ELSE 0 END AS e FROM genes)")
 def q_read_gff(spark, d):
     """Genes, and for some a 5' UTR twice: the later line counts."""
@@ -254,7 +259,7 @@ def q_read_gff(spark, d):
     utr = lambda by, k: g.where("start_pos % 3 = 0").select(line("five_prime_UTR", F.col("start_pos") + by, F.col("stop_pos") - by, F.concat(F.lit("Parent="), "gene", F.lit(".1"))).alias("value"), F.lit(k).alias("k"))
     own = g.select(line("gene", F.col("start_pos"), F.col("stop_pos"), F.concat(F.lit("ID="), "gene", F.lit(";Name=x"))).alias("value"), F.lit(2).alias("k"))
     rows = own.union(utr(9, 0)).union(utr(4, 1)).union(spark.createDataFrame([("# comment", 0)], "value string, k int"))
-    back = _through(rows, lambda df, p: df.repartitionByRange(3, "k").select("value").write.text(p), readers.gff)
+    back = _through(rows, _in_turn, readers.gff)
     return genes.promoters(back, 200).select("gene", "chrom", "start_pos", "stop_pos", "strand")
 
 

@@ -50,3 +50,13 @@ def test_literal_files(spark, tmp_path, end, packed):
         (folder / f"{chrom}.tsv{'.gz' if packed else ''}").write_bytes(gzip.compress(data) if packed else data)
     got = sorted((r.chrom, r.idx, r.motif, r.start_pos, r.stop_pos) for r in readers.chromosome_motifs(spark, str(folder)).collect())
     assert got == [("Chr1", 0, "m", 1, 5), ("Chr1", 1, "n", 9000, 9005), ("Chr2", 0, "m", 3, 8)]
+
+
+def test_lines_in_turn(spark, tmp_path):
+    from colinear.format_queries import _in_turn
+
+    rows = spark.createDataFrame([(str(k), k) for k in [1] * 30 + [0] * 30 + [2] * 300], "value string, k int").coalesce(1)
+    _in_turn(rows, str(tmp_path / "lines"))
+    for part in (tmp_path / "lines").glob("part-*"):
+        lines = part.read_text().split()
+        assert lines == sorted(lines)
