@@ -30,8 +30,8 @@ def region_genes(regions: DataFrame, genes: DataFrame) -> DataFrame:
 
 def gene_sets(clustered: DataFrame, of_region: DataFrame) -> DataFrame:
     """(cluster, genes): sorted distinct genes of a cluster's regions (id, cluster); none gives an empty list."""
-    met = clustered.join(of_region.withColumnRenamed("acr", "id"), "id", "left")
-    return met.groupBy("cluster").agg(F.array_sort(F.collect_set("gene")).alias("genes"))
+    met = clustered.join(of_region.withColumnRenamed("acr", "id"), "id", "left").select("cluster", "gene").distinct()
+    return met.groupBy("cluster").agg(F.array_sort(F.collect_list("gene")).alias("genes"))
 
 
 def gene_correlations(expression: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -1,3 +1,4 @@
+import hashlib
 import random
 import zipfile
 
@@ -430,3 +431,32 @@ def test_pairs_stay_where_they_are(spark):
         assert plan(st.nth_features(scores, 1)).count("SortMergeJoin") == 0
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_sample_of_a_group_that_takes_most_rows(spark):
+    keys = [f"k{i}" for i in range(500)]
+    sizes = spark.createDataFrame([("a", 480), ("b", 0), ("c", 900), (None, 3), ("d", 7)], "g string, k int")
+    df = spark.createDataFrame([(k,) for k in keys], "key string")
+    got = {}
+    for r in sampling.sample_per_group(df, sizes.where("g is not null"), "g", "key", 3).collect():
+        got.setdefault(r.g, []).append(r.key)
+    order = lambda g: sorted(keys, key=lambda k: (hashlib.md5(f"{g}/{k}/3".encode()).hexdigest()[:8], k))
+    assert {g: sorted(v) for g, v in got.items()} == {"a": sorted(order("a")[:480]), "c": sorted(keys), "d": sorted(order("d")[:7])}
+    rows = sampling.sample_per_group(df, sizes.where("g is not null"), "g", "key", 3)
+    windows = [line for line in rows._jdf.queryExecution().executedPlan().toString().splitlines() if "Window [row_number" in line]
+    assert windows and all("_s#" in line for line in windows)  # no group is one task's
+
+
+@pytest.mark.parametrize("places", [1 << 16, 5])
+def test_chromosome_kmers_by_stretches(spark, monkeypatch, places):
+    monkeypatch.setattr(search, "PLACES", places)
+    r = random.Random(6)
+    seqs = {"a": [f"m{r.randrange(4)}" for _ in range(37)], "b": ["m1"] * 3, "c": [], "d": [f"m{r.randrange(2)}" for _ in range(10)]}
+    occ = spark.createDataFrame([(c, i, m) for c, s in seqs.items() for i, m in enumerate(s)], "chrom string, idx int, motif string")
+    for k in (1, 4, 5):
+        got = sorted((x.chrom, x.idx, tuple(x.kmer)) for x in search.chromosome_kmers(occ, k).collect())
+        assert got == sorted((c, i, tuple(s[i : i + k])) for c, s in seqs.items() for i in range(len(s) - k + 1))
+    lacking = search.chromosome_kmers(occ.where("chrom <> 'd' or idx <> 4"), 4).where("chrom = 'd'").select("idx")
+    assert sorted(x.idx for x in lacking.collect()) == [0, 5, 6]
+    plan = search.chromosome_kmers(occ)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "collect_list" not in plan
