@@ -33,12 +33,19 @@ class Options:
     chromosomes: tuple[str, ...] | None = None
 
 
-def rows(hits: DataFrame, regions: DataFrame, options: Options = Options()) -> DataFrame:
-    """hits (motif, chrom, start_pos, stop_pos), regions (acr, chrom, start_pos, stop_pos) -> a row for each motif of a region."""
+def rows(hits: DataFrame, regions: DataFrame, options: Options = Options(), held: list[DataFrame] | None = None) -> DataFrame:
+    """hits (motif, chrom, start_pos, stop_pos), regions (acr, chrom, start_pos, stop_pos) -> a row for each motif of a region.
+
+    held takes the tables that the rows are read from; they may be forgotten when the rows are written.
+    """
     inside = occurrences.within_regions(hits.select("motif", "chrom", "start_pos", "stop_pos"), regions.select("acr", "chrom", "start_pos", "stop_pos"))
+    inside = stored(inside)  # for weights and rows: placed once
     relevant = weights.relevance(inside, hits).where("total_acr > 0 and total_full > 0")
     if options.least_z is not None:
         relevant = relevant.where(F.col("z_score") >= options.least_z)
+    relevant = stored(relevant)
+    if held is not None:
+        held += [inside, relevant]
     scores = weights.motif_scores(relevant, options.rarity).select("motif", "score").join(relevant.select("motif", "z_score"), "motif")
     wanted = inside if options.chromosomes is None else inside.where(F.col("chrom").isin(list(options.chromosomes)))
     clean = occurrences.without_self_overlaps(wanted, ["motif", "acr"], F.col("stop_pos") - F.col("start_pos"))
@@ -50,10 +57,12 @@ def run(spark: SparkSession, tables: str, out: str, options: Options = Options()
     log.info("read %d motif hits and %d regions of %s", hits.count(), regions.count(), tables)
     known = stored(occurrences.distinct_occurrences(hits, ["motif", "chrom", "start_pos"]))
     # ranges of (chromosome, region): few files each, and a chromosome that holds most rows is split
-    placed = rows(known, regions, options).repartitionByRange("chrom", "acr").sortWithinPartitions("chrom", "acr", "pos")
+    held = [known]
+    placed = rows(known, regions, options, held).repartitionByRange("chrom", "acr").sortWithinPartitions("chrom", "acr", "pos")
     mode = "static" if options.chromosomes is None else "dynamic"
     placed.write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy("chrom").parquet(out)
-    forget(known)
+    for table in held:
+        forget(table)
     written = {r.chrom: r["count"] for r in output(spark, out).groupBy("chrom").count().collect()}  # a row a chromosome
     for chrom in sorted(written if options.chromosomes is None else options.chromosomes, key=str):
         log.info("%s of %s: %s rows", chrom, out, written.get(chrom, "no"))

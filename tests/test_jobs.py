@@ -190,3 +190,12 @@ def test_command_line(tmp_path):
         done = subprocess.run([sys.executable, "-m", "jobs.region_motifs", "--tables", SF, "--out", str(tmp_path / "out"), "--config", f"{ROOT}/jobs/region_motifs.json"], cwd=ROOT, env=os.environ | {"PYSPARK_SUBMIT_ARGS": "--master local[2] --conf spark.sql.shuffle.partitions=4 pyspark-shell"}, capture_output=True, text=True, timeout=300)
         assert done.returncode == 0, done.stderr[-2000:]
         assert "motif hits" in done.stderr and "Chr1 of" in done.stderr
+
+
+def test_region_motifs_places_hits_once(spark):
+    hits = spark.createDataFrame([("a", "Chr1", 5, 9), ("b", "Chr1", 30, 34)], "motif string, chrom string, start_pos int, stop_pos int")
+    regions = spark.createDataFrame([("r", "Chr1", 1, 20)], "acr string, chrom string, start_pos int, stop_pos int")
+    held = []
+    found = region_motifs.rows(hits, regions, held=held)
+    assert "last(region" not in found._jdf.queryExecution().executedPlan().toString() and len(held) == 2
+    assert [(r.acr, r.motif) for r in found.collect()] == [("r", "a")]
