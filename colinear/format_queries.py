@@ -20,7 +20,7 @@ from colinear.operators.components import components
 from colinear.operators.sampling import ranked
 from colinear.plans import jobs
 from colinear.plans.options import RankOptions
-from colinear.queries import ASOF, DIST, FEATURES, OCC, RANKED, REL, ROLES, _by_chrom, _clean, _distances, _freq, _linkage, _promoters, _r, _relevance, _roles, query
+from colinear.queries import ASOF, DIST, FEATURES, OCC, RANKED, REL, ROLES, _by_chrom, _clean, _counts, _distances, _freq, _linkage, _promoters, _r, _relevance, query
 from colinear.session import shared_folder
 from colinear.sources import readers, writers
 from colinear.views import view
@@ -308,7 +308,7 @@ def q_read_expression_zip(spark, d):
 
 @query(f"WITH {ROLES} SELECT score AS value, count(*) AS freq FROM roles GROUP BY 1")
 def q_read_frequencies(spark, d):
-    return _through(st.frequencies(_roles(spark, d).select(F.col("score").alias("value"))), writers.frequency_file, readers.frequency_file)
+    return _through(st.frequencies(_counts(spark, d).select(F.col("score").alias("value"), "n")), writers.frequency_file, readers.frequency_file)
 
 
 @query("SELECT DISTINCT concat('r', cast(q AS varchar)) AS acr, cast(score AS double) AS score, chrom, start_pos, stop_pos, align_score FROM hits WHERE score >= 30 AND chrom IN ('Chr1', 'Chr2')")

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from colinear.functions import kernels
+from colinear.functions import regions as rg
 from colinear.functions import scores as sc
 from colinear.operators import chains, clustering, genes, intervals, occurrences, sampling, search, weights
 from colinear.operators import statistics as st
@@ -460,3 +461,35 @@ def test_chromosome_kmers_by_stretches(spark, monkeypatch, places):
     assert sorted(x.idx for x in lacking.collect()) == [0, 5, 6]
     plan = search.chromosome_kmers(occ)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "collect_list" not in plan
+
+
+def test_scores_counted_where_blocks_meet(spark, monkeypatch):
+    """reference_score_counts stands for the rows of reference_scores, and no pair is a row of its plan."""
+    r = random.Random(5)
+    monkeypatch.setattr(chains, "BLOCK", 4)
+    monkeypatch.setattr(chains, "COUNTED", 16)
+    names = [f"Chr1_{k * 100 + 1}to{k * 100 + 20 + k % 3}{'_rand' if k % 4 == 3 else ''}" for k in range(24)] + ["odd"]
+    occ = spark.createDataFrame([(x, p, f"m{r.randrange(12)}") for x in names for p in range(r.randrange(1, 9))], "acr string, pos int, motif string")
+    known = spark.createDataFrame([(x,) for x in names[::2] + ["absent"] if not x.endswith("_rand")], "region string")
+    n = F.col("n_motifs")
+    pairs = chains.motif_counts(occ).select(F.col("acr1").alias("r1"), F.col("acr2").alias("r2"), n.cast("double").alias("score"), n.alias("n_anchors"))
+    rows = st.reference_scores(pairs, known).withColumn("ref_len", rg.length(*rg.endpoints(F.col("reference")))).cache()
+    counts = st.reference_score_counts(occ, known).cache()
+    listed = lambda df: sorted(map(repr, map(tuple, df.collect())))
+    assert listed(counts) == listed(rows.groupBy("group", "region", "score", "n_anchors").agg(F.count("*").alias("n"), F.min("ref_len").alias("ref_len")))
+    assert counts.agg(F.max("n")).first()[0] > 1
+    value = F.col("score").alias("value")
+    for a, b in (
+        (st.nth_highest(counts, 3), st.nth_highest(rows, 3)),
+        (st.highest(counts), st.highest(rows)),
+        (st.top_mean(counts), st.top_mean(rows)),
+        (st.padded_mean(counts, 50), st.padded_mean(rows, 50)),
+        (st.nth_features(counts, 2), st.nth_features(rows, 2)),
+        (st.with_padding(counts, 30, 30), st.with_padding(rows, 30, 30)),
+        (st.density(counts, "score", 4, ["group"]), st.density(rows, "score", 4, ["group"])),
+        (st.frequencies(counts.select("group", value, "n"), "value", ["group"]), st.frequencies(rows.select("group", value), "value", ["group"])),
+        (st.frequencies(st.features_at(counts, 2.0, "n_anchors", 3), "value", ["group"]), st.frequencies(st.features_at(rows, 2.0, "n_anchors", 3), "value", ["group"])),
+    ):
+        assert listed(a) == listed(b) and listed(a)
+    with pytest.raises(ValueError):
+        st.reference_score_counts(occ, spark.createDataFrame([(names[3],)], "region string"))
