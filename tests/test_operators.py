@@ -493,3 +493,17 @@ def test_scores_counted_where_blocks_meet(spark, monkeypatch):
         assert listed(a) == listed(b) and listed(a)
     with pytest.raises(ValueError):
         st.reference_score_counts(occ, spark.createDataFrame([(names[3],)], "region string"))
+
+
+def test_all_alignments_are_spread_and_batched(spark):
+    r = random.Random(3)
+    text = lambda n: "".join(r.choice("ACGT") for _ in range(n))
+    refs = [(k, text(r.randrange(30))) for k in range(40)] + [(90, ""), (91, None), (92, "ACéT")]
+    asks = [(k, text(r.randrange(20))) for k in range(9)] + [(9, ""), (10, None)]
+    got = search.align_all(spark.createDataFrame(refs, "id long, seq string").coalesce(1), spark.createDataFrame(asks, "id long, seq string").coalesce(1))
+    assert got.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    rows = got.collect()
+    assert {(x.ref, x.query): x.align_score for x in rows} == {(i, j): None if a is None or b is None else kernels.affine_alignment(a, b) for i, a in refs for j, b in asks} and len(rows) == len(refs) * len(asks)
+    both = spark.createDataFrame([(a, b) for _, a in refs for _, b in asks], "a_seq string, b_seq string")
+    for x in search.aligned_pairs(both, free_ends=True).collect():
+        assert x.align_score == (None if x.a_seq is None or x.b_seq is None else kernels.affine_alignment(x.a_seq, x.b_seq, True))
