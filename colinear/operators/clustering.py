@@ -179,6 +179,30 @@ def column_majority(aligned: DataFrame, blank: str = "-") -> DataFrame:
     return counts.join(rows, "cluster").where((2 * F.col("k") > F.col("n")) & (F.col("token") != blank)).select("cluster", "pos", "token")
 
 
+def _turned(of1: np.ndarray, tokens1: np.ndarray, weights: np.ndarray, of2: np.ndarray, tokens2: np.ndarray, n: int, mismatch: float, gap: float) -> np.ndarray:
+    """Whether the second side's best local chain with the first one runs backwards, of n cases; positions are places in the sequences.
+
+    Between two anchors a chain pays for the diagonal steps and gaps of a local alignment, so where a match is worth more than a mismatch or gaps
+    the best chain's score is that of the best alignment: its cells are the product of the lengths, chains take the square of the anchors. Whole
+    numbers add up to the same either way; others are chained, as sums in another order may break a tie.
+    """
+    sizes1, sizes2 = np.bincount(of1, minlength=n), np.bincount(of2, minlength=n)
+    starts1, starts2 = np.cumsum(sizes1) - sizes1, np.cumsum(sizes2) - sizes2
+    if (weights > 0).all() and 2 * gap <= mismatch <= 0 and gap <= 0 and all((np.asarray(x) == np.round(x)).all() for x in (weights, mismatch, gap)):
+        back = starts2[of2] + sizes2[of2] - 1 - (np.arange(len(of2)) - starts2[of2])
+        ahead, behind = (batches.local_alignments(of1, tokens1, weights, of2, tokens2[at], n, mismatch, gap)[0] for at in (np.arange(len(of2)), back))
+        return behind > ahead
+    width = int(max(tokens1.max(initial=0), tokens2.max(initial=0))) + 1
+    key1, key2 = of1 * width + tokens1, of2 * width + tokens2  # anchors are equal tokens of one case
+    order = np.argsort(key2, kind="stable")
+    lo, hi = np.searchsorted(key2[order], key1, "left"), np.searchsorted(key2[order], key1, "right")
+    i = np.repeat(np.arange(len(key1)), hi - lo)
+    j = order[np.arange(len(i)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + np.repeat(lo, hi - lo)]
+    case = of1[i]
+    pairs = batches.Pairs(np.bincount(case, minlength=n), i - starts1[case], j - starts2[case], weights[i])
+    return batches.local_chains(pairs, weights[i], mismatch, gap)[2]
+
+
 def star_columns(members: DataFrame, weights: dict[str, float] | None = None, match: float = 5.0, mismatch: float = -1.0, gap: float = -1.0) -> DataFrame:
     """(cluster, id, motifs, is_center) -> (cluster, id, place, offset, token): the star alignment to each cluster's centre, a row a token.
 
@@ -187,7 +211,8 @@ def star_columns(members: DataFrame, weights: dict[str, float] | None = None, ma
     cluster are its (place, offset), so members meet in sums only and no cluster is one task's.
     """
     center = members.groupBy("cluster").agg(F.min_by("motifs", F.struct(~F.col("is_center"), F.col("id"))).alias("center"))
-    cases = members.select("cluster", "id", "motifs").join(center, "cluster")
+    tasks = 4 * members.sparkSession.sparkContext.defaultParallelism
+    cases = members.select("cluster", "id", "motifs").join(center, "cluster").repartition(tasks, "cluster", "id")  # a join by cluster leaves few tasks
     known = weights or {}
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,16 +226,8 @@ def star_columns(members: DataFrame, weights: dict[str, float] | None = None, ma
             codes = both.indices.to_numpy(zero_copy_only=False).astype(np.int64)
             first, second = codes[: len(of1)], codes[len(of1) :].copy()
             worth = np.array([known.get(t, match) for t in tokens] or [match], float)
-            starts1, starts2 = (np.cumsum(x) - x for x in sizes)
-            # anchors of each member with its centre: equal tokens of one case
-            key1, key2 = of1 * len(tokens) + first, of2 * len(tokens) + second
-            order = np.argsort(key2, kind="stable")
-            lo, hi = np.searchsorted(key2[order], key1, "left"), np.searchsorted(key2[order], key1, "right")
-            i = np.repeat(np.arange(len(key1)), hi - lo)
-            j = order[np.arange(len(i)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + np.repeat(lo, hi - lo)]
-            case = of1[i]
-            pairs = batches.Pairs(np.bincount(case, minlength=n), i - starts1[case], j - starts2[case], worth[first[i]])
-            turned = batches.local_chains(pairs, worth[first[i]], mismatch, gap)[2]
+            starts2 = np.cumsum(sizes[1]) - sizes[1]
+            turned = _turned(of1, first, worth[first], of2, second, n, mismatch, gap)
             at = np.arange(len(second))
             at = np.where(turned[of2], starts2[of2] + sizes[1][of2] - 1 - (at - starts2[of2]), at)
             second = second[at]

@@ -507,3 +507,30 @@ def test_all_alignments_are_spread_and_batched(spark):
     both = spark.createDataFrame([(a, b) for _, a in refs for _, b in asks], "a_seq string, b_seq string")
     for x in search.aligned_pairs(both, free_ends=True).collect():
         assert x.align_score == (None if x.a_seq is None or x.b_seq is None else kernels.affine_alignment(x.a_seq, x.b_seq, True))
+
+
+def test_direction_of_star_members_needs_no_anchors(monkeypatch):
+    """Two sequences of one token have as many anchors as cells; their direction, and that of random ones, is the chains'."""
+    import numpy as np
+
+    from colinear.functions import batches
+
+    rng, chained, cases = np.random.default_rng(1), batches.local_chains, []
+    for trial in range(20):
+        n, v = 30, 1 + trial % 5
+        of1, of2 = (np.repeat(np.arange(n), rng.integers(0, 20, n)) for _ in range(2))
+        t1, t2 = rng.integers(0, v, len(of1)), rng.integers(0, v, len(of2))
+        cases.append((of1, t1, rng.integers(1, 7, v).astype(float)[t1], of2, t2, n, *[(-1.0, -1.0), (-2.0, -1.0), (-1.0, -3.0), (0.0, -1.0)][trial % 4]))
+    uneven = [(*c[:2], c[2] + 0.0, *c[3:6], -0.5, -1.0) for c in cases]  # not whole: chained
+    slow = [clustering._turned(*c) for c in uneven]
+    for c in cases:
+        of1, t1, w, of2, t2, n, mismatch, gap = c
+        i, j = np.nonzero((of1[:, None] == of2) & (t1[:, None] == t2))
+        place = lambda of: np.arange(len(of)) - np.searchsorted(of, of)
+        slow.append(chained(batches.Pairs(np.bincount(of1[i], minlength=n), place(of1)[i], place(of2)[j], w[i]), w[i], mismatch, gap)[2])
+    monkeypatch.setattr(batches, "local_chains", None)
+    for c, want in zip(cases, slow[len(uneven) :]):
+        assert (clustering._turned(*c) == want).all()
+    assert any(x.any() for x in slow) and not all(x.all() for x in slow)
+    same = np.zeros(2500, np.int64)
+    assert not clustering._turned(same, same, np.full(2500, 5.0), same, same, 1, -1.0, -1.0).any()
