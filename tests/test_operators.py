@@ -534,3 +534,19 @@ def test_direction_of_star_members_needs_no_anchors(monkeypatch):
     assert any(x.any() for x in slow) and not all(x.all() for x in slow)
     same = np.zeros(2500, np.int64)
     assert not clustering._turned(same, same, np.full(2500, 5.0), same, same, 1, -1.0, -1.0).any()
+
+
+def test_counts_of_some_pairs_only(spark, monkeypatch):
+    """Listed pairs, and pairs within a cluster, are those of all pairs; no table of all pairs is made for them."""
+    r = random.Random(8)
+    monkeypatch.setattr(chains, "BLOCK", 3)
+    monkeypatch.setattr(chains, "COUNTED", 8)
+    names = [f"r{k:02}" for k in range(20)]
+    occ = spark.createDataFrame([(x, p, f"m{r.randrange(9)}") for x in names for p in range(r.randrange(1, 5))], "acr string, pos int, motif string")
+    every = {(x.acr1, x.acr2): x.n_motifs for x in chains.motif_counts(occ).collect()}
+    pairs = [(r.choice(names), r.choice(names)) for _ in range(150)] + [("r01", "none"), ("none", "r01")]
+    got = chains.listed_motif_counts(occ, spark.createDataFrame(pairs + pairs, "r1 string, r2 string")).collect()
+    assert {(x.acr1, x.acr2): x.n_motifs for x in got} == {p: every[p] for p in pairs if p in every} and len(got) == len({p for p in pairs if p in every}) > 20
+    cluster = {x: f"c{k % 3}" if k < 18 else None for k, x in enumerate(names)}
+    got = chains.motif_counts(occ, within=spark.createDataFrame(list(cluster.items()), "acr string, cluster string")).collect()
+    assert sorted((x.acr1, x.acr2, x.n_motifs) for x in got) == sorted((*p, n) for p, n in every.items() if cluster[p[0]] is not None and cluster[p[0]] == cluster[p[1]])
