@@ -25,6 +25,8 @@ WEIGHT = {2: 20.0, 3: 5.0}
 BLOCK, SHARD = 800_000, 1_000_000
 #: A level's parts are served in as many rounds, so that its n-grams aren't all on their way at once.
 ROUNDS = {1: 1, 2: 1, 3: 2}
+#: Blocks are scored in as many rounds, so that the stored blocks and answers don't all stand beside their shuffle.
+SCORED = 3
 #: Contexts of SHARD / 4 tokens or more, and of a millionth of all at least, are split by their successors: a million at most.
 FREQUENT = 1_000_000
 _END = np.uint64(0x9E3779B97F4A7C15)  # the end of a text, a token
@@ -455,11 +457,13 @@ def scored(docs: DataFrame, held: Column) -> DataFrame:
         )
 
     answers = [t.where("kind = 0").select("block", "level", "part", "hot", "a", "g") for t in model.tables]
-    both = blocks.groupBy("block").cogroup(reduce(DataFrame.union, answers).groupBy("block"))
-    out = stored(both.applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"))
+    every, turns = reduce(DataFrame.union, answers), []
+    for turn in range(SCORED):
+        left, right = (t.where(F.pmod(F.xxhash64("block"), F.lit(SCORED)) == turn).groupBy("block") for t in (blocks, every))
+        turns.append(stored(left.cogroup(right).applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")))
     for t in [blocks, *model.tables]:
         forget(t)
-    return out
+    return reduce(DataFrame.union, turns)
 
 
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

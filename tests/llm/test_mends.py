@@ -6,7 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from colinear.llm import html_text, linededup, quality_model, quality_rules
+from colinear.llm import html_text, linededup, ngram_lm, quality_model, quality_rules
 
 DOCS = "doc_id long, text string, lang string, source string"
 
@@ -83,3 +83,15 @@ def test_rows_of_a_rated_id_count_once(spark):
     docs = spark.createDataFrame([(1, f"text {i % 50}", "en", "s") for i in range(2000)] + [(2, "other", "en", "s")], DOCS)
     labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (2, 1, 1)], "doc_id long, quality int, toxic int")
     assert sorted((x.doc_id, x.grade) for x in quality_model.graded(docs, labels).collect()) == [(1, 1), (2, 0)]
+
+
+def test_lm_scores_blocks_in_rounds(spark, monkeypatch):
+    """Not all blocks and answers are in one shuffle: no table of scores has all texts, together they have each once."""
+    docs = spark.createDataFrame([(k, f"word{k % 7} of text {k} " * 40, "en", "s") for k in range(60)], DOCS).repartition(4)
+    monkeypatch.setattr(ngram_lm, "BLOCK", 300)
+    kept, stored = [], ngram_lm.stored
+    monkeypatch.setattr(ngram_lm, "stored", lambda df, *rest: kept.append(stored(df, *rest)) or kept[-1])
+    out = ngram_lm.scored(docs, F.col("doc_id") % 7 == 2)
+    rounds = [df.count() for df in kept if "base_score" in df.columns]
+    assert sorted(x.doc_id for x in out.select("doc_id").collect()) == list(range(60))
+    assert sum(rounds) == 60 and max(rounds) < 50
