@@ -185,6 +185,29 @@ def test_clusters_equal_whole_linkage(spark, average, tied):
     assert clustering.clusters(distances.where("false"), 0.8, ids).where("id <> cluster").count() == 0
 
 
+def test_vector_distances_pack_blocks_once(spark):
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    x = r.normal(size=(60, 24))
+    x[7], x[8] = x[3], x[3] + 1e-9 * r.normal(size=24)
+    x[9] = 2.0
+    unit = x - x.mean(1, keepdims=True)
+    unit /= np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-300)
+    far = 1 - unit @ unit.T
+    names = [f"v{i:02}" for i in range(60)]
+    vectors = spark.createDataFrame([(n, v.tolist()) for n, v in zip(names, x)], "id string, x array<double>")
+    for below, block in ((0.7, 13), (0.7, 1000), (1.6, 25), (far[0, 1] + 1e-9, 7), (far[0, 1] - 1e-9, 7)):
+        near = clustering.vector_distances(vectors, float(below), block)
+        assert "collect_list" not in near._jdf.queryExecution().toString()  # blocks are packed as numbers, no rows go into every pair of blocks
+        got = {(q.id1, q.id2): q.distance for q in near.collect()}
+        want = {(names[i], names[j]): max(0.0, far[i, j]) for i in range(60) for j in range(i + 1, 60) if far[i, j] < below}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    assert clustering.vector_distances(vectors.where("false"), 0.7).count() == 0
+    with pytest.raises(Exception, match="different lengths"):
+        clustering.vector_distances(vectors.union(spark.createDataFrame([("w", [1.0])], "id string, x array<double>")), 0.7).count()
+
+
 def test_consensus(spark):
     rows = [(1, "a", list("abcdef"), True), (1, "b", list("abXcdef"), False), (1, "c", list("fedcba"), False), (2, "d", list("ab"), True)]
     out = clustering.star_consensus(spark.createDataFrame(rows, "cluster int, id string, motifs array<string>, is_center boolean")).collect()
