@@ -8,7 +8,20 @@ import numpy as np
 
 _ONE = np.uint64(1)
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
-_PACKED = 1 << 14  # values whose bits are laid out at once
+
+
+def _low_bits(v: np.ndarray, low: int) -> np.ndarray:
+    """The low bits of every value, one value's after another: 64 values fill `low` words, and the k-th of each 64 is laid at once."""
+    rows = -(-len(v) // 64)
+    values, words = np.zeros(rows * 64, np.uint64), np.zeros((low, rows), np.uint64)
+    values[: len(v)] = v & np.uint64((1 << low) - 1)
+    values = np.ascontiguousarray(values.reshape(rows, 64).T)
+    for k in range(64 if low else 0):
+        word, shift = divmod(k * low, 64)
+        words[word] |= values[k] << np.uint64(shift)
+        if shift + low > 64:
+            words[word + 1] |= values[k] >> np.uint64(64 - shift)
+    return np.ascontiguousarray(words.T).view(np.uint8).ravel()[: (len(v) * low + 7) // 8]
 
 
 def pack(arrays: dict[str, np.ndarray]) -> bytes:
@@ -37,9 +50,7 @@ def encode(values: np.ndarray, universe: int, name: str) -> dict[str, np.ndarray
     n = len(values)
     low = max(0, min(57, (max(1, universe) // max(1, n)).bit_length() - 1))
     v = values.astype(np.uint64)
-    place = np.arange(low, dtype=np.uint64)
-    packed = [np.packbits(((v[a : a + _PACKED, None] >> place) & _ONE).astype(np.uint8).ravel(), bitorder="little") for a in range(0, n if low else 0, _PACKED)]
-    lows = np.concatenate([*packed, np.zeros(16, np.uint8)])
+    lows = np.concatenate([_low_bits(v, low), np.zeros(16, np.uint8)])
     high = (v >> np.uint64(low)).astype(np.int64)
     size = n + (max(0, universe - 1) >> low) + 1
     unary = np.zeros(size + -size % 64, np.uint8)

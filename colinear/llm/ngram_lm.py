@@ -5,7 +5,7 @@ from __future__ import annotations
 import mmap
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,29 +40,34 @@ def _coded(x: np.ndarray) -> np.ndarray:
     return (1 + np.minimum(65534, np.rint(-np.log10(x) * _STEPS))).astype(np.uint16)
 
 
+_PLAIN = (1, 2, 4, 8)  # bytes of numpy's own integers
+
+
 def packed(x: np.ndarray) -> bytes:
     """Numbers from 0 in as few bytes each as the largest needs."""
     x = np.ascontiguousarray(x.astype(np.uint64))
     width = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
-    return bytes([width]) + x.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+    return bytes([width]) + (x.astype(f"u{width}") if width in _PLAIN else x.view("V8").astype(f"V{width}")).tobytes()
 
 
 def unpacked(raw: bytes) -> np.ndarray:
     width = raw[0]
-    body = np.frombuffer(raw, np.uint8, offset=1).reshape(-1, width)
-    out = np.zeros((len(body), 8), np.uint8)
-    out[:, :width] = body
-    return out.view(np.uint64).ravel()
+    return np.frombuffer(raw, f"u{width}", offset=1).astype(np.uint64) if width in _PLAIN else np.frombuffer(raw, f"V{width}", offset=1).astype("V8").view(np.uint64)
+
+
+@cache
+def _zstd() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
 def squeezed(x: np.ndarray) -> bytes:
     """Numbers from 0 whose values repeat: their bytes by place, compressed."""
     raw = packed(x)
-    return raw[:1] + zstandard.ZstdCompressor(level=1).compress(np.frombuffer(raw, np.uint8, offset=1).reshape(-1, raw[0]).T.tobytes())
+    return raw[:1] + _zstd()[0].compress(np.frombuffer(raw, np.uint8, offset=1).reshape(-1, raw[0]).T.tobytes())
 
 
 def unsqueezed(raw: bytes) -> np.ndarray:
-    body = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[1:]), np.uint8).reshape(raw[0], -1)
+    body = np.frombuffer(_zstd()[1].decompress(raw[1:]), np.uint8).reshape(raw[0], -1)
     out = np.zeros((body.shape[1], 8), np.uint8)
     out[:, : raw[0]] = body.T
     return out.view(np.uint64).ravel()
@@ -85,13 +90,25 @@ def _part(keys: np.ndarray, parts: int) -> np.ndarray:
 
 
 def _ordered(context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """Order by context, then word; contexts that occur once need no second key."""
-    order = np.argsort(context)
-    sorted_ = context[order]
-    again = np.concatenate([[False], sorted_[1:] == sorted_[:-1]])
-    again[:-1] |= again[1:]
-    many = order[again]
-    order[again] = many[np.lexsort((word[many], context[many]))]
+    """Order by context, then word of 48 bits: by one number of leading bits of both; what these don't tell apart is ordered after."""
+    if not len(context):
+        return np.zeros(0, np.int64)
+    low = context.min()
+    spread = np.uint64(64 - int(context.max() - low).bit_length())
+    key = (context - low << spread if spread < 64 else context - low) & ~np.uint64(0xFFFFFF) | word >> np.uint64(24)
+    order = np.argsort(key)
+    key, context, word = key[order], context[order], word[order]
+    doubt, head = np.zeros(len(key), bool), key >> np.uint64(24)
+    for link, differ in ((head[1:] == head[:-1], context[1:] != context[:-1]), (key[1:] == key[:-1], word[1:] != word[:-1])):
+        at = np.flatnonzero(link & differ)
+        if len(at):  # the whole runs that these are of
+            run = np.concatenate([[0], np.cumsum(~link)])
+            of = np.zeros(run[-1] + 1, bool)
+            of[run[at]] = True
+            doubt |= of[run]
+    many = np.flatnonzero(doubt)
+    if len(many):
+        order[many] = order[many[np.lexsort((word[many], context[many]))]]
     return order
 
 
@@ -152,7 +169,10 @@ class Block:
         self.tokens, self.held = unsqueezed(row["tokens"]).astype(np.int64), np.array(row["held"], bool)
 
     def entries(self, level: int) -> tuple[np.ndarray, np.ndarray]:
-        """(hashes of the contexts in order, a number of context and word for each token that orders by the contexts' hash, then the word's)."""
+        """(hashes of the contexts in order, a number of context and word for each token that orders by the contexts' hash, then the word's).
+
+        Contexts of two words are told apart by their hash.
+        """
         n, t = len(self.words), self.tokens
         if level == 1:
             return self.words, t
@@ -166,12 +186,8 @@ class Block:
         second[2:] = t[:-2]
         second[starts] = end
         second[starts[self.sizes > 1] + 1] = end
-        pairs, at = np.unique(second * n + before, return_inverse=True)
-        hashes = pair_hash(self.words[pairs // n], self.words[pairs % n] >> np.uint64(16))
-        order = np.argsort(hashes)
-        rank = np.empty_like(order)
-        rank[order] = np.arange(len(order))
-        return hashes[order], rank[at] * n + t
+        hashes, at = np.unique(pair_hash(self.words[second], self.words[before] >> np.uint64(16)), return_inverse=True)
+        return hashes, at * n + t
 
     def split(self, level: int, contexts: np.ndarray, entries: np.ndarray, frequent: np.ndarray, parts: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
         """Distinct entries -> (part, 1 if of frequent contexts, places among the entries, context hashes, word hashes of 48 bits).
@@ -185,7 +201,8 @@ class Block:
                 yield p, 0, own, self.words[entries[own]], own[:0]
             return
         n = len(self.words)
-        context, word = contexts[entries // n], self.words[entries % n] >> np.uint64(16)
+        of = entries // n
+        context, word = contexts[of], self.words[entries - of * n] >> np.uint64(16)
         split = np.isin(context, frequent) if len(frequent) else np.zeros(len(context), bool)
         for flag, own in ((0, np.flatnonzero(~split)), (1, np.flatnonzero(split))):
             part = _part(mixed(context[own] + word[own] * _A) if flag else context[own], parts)
@@ -279,7 +296,13 @@ def _requests(blocks: DataFrame, level: int, parts: int, shared, turn: int) -> D
             for row in batch.to_pylist():
                 block = Block(row)
                 contexts, codes = block.entries(level)
-                codes = np.sort(codes * 2 + np.repeat(block.held, block.sizes))
+                codes = codes * 2 + np.repeat(block.held, block.sizes)
+                if ROUNDS[level] > 1:  # words of frequent contexts may be of any part
+                    wanted = (_part(contexts, parts) % ROUNDS[level] == turn) | np.isin(contexts, frequent)
+                    codes = codes[wanted[codes // (2 * len(block.words))]]
+                    if not len(codes):
+                        continue
+                codes = np.sort(codes)
                 first = _starts(codes >> 1)
                 every = np.diff(first, append=len(codes))
                 train = every - np.add.reduceat(codes & 1, first)
@@ -437,7 +460,7 @@ def scored(docs: DataFrame, held: Column) -> DataFrame:
         p, counts = None, None
         for level in (1, 2, 3):
             contexts, codes = block.entries(level)
-            distinct, at = np.unique(codes, return_inverse=True)
+            distinct, at = (np.arange(len(block.words)), codes) if level == 1 else np.unique(codes, return_inverse=True)
             found, weight = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
             for part, hot, own, context, _ in block.split(level, contexts, distinct, frequent[level - 1].value.keys, parts):
                 a, g = answers[level, part, hot]

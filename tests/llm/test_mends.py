@@ -3,6 +3,7 @@
 import random
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,3 +96,29 @@ def test_lm_scores_blocks_in_rounds(spark, monkeypatch):
     rounds = [df.count() for df in kept if "base_score" in df.columns]
     assert sorted(x.doc_id for x in out.select("doc_id").collect()) == list(range(60))
     assert sum(rounds) == 60 and max(rounds) < 50
+
+
+def test_ngram_order_and_low_bits():
+    from colinear.llm import elias_fano as ef
+    from colinear.llm import ngram_lm as lm
+
+    r = np.random.default_rng(8)
+    for contexts, words, n in ((30, 20, 1000), (1, 1 << 40, 500), (400, 3, 5000), (1, 1, 1), (1, 1, 0)):
+        for top in (1 << 63, 1 << 20, 1):  # far apart, and told apart by their last bits only
+            context = (np.uint64(1 << 63) + r.integers(0, top, contexts).astype(np.uint64))[r.integers(0, contexts, n)]
+            word = r.integers(0, words, n).astype(np.uint64)
+            alike = context & np.uint64(3) | r.integers(0, 8, n).astype(np.uint64) << np.uint64(60)  # contexts of the same leading bits
+            spread = r.integers(0, 1 << 48, n).astype(np.uint64)
+            for c, w in ((context, word), (alike, word), (alike, spread), (context, spread), (alike, spread & ~np.uint64(0xFFFFFE))):
+                order, want = lm._ordered(c, w), np.lexsort((w, c))
+                assert sorted(order.tolist()) == list(range(n))
+                assert (c[order] == c[want]).all() and (w[order] == w[want]).all()
+    for low in (0, 1, 7, 31, 57):
+        for n in (0, 1, 63, 64, 65, 200):
+            v = r.integers(0, 1 << 62, n).astype(np.uint64)
+            bits = ((v[:, None] >> np.arange(low, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8).ravel()
+            assert (ef._low_bits(v, low) == np.packbits(bits, bitorder="little")).all()
+    for width in range(1, 9):
+        v = r.integers(0, 1 << 8 * width - 1, 100).astype(np.uint64)
+        assert (lm.unpacked(lm.packed(v)) == v).all() and (lm.unsqueezed(lm.squeezed(v)) == v).all()
+    assert not len(lm.unpacked(lm.packed(np.zeros(0)))) and not len(lm.unsqueezed(lm.squeezed(np.zeros(0))))
