@@ -3,6 +3,7 @@
 import random
 import time
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -67,6 +68,25 @@ def test_one_mark_fails_no_document(spark):
     assert all(x.kept for x in quality_rules.judged(flat).collect())
 
 
+def test_marks_that_a_group_lacks_fail(spark):
+    """A metric that is equal in a whole group is judged too: texts full of marks that no other one has are dropped."""
+    r = random.Random(8)
+    words = "river stone cloud paper garden winter music lamp road bridge forest table window letter".split()
+    text = lambda n: "\n".join(" ".join(r.choice(words) + str(r.randrange(99)) for _ in range(r.randrange(9, 16))) for _ in range(n))
+    rows = [(i, text(8), "en", "s") for i in range(600)]
+    one = text(8)
+    longest = max(one.split("\n"), key=lambda x: len(x.split()))
+    rows += [(1000, one + " " + "!" * 200, "en", "s"), (1001, one.replace(" ", "!!! "), "en", "s"), (1002, one.replace(" ", "%% "), "en", "s"), (1003, one.upper(), "en", "s")]
+    rows += [(1010, one + "!", "en", "s"), (1011, one + " a & b", "en", "s"), (1012, one + "\n" + longest, "en", "s")]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = {x.doc_id: x for x in quality_rules.judged(docs).collect()}
+    assert [got[i].kept for i in range(1000, 1004)] == [False] * 4 and not any(got[i].base_failed for i in range(1000, 1004))
+    assert all(got[i].kept for i in (*range(600), 1010, 1011, 1012))
+    con = duckdb.connect()
+    con.register("documents", docs.toArrow())
+    assert dict(con.sql(f"SELECT doc_id, kept FROM ({quality_rules.OP3_SQL})").fetchall()) == {i: x.kept for i, x in got.items()}
+
+
 def test_line_dedup_is_linear_in_lines(spark):
     def seconds(n):
         shared = "\n".join(f"shared {i}" for i in range(n))
